@@ -154,7 +154,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs with the cleaned text, and n_chunks_removed and n_lines_removed."""
     rid = F.xxhash64("doc_id", "text")
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", rid)
-    gone = removals(slim).select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"), "gone")
+    gone = removals(slim).select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"), F.col("gone").alias("__gone"))
     own = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     own = own.withColumn("__own", F.xxhash64("doc_id", "__text"))
     joined = own.join(gone, (F.col("__own") == F.col("__rid")) & own["doc_id"].eqNullSafe(F.col("__doc")), "left")
@@ -171,5 +171,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 [*names, "text", "n_chunks_removed", "n_lines_removed"],
             )
 
-    cleaned = joined.select(*[own[c] for c in names], "__text", "gone").mapInArrow(run, f"{fields}, text string, n_chunks_removed bigint, n_lines_removed bigint")
+    cleaned = joined.select(*[own[c] for c in names], "__text", "__gone").mapInArrow(run, f"{fields}, text string, n_chunks_removed bigint, n_lines_removed bigint")
     return cleaned.select(*docs.columns, *[c for c in ("n_chunks_removed", "n_lines_removed") if c not in docs.columns])

@@ -25,8 +25,8 @@ from .common import stored
 #: Sources that may be sent to every executor (a row of some 100 bytes each); with more, the join shuffles.
 BROADCAST_SOURCES = 10_000
 #: Slices of a rank order by round; after all rounds a slice holds one rank of 2^-48.
-SLICE_BITS = 12
-ROUNDS = 4
+SLICE_BITS = 16
+ROUNDS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +79,7 @@ def sample_cutoffs(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """source, copies, p, cutoff: documents whose u48 is at most ``cutoff`` are taken once more.
 
     The documents of a source share one p, so ranking by Pareto score is ranking by u48; the order is
-    cut in rounds, each with a slice of 2^12 of the one before.
+    cut in rounds, each with one of the 2^16 slices of the one before.
     """
     plan = targets.select(
         F.col("source").alias("s"),
@@ -146,8 +146,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mix, each row as often as it is taken."""
     _, plan = mix_plan(docs, weights, most)
-    plan = plan.select(F.col("source").alias("__s"), "copies", "cutoff")
+    plan = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("cutoff").alias("__cutoff"))
     own = docs.withColumn("__u48", uniform_48(F.col("doc_id")))
     joined = own.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, own["source"].eqNullSafe(F.col("__s")))
-    times = (F.col("copies") + F.when(F.col("__u48") <= F.col("cutoff"), 1).otherwise(0)).cast("int")
+    times = (F.col("__copies") + F.when(F.col("__u48") <= F.col("__cutoff"), 1).otherwise(0)).cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)

@@ -124,6 +124,7 @@ def search_shards(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pa.table({"query_id": pa.array(out_query, pa.int64()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_score, pa.int64())})
 
     keys = ["shard", "block", "width"]
+    queries = queries.select([F.col(c).alias(f"asked_{c}") for c in queries.columns]).toDF(*queries.columns)
     return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
