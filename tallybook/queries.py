@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digests, texts, times, values
-from .operators import contracts, envelope, history, paging, unique
+from .operators import contracts, envelope, history, paging, unique, wrappers
 from .plans import folds
+from .sources import sinks
 from .sources.bindings import ledger, payload_json, table
 from .sources.jsonl import snapshots
 
@@ -488,3 +489,46 @@ def canonical_payloads(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_newest_first(spark, sf_dir)
+
+
+REPORT = """concat('{', case when seq % 4 = 0 then '"kind":"integrity.summary.published.v1",' when seq % 4 = 1 then '"type":"integrity.summary.published.v1",' else '' end,
+'"payload":{"status":"', case when value >= 40 then ' warn' when seq % 5 = 0 then 'odd' else 'OK' end, '"', case when seq % 4 = 2 then ',"type":"integrity.summary.published.v1"' else '' end, '}}')"""
+
+
+@query("SELECT seq, CASE WHEN value >= 40 THEN 'WARN' WHEN seq % 5 = 0 THEN 'UNCLEAR' ELSE 'OK' END AS status, seq % 4 <> 0 AS legacy FROM ledger WHERE seq % 4 < 3")
+def status_gate(spark, sf_dir):
+    """F13, T10."""
+    own = ledger(spark, sf_dir).select("seq", wrappers.status_of(F.try_parse_json(F.expr(REPORT))).alias("s")).where("s is not null")
+    return own.select("seq", "s.status", "s.legacy")
+
+
+@query("SELECT seq, seq % 3 = 1 OR seq % 3 = 2 AND domain <> 'app.view' AS mismatch FROM ledger")
+def domain_mismatches(spark, sf_dir):
+    """C3."""
+    item = F.expr("case when seq % 3 = 0 then concat(' ', upper(domain)) when seq % 3 = 1 then '..' else 'app.view' end")
+    return ledger(spark, sf_dir).select("seq", wrappers.domain_mismatch(item, F.col("domain")).alias("mismatch"))
+
+
+WRAPPED = """concat('{"kind":', case when seq % 6 = 1 then '5' else '"x.insight"' end, ',"version":', case when seq % 6 = 2 then '2' else '1' end, case when seq % 6 = 3 then '' else ',"id":"i"' end,
+',"meta":{"occurred_at":"', case when seq % 6 = 4 then 'soon' else '2024-01-01T00:00:00Z' end, '"},"data":', case when seq % 6 = 5 then '[]' else '{}' end, '}')"""
+
+
+@query("SELECT seq, (['kind must be a string', 'invalid version: expected 1', 'missing fields: id', 'meta.occurred_at must be valid ISO8601', 'data must be a dict'])[nullif(seq % 6, 0)] AS error FROM ledger")
+def wrapper_errors(spark, sf_dir):
+    """Ordered checks, the first failure."""
+    return ledger(spark, sf_dir).select("seq", wrappers.wrapper_error(F.try_parse_json(F.expr(WRAPPED)), "x.insight", "x.state").alias("error"))
+
+
+@query("""SELECT seq, path FROM (SELECT seq, '$.' || unnest(['kind', 'type', 'label', 'ts', 'source', 'event_id', 'data', 'event', 'source.repo', 'source.component']) AS path,
+unnest([seq % 3 = 0, seq % 3 = 1, seq % 3 = 2, seq % 5 <> 0, seq % 7 <> 0, seq % 2 = 0, seq % 4 = 0, true, seq % 7 <> 0, seq % 7 <> 0]) AS there FROM ledger) WHERE there""")
+def walked_payloads(spark, sf_dir):
+    """T25."""
+    own = payloads(spark, sf_dir).select("seq", F.try_parse_json("payload").alias("v"))
+    return wrappers.walk(own, "v", ["seq"], 3).select("seq", "path")
+
+
+@query("SELECT (upto - 1) // 2000 AS bundle, run_id AS source, (sum(bytes) OVER (PARTITION BY (upto - 1) // 2000 ORDER BY run_id) - bytes)::BIGINT AS start_offset FROM (SELECT run_id, bytes, sum(bytes) OVER (ORDER BY run_id) AS upto FROM (SELECT run_id, sum(strlen(payload) + 1) AS bytes FROM payloads GROUP BY run_id))")
+def bundle_layout(spark, sf_dir):
+    """K9, W7."""
+    own = payloads(spark, sf_dir).groupBy(F.col("run_id").alias("source")).agg(F.sum(F.octet_length("payload") + 1).alias("bytes"), F.lit("").alias("digest"))
+    return sinks.bundle(own, 2000).select("bundle", "source", "start_offset")
