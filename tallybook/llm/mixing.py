@@ -5,7 +5,9 @@ share of that, but at most ``most`` times its own size, and what is cut off is s
 weight. A document of a source with target/size = r is taken floor(r) times for certain; for the
 rest, r - floor(r) is its inclusion probability p. With U a hash of doc_id in (0, 1), documents rank
 by the odds U/(1-U) divided by the odds p/(1-p), and the sample is the head of that order whose words
-come nearest to what the source still lacks.
+come nearest to what the source still lacks. Last, one document of the source changes sides (comes in
+where words are missing, goes out where there are too many) if that brings the sum nearer; it is the one
+that brings it nearest.
 
 That head is found without sorting a source: words are summed by slices of the order first, the slice
 in which the target falls is cut into slices again, and so on, so a source with a third of all rows
@@ -117,22 +119,38 @@ def sample_cutoffs(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         if i < ROUNDS - 1:
             plan = plan.drop("words")
     # prefix is now the first rank that does not fit, -1 if all do; it is taken if that comes nearer.
-    nearer = (F.col("taken") + F.col("words") - F.col("lacking")) < (F.col("lacking") - F.col("taken"))
+    nearer = F.coalesce((F.col("taken") + F.col("words") - F.col("lacking")) < (F.col("lacking") - F.col("taken")), F.lit(False))
     cutoff = F.when(F.col("prefix") < 0, F.lit(1 << 48)).when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1)
-    return stored(plan.select("s", "copies", "p", F.when(F.col("p") > 0, cutoff).otherwise(F.lit(-1)).cast("long").alias("cutoff")))
+    filled = F.col("taken") + F.when(nearer, F.col("words")).otherwise(0)
+    active = F.col("p") > 0
+    return stored(
+        plan.select("s", "copies", "p", F.when(active, cutoff).otherwise(F.lit(-1)).cast("long").alias("cutoff"), F.when(active, F.col("lacking") - filled).otherwise(F.lit(0.0)).alias("gap"))
+    )
+
+
+def with_exchange(sizes: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """cutoffs with ``swap``, the u48 of the documents that change sides (-1: none); ranks are weighed in partial sums, one row for each source comes out."""
+    ranks = sizes.where("size > 0").groupBy("source", "u48").agg(F.sum("size").alias("words"))
+    joined = with_sources(ranks, cutoffs.where("gap <> 0"), ranks["source"].eqNullSafe(F.col("s")))
+    inside, gap = F.col("u48") <= F.col("cutoff"), F.col("gap")
+    left = F.when((gap > 0) & ~inside, F.abs(gap - F.col("words"))).when((gap < 0) & inside, F.abs(gap + F.col("words")))
+    best = joined.withColumn("left", left).where(F.col("left") < F.abs(gap)).groupBy(F.col("s").alias("s2")).agg(F.min(F.struct("left", "u48")).alias("best"))
+    found = cutoffs.join(best, F.col("s").eqNullSafe(F.col("s2")), "left")
+    return found.select("s", "copies", "p", "cutoff", F.coalesce("best.u48", F.lit(-1).cast("long")).alias("swap"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, u48 of every document; source, source_size, target, copies, p, cutoff of every source), both stored."""
+    """(doc_id, source, size, u48 of every document; source, source_size, target, copies, p, cutoff, swap of every source), both stored."""
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform_48(F.col("doc_id")).alias("u48")))
     targets = stored(source_targets(sizes, weights, most))
-    cutoffs = sample_cutoffs(sizes, targets)
+    cutoffs = with_exchange(sizes, sample_cutoffs(sizes, targets))
     return sizes, stored(targets.join(cutoffs, targets["source"].eqNullSafe(cutoffs["s"])).drop("s"))
 
 
-def copies_taken() -> Column:
+def copies_taken(copies: str = "copies", u48: str = "u48", cutoff: str = "cutoff", swap: str = "swap") -> Column:
     """How often a document is taken, from u48 and its source's plan."""
-    return F.col("copies") + F.when(F.col("u48") <= F.col("cutoff"), 1).otherwise(0)
+    inside = (F.col(u48) <= F.col(cutoff)) != (F.col(u48) == F.col(swap))
+    return F.col(copies) + F.when(inside, 1).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -146,8 +164,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mix, each row as often as it is taken."""
     _, plan = mix_plan(docs, weights, most)
-    plan = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("cutoff").alias("__cutoff"))
+    plan = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("cutoff").alias("__cutoff"), F.col("swap").alias("__swap"))
     own = docs.withColumn("__u48", uniform_48(F.col("doc_id")))
     joined = own.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, own["source"].eqNullSafe(F.col("__s")))
-    times = (F.col("__copies") + F.when(F.col("__u48") <= F.col("__cutoff"), 1).otherwise(0)).cast("int")
+    times = copies_taken("__copies", "__u48", "__cutoff", "__swap").cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)

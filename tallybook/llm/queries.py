@@ -116,11 +116,19 @@ WITH d AS (
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto,
          sum(d.size) OVER (PARTITION BY d.source, d.u)::BIGINT AS own
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+), h AS (
+  SELECT *, lacking > 0 AND (upto <= lacking OR upto - own <= lacking AND upto - lacking < lacking - (upto - own)) AS head FROM r
+), p AS (
+  SELECT *, lacking - coalesce(sum(size) FILTER (head) OVER (PARTITION BY source), 0)::BIGINT AS gap FROM h
+), x AS (
+  SELECT source, u, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN head THEN abs(gap + own) ELSE abs(gap - own) END, u) AS n
+  FROM (SELECT DISTINCT source, u, own, gap, head FROM p WHERE own > 0 AND lacking > 0)
+  WHERE CASE WHEN head THEN gap < 0 AND abs(gap + own) < abs(gap) ELSE gap > 0 AND abs(gap - own) < abs(gap) END
 )
 SELECT doc_id, size, source_size, target,
-       (copies + CASE WHEN lacking > 0 AND (upto <= lacking OR upto - own <= lacking AND upto - lacking < lacking - (upto - own)) THEN 1 ELSE 0 END) * size AS taken,
-       copies + CASE WHEN lacking > 0 AND (upto <= lacking OR upto - own <= lacking AND upto - lacking < lacking - (upto - own)) THEN 1 ELSE 0 END AS copies
-FROM r
+       (copies + CASE WHEN head <> (x.n IS NOT NULL) THEN 1 ELSE 0 END) * size AS taken,
+       copies + CASE WHEN head <> (x.n IS NOT NULL) THEN 1 ELSE 0 END AS copies
+FROM p LEFT JOIN x ON x.n = 1 AND p.source IS NOT DISTINCT FROM x.source AND p.u = x.u
 """,
     "op8_exact_topk": """
 WITH v AS (
