@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import map_rows, slices, texts
 
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
@@ -88,7 +88,7 @@ def language_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = ngram_counts(text)
                 if lang not in sums:

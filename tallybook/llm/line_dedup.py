@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 LONG_WORDS = 50
 MIN_WORDS = 20
@@ -74,7 +74,7 @@ def chunk_rows(docs: DataFrame, seen=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = seen.value if with_text else b""
-        for batch in batches:
+        for batch in slices(batches):
             origin, pos, h1, h2, chunk = [], [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 lines = text.split("\n")
@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [without_chunks(t, g) if g else (t, 0, 0) for t, g in zip(batch.column(at_text).to_pylist(), batch.column(at_text + 1).to_pylist())]
             new, chunks, lines = zip(*out) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays(

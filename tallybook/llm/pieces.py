@@ -39,8 +39,9 @@ STOPS = ".,;:!?"
 class PieceModel(dict):
     """Escaped chunk of text -> ids as int32 bytes; fills itself."""
 
-    def __init__(self, path: str, merges: bool = True):
+    def __init__(self, path: str, merges: bool = True, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
         self.merges = merges
         self.pairs: dict[int, bool] = {}
         from sentencepiece import SentencePieceProcessor
@@ -130,7 +131,7 @@ class PieceModel(dict):
         parts = self.parts.findall(chunk) if self.parts else [chunk]
         ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else np.array(self.viterbi(chunk), np.int32).tobytes()
         if len(chunk) < 200:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -149,17 +150,17 @@ class PieceModel(dict):
 
 
 @lru_cache(maxsize=2)
-def model(path: str) -> PieceModel:
+def model(path: str, remembered: int = REMEMBERED) -> PieceModel:
     """The vocabulary at ``path``, which is of the merging kind."""
-    return PieceModel(path)
+    return PieceModel(path, remembered=remembered)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ids and n_pieces of every text."""
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED) -> DataFrame:
+    """The ``keep`` columns, ids and n_pieces of every text. Workers remember up to ``remembered`` words."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = model(vocabulary)
+        own = model(vocabulary, remembered)
         ids = [own.encode(t) for t in texts(batch, "__text")]
         counts = np.array([len(x) for x in ids], np.int64)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import map_rows, slices, texts
 
 #: Terms whose bits are counted at once.
 BLOCK = 1 << 16
@@ -112,7 +112,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, doc_id, text, fingerprint) that waits for the next document
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for r, ghost, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = fingerprint(text)
