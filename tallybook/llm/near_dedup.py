@@ -12,6 +12,11 @@ at most two bits exactly if such a flip leads both to the same one. Each of thes
 its visitors to the least of them, so dense groups cost as much as their members. Components of the
 links come from alternating star contractions, each round written to the shared folder.
 
+``one_of_each`` searches a wider radius the same way: five bits fall on two halves of 32 bits, so one half
+differs in two at most, and its grid and its flips find the pair. What meets there is verified exactly
+too: by all 64 bits, and then by the texts themselves, whose sets of five-word shingles must have a
+Jaccard likeness of 0.8 or more.
+
 Null texts count as empty; texts without words have fingerprint 0 and link like any other. Rows with
 equal doc_id are one node for ids, each with its own fingerprint. component_id is the least non-null
 doc_id of a component. Empty tables give empty results; other columns are ignored.
@@ -19,6 +24,8 @@ doc_id of a component. Empty tables give empty results; other columns are ignore
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +38,10 @@ SEGMENTS, SEGMENT_BITS = 16, 4
 BLOCK = 1 << 16
 SEED = 42
 MOST_ROUNDS = 60
+#: Radius of ``one_of_each``, and what the texts of a link must have in common.
+RADIUS, LIKE_WORDS, LIKENESS = 5, 5, 0.8
+#: Links of one fingerprint are spread over so many keys.
+SALTS = 64
 
 
 def shingle_hashes(text: str, width: int) -> list[int]:
@@ -69,20 +80,27 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
 
-def visits(prints: DataFrame) -> DataFrame:
-    """fp, cell, hubs: the cells that each fingerprint visits, and the fingerprints within one flip of it in that cell."""
-    segments = [F.shiftrightunsigned("fp", SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)) for i in range(SEGMENTS)]
-    step = [(SEGMENT_BITS + 1) ** i for i in range(SEGMENTS)]
-    cell = sum((F.bit_count(s).cast("long") * step[i] for i, s in enumerate(segments)), F.lit(0).cast("long"))
+def visits(prints: DataFrame, parts: int = 1, part: int = 0) -> DataFrame:
+    """fp, cell, hubs: the cells that each fingerprint (or one of its ``parts`` equal parts) visits, and what is within one flip of it in that cell."""
+    bits = 64 // parts
+    segments = bits // SEGMENT_BITS
+    value = F.col("fp") if parts == 1 else F.shiftrightunsigned("fp", bits * part).bitwiseAND(F.lit((1 << bits) - 1))
+    popcounts = [F.bit_count(F.shiftrightunsigned("value", SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(segments)]
+    step = [(SEGMENT_BITS + 1) ** i for i in range(segments)]
+    first = part * (SEGMENT_BITS + 1) ** segments  # cells of another part are other cells
+    cell = sum((p.cast("long") * step[i] for i, p in enumerate(popcounts)), F.lit(first).cast("long"))
+
+    def hubs(values):
+        return values if parts == 1 else F.transform(values, lambda x: x + F.lit(part << bits).cast("long"))
 
     def flips(i: int, up: bool):
         masks = [1 << (SEGMENT_BITS * i + j) for j in range(SEGMENT_BITS)]
         signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-        own = F.filter(signed, lambda m: (F.col("fp").bitwiseAND(m) == 0) if up else (F.col("fp").bitwiseAND(m) != 0))
-        return F.struct((F.col("cell") + (step[i] if up else -step[i])).alias("cell"), F.transform(own, lambda m: F.col("fp").bitwiseXOR(m)).alias("hubs"))
+        own = F.filter(signed, lambda m: (F.col("value").bitwiseAND(m) == 0) if up else (F.col("value").bitwiseAND(m) != 0))
+        return F.struct((F.col("cell") + (step[i] if up else -step[i])).alias("cell"), hubs(F.transform(own, lambda m: F.col("value").bitwiseXOR(m))).alias("hubs"))
 
-    around = F.array(F.struct(F.col("cell"), F.array(F.col("fp")).alias("hubs")), *[flips(i, up) for i in range(SEGMENTS) for up in (True, False)])
-    return prints.select("fp", cell.alias("cell")).select("fp", F.explode(around).alias("v")).select("fp", "v.cell", "v.hubs").where(F.size("hubs") > 0)
+    around = F.array(F.struct(F.col("cell"), hubs(F.array(F.col("value"))).alias("hubs")), *[flips(i, up) for i in range(segments) for up in (True, False)])
+    return prints.select("fp", value.alias("value")).select("fp", "value", cell.alias("cell")).select("fp", F.explode(around).alias("v")).select("fp", "v.cell", "v.hubs").where(F.size("hubs") > 0)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -94,6 +112,80 @@ def links(prints: DataFrame) -> DataFrame:
     return met.join(least, "hub").where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
 
 
+def wide_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v with u > v: fingerprints at most ``radius`` (up to 11) bits apart. prints: distinct fp.
+
+    Of p parts one differs in at most two bits if all do in 3 p - 1 at most. The visitors of each meeting
+    point pass by in order; one is linked to all leaders within the radius, and where there is none it
+    becomes a leader. So of two fingerprints within the radius one at least is linked, to the other or to a
+    leader; a meeting point costs its visitors times its leaders, never their pairs.
+    """
+    parts = next((p for p in (1, 2, 4) if radius < 3 * p), 0)
+    if not parts:
+        raise ValueError("the radius is 11 at most")
+    own = visits(prints, parts, 0)
+    for part in range(1, parts):
+        own = own.unionByName(visits(prints, parts, part))
+    shared = own.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
+    met = own.join(shared, "cell", "left_semi").select("fp", F.explode("hubs").alias("hub"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, leaders = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hubs, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            goes_on = np.concatenate([[hub is not None and hubs[0] == hub], hubs[1:] == hubs[:-1]])
+            met_by_two = goes_on | np.concatenate([goes_on[1:], [True]])
+            us, vs = [], []
+            for i in np.flatnonzero(met_by_two).tolist():
+                own = int(prints[i])
+                if not goes_on[i]:
+                    leaders = [own]
+                    continue
+                near = [x for x in leaders if ((x ^ own) & (1 << 64) - 1).bit_count() <= radius]
+                us += [own] * len(near)
+                vs += near
+                if not near:
+                    leaders.append(own)
+            hub = hubs[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    met = met.repartition("hub").sortWithinPartitions("hub", "fp").select("hub", "fp")
+    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def alike(edges: DataFrame, docs: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
+    """The links (u, v) whose texts share enough shingles of ``LIKE_WORDS`` words. distinct: fp and the least doc_id that has it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    linked = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("least").alias("doc_id"))
+
+    def printed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = texts(batch)
+        fp = np.array([majority_fingerprint(t, width) for t in own], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(own, pa.string())], ["doc_id", "fp", "text"])
+
+    own = docs.select("doc_id", "text").join(linked.select("doc_id"), "doc_id", "left_semi")
+    bodies = map_rows(own, printed, f"doc_id {kind}, fp bigint, text string").join(linked, ["doc_id", "fp"])
+    bodies = stored(bodies.groupBy("fp").agg(F.min("text").alias("text")))  # rows with equal doc_id may share a fingerprint
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = lambda t: np.unique(np.array(shingle_hashes(t, LIKE_WORDS), np.uint64))
+        last, held, keep = None, None, []
+        for a, b in zip(texts(batch, "a"), texts(batch, "b")):
+            if b != last:
+                last, held = b, sets(b)
+            one = sets(a)
+            both = len(np.intersect1d(one, held, assume_unique=True))
+            keep.append(both > 0 and both >= LIKENESS * (len(one) + len(held) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    left = salted.join(bodies.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
+    right = salted.select("v", "salt").distinct().join(bodies.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+    return map_rows(left.join(right, ["v", "salt"]).select("u", "v", "a", "b"), judged, "u bigint, v bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of the edges (u, v) and the least node it is connected to.
 
@@ -124,21 +216,34 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, component_id of every fingerprint. distinct: fp and the least doc_id that has it."""
+    roots = stored(components(edges))
+    ids = roots.join(distinct, roots["node"] == distinct["fp"])
+    by_root = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = ids.join(by_root, "root").select(F.col("node").alias("fp"), "component_id")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document; shingles have ``width`` words."""
     prints = stored(with_fingerprints(docs, width))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stored(components(links(distinct.select("fp"))))
-    ids = roots.join(distinct, roots["node"] == distinct["fp"])
-    by_root = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = ids.join(by_root, "root").select(F.col("node").alias("fp"), "component_id")
-    known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    known = classes(distinct, links(distinct.select("fp")))
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The documents without their near-duplicates: of each component the one with the least doc_id, of its repeated rows the one with the least text."""
-    kept = near_duplicates(docs, width).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    """The documents without their near-duplicates: of each class the one with the least doc_id, of its repeated rows the one with the least text.
+
+    A class joins texts of equal fingerprint and texts that ``wide_links`` and ``alike`` link. Shingles of
+    fewer words (``width``) move fewer bits of a fingerprint when a word changes. Rows without doc_id go.
+    """
+    prints = stored(with_fingerprints(docs, width))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = stored(wide_links(distinct.select("fp")))
+    known = classes(distinct, alike(edges, docs, distinct, width))
+    kept = prints.join(known, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     own = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return own.withColumn("__rank", rank).where("__rank = 1").drop("__rank")

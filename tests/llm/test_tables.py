@@ -19,7 +19,7 @@ from tallybook.llm.language_id import identify
 from tallybook.llm.licenses import scan_licenses
 from tallybook.llm.line_dedup import LONG_WORDS, dedup_lines
 from tallybook.llm.mixing import mix_sources, mixed_documents
-from tallybook.llm.near_dedup import components, near_duplicates, one_of_each
+from tallybook.llm.near_dedup import alike, components, majority_fingerprint, near_duplicates, one_of_each, shingle_hashes, wide_links
 from tallybook.llm.pieces import decode_documents, encode_documents, piece_digests
 from tallybook.llm.simhash import edited, edited_fingerprints, fingerprint, fingerprints, within_radius
 from tallybook.llm.token_counts import count_tokens, truncate_to_budget
@@ -270,7 +270,6 @@ def test_near_duplicates(documents):
         least.setdefault(root[docs[d]], d)
     exact = {d: (f"{f:016x}", least[root[f]]) for d, f in docs.items()}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in near_duplicates(documents, 3).collect()} == exact
-    assert sorted(r.doc_id for r in one_of_each(documents, 3).collect()) == sorted(set(least.values()))
 
 
 def test_fingerprint_chains(spark, monkeypatch):
@@ -310,6 +309,60 @@ def test_no_labels_and_no_letters(spark):
     assert {r.doc_id: r.lang_pred for r in identify(one).collect()} == {1: "xx", 2: "und", 3: "und", 7: "xx"}
 
 
+@pytest.mark.parametrize("radius", [2, 5, 11])
+def test_wide_links(spark, radius):
+    rng = random.Random(radius)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for _ in range(6):
+            prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 2))))
+    prints = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = {(r.u, r.v) for r in wide_links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), radius).collect()}
+    near = {(max(a, b), min(a, b)) for a, b in combinations(prints, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+    assert found <= near
+    linked = {x for pair in found for x in pair}
+    assert all(pair[0] in linked or pair[1] in linked for pair in near)
+    assert len(near & found) > 0.8 * len(near)
+
+
+def test_one_of_each(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    bodies = []
+    for _ in range(30):
+        words = [word() for _ in range(400)]
+        bodies.append(words)
+        for changes in (1, 3, 5, 40):
+            copy = list(words)
+            for at in rng.sample(range(400), changes):
+                copy[at] = word()
+            bodies.append(copy)
+    bodies = [" ".join(b) for b in bodies] + ["", None, bodies[0][0], " ".join(bodies[0]).upper()]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(bodies)], SCHEMA)
+    kept = {r.doc_id for r in one_of_each(docs, 3).collect()}
+    prints = [majority_fingerprint(t or "", 3) for t in bodies]
+    sets = [set(shingle_hashes(t or "", 5)) for t in bodies]
+    root = list(range(len(bodies)))
+    for a, b in combinations(range(len(bodies)), 2):
+        both = len(sets[a] & sets[b])
+        like = both > 0 and both >= 0.8 * len(sets[a] | sets[b])
+        if prints[a] == prints[b] or like and (prints[a] ^ prints[b]).bit_count() <= 5:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert set(root) <= kept  # nothing goes that has no link
+    assert len(kept) <= len(set(root)) + 2  # a link past a leader that is not alike may be missing
+    assert len(kept) < 85 and all(5 * i + 4 in kept for i in range(30))  # forty changed words are another text
+
+
+def test_alike_drops_links_of_unlike_texts(spark):
+    texts = ["a b c d e f g h", "A b c d e f g h", "p q r s t u v w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    prints = [np.array([majority_fingerprint(t, 3)], np.uint64).view(np.int64)[0].item() for t in texts]
+    distinct = spark.createDataFrame([(prints[0], 0), (prints[2], 2)], "fp bigint, least bigint")
+    edges = spark.createDataFrame([(max(prints), min(prints))], "u bigint, v bigint")
+    assert prints[0] == prints[1] and not alike(edges, docs, distinct, 3).count()
+
+
 def test_pipeline(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
