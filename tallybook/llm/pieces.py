@@ -32,6 +32,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 REMEMBERED = 1_000_000
+#: Pairs of neighbouring pieces whose merging is remembered.
+REMEMBERED_PAIRS = 300_000
 #: Characters before which a text is cut where no piece spans the place.
 STOPS = ".,;:!?"
 
@@ -92,6 +94,8 @@ class PieceModel(dict):
     def allowed(self, before: int, piece: int) -> bool:
         """before: -1 at the start of a chunk or after a character that no piece covers."""
         both = [self.pieces[piece]] if before < 0 else [self.pieces[before], self.pieces[piece]]
+        if len(self.pairs) >= REMEMBERED_PAIRS:
+            self.pairs.clear()
         known = self.pairs[(before << 32) + piece] = self.merged("".join(both)) == both
         return known
 
