@@ -12,10 +12,13 @@ at most two bits exactly if such a flip leads both to the same one. Each of thes
 its visitors to the least of them, so dense groups cost as much as their members. Components of the
 links come from alternating star contractions, each round written to the shared folder.
 
-``one_of_each`` searches a wider radius the same way: five bits fall on two halves of 32 bits, so one half
-differs in two at most, and its grid and its flips find the pair. What meets there is verified exactly
-too: by all 64 bits, and then by the texts themselves, whose sets of five-word shingles must have a
-Jaccard likeness of 0.8 or more.
+``one_of_each`` searches a wider radius the same way, over a second fingerprint: that of the set of the
+text's words, in which changed words move fewer bits than in that of shingles. Five bits fall on two
+halves of 32 bits, so one half differs in two at most, and its grid and its flips find the pair. All such
+pairs meet, and of those six to eight bits apart the ones with a half within two. What meets is verified
+exactly: by all bits of both fingerprints, and then by the texts themselves, whose sets of five-word
+shingles must have a Jaccard likeness of 0.8 or more. Texts whose words are the same set are told apart
+by the fingerprint of shingles, which names a text here.
 
 Null texts count as empty; texts without words have fingerprint 0 and link like any other. Rows with
 equal doc_id are one node for ids, each with its own fingerprint. component_id is the least non-null
@@ -38,8 +41,11 @@ SEGMENTS, SEGMENT_BITS = 16, 4
 BLOCK = 1 << 16
 SEED = 42
 MOST_ROUNDS = 60
-#: Radius of ``one_of_each``, and what the texts of a link must have in common.
-RADIUS, LIKE_WORDS, LIKENESS = 5, 5, 0.8
+#: Of ``one_of_each``: the radius within which all words' fingerprints meet, the widest one of a link, the widest one of the
+#: shingles' fingerprints of a link, and what the texts of a link must have in common.
+RADIUS, WIDEST, SHINGLES_WIDEST, LIKE_WORDS, LIKENESS = 5, 8, 18, 5, 0.8
+#: A visitor with so many links to leaders of its meeting point leads no others.
+LEADERS = 4
 #: Links of one fingerprint are spread over so many keys.
 SALTS = 64
 
@@ -60,15 +66,24 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [hash_(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
 
 
-def majority_fingerprint(text: str, width: int) -> int:
-    """Bits that more than half of the shingles' hashes have."""
-    hashes = np.array(shingle_hashes(text, width), dtype=np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """Bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BLOCK):
         counts += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def majority_fingerprint(text: str, width: int) -> int:
+    """Bits that more than half of the shingles' hashes have, repeats included."""
+    return majority(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def words_fingerprint(text: str) -> int:
+    """Bits that more than half of the hashes of the distinct words have."""
+    return majority(np.unique(np.array(shingle_hashes(text, 1), dtype=np.uint64)))
+
+
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -80,11 +95,24 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
 
-def visits(prints: DataFrame, parts: int = 1, part: int = 0) -> DataFrame:
-    """fp, cell, hubs: the cells that each fingerprint (or one of its ``parts`` equal parts) visits, and what is within one flip of it in that cell."""
+def with_both_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp of the shingles and words_fp of the distinct words, as signed longs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = texts(batch)
+        prints = [np.array([f(t) for t in own], np.uint64).view(np.int64) for f in (lambda t: majority_fingerprint(t, width), words_fingerprint)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints)], ["doc_id", "fp", "words_fp"])
+
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint, words_fp bigint")
+
+
+def visits(prints: DataFrame, parts: int = 1, part: int = 0, of: str = "fp") -> DataFrame:
+    """The columns of prints, cell, hubs: the cells that each value of ``of`` (or one of its ``parts`` equal parts) visits, and what is within one flip of it in that cell."""
+    names = prints.columns
     bits = 64 // parts
     segments = bits // SEGMENT_BITS
-    value = F.col("fp") if parts == 1 else F.shiftrightunsigned("fp", bits * part).bitwiseAND(F.lit((1 << bits) - 1))
+    value = F.col(of) if parts == 1 else F.shiftrightunsigned(of, bits * part).bitwiseAND(F.lit((1 << bits) - 1))
     popcounts = [F.bit_count(F.shiftrightunsigned("value", SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(segments)]
     step = [(SEGMENT_BITS + 1) ** i for i in range(segments)]
     first = part * (SEGMENT_BITS + 1) ** segments  # cells of another part are other cells
@@ -100,7 +128,7 @@ def visits(prints: DataFrame, parts: int = 1, part: int = 0) -> DataFrame:
         return F.struct((F.col("cell") + (step[i] if up else -step[i])).alias("cell"), hubs(F.transform(own, lambda m: F.col("value").bitwiseXOR(m))).alias("hubs"))
 
     around = F.array(F.struct(F.col("cell"), hubs(F.array(F.col("value"))).alias("hubs")), *[flips(i, up) for i in range(segments) for up in (True, False)])
-    return prints.select("fp", value.alias("value")).select("fp", "value", cell.alias("cell")).select("fp", F.explode(around).alias("v")).select("fp", "v.cell", "v.hubs").where(F.size("hubs") > 0)
+    return prints.select(*names, value.alias("value")).select(*names, "value", cell.alias("cell")).select(*names, F.explode(around).alias("v")).select(*names, "v.cell", "v.hubs").where(F.size("hubs") > 0)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -112,47 +140,52 @@ def links(prints: DataFrame) -> DataFrame:
     return met.join(least, "hub").where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def wide_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v with u > v: fingerprints at most ``radius`` (up to 11) bits apart. prints: distinct fp.
+def wide_links(prints: DataFrame, radius: int = RADIUS, widest: int = WIDEST, shingles_widest: int = SHINGLES_WIDEST) -> DataFrame:
+    """u, v with u > v: links of fp whose words_fp differ in at most ``radius`` bits (up to 11), and of what else meets
+    in at most ``widest``; their own bits differ in at most ``shingles_widest``. prints: distinct fp with a words_fp each.
 
     Of p parts one differs in at most two bits if all do in 3 p - 1 at most. The visitors of each meeting
-    point pass by in order; one is linked to all leaders within the radius, and where there is none it
-    becomes a leader. So of two fingerprints within the radius one at least is linked, to the other or to a
-    leader; a meeting point costs its visitors times its leaders, never their pairs.
+    point pass by in order; one is linked to all leaders within reach, and where these are fewer than
+    ``LEADERS`` it becomes a leader too. So of two fingerprints within the radius, either they are linked or
+    the later one is linked to ``LEADERS`` others; a meeting point costs its visitors times its leaders,
+    never their pairs.
     """
     parts = next((p for p in (1, 2, 4) if radius < 3 * p), 0)
     if not parts:
         raise ValueError("the radius is 11 at most")
-    own = visits(prints, parts, 0)
+    own = visits(prints, parts, 0, "words_fp")
     for part in range(1, parts):
-        own = own.unionByName(visits(prints, parts, part))
+        own = own.unionByName(visits(prints, parts, part, "words_fp"))
     shared = own.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
-    met = own.join(shared, "cell", "left_semi").select("fp", F.explode("hubs").alias("hub"))
+    met = own.join(shared, "cell", "left_semi").select("words_fp", "fp", F.explode("hubs").alias("hub"))
+    all_bits = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, leaders = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hubs, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            hubs, words, prints = (batch.column(i).to_numpy() for i in range(3))
             goes_on = np.concatenate([[hub is not None and hubs[0] == hub], hubs[1:] == hubs[:-1]])
+            # the batch's last row may lead the next batch's first ones
             met_by_two = goes_on | np.concatenate([goes_on[1:], [True]])
             us, vs = [], []
             for i in np.flatnonzero(met_by_two).tolist():
-                own = int(prints[i])
+                w, own = int(words[i]), int(prints[i])
                 if not goes_on[i]:
-                    leaders = [own]
+                    leaders = [(w, own)]
                     continue
-                near = [x for x in leaders if ((x ^ own) & (1 << 64) - 1).bit_count() <= radius]
+                near = [b for a, b in leaders if ((a ^ w) & all_bits).bit_count() <= widest and ((b ^ own) & all_bits).bit_count() <= shingles_widest]
                 us += [own] * len(near)
                 vs += near
-                if not near:
-                    leaders.append(own)
+                if len(near) < LEADERS:
+                    leaders.append((w, own))
             hub = hubs[-1]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    met = met.repartition("hub").sortWithinPartitions("hub", "fp").select("hub", "fp")
-    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+    met = met.repartition("hub").sortWithinPartitions("hub", "fp").select("hub", "words_fp", "fp")
+    found = met.mapInArrow(run, "u bigint, v bigint")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def alike(edges: DataFrame, docs: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
@@ -236,12 +269,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """The documents without their near-duplicates: of each class the one with the least doc_id, of its repeated rows the one with the least text.
 
-    A class joins texts of equal fingerprint and texts that ``wide_links`` and ``alike`` link. Shingles of
-    fewer words (``width``) move fewer bits of a fingerprint when a word changes. Rows without doc_id go.
+    A class joins texts of equal fingerprint (of shingles of ``width`` words) and texts that ``wide_links``
+    and ``alike`` link. Rows without doc_id go.
     """
-    prints = stored(with_fingerprints(docs, width))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = stored(wide_links(distinct.select("fp")))
+    prints = stored(with_both_fingerprints(docs, width))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("words_fp").alias("words_fp")))
+    edges = stored(wide_links(distinct.select("fp", "words_fp")))
     known = classes(distinct, alike(edges, docs, distinct, width))
     kept = prints.join(known, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     own = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")

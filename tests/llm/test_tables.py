@@ -19,7 +19,7 @@ from tallybook.llm.language_id import identify
 from tallybook.llm.licenses import scan_licenses
 from tallybook.llm.line_dedup import LONG_WORDS, dedup_lines
 from tallybook.llm.mixing import mix_sources, mixed_documents
-from tallybook.llm.near_dedup import alike, components, majority_fingerprint, near_duplicates, one_of_each, shingle_hashes, wide_links
+from tallybook.llm.near_dedup import alike, components, majority_fingerprint, near_duplicates, one_of_each, shingle_hashes, wide_links, words_fingerprint
 from tallybook.llm.pieces import decode_documents, encode_documents, piece_digests
 from tallybook.llm.simhash import edited, edited_fingerprints, fingerprint, fingerprints, within_radius
 from tallybook.llm.token_counts import count_tokens, truncate_to_budget
@@ -317,7 +317,8 @@ def test_wide_links(spark, radius):
         for _ in range(6):
             prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 2))))
     prints = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = {(r.u, r.v) for r in wide_links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), radius).collect()}
+    both = spark.createDataFrame([(p, p) for p in prints], "fp bigint, words_fp bigint")
+    found = {(r.u, r.v) for r in wide_links(both, radius, radius).collect()}
     near = {(max(a, b), min(a, b)) for a, b in combinations(prints, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
     assert found <= near
     linked = {x for pair in found for x in pair}
@@ -325,6 +326,13 @@ def test_wide_links(spark, radius):
     assert len(near & found) > 0.8 * len(near)
 
 
+def test_wide_links_verify_both_fingerprints(spark):
+    """Equal sets of words alone make no link, and six bits in one half are taken along where the other half meets."""
+    rows = [(0b1, 5), ((1 << 40) - 1, 5), (0b11, 5 ^ 0b111111)]
+    found = {(r.u, r.v) for r in wide_links(spark.createDataFrame(rows, "fp bigint, words_fp bigint")).collect()}
+    assert found == {(0b11, 0b1)}
+
+
 def test_one_of_each(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
@@ -341,16 +349,20 @@ def test_one_of_each(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(bodies)], SCHEMA)
     kept = {r.doc_id for r in one_of_each(docs, 3).collect()}
     prints = [majority_fingerprint(t or "", 3) for t in bodies]
+    words = [words_fingerprint(t or "") for t in bodies]
     sets = [set(shingle_hashes(t or "", 5)) for t in bodies]
-    root = list(range(len(bodies)))
-    for a, b in combinations(range(len(bodies)), 2):
-        both = len(sets[a] & sets[b])
-        like = both > 0 and both >= 0.8 * len(sets[a] | sets[b])
-        if prints[a] == prints[b] or like and (prints[a] ^ prints[b]).bit_count() <= 5:
-            low, high = sorted((root[a], root[b]))
-            root = [low if r == high else r for r in root]
-    assert set(root) <= kept  # nothing goes that has no link
-    assert len(kept) <= len(set(root)) + 2  # a link past a leader that is not alike may be missing
+
+    def left(linked):
+        root = list(range(len(bodies)))
+        for a, b in combinations(range(len(bodies)), 2):
+            if prints[a] == prints[b] or linked(a, b):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+        return set(root)
+
+    like = lambda a, b: len(sets[a] & sets[b]) > 0 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert left(like) <= kept  # nothing goes that has no link
+    assert kept <= left(lambda a, b: like(a, b) and (words[a] ^ words[b]).bit_count() <= 5)  # all that must meet are found
     assert len(kept) < 85 and all(5 * i + 4 in kept for i in range(30))  # forty changed words are another text
 
 
