@@ -12,13 +12,16 @@ at most two bits exactly if such a flip leads both to the same one. Each of thes
 its visitors to the least of them, so dense groups cost as much as their members. Components of the
 links come from alternating star contractions, each round written to the shared folder.
 
-``one_of_each`` searches a wider radius the same way, over a second fingerprint: that of the set of the
-text's words, in which changed words move fewer bits than in that of shingles. Five bits fall on two
-halves of 32 bits, so one half differs in two at most, and its grid and its flips find the pair. All such
-pairs meet, and of those six to eight bits apart the ones with a half within two. What meets is verified
-exactly: by all bits of both fingerprints, and then by the texts themselves, whose sets of five-word
-shingles must have a Jaccard likeness of 0.8 or more. Texts whose words are the same set are told apart
-by the fingerprint of shingles, which names a text here.
+``one_of_each`` finds all pairs of texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or
+more. A text is named by a digest of its words. Its shingles stand in one order for all texts, the common
+ones last; as two such texts share at least 0.8 of either set, they share one of the first ones, up to
+a fifth of the set and one more, and meet there. What is common is learned from a part of the texts; any
+order finds all pairs, a better one lets fewer others meet. First each visitor of a meeting point is
+compared with a leader of about its size and the one before it, by the texts themselves; then all of
+different components that their sizes and places allow, so that each pair of a meeting point is linked,
+connected already or ruled out, and a large group of near copies costs as much as its members.
+
+``wide_links`` and ``alike`` search a wider radius of fingerprints and verify it; ``one_of_each`` does not need them.
 
 Null texts count as empty; texts without words have fingerprint 0 and link like any other. Rows with
 equal doc_id are one node for ids, each with its own fingerprint. component_id is the least non-null
@@ -27,7 +30,9 @@ doc_id of a component. Empty tables give empty results; other columns are ignore
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +46,17 @@ SEGMENTS, SEGMENT_BITS = 16, 4
 BLOCK = 1 << 16
 SEED = 42
 MOST_ROUNDS = 60
-#: Of ``one_of_each``: the radius within which all words' fingerprints meet, the widest one of a link, the widest one of the
-#: shingles' fingerprints of a link, and what the texts of a link must have in common.
+#: Of ``wide_links``: the radius within which all words' fingerprints meet, the widest one of a link, the widest one of the
+#: shingles' fingerprints of a link, and what the texts of a link must have in common, also in ``one_of_each``.
 RADIUS, WIDEST, SHINGLES_WIDEST, LIKE_WORDS, LIKENESS = 5, 8, 18, 5, 0.8
 #: A visitor with so many links to leaders of its meeting point leads no others.
 LEADERS = 4
 #: Links of one fingerprint are spread over so many keys.
 SALTS = 64
+#: Shingles that stand last in the order: of every so many texts, those that so many have, the most common ones up to a fixed number.
+ORDER_OF, COMMON_IN, MOST_COMMON = 8, 3, 500_000
+#: Meeting points with more visitors are compared by arrays.
+FEW = 8
 
 
 def shingle_hashes(text: str, width: int) -> list[int]:
@@ -95,18 +104,6 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
 
-def with_both_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp of the shingles and words_fp of the distinct words, as signed longs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = texts(batch)
-        prints = [np.array([f(t) for t in own], np.uint64).view(np.int64) for f in (lambda t: majority_fingerprint(t, width), words_fingerprint)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints)], ["doc_id", "fp", "words_fp"])
-
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint, words_fp bigint")
-
-
 def visits(prints: DataFrame, parts: int = 1, part: int = 0, of: str = "fp") -> DataFrame:
     """The columns of prints, cell, hubs: the cells that each value of ``of`` (or one of its ``parts`` equal parts) visits, and what is within one flip of it in that cell."""
     names = prints.columns
@@ -201,6 +198,11 @@ def alike(edges: DataFrame, docs: DataFrame, distinct: DataFrame, width: int) ->
     own = docs.select("doc_id", "text").join(linked.select("doc_id"), "doc_id", "left_semi")
     bodies = map_rows(own, printed, f"doc_id {kind}, fp bigint, text string").join(linked, ["doc_id", "fp"])
     bodies = stored(bodies.groupBy("fp").agg(F.min("text").alias("text")))  # rows with equal doc_id may share a fingerprint
+    return holding(edges, bodies)
+
+
+def holding(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The links (u, v) whose texts share enough shingles of ``LIKE_WORDS`` words. bodies: fp, text."""
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = lambda t: np.unique(np.array(shingle_hashes(t, LIKE_WORDS), np.uint64))
@@ -266,17 +268,185 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def digest(text: str) -> bytes:
+    """What names a text: its words, but for case and white space."""
+    return hashlib.sha256(b" ".join(text.encode().lower().split())).digest()
+
+
+def with_digests(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, digest and, if asked for, the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = texts(batch)
+        columns = [batch.column(0), pa.array([digest(t) for t in own], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.string())] * len(more), ["doc_id", "digest", *more])
+
+    return map_rows(docs.select("doc_id", "text"), run, ", ".join([f"doc_id {kind}", "digest binary", *[f"{m} string" for m in more]]))
+
+
+def common_shingles(docs: DataFrame, distinct: DataFrame) -> np.ndarray:
+    """Hashes of the shingles that stand last in the order, the most common one at the end."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.unique(np.array(shingle_hashes(t, LIKE_WORDS), np.uint64)) for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], ["h"])
+
+    some = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(ORDER_OF)) == 0).select(F.col("least").alias("doc_id"))
+    counts = map_rows(docs.select("doc_id", "text").join(some, "doc_id", "left_semi").select("text"), run, "h bigint").groupBy("h").count()
+    found = counts.where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
+    return found.column(0).to_numpy()[::-1].view(np.uint64).copy()
+
+
+def first_shingles(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, digest, n (shingles of the text) and the first of them in the order, one of which it shares with each text like it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    by_hash = np.argsort(common)
+    known, ranks = common[by_hash], by_hash + 1
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, sizes, firsts = texts(batch), [], []
+        for t in own:
+            hashes = np.unique(np.array(shingle_hashes(t, LIKE_WORDS), np.uint64))
+            n = len(hashes)
+            if n and len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hashes = hashes[np.argsort(np.where(known[at] == hashes, ranks[at], 0), kind="stable")]
+            sizes.append(n)
+            firsts.append(hashes[: n - ceil(LIKENESS * n - 1e-6) + 1].view(np.int64))
+        columns = [batch.column(0), pa.array([digest(t) for t in own], pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "firsts"])
+
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, digest binary, n int, firsts array<bigint>")
+
+
+def by_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The rows of each hub (the first column) that has two at least, as arrays of the other columns. Sorted by hub."""
+    held: list[list[np.ndarray]] = []  # of the last hub so far
+
+    def joined() -> list[np.ndarray]:
+        return held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held)]
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        hubs, *rest = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+        cuts = [0, *(np.flatnonzero(hubs[1:] != hubs[:-1]) + 1).tolist(), len(hubs)]
+        if held and hubs[0] != last:
+            if sum(len(x[0]) for x in held) > 1:
+                yield joined()
+            held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            if held:
+                held.append([x[a:b] for x in rest])
+                yield joined()
+                held = []
+            elif b - a > 1:
+                yield [x[a:b] for x in rest]
+        held.append([x[cuts[-2] :].copy() for x in rest])
+        last = hubs[-1]
+    if held and sum(len(x[0]) for x in held) > 1:
+        yield joined()
+
+
+def could_be_like(n, at, m, place):
+    """Whether texts of n and m shingles that share first those at ``at`` and ``place`` of the order can be alike."""
+    return (np.minimum(n - at, m - place) >= LIKENESS / (1 + LIKENESS) * (n + m) - 1e-6) & (np.minimum(n, m) >= LIKENESS * np.maximum(n, m) - 1e-6)
+
+
+def compared(met: DataFrame, all_pairs: bool) -> DataFrame:
+    """u, v with u > v: nodes that meet and could be alike, each with a leader and the one before it, or all of different
+    components. met: hub, n, node, at and, for all pairs, root."""
+    names = ["hub", "n", "node", "at", *(["root"] if all_pairs else [])]
+
+    def pairs(hubs: Iterator[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for n, node, at, *root in hubs:
+            if all_pairs:
+                if (root[0] == root[0][0]).all():
+                    continue
+                if len(n) <= FEW:
+                    one, other = np.tril_indices(len(n), -1)
+                    chosen = (root[0][one] != root[0][other]) & could_be_like(n[one], at[one], n[other], at[other])
+                    yield node[one[chosen]], node[other[chosen]]
+                    continue
+                lows = np.searchsorted(n, LIKENESS * n - 1e-6)
+                for i, low in enumerate(lows.tolist()):
+                    chosen = np.flatnonzero((root[0][low:i] != root[0][i]) & could_be_like(n[i], at[i], n[low:i], at[low:i]))
+                    yield np.full(len(chosen), node[i]), node[low:i][chosen]
+            else:
+                lead, leaders = 0, np.zeros(len(n), np.int64)
+                for i, size in enumerate(n.tolist()):
+                    if n[lead] < LIKENESS * size - 1e-6:
+                        lead = i
+                    leaders[i] = lead
+                for one, other in ((np.arange(len(n)), leaders), (np.arange(1, len(n)), np.arange(len(n) - 1))):
+                    chosen = (node[one] != node[other]) & could_be_like(n[one], at[one], n[other], at[other])
+                    yield node[one[chosen]], node[other[chosen]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
+        for u, v in pairs(by_hub(batches)):
+            us.append(np.maximum(u, v))
+            vs.append(np.minimum(u, v))
+            held += len(u) + 1
+            if held >= BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                us, vs, held = [], [], 0
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    met = met.select(*names).repartition("hub").sortWithinPartitions("hub", "n", "node")
+    return met.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def likenesses(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """u, v with u > v: links of nodes that connect what texts alike connect. distinct: node, digest, least."""
+    named = distinct.select("node", "digest", F.col("least").alias("doc_id"))
+    firsts = first_shingles(docs, common_shingles(docs, distinct)).join(named, ["doc_id", "digest"])
+    met = firsts.select("node", "n", F.posexplode("firsts").alias("at", "hub"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for columns in by_hub(pa.RecordBatch.from_arrays([b.column(0), *b.columns], ["key", *b.schema.names]) for b in batches):
+            held.append(columns)
+            size += len(columns[0])
+            if size >= BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["hub", "n", "node", "at"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["hub", "n", "node", "at"])
+
+    met = met.select("hub", "n", "node", "at").repartition("hub").sortWithinPartitions("hub").mapInArrow(run, "hub bigint, n int, node bigint, at int")
+    met = stored(met)
+
+    def verified(edges: DataFrame) -> DataFrame:
+        linked = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(named, "node")
+        own = docs.select("doc_id", "text").join(linked.select("doc_id").distinct(), "doc_id", "left_semi")
+        bodies = with_digests(own, "text").join(linked, ["doc_id", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
+        return stored(holding(edges, stored(bodies.select(F.col("node").alias("fp"), "text"))))
+
+    tried = stored(compared(met, False))
+    held = verified(tried)
+    roots = stored(components(held))
+    # a hub's visitors that are connected already need no comparison
+    met = met.join(roots, "node", "left").select("hub", "n", "node", "at", F.coalesce("root", "node").alias("root"))
+    rest = stored(compared(met, True).join(tried, ["u", "v"], "left_anti"))
+    return held.unionByName(verified(rest))
+
+
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """The documents without their near-duplicates: of each class the one with the least doc_id, of its repeated rows the one with the least text.
 
-    A class joins texts of equal fingerprint (of shingles of ``width`` words) and texts that ``wide_links``
-    and ``alike`` link. Rows without doc_id go.
+    A class joins texts of equal words and texts that ``likenesses`` links; ``width`` has no influence any more.
+    Rows without doc_id go.
     """
-    prints = stored(with_both_fingerprints(docs, width))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("words_fp").alias("words_fp")))
-    edges = stored(wide_links(distinct.select("fp", "words_fp")))
-    known = classes(distinct, alike(edges, docs, distinct, width))
-    kept = prints.join(known, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    docs = docs.where("doc_id is not null")
+    prints = stored(with_digests(docs))
+    distinct = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    known = classes(distinct.select(F.col("node").alias("fp"), "least"), likenesses(docs, distinct))
+    known = known.join(distinct.select(F.col("node").alias("fp"), "digest"), "fp").select("digest", "component_id")
+    kept = prints.join(known, "digest").where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     own = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return own.withColumn("__rank", rank).where("__rank = 1").drop("__rank")

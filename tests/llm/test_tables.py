@@ -366,6 +366,47 @@ def test_one_of_each(spark):
     assert len(kept) < 85 and all(5 * i + 4 in kept for i in range(30))  # forty changed words are another text
 
 
+def test_texts_of_equal_fingerprint_are_told_apart(spark):
+    """A shingle of more than half of a text makes its fingerprint, whatever the rest says."""
+    rng = random.Random(4)
+    tails = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(100)) for _ in range(2)]
+    bodies = ["- " * 300 + t for t in tails] + [("- " * 300 + tails[0]).upper()]
+    assert majority_fingerprint(bodies[0], 3) == majority_fingerprint(bodies[1], 3)
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(bodies)], SCHEMA)
+    assert {r.doc_id for r in one_of_each(docs, 3).collect()} == {0, 1}
+
+
+def test_one_of_each_finds_all_pairs_of_a_dense_group(spark):
+    """Texts around one long passage, by every kind of edit: the same classes as by comparing all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, bodies = [word() for _ in range(200)], []
+    for i in range(120):
+        own = passage + [word() for _ in range(rng.choice((20, 45, 60)))]
+        bodies.append(own)
+        at, n = rng.randrange(150), rng.randint(5, 30)
+        copy = list(own)
+        if i % 3 == 0:
+            copy += [word() for _ in range(n)]
+        elif i % 3 == 1:
+            copy[at : at + n] = [word() for _ in range(n)]
+        else:
+            for k in rng.sample(range(200), 4):
+                copy[k] = word()
+        bodies.append(copy)
+    bodies = [" ".join(b) for b in bodies]
+    rng.shuffle(bodies)
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(bodies)], SCHEMA)
+    sets = [set(shingle_hashes(t, 5)) for t in bodies]
+    root = list(range(len(bodies)))
+    for a, b in combinations(range(len(bodies)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert 10 < len(set(root)) < 230
+    assert {r.doc_id for r in one_of_each(docs, 3).collect()} == set(root)
+
+
 def test_alike_drops_links_of_unlike_texts(spark):
     texts = ["a b c d e f g h", "A b c d e f g h", "p q r s t u v w"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
