@@ -55,6 +55,9 @@ LEADERS = 4
 SALTS = 64
 #: Shingles that stand last in the order: of every so many texts, those that so many have, the most common ones up to a fixed number.
 ORDER_OF, COMMON_IN, MOST_COMMON = 8, 3, 500_000
+#: Words of 64 bits of a text's sketch: of each bit, whether an odd number of its shingles falls on it.
+SKETCH = 4
+SKETCH_NAMES = [f"sketch_{i}" for i in range(SKETCH)]
 #: Meeting points with more visitors are compared by arrays.
 FEW = 8
 
@@ -299,25 +302,28 @@ def common_shingles(docs: DataFrame, distinct: DataFrame) -> np.ndarray:
 
 
 def first_shingles(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, digest, n (shingles of the text) and the first of them in the order, one of which it shares with each text like it."""
+    """doc_id, digest, n (shingles of the text), the first of them in the order, one of which it shares with each text like it, and its sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     by_hash = np.argsort(common)
     known, ranks = common[by_hash], by_hash + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, sizes, firsts = texts(batch), [], []
+        own, sizes, firsts, sketches = texts(batch), [], [], []
         for t in own:
             hashes = np.unique(np.array(shingle_hashes(t, LIKE_WORDS), np.uint64))
             n = len(hashes)
+            odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2
+            sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             if n and len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 hashes = hashes[np.argsort(np.where(known[at] == hashes, ranks[at], 0), kind="stable")]
             sizes.append(n)
             firsts.append(hashes[: n - ceil(LIKENESS * n - 1e-6) + 1].view(np.int64))
         columns = [batch.column(0), pa.array([digest(t) for t in own], pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "firsts"])
+        columns += [pa.array([x[i] for x in sketches], pa.int64()) for i in range(SKETCH)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "firsts", *SKETCH_NAMES])
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, digest binary, n int, firsts array<bigint>")
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, digest binary, n int, firsts array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH_NAMES))
 
 
 def by_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -355,25 +361,33 @@ def could_be_like(n, at, m, place):
     return (np.minimum(n - at, m - place) >= LIKENESS / (1 + LIKENESS) * (n + m) - 1e-6) & (np.minimum(n, m) >= LIKENESS * np.maximum(n, m) - 1e-6)
 
 
+def differ_little(n, sketch, m, other):
+    """Whether texts of n and m shingles can be alike by their sketches: each bit that differs is a shingle of one alone."""
+    return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(sketch, other)) <= (1 - LIKENESS) / (1 + LIKENESS) * (n + m) + 1e-6
+
+
 def compared(met: DataFrame, all_pairs: bool) -> DataFrame:
     """u, v with u > v: nodes that meet and could be alike, each with a leader and the one before it, or all of different
-    components. met: hub, n, node, at and, for all pairs, root."""
-    names = ["hub", "n", "node", "at", *(["root"] if all_pairs else [])]
+    components. met: hub, n, node, at and, for all pairs, root and sketch."""
+    names = ["hub", "n", "node", "at", *(["root", *SKETCH_NAMES] if all_pairs else [])]
 
     def pairs(hubs: Iterator[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for n, node, at, *root in hubs:
+        for n, node, at, *more in hubs:
             if all_pairs:
-                if (root[0] == root[0][0]).all():
+                root, *sketch = more
+                if (root == root[0]).all():
                     continue
                 if len(n) <= FEW:
                     one, other = np.tril_indices(len(n), -1)
-                    chosen = (root[0][one] != root[0][other]) & could_be_like(n[one], at[one], n[other], at[other])
+                    chosen = (root[one] != root[other]) & could_be_like(n[one], at[one], n[other], at[other])
+                    chosen &= differ_little(n[one], [x[one] for x in sketch], n[other], [x[other] for x in sketch])
                     yield node[one[chosen]], node[other[chosen]]
                     continue
                 lows = np.searchsorted(n, LIKENESS * n - 1e-6)
                 for i, low in enumerate(lows.tolist()):
-                    chosen = np.flatnonzero((root[0][low:i] != root[0][i]) & could_be_like(n[i], at[i], n[low:i], at[low:i]))
-                    yield np.full(len(chosen), node[i]), node[low:i][chosen]
+                    chosen = np.flatnonzero((root[low:i] != root[i]) & could_be_like(n[i], at[i], n[low:i], at[low:i])) + low
+                    chosen = chosen[differ_little(n[i], [x[i] for x in sketch], n[chosen], [x[chosen] for x in sketch])]
+                    yield np.full(len(chosen), node[i]), node[chosen]
             else:
                 lead, leaders = 0, np.zeros(len(n), np.int64)
                 for i, size in enumerate(n.tolist()):
@@ -403,7 +417,7 @@ def compared(met: DataFrame, all_pairs: bool) -> DataFrame:
 def likenesses(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """u, v with u > v: links of nodes that connect what texts alike connect. distinct: node, digest, least."""
     named = distinct.select("node", "digest", F.col("least").alias("doc_id"))
-    firsts = first_shingles(docs, common_shingles(docs, distinct)).join(named, ["doc_id", "digest"])
+    firsts = stored(first_shingles(docs, common_shingles(docs, distinct)).join(named, ["doc_id", "digest"]).select("node", "n", "firsts", *SKETCH_NAMES).dropDuplicates(["node"]))
     met = firsts.select("node", "n", F.posexplode("firsts").alias("at", "hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +444,8 @@ def likenesses(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     held = verified(tried)
     roots = stored(components(held))
     # a hub's visitors that are connected already need no comparison
-    met = met.join(roots, "node", "left").select("hub", "n", "node", "at", F.coalesce("root", "node").alias("root"))
+    known = firsts.select("node", *SKETCH_NAMES).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = met.join(known, "node")
     rest = stored(compared(met, True).join(tried, ["u", "v"], "left_anti"))
     return held.unionByName(verified(rest))
 
