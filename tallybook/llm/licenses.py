@@ -26,10 +26,12 @@ from .common import map_rows, texts
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-# Label; keyword; names, as patterns over words.
+# Label; keyword, which every name holds; names, as patterns over words.
 FAMILIES = (
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e|agpl"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e"),
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e"),
+    ("agpl", "agpl", r"agpl"),
+    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
+    ("lgpl", "library general public", r"(?:gnu )?library general public licen[sc]e"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
     ("gpl", "general public", r"gnu general public licen[sc]e|general public licen[sc]e"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
@@ -50,18 +52,25 @@ FAMILIES = (
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("unlicense", "unlicense", r"unlicense"),
     ("postgresql", "postgresql", r"postgresql"),
-    ("python", "python", r"python software foundation|psf"),
+    ("python", "python", r"python software foundation"),
+    ("python", "psf", r"psf"),
     ("ofl", "open font", r"(?:sil )?open font"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
     ("ms-pl", "microsoft", r"microsoft public"),
     ("ms-rl", "microsoft", r"microsoft reciprocal"),
     ("odbl", "open database", r"open database"),
-    ("cc0", "cc0", r"cc0|creative commons zero"),
-    ("cc-by-nc-nd", "nc nd", r"cc by nc nd|creative commons attribution noncommercial no derivatives"),
-    ("cc-by-nc-sa", "nc sa", r"cc by nc sa|creative commons attribution noncommercial share ?alike"),
-    ("cc-by-nc", "by nc", r"cc by nc|creative commons attribution non ?commercial"),
-    ("cc-by-sa", "by sa", r"cc by sa|creative commons attribution share ?alike"),
-    ("cc-by-nd", "by nd", r"cc by nd|creative commons attribution no ?deriv(?:ative)?s"),
+    ("cc0", "cc0", r"cc0"),
+    ("cc0", "creative commons zero", r"creative commons zero"),
+    ("cc-by-nc-nd", "nc nd", r"cc by nc nd"),
+    ("cc-by-nc-nd", "creative commons attribution", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
+    ("cc-by-nc-sa", "nc sa", r"cc by nc sa"),
+    ("cc-by-nc-sa", "creative commons attribution", r"creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc", "by nc", r"cc by nc"),
+    ("cc-by-nc", "creative commons attribution", r"creative commons attribution non ?commercial"),
+    ("cc-by-sa", "by sa", r"cc by sa"),
+    ("cc-by-sa", "creative commons attribution", r"creative commons attribution share ?alike"),
+    ("cc-by-nd", "by nd", r"cc by nd"),
+    ("cc-by-nd", "creative commons attribution", r"creative commons attribution no ?deriv(?:ative)?s"),
     ("cc-by", "cc by", r"cc by"),
     ("cc-by", "creative commons", r"creative commons attribution"),
 )

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from re import _parser as re_parser
 
 import public_tokenizers
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from tallybook.llm.html_extract import main_text
 from tallybook.llm.language_id import codewords
-from tallybook.llm.licenses import BASE, detections, scan, signature_rules
+from tallybook.llm.licenses import BASE, FAMILIES, NOTICES, detections, scan, signature_rules
 from tallybook.llm.line_dedup import line_chunks, without_chunks
 from tallybook.llm.pieces import PieceModel
 from tallybook.llm.simhash import edited, fingerprint, likeness
@@ -148,6 +149,57 @@ def test_license_labels():
     assert scan("ein wort mit licht und gnu general lizenz") == (8, 0, None, None, "", "", 0.0)
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("SPDX-License-Identifier: AGPL-3.0", "agpl"),
+        ("licensed under AGPL v3", "agpl"),
+        ("under the terms of the GNU Library General Public License", "lgpl"),
+        ("licensed under Creative Commons Zero", "cc0"),
+        ("licensed under the PSF license", "python"),
+        ("licensed under the Creative Commons Attribution ShareAlike", "cc-by-sa"),
+        ("licensed under the Creative Commons Attribution-NonCommercial", "cc-by-nc"),
+        ("licensed under the Creative Commons Attribution-NoDerivatives", "cc-by-nd"),
+        ("licensed under the Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa"),
+        ("licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"),
+    ],
+)
+def test_license_names_without_other_keywords(text, label):
+    assert label in scan(text)[5].split(",") and (label == "cc-by" or "cc-by" not in scan(text)[5].split(","))
+
+
+def spelled(nodes):
+    """The texts that a parsed pattern of words stands for."""
+    out = [""]
+    for kind, of in nodes:
+        if kind is re_parser.LITERAL:
+            ways = [chr(of)]
+        elif kind is re_parser.IN:
+            ways = [chr(x) if k is re_parser.LITERAL else chr(x[0]) for k, x in of]
+        elif kind is re_parser.BRANCH:
+            ways = [w for branch in of[1] for w in spelled(branch)]
+        elif kind is re_parser.SUBPATTERN:
+            ways = spelled(of[-1])
+        else:
+            assert kind is re_parser.MAX_REPEAT, kind
+            ways = (["", *spelled(of[2])] if of[0] == 0 else spelled(of[2]))
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_keywords_gate_nothing_that_matches():
+    patterns = [(k, name) for _, k, name in FAMILIES] + [(k, x) for _, k, _, _, x in NOTICES]
+    lost = [(k, t) for k, pattern in patterns for t in spelled(re_parser.parse(pattern)) if k not in t]
+    assert not lost
+    rules = signature_rules()
+    for _, pattern in patterns:
+        for t in spelled(re_parser.parse(pattern)):
+            for words in (f"licensed under the {t} version 2", f"spdx license identifier {t}", f"{t} license", t):
+                every = {r.label for r in rules if r.pattern.search(words.encode())}
+                filtered = {r.label for r in rules if r.keyword in words.encode() and r.pattern.search(words.encode())}
+                assert every == filtered, words
+
+
 @given(st.lists(st.sampled_from("gnu general public license apache cc by mit x é 9".split()), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_base_places(words):
