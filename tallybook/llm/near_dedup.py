@@ -19,7 +19,8 @@ a fifth of the set and one more, and meet there. What is common is learned from
 order finds all pairs, a better one lets fewer others meet. First each visitor of a meeting point is
 compared with a leader of about its size and the one before it, by the texts themselves; then all of
 different components that their sizes and places allow, so that each pair of a meeting point is linked,
-connected already or ruled out, and a large group of near copies costs as much as its members.
+connected already or ruled out. Copies that the first links connect cost as much as their members; pairs of
+a group that stay just below the likeness are compared one by one.
 
 ``wide_links`` and ``alike`` search a wider radius of fingerprints and verify it; ``one_of_each`` does not need them.
 
