@@ -1,20 +1,31 @@
 """Operator 1: main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Every line has an effective length: its
-text length, or zero when it stands in a menu, header, footer, sidebar, notice, advert, form or
-comment section, or outside the page's ``article`` or ``main`` where there is one with text. Sums of
-these lengths over a sliding window of lines rise above a threshold at the surge points and fall
-under it at the dive points; the lines in between that have an effective length are the text.
+Markup is stripped into lines, one for each block element. The sums of the lines' effective lengths over
+a sliding window of lines rise above a threshold at the surge points of the text and fall under it at its dive points;
+what lies in between is the text. Effective is a line's text but for what is linked; tags weigh it:
+
+- lines in menus, headers, footers, sidebars, notices, adverts, forms and comment sections, told by the names,
+  roles, classes and ids of the elements around them, weigh nothing and never belong to the text;
+- where ``article`` or ``main`` elements hold the better part of the other text, lines outside of the large ones
+  weigh nothing and do not belong to it; otherwise these elements (teasers) weigh as little;
+- headings, paragraphs, list items and the like, and every line in a large ``article`` or ``main``, get an allowance, so
+  that a short one among them counts.
+
+A line with effective length belongs to the text where the window that starts or the one that ends with it
+reaches the threshold; one without (a line of links, a short line without a text element) only where both do, that is, amid text.
 
 Null or empty html, and pages with nothing but boilerplate, give an empty text. Repeated rows give
 repeated results. Markup cut off at the end of a page is dropped; a cut-off character reference stays
-as it is. Columns other than the key columns and html are ignored, whatever they are called.
+as it is. Buttons, drawings and the like that are never closed hide nothing. Columns other than the key
+columns and html are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,39 +33,80 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 WINDOW = 3
-#: The least window sum that counts as text on a page without article or main.
+#: The least window sum of a text; on a page whose sums all stay below it, their maximum.
 SURGE = 60
+#: What a text element adds to its line's length, and a large article; the least length of a line without either.
+ELEMENT, SCOPE, BARE = 20, 60, 20
+#: The share of the largest article's text that another one needs to count as text.
+LARGE = 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|head|title|textarea|select|button|object|canvas|audio|video)\b.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'"<>]|"[^"<]*"|'[^'<]*')*+)/?>"""
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
+    re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+#: Elements without text of their own: those whose end is looked for by its name alone, to the page's end, and those that hide their content only if they are closed.
+RAW = frozenset("script style noscript iframe title textarea".split())
+CLOSED = frozenset("template svg math head select button object canvas audio video".split())
 CONTAINERS = frozenset("html body div section article main nav aside header footer form ul ol dl table menu dialog fieldset details figure blockquote".split())
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd caption pre figcaption blockquote td th".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption thead tbody tfoot pre address hr figcaption summary legend center option".split())
-SPACES = frozenset("br td th wbr img input".split()) - {"wbr"}
+SPACES = frozenset("br td th img input".split())
 BOILERPLATE_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars rail nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations "
-    "comment comments disqus respond reply replies widget widgets toolbar pagination pager copyright disclaimer masthead topbar skip".split()
+#: Words of a class or id that name boilerplate whatever stands beside them.
+SURE_WORDS = frozenset(
+    "advert adverts advertisement advertisements advertising adsbygoogle sidebar sidebars nav navbar navigation breadcrumb breadcrumbs footer cookie cookies gdpr newsletter popup modal "
+    "comment comments disqus replies pagination pager masthead topbar menubar sponsored".split()
+)
+#: Words that name it if all words beside them are of this kind or neutral.
+LIKELY_WORDS = frozenset(
+    "ad ads adv sponsor promo promos promotion banner rail menu consent notice notices overlay subscribe subscription signup signin login register social share sharing related recommended "
+    "recommendations respond reply widget widgets toolbar copyright disclaimer skip search teaser teasers popular trending".split()
+)
+NEUTRAL_WORDS = frozenset(
+    "site page main more also read next most top bottom left right upper lower inner outer side box bar block blocks list lists item items section area zone container wrapper wrap holder panel pane content group row col column unit slot space "
+    "link links button buttons btn icon icons form media text user reader google dfp gpt js id sticky fixed inline small large big mini the and to of in on for post posts article articles story stories news label title head heading".split()
 )
 HEADER_WORDS = frozenset({"header"})
-CONTENT_WORDS = frozenset("article content main post entry story".split())
 HAVING = frozenset("has with no without".split())
+COMMENT_WORDS = frozenset({"comment", "comments", "disqus", "replies"})
+
+
+class Line(NamedTuple):
+    text: str
+    boilerplate: bool
+    #: Number of the outermost article or main around it, 0 for none.
+    scope: int
+    #: Characters in links, and whether it is the text of a text element.
+    linked: int
+    element: bool
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
+def names_boilerplate(names: str, in_scope: bool) -> tuple[bool, bool]:
+    """Whether classes and ids name boilerplate, and a comment section."""
+    found, words_of = False, set()
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if not words or HAVING.intersection(words[:1]):
+            continue
+        words_of.update(words)
+        if SURE_WORDS.intersection(words) or not in_scope and HEADER_WORDS.intersection(words):
+            found = True
+        elif LIKELY_WORDS.intersection(words) and all(w in LIKELY_WORDS or w in NEUTRAL_WORDS or w.isdigit() or len(w) < 2 for w in words):
+            found = True
+    return found, found and bool(words_of & COMMENT_WORDS)
+
+
 def is_boilerplate(tag: str, attrs: str, in_scope: bool) -> bool:
     """Whether a container holds no main text, by its name, role, class and id."""
     if tag in BOILERPLATE_TAGS or tag == "header" and not in_scope:
@@ -66,53 +118,74 @@ def is_boilerplate(tag: str, attrs: str, in_scope: bool) -> bool:
         return True
     if a.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
-    found = set()
-    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
-        words = [w.lower() for w in WORDS.findall(name)]
-        if not HAVING.intersection(words[:1]):
-            found.update(words)
-    if found & {"comment", "comments", "disqus", "replies"}:
-        return True
-    if tag in ("article", "main") or found & CONTENT_WORDS and found & BOILERPLATE_WORDS <= {"post"}:
-        return False
-    return bool(found & BOILERPLATE_WORDS) or bool(found & HEADER_WORDS) and not in_scope
+    found, comments = names_boilerplate(f"{a.get('class', '')} {a.get('id', '')}", in_scope)
+    return comments or found and tag not in ("article", "main")
+
+
+class Hidden:
+    """Finds where the content of an element without text ends; looks for each name to the end of the page once at most."""
 
+    def __init__(self, html: str):
+        self.html, self.last = html, {}
 
-def page_lines(html: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, boilerplate, in article or main, share of link text) of every non-empty block, in page order."""
-    lines: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    def end(self, tag: str, at: int) -> int:
+        """The place behind the element whose start tag ends at ``at``; ``at`` if it hides nothing."""
+        closing = re.compile(rf"</{tag}\s*>", re.I)
+        if tag not in self.last:
+            self.last[tag] = max((m.end() for m in closing.finditer(self.html)), default=-1)
+        m = closing.search(self.html, at) if at < self.last[tag] else None
+        if tag in CLOSED:
+            if tag == "head":
+                body = re.compile(r"<body\b", re.I).search(self.html, at, m.start() if m else len(self.html))
+                return body.start() if body else m.end() if m else at
+            # one that opens again before it closes was not closed
+            return m.end() if m and not re.compile(rf"<{tag}\b", re.I).search(self.html, at, m.start()) else at
+        return m.end() if m else len(self.html)
+
+
+def page_lines(html: str) -> list[Line]:
+    """Every non-empty block, in page order."""
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    linked, links = 0, 0
+    linked, links, element, scopes = 0, False, False, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, element
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, any(x[1] for x in stack), any(x[2] for x in stack), linked / len(text)))
+            scope = next((x[2] for x in stack if x[2]), 0)
+            lines.append(Line(text, any(x[1] for x in stack), scope, min(linked, len(text)), element))
         parts.clear()
-        linked = 0
+        linked, element = 0, False
 
-    at = 0
-    for m in TOKEN.finditer(html):
+    at, hidden = 0, Hidden(html)
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             parts.append(html[at : m.start()])
             linked += (m.start() - at) if links else 0
         at = m.end()
-        if m["raw"]:
-            parts.append(" ")
-            continue
         tag = (m["tag"] or "").lower()
+        if not m["end"] and (tag in RAW or tag in CLOSED):
+            if (behind := hidden.end(tag, at)) > at or tag in RAW:
+                at = behind
+                parts.append(" ")
+            continue
         if tag in SPACES:
             parts.append(" ")
         elif tag == "a":
-            links = max(0, links + (-1 if m["end"] else 1))
+            links = not m["end"]
+        if tag in TEXT_ELEMENTS and (tag not in BLOCKS or m["end"]):
+            element = True
         if tag not in BLOCKS:
             continue
         flush()
+        if not m["end"] and tag in TEXT_ELEMENTS:
+            element = True
         if tag not in CONTAINERS:
             continue
         if m["end"]:
+            links = False
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -120,33 +193,53 @@ def page_lines(html: str) -> list[tuple[str, bool, bool, float]]:
         else:
             in_scope = any(x[2] for x in stack)
             boilerplate = is_boilerplate(tag, m["attrs"] or "", in_scope)
-            stack.append((tag, boilerplate, tag in ("article", "main") and not boilerplate))
+            own = tag in ("article", "main") and not boilerplate and not in_scope and not any(x[1] for x in stack)
+            scopes += own
+            stack.append((tag, boilerplate, scopes if own else 0))
     parts.append(html[at:])
     linked += len(html) - at if links else 0
     flush()
     return lines
 
 
-def main_text(html: str | None) -> str:
+def effective_lengths(lines: list[Line]) -> list[int | None]:
+    """The effective length of each line, None for those that never belong to the text."""
+    own = [len(x.text) - x.linked for x in lines]
+    mass: dict[int, int] = defaultdict(int)
+    for x, n in zip(lines, own):
+        if not x.boilerplate:
+            mass[x.scope] += n if n >= BARE or x.scope else 0
+    largest = max((n for s, n in mass.items() if s), default=0)
+    scoped = largest > 0 and sum(n for s, n in mass.items() if s) >= mass[0]
+    out: list[int | None] = []
+    for x, n in zip(lines, own):
+        inside = x.scope > 0 and mass[x.scope] >= LARGE * largest
+        if x.boilerplate or (not inside if scoped else x.scope > 0 and mass[x.scope] < mass[0] * LARGE):
+            out.append(None)
+        elif 2 * x.linked > len(x.text):
+            out.append(0)
+        else:
+            allowance = (ELEMENT if x.element else 0) + (SCOPE if scoped else 0)
+            out.append(n + allowance if allowance or n >= BARE else 0)
+    return out
+
+
+def main_text(html: str | None, window: int = WINDOW) -> str:
     lines = page_lines(html or "")
-    scoped = any(scope and not boilerplate for _, boilerplate, scope, _ in lines)
-    if scoped:
-        length = [len(text) if scope and not boilerplate else 0 for text, boilerplate, scope, _ in lines]
-    else:
-        length = [0 if boilerplate or link > 0.5 else len(text) for text, boilerplate, _, link in lines]
+    effective = effective_lengths(lines)
+    length = [n or 0 for n in effective]
     if not any(length):
         return ""
-    sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
-    threshold = 1 if scoped else min(SURGE, max(sums))
-    kept, inside = [], False
-    for i, (text, *_) in enumerate(lines):
-        before = sum(length[max(0, i - WINDOW + 1) : i + 1])
-        if not inside and sums[i] >= threshold:  # surge
-            inside = True
-        elif inside and sums[i] < threshold and before < threshold:  # dive
-            inside = False
-        if inside and length[i]:
-            kept.append(text)
+    sums = [sum(length[i : i + window]) for i in range(len(length))]
+    threshold = min(SURGE, max(sums))
+    kept = []
+    for i, line in enumerate(lines):
+        if effective[i] is None:
+            continue
+        surges = sums[i] >= threshold
+        lasts = sum(length[max(0, i - window + 1) : i + 1]) >= threshold
+        if surges and lasts or length[i] and (surges or lasts):
+            kept.append(line.text)
     return "\n".join(kept)
 
 

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallybook.llm.html_extract import main_text
+from tallybook.llm.html_extract import SURGE, WINDOW, effective_lengths, main_text, page_lines
 from tallybook.llm.language_id import codewords
 from tallybook.llm.licenses import BASE, FAMILIES, NOTICES, detections, scan, signature_rules
 from tallybook.llm.line_dedup import line_chunks, without_chunks
@@ -51,6 +51,60 @@ def test_cut_off_page():
     assert main_text("<article><p>One</p><p") == "One"
 
 
+LONG = "some words of a long paragraph " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<div class="article-body"><p>{LONG}</p></div><article><h3>Read next</h3><p>teaser</p></article>', LONG.strip()),
+        (f'<article><p>First.</p><div class="share-price"><p>Share price rose.</p></div><p>{LONG}</p></article>', f"First.\nShare price rose.\n{LONG.strip()}"),
+        (f'<article><p>First.</p><div class="share-buttons"><p>Share it</p></div><p>{LONG}</p></article>', f"First.\n{LONG.strip()}"),
+        ("<article><p>a first part</p><button>Share<p>second part</p><p>third</p></article>", "a first part\nShare\nsecond part\nthird"),
+        ("<article><p>a first part</p><svg><path d='x'><p>second part</p></article>", "a first part\nsecond part"),
+        ("<article><p>a</p><select><option>1</option></select><object><p>b</p></article>", "a\nb"),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG}2</p></article>", f"{LONG.strip()}\n{LONG.strip()} 2"),
+        (f"<body><p>{LONG}</p><p>{LONG}</p><div>x</div></body>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=a>Link one</a></li><li><a href=b>Link two</a></li></ul></article>", LONG.strip()),
+        (f"<article><p>{LONG}</p><p><a href=a>A linked line</a></p><p>{LONG}</p></article>", f"{LONG.strip()}\nA linked line\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><div id='reader-comments'><p>{LONG}</p></div></article>", LONG.strip()),
+    ],
+)
+def test_shapes_of_pages(html, text):
+    assert main_text(html) == text
+
+
+@pytest.fixture(scope="module")
+def page_rows():
+    import duckdb
+
+    return [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def line_blocks_by_hand(html):
+    """Surge and dive points one line at a time, from the effective lengths."""
+    lines = page_lines(html)
+    effective = effective_lengths(lines)
+    n = len(lines)
+    total = lambda a, b: sum(effective[i] or 0 for i in range(max(0, a), min(n, b)))
+    top = max((total(i, i + WINDOW) for i in range(n)), default=0)
+    kept = []
+    for i in range(n):
+        ahead, behind = total(i, i + WINDOW) >= min(SURGE, top), total(i - WINDOW + 1, i + 1) >= min(SURGE, top)
+        if top and effective[i] is not None and ((ahead or behind) if effective[i] else (ahead and behind)):
+            kept.append(lines[i].text)
+    return "\n".join(kept)
+
+
+def test_line_blocks_decide(page_rows):
+    """Without the article tag the windows alone find the same text, and without windows it is another one."""
+    bare = [re.sub("</?article>", "<div>", html) for html in page_rows]
+    whole = [main_text(html) for html in page_rows]
+    assert whole == [line_blocks_by_hand(html) for html in page_rows] and all(whole)
+    assert [main_text(html) for html in bare] == whole == [line_blocks_by_hand(html) for html in bare]
+    assert sum(main_text(html, window=1) != text for html, text in zip(bare, whole)) > len(bare) / 4
+
+
 @given(st.text(max_size=200))
 @settings(max_examples=100, deadline=None)
 def test_any_html(html):
