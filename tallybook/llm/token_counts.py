@@ -8,6 +8,10 @@ merge with each other, are counted this way once each and remembered; sums over
 count at each word's end, and the rows inside the words give every other prefix. Truncation and budget
 questions are then look-ups.
 
+The rows of a word serve every prefix of the text that ends in it, as long as its characters are normalized one by one.
+Where they are not (letters with combining marks of their own, a capital sigma, conjoining jamo), the prefixes that
+end between two places where the text can be cut without effect are split anew; that is one word or a few characters.
+
 Null texts count as empty: 0 bytes, 0 tokens. The names of special tokens inside a text count as one
 token each, as the vocabulary's own library has it by default. Repeated rows give repeated results and
 columns other than the key columns and the text are ignored.
@@ -26,9 +30,14 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, texts
 
-#: Words remembered by a Python worker; when there are more, it starts afresh.
-REMEMBERED = 1_500_000
+#: Words and pairs of tokens remembered by a Python worker; when there are more, it starts afresh. Longer words are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 SIMPLE = 0x250
+SIGMA = "\u03a3"
+#: An apostrophe may begin a contraction; the small form of the dotted I ends with a mark.
+NO_CUT_AFTER = "'\u0130"
+#: Different parts of a text whose rows are kept while it is read.
+BLOCK_PARTS = 50_000
 
 
 def byte_letters() -> list[str]:
@@ -84,17 +93,17 @@ class PrefixCounter(dict):
         return symbols
 
     def goes_with(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
-        return known
+        known = self.pairs.get((a, b))
+        return self.remember(a, b) if known is None else known
 
     def stands(self, a: str) -> bool:
-        key = ("", a)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = self.merged(self.symbols(a)) == [a]
+        known = self.pairs.get(("", a))
+        return self.remember("", a) if known is None else known
+
+    def remember(self, a: str, b: str) -> bool:
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        known = self.pairs[a, b] = self.merged((self.symbols(a) if a else []) + self.symbols(b)) == ([a, b] if a else [b])
         return known
 
     def prefixes(self, word: str, all_ends: bool = False) -> tuple[list[int], list[int]]:
@@ -119,15 +128,18 @@ class PrefixCounter(dict):
         return inside, whole
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.prefixes(word)[1][-1]
+        n = self.prefixes(word)[1][-1]
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
         return n
 
     def split(self, text: str) -> list[str]:
         """Normalized words of a text without special tokens."""
-        if not self.complex.search(text):
-            return self.words.findall(text.lower())
+        lowered = text.lower()  # some letters below SIMPLE have small ones beyond it
+        if not self.complex.search(lowered) and not self.complex.search(text):
+            return self.words.findall(lowered)
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -143,34 +155,91 @@ class PrefixCounter(dict):
             at = m.end()
         return total + sum(map(self.__getitem__, self.split(text[at:] if at else text)))
 
+    def cuts(self, text: str) -> list[int]:
+        """Places where the text can be cut, each side being normalized and split by itself, whatever stands behind the next one."""
+        kinds = [kind_of(c) for c in text]
+        out, sigma, joined, n = [0], False, False, len(text)
+        for i, kind in enumerate(kinds):
+            before = kinds[i - 1] if i else kind
+            if kind == "M" != before:  # whether the marks change what they follow
+                behind = i + 1
+                while behind < n and kinds[behind] == "M":
+                    behind += 1
+                joined = i > 0 and composed(text[i - 1 : behind]) != composed(text[i - 1]) + composed(text[i:behind])
+            if kind == " " or before == " ":
+                sigma = False
+                if i:
+                    out.append(i)
+            elif i and "N" in (kind, before) and kind != "M":
+                sigma = False
+                out.append(i)
+            elif kind != before and not sigma and text[i - 1] not in NO_CUT_AFTER and not (joined and "M" in (kind, before)):
+                # marks belong to the characters that are neither letters nor numbers
+                if {kind, before} != {"M", "P"} and (kind == "M" or composed(text[i - 1 : i + 1]) == composed(text[i - 1]) + composed(text[i])):
+                    out.append(i)
+            sigma |= text[i] == SIGMA
+        return [*out, n] if n else [0]
+
+    def inner_counts(self, part: str) -> list[int]:
+        """Tokens of part[:i] for i from 1 on; the part lies between two cuts."""
+        single = [composed(c).lower() for c in part]
+        whole = "".join(single)
+        start = 0
+        if part[0] == "'" and kind_of(part[1:2] or " ") == "L":
+            start = len(self.split(part[:3])[0])
+        if composed(part).lower() == whole and self.split(part[start:]) == ([whole[start:]] if start < len(part) else []):
+            out = [sum(map(self.__getitem__, self.split(part[:i]))) for i in range(1, min(3, len(part)) + 1)] if start else []
+            if len(part) > len(out):
+                first, place = self[part[:start].lower()] if start else 0, 0
+                rows = self.prefixes(whole[start:], all_ends=True)[1]
+                for i, c in enumerate(single[start:], start + 1):
+                    place += len(c.encode())
+                    if i > len(out):
+                        out.append(first + rows[place])
+            return out
+        return [sum(map(self.__getitem__, self.split(part[:i]))) for i in range(1, len(part) + 1)]
+
+    def plain_prefix_counts(self, text: str) -> list[int]:
+        """Tokens of text[:i] for each i, special names taken as they stand."""
+        out, places = [0], self.cuts(text)
+        known: dict[str, list[int]] = {}
+        for a, b in zip(places, places[1:]):
+            part, before = text[a:b], out[-1]
+            if (rows := known.get(part)) is None:
+                rows = self.inner_counts(part)
+                if len(part) <= LONGEST_REMEMBERED and len(known) < BLOCK_PARTS:
+                    known[part] = rows
+            out.extend([before + n for n in rows])
+        return out
+
     def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of text[:i] for each i. Only for texts that the fast path takes and that hold no special token; others encode each prefix."""
-        if self.complex.search(text) or self.specials.search(text) or len(text.lower()) != len(text) or "'" in text:
-            return [self.count(text[:i]) for i in range(len(text) + 1)]
-        lowered, out, done = text.lower(), [0] * (len(text) + 1), 0
-        filled = 0
-        for m in self.words.finditer(lowered):
-            for i in range(filled + 1, m.start() + 1):
-                out[i] = done
-            whole = self.prefixes(m[0], all_ends=True)[1]
-            place = 0
-            for i, c in enumerate(m[0], 1):
-                place += len(c.encode())
-                out[m.start() + i] = done + whole[place]
-            done += whole[-1]
-            filled = m.end()
-        for i in range(filled + 1, len(text) + 1):
-            out[i] = done
+        """Tokens of text[:i] for each i."""
+        out, at = [0], 0
+        for m in self.specials.finditer(text):
+            before = out[-1]
+            counts = self.plain_prefix_counts(text[at : m.end() - 1])
+            out.extend([before + n for n in counts[1:]])
+            out.append(before + counts[m.start() - at] + 1)
+            at = m.end()
+        before = out[-1]
+        out.extend([before + n for n in self.plain_prefix_counts(text[at:])[1:]])
         return out
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix up to which no prefix has more than ``budget`` tokens."""
-        if self.complex.search(text) or self.specials.search(text) or "'" in text:
-            counts = self.prefix_counts(text)
-            over = next((i for i, n in enumerate(counts) if n > budget), len(text) + 1)
-            return text[: over - 1]
-        counts = running_most(self.prefix_counts(text))
-        return text[: bisect_right(counts, budget) - 1]
+        return text[: bisect_right(running_most(self.prefix_counts(text)), budget) - 1]
+
+
+def kind_of(c: str) -> str:
+    """L, N, M (a mark), a space, or P for all else."""
+    if c.isspace() and c not in "\x1c\x1d\x1e\x1f":
+        return " "
+    kind = unicodedata.category(c)[0]
+    return kind if kind in "LNM" else "P"
+
+
+def composed(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
 def running_most(counts: list[int]) -> list[int]:
