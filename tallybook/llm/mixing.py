@@ -2,16 +2,20 @@
 
 Sizes are words. All sources together keep the size of the input; each source's target is its weight's
 share of that, but at most ``most`` times its own size, and what is cut off is shared out again by
-weight. A document of a source with target/size = r is taken floor(r) times for certain; for the
-rest, r - floor(r) is its inclusion probability p. With U a hash of doc_id in (0, 1), documents rank
-by the odds U/(1-U) divided by the odds p/(1-p), and the sample is the head of that order whose words
-come nearest to what the source still lacks. Last, one document of the source changes sides (comes in
-where words are missing, goes out where there are too many) if that brings the sum nearer; it is the one
-that brings it nearest.
-
-That head is found without sorting a source: words are summed by slices of the order first, the slice
-in which the target falls is cut into slices again, and so on, so a source with a third of all rows
-never meets in one task. Rows with equal doc_id and source share their rank and stay or go together.
+weight. Every document of a source with target/size = r is taken floor(r) times for certain. What the
+source still lacks comes from a sample of fixed size, in words, with unequal probabilities: a document's
+inclusion odds are lambda * sqrt(c), where c is the least power of two above its size and lambda is
+such that the expected words of the source's sample are those it lacks. Longer documents are likelier to come in, none is
+certain. With U a hash of doc_id in (0, 1), documents rank by the odds U/(1-U) divided by their inclusion odds, the
+least first, and the sample is the head of that order: down the order, a document comes in if its words
+still fit, until less than ``TOLERANCE`` of the target is missing. In a large source that is one cutoff; in
+a small one a few long documents are passed over. Last, where more is missing, the shortest document
+that is left comes in too if that brings the sum nearer.
+
+The head is found without sorting a source: words are summed by slices of the order first, the slice
+in which it ends is cut into slices again, and so on, so a source with a third of all rows never
+meets in one task. A document passed over starts this again, with the documents after it that still fit; where these are few, one fold in order ends it. Rows
+with equal doc_id, source and size share their rank and stay or go together.
 
 Null texts have size 0; the null source is a source of its own, last in order. Documents of size 0 take
 0 words. An empty table gives an empty result. Other columns are ignored.
@@ -26,24 +30,51 @@ from .common import stored
 
 #: Sources that may be sent to every executor (a row of some 100 bytes each); with more, the join shuffles.
 BROADCAST_SOURCES = 10_000
-#: Slices of a rank order by round; after all rounds a slice holds one rank of 2^-48.
+#: Slices of the rank order by round; after all rounds a slice holds one rank of 2^-48.
 SLICE_BITS = 16
 ROUNDS = 3
+END = 1 << (SLICE_BITS * ROUNDS)
+#: The share of its target that a source may lack.
+TOLERANCE = 0.001
+#: Ranks after a misfit, of a source, that one fold takes; where a source has more, its order is cut in rounds again.
+FOLD_RANKS = 5_000
+#: Halvings of the range in which log2(lambda) is looked for.
+HALVINGS = 60
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform_48(doc_id: Column) -> Column:
-    """A whole number below 2^48 that a document's id fixes: the first 12 hex digits of its MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def uniform(doc_id: Column) -> Column:
+    """A number in (0, 1) that a document's id fixes: the first 12 hex digits of its MD5."""
+    u48 = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+    return (u48 + F.lit(0.5)) / F.lit(float(END))
+
+
+def size_class(size: Column) -> Column:
+    """Binary digits of a size."""
+    return F.length(F.bin(size))
+
+
+def relative_odds(digits: Column) -> Column:
+    """Inclusion odds of a size class but for the source's factor."""
+    return F.sqrt(F.pow(F.lit(2.0), digits))
 
 
-def pareto_score(u48: Column, p: Column) -> Column:
-    """Random odds divided by inclusion odds."""
-    u = (u48 + F.lit(0.5)) / F.lit(float(1 << 48))
-    return (u / (1 - u)) / (p / (1 - p))
+def pareto_rank(u: Column, odds: Column) -> Column:
+    """Random odds divided by inclusion odds, s, as the whole number floor(2^48 s/(1 + s)): in the same order, and the same everywhere."""
+    return F.floor(u / (u + (1 - u) * odds) * F.lit(float(END))).cast("long")
+
+
+def rank_of(doc_id: Column, size: Column) -> Column:
+    return pareto_rank(uniform(doc_id), relative_odds(size_class(size)))
+
+
+def with_ranks(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and rank of every document."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return sized.withColumn("rank", rank_of(F.col("doc_id"), F.col("size")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -72,100 +103,144 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     return open_.select("source", "source_size", target.alias("target"))
 
 
-def with_sources(df: DataFrame, sources: DataFrame, on: Column) -> DataFrame:
+def with_sources(df: DataFrame, sources: DataFrame, on: Column, how: str = "left") -> DataFrame:
     """Joins a table of sources, broadcast only if its counted rows are few."""
-    return df.join(F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources, on, "left")
+    return df.join(F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources, on, how)
+
 
+def inclusion(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """s, copies, lacking, slack, lambda of every source: what is certain, what its sample is to hold, how near that must come, the factor of its odds."""
+    counts = sizes.where("size > 0").groupBy("source", size_class(F.col("size")).alias("digits")).agg(F.sum("size").alias("words"))
+    classes = counts.groupBy(F.col("source").alias("s2")).agg(F.array_sort(F.collect_list(F.struct(relative_odds(F.col("digits")).alias("odds"), "words"))).alias("classes"))  # at most 63 for each source
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = targets.select(F.col("source").alias("s"), "source_size", "target", copies.alias("copies"))
+    plan = plan.withColumn("lacking", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("slack", F.col("target") * TOLERANCE)
+    plan = plan.join(classes, F.col("s").eqNullSafe(F.col("s2")), "left")
 
-def sample_cutoffs(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, copies, p, cutoff: documents whose u48 is at most ``cutoff`` are taken once more.
+    def expected(power: Column) -> Column:
+        odds = lambda c: F.pow(F.lit(2.0), power) * c["odds"]
+        return F.aggregate("classes", F.lit(0.0), lambda x, c: x + c["words"] * odds(c) / (1 + odds(c)))
 
-    The documents of a source share one p, so ranking by Pareto score is ranking by u48; the order is
-    cut in rounds, each with one of the 2^16 slices of the one before.
+    def halved(x: Column, _: Column) -> Column:
+        middle = (x["low"] + x["high"]) / 2
+        return F.when(expected(middle) < F.col("lacking"), F.struct(middle.alias("low"), x["high"].alias("high"))).otherwise(F.struct(x["low"].alias("low"), middle.alias("high")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.lit(-80.0).alias("low"), F.lit(80.0).alias("high")), halved)
+    return plan.select("s", "copies", "lacking", "slack", F.when(F.col("classes").isNotNull() & (F.col("lacking") > 0), F.pow(F.lit(2.0), found["high"])).otherwise(0.0).alias("lambda"))
+
+
+def first_end(ranks: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` with the first rank after ``after`` that takes the sum above ``lacking - slack`` (``end``, null if none does), the words before it and of it.
+
+    Of the documents with at most ``longest`` words. state: s, after, longest, taken, lacking, slack. The order is cut in
+    rounds, each with one of the 2^16 slices of the one before.
     """
-    plan = targets.select(
-        F.col("source").alias("s"),
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("copies"),
-        F.col("source_size"),
-        "target",
-    )
-    plan = plan.select(
-        "s",
-        "copies",
-        (F.col("target") - F.col("copies") * F.col("source_size")).alias("lacking"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("copies")).otherwise(F.lit(0.0)).alias("p"),
-        F.lit(0).cast("long").alias("prefix"),
-        F.lit(0).cast("long").alias("taken"),
-    )
+    plan = state.withColumn("prefix", F.lit(0).cast("long"))
+    bound = plan.select("s", "after", "longest")
+    own = with_sources(ranks, bound, ranks["source"].eqNullSafe(F.col("s")), "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest"))).select("s", "rank", "words")
+    columns = state.columns
     for i in range(ROUNDS):
-        shift = 48 - SLICE_BITS * (i + 1)
-        plan = stored(plan)
-        own = with_sources(sizes.where("size > 0"), plan.select("s", "prefix"), sizes["source"].eqNullSafe(F.col("s")))
+        shift = SLICE_BITS * (ROUNDS - 1 - i)
+        slices = own.groupBy("s", F.shiftright("rank", shift).alias("slice")).agg(F.sum("words").alias("words"))
         if i:
-            own = own.where(F.shiftright("u48", 48 - SLICE_BITS * i) == F.col("prefix"))
-        slices = own.groupBy("s", F.shiftright("u48", shift).alias("slice")).agg(F.sum("size").alias("words"))
+            open_ = plan.select(F.col("s").alias("s3"), "prefix")
+            slices = with_sources(slices, open_, slices["s"].eqNullSafe(F.col("s3")) & (F.shiftright("slice", SLICE_BITS) == F.col("prefix")), "inner")
         ordered = slices.groupBy(F.col("s").alias("s2")).agg(F.array_sort(F.collect_list(F.struct("slice", "words"))).alias("slices"))
         found = plan.join(ordered, F.col("s").eqNullSafe(F.col("s2")), "left")
-        # Moves over slices that fit whole; stops in the first that does not.
-        state = F.aggregate(
+        # Moves over the slices that leave the sum below; stops in the first that does not.
+        begin = F.struct(F.col("taken").alias("taken"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("words"))
+        moved = F.aggregate(
             F.coalesce("slices", F.array().cast("array<struct<slice:bigint,words:bigint>>")),
-            F.struct(F.col("taken").alias("taken"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("words")),
+            begin,
             lambda x, y: F.when(x["at"].isNotNull(), x)
-            .when((x["taken"] + y["words"]).cast("double") <= F.col("lacking"), F.struct((x["taken"] + y["words"]).alias("taken"), x["at"].alias("at"), x["words"].alias("words")))
+            .when((x["taken"] + y["words"]).cast("double") <= F.col("lacking") - F.col("slack"), F.struct((x["taken"] + y["words"]).alias("taken"), x["at"].alias("at"), x["words"].alias("words")))
             .otherwise(F.struct(x["taken"].alias("taken"), y["slice"].alias("at"), y["words"].alias("words"))),
         )
-        found = found.withColumn("state", state)
-        plan = found.select("s", "copies", "lacking", "p", F.coalesce("state.at", F.lit(-1).cast("long")).alias("prefix"), F.col("state.taken").alias("taken"), F.col("state.words").alias("words"))
-        if i < ROUNDS - 1:
-            plan = plan.drop("words")
-    # prefix is now the first rank that does not fit, -1 if all do; it is taken if that comes nearer.
-    nearer = F.coalesce((F.col("taken") + F.col("words") - F.col("lacking")) < (F.col("lacking") - F.col("taken")), F.lit(False))
-    cutoff = F.when(F.col("prefix") < 0, F.lit(1 << 48)).when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1)
-    filled = F.col("taken") + F.when(nearer, F.col("words")).otherwise(0)
-    active = F.col("p") > 0
-    return stored(
-        plan.select("s", "copies", "p", F.when(active, cutoff).otherwise(F.lit(-1)).cast("long").alias("cutoff"), F.when(active, F.col("lacking") - filled).otherwise(F.lit(0.0)).alias("gap"))
-    )
-
-
-def with_exchange(sizes: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """cutoffs with ``swap``, the u48 of the documents that change sides (-1: none); ranks are weighed in partial sums, one row for each source comes out."""
-    ranks = sizes.where("size > 0").groupBy("source", "u48").agg(F.sum("size").alias("words"))
-    joined = with_sources(ranks, cutoffs.where("gap <> 0"), ranks["source"].eqNullSafe(F.col("s")))
-    inside, gap = F.col("u48") <= F.col("cutoff"), F.col("gap")
-    left = F.when((gap > 0) & ~inside, F.abs(gap - F.col("words"))).when((gap < 0) & inside, F.abs(gap + F.col("words")))
-    best = joined.withColumn("left", left).where(F.col("left") < F.abs(gap)).groupBy(F.col("s").alias("s2")).agg(F.min(F.struct("left", "u48")).alias("best"))
-    found = cutoffs.join(best, F.col("s").eqNullSafe(F.col("s2")), "left")
-    return found.select("s", "copies", "p", "cutoff", F.coalesce("best.u48", F.lit(-1).cast("long")).alias("swap"))
+        plan = stored(found.withColumn("moved", moved).select(*[c for c in columns if c != "taken"], F.col("moved.taken").alias("taken"), F.coalesce("moved.at", F.lit(-1).cast("long")).alias("prefix"), F.col("moved.words").alias("words")))
+    return plan.withColumn("end", F.when(F.col("prefix") >= 0, F.col("prefix"))).drop("prefix")
+
+
+def after_misfits(ranks: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` after the documents that are left: one fold for each source, in order, over what still fits."""
+    bound = state.select("s", "after", "longest")
+    own = with_sources(ranks, bound, ranks["source"].eqNullSafe(F.col("s")), "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest")))
+    listed = own.groupBy(F.col("s").alias("s2")).agg(F.array_sort(F.collect_list(F.struct("rank", "size", "words"))).alias("left"))
+    found = state.join(listed, F.col("s").eqNullSafe(F.col("s2")), "left")
+
+    def step(x: Column, y: Column) -> Column:
+        fits = (x["taken"].cast("double") <= F.col("lacking") - F.col("slack")) & ((x["taken"] + y["words"]).cast("double") <= F.col("lacking"))
+        one = F.array(F.struct(y["rank"].alias("first"), y["rank"].alias("last"), y["size"].alias("longest")))
+        return F.when(fits, F.struct((x["taken"] + y["words"]).alias("taken"), F.concat(x["ranges"], one).alias("ranges"))).otherwise(x)
+
+    folded = F.aggregate(F.coalesce("left", F.array().cast("array<struct<rank:bigint,size:bigint,words:bigint>>")), F.struct("taken", "ranges"), step)
+    return found.withColumn("folded", folded).select("s", "lacking", "slack", "folded.taken", "folded.ranges")
+
+
+def sampled(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """s, ranges of every source: a document is in the sample if its rank is in one of the ranges (first, last) and its size at most the range's ``longest``."""
+    ranks = stored(sizes.where("size > 0").groupBy("source", "rank", "size").agg(F.sum("size").alias("words")))
+    none = F.array().cast("array<struct<first:bigint,last:bigint,longest:bigint>>")
+    state = plan.where("lacking > slack").select("s", F.lit(-1).cast("long").alias("after"), F.floor("lacking").cast("long").alias("longest"), F.lit(0).cast("long").alias("taken"), "lacking", "slack", none.alias("ranges"))
+    done = state.select("s", "lacking", "slack", "taken", "ranges").limit(0)
+    while True:
+        found = first_end(ranks, state)
+        fits = F.coalesce((F.col("taken") + F.col("words")).cast("double") <= F.col("lacking"), F.lit(False))
+        last = F.when(F.col("end").isNull(), F.lit(END)).when(fits, F.col("end")).otherwise(F.col("end") - 1).cast("long")
+        range_ = F.struct((F.col("after") + 1).alias("first"), last.alias("last"), F.col("longest").alias("longest"))
+        taken = F.col("taken") + F.when(fits, F.col("words")).otherwise(0)
+        judged = found.select("s", "lacking", "slack", taken.alias("taken"), F.concat("ranges", F.array(range_)).alias("ranges"), "end", (F.col("end").isNotNull() & ~fits).alias("goes_on"))
+        judged = stored(judged.withColumn("longest", F.floor(F.col("lacking") - F.col("taken")).cast("long")))
+        done = done.unionByName(judged.where("not goes_on").select("s", "lacking", "slack", "taken", "ranges"))
+        state = judged.where("goes_on").select("s", F.col("end").alias("after"), "longest", "taken", "lacking", "slack", "ranges")
+        left = with_sources(ranks, state.select("s", "after", "longest"), ranks["source"].eqNullSafe(F.col("s")), "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest")))
+        if (left.groupBy("s").count().agg(F.max("count")).first()[0] or 0) <= FOLD_RANKS:
+            break
+    ended = stored(done.unionByName(after_misfits(ranks, state)))
+    short = ended.where(F.col("taken").cast("double") <= F.col("lacking") - F.col("slack"))
+    left = with_sources(ranks, short.withColumnRenamed("s", "s4"), ranks["source"].eqNullSafe(F.col("s4")), "inner")
+    outside = left.where(~is_sampled(F.col("ranges"), F.col("rank"), F.col("size")) & (F.col("words") < 2 * (F.col("lacking") - F.col("taken"))))
+    more = outside.groupBy(F.col("s4").alias("s5")).agg(F.min(F.struct("size", "rank")).alias("more"))
+    joined = ended.join(more, F.col("s").eqNullSafe(F.col("s5")), "left")
+    extra = F.array(F.struct(F.col("more.rank").alias("first"), F.col("more.rank").alias("last"), F.col("more.size").alias("longest")))
+    return joined.select("s", F.when(F.col("more").isNull(), F.col("ranges")).otherwise(F.concat("ranges", extra)).alias("ranges"))
+
+
+def is_sampled(ranges: Column, rank: Column, size: Column) -> Column:
+    return F.exists(ranges, lambda r: (rank >= r["first"]) & (rank <= r["last"]) & (size <= r["longest"]))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, u48 of every document; source, source_size, target, copies, p, cutoff, swap of every source), both stored."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform_48(F.col("doc_id")).alias("u48")))
+    """(doc_id, source, size, rank of every document; source, source_size, target, copies, lambda, ranges of every source), both stored."""
+    sizes = stored(with_ranks(docs))
     targets = stored(source_targets(sizes, weights, most))
-    cutoffs = with_exchange(sizes, sample_cutoffs(sizes, targets))
-    return sizes, stored(targets.join(cutoffs, targets["source"].eqNullSafe(cutoffs["s"])).drop("s"))
+    plan = stored(inclusion(sizes, targets))
+    ranges = sampled(sizes, plan).withColumnRenamed("s", "s6")
+    whole = targets.join(plan.select("s", "copies", "lambda"), targets["source"].eqNullSafe(plan["s"])).join(ranges, F.col("s").eqNullSafe(F.col("s6")), "left")
+    none = F.array().cast("array<struct<first:bigint,last:bigint,longest:bigint>>")
+    return sizes, stored(whole.select("source", "source_size", "target", "copies", "lambda", F.coalesce("ranges", none).alias("ranges")))
 
 
-def copies_taken(copies: str = "copies", u48: str = "u48", cutoff: str = "cutoff", swap: str = "swap") -> Column:
-    """How often a document is taken, from u48 and its source's plan."""
-    inside = (F.col(u48) <= F.col(cutoff)) != (F.col(u48) == F.col(swap))
-    return F.col(copies) + F.when(inside, 1).otherwise(0)
+def copies_taken(copies: str = "copies", ranges: str = "ranges", rank: str = "rank", size: str = "size") -> Column:
+    """How often a document is taken, from its rank and size and its source's plan."""
+    return F.col(copies) + F.when(is_sampled(F.col(ranges), F.col(rank), F.col(size)), 1).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and Pareto score of every document."""
+    """doc_id, size, source_size, target, taken, copies, rank and inclusion probability p (of the copy that is not certain) of every document."""
     sizes, plan = mix_plan(docs, weights, most)
     joined = with_sources(sizes, plan.withColumnRenamed("source", "s"), sizes["source"].eqNullSafe(F.col("s")))
-    score = F.when((F.col("p") > 0) & (F.col("p") < 1), pareto_score(F.col("u48"), F.col("p")))
-    return joined.select("doc_id", "size", "source_size", "target", (copies_taken() * F.col("size")).cast("long").alias("taken"), copies_taken().cast("long").alias("copies"), score.alias("score"))
+    odds = F.col("lambda") * relative_odds(size_class(F.col("size")))
+    return joined.select(
+        "doc_id", "size", "source_size", "target", (copies_taken() * F.col("size")).cast("long").alias("taken"), copies_taken().cast("long").alias("copies"), "rank", (odds / (1 + odds)).alias("p")
+    )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mix, each row as often as it is taken."""
     _, plan = mix_plan(docs, weights, most)
-    plan = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("cutoff").alias("__cutoff"), F.col("swap").alias("__swap"))
-    own = docs.withColumn("__u48", uniform_48(F.col("doc_id")))
-    joined = own.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, own["source"].eqNullSafe(F.col("__s")))
-    times = copies_taken("__copies", "__u48", "__cutoff", "__swap").cast("int")
+    plan = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("ranges").alias("__ranges"))
+    own = docs.withColumn("__size", word_count(F.col("text")))
+    own = own.withColumn("__rank", rank_of(F.col("doc_id"), F.col("__size")))
+    joined = with_sources(own, plan, own["source"].eqNullSafe(F.col("__s")), "inner")
+    times = copies_taken("__copies", "__ranges", "__rank", "__size").cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)

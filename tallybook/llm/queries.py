@@ -37,7 +37,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, MOST).drop("score")
+    return mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, MOST).drop("p")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +85,14 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # Targets by lifting one level until the caps are met; samples by walking down each source's order a document at a time.
     "op3_mix_sources": r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents
+), o AS (
+  SELECT *, floor(u / (u + (1 - u) * sqrt(pow(2.0::DOUBLE, length(bin(size))))) * 281474976710656.0::DOUBLE)::BIGINT AS rank FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight
@@ -109,26 +112,32 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, coalesce(least(cap::DOUBLE, common * weight), cap::DOUBLE) AS target FROM g
 ), c AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t
+  SELECT *, target - copies * source_size AS lacking, target * 0.001::DOUBLE AS slack
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t)
 ), r AS (
-  SELECT d.doc_id, d.size, d.u, c.source_size, c.target, c.copies, c.source,
-         c.target - c.copies * c.source_size AS lacking,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.u)::BIGINT AS own
-  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
-), h AS (
-  SELECT *, lacking > 0 AND (upto <= lacking OR upto - own <= lacking AND upto - lacking < lacking - (upto - own)) AS head FROM r
-), p AS (
-  SELECT *, lacking - coalesce(sum(size) FILTER (head) OVER (PARTITION BY source), 0)::BIGINT AS gap FROM h
-), x AS (
-  SELECT source, u, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN head THEN abs(gap + own) ELSE abs(gap - own) END, u) AS n
-  FROM (SELECT DISTINCT source, u, own, gap, head FROM p WHERE own > 0 AND lacking > 0)
-  WHERE CASE WHEN head THEN gap < 0 AND abs(gap + own) < abs(gap) ELSE gap > 0 AND abs(gap - own) < abs(gap) END
+  SELECT source, rank, size, sum(size)::BIGINT AS words, row_number() OVER (PARTITION BY source ORDER BY rank, size) AS n
+  FROM o WHERE size > 0 GROUP BY source, rank, size
+), walk AS (
+  SELECT source, lacking, slack, 0::BIGINT AS n, 0::BIGINT AS total, false AS took FROM c WHERE lacking > slack
+  UNION ALL
+  SELECT w.source, w.lacking, w.slack, r.n, CASE WHEN w.total <= w.lacking - w.slack AND w.total + r.words <= w.lacking THEN w.total + r.words ELSE w.total END,
+         w.total <= w.lacking - w.slack AND w.total + r.words <= w.lacking
+  FROM walk w JOIN r ON r.n = w.n + 1 AND r.source IS NOT DISTINCT FROM w.source
+), ends AS (
+  SELECT source, lacking, slack, max(total) AS total FROM walk GROUP BY source, lacking, slack
+), extra AS (
+  SELECT r.source, arg_min(r.n, (r.size, r.rank)) AS n
+  FROM r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source JOIN walk w ON w.n = r.n AND w.source IS NOT DISTINCT FROM r.source
+  WHERE NOT w.took AND e.total <= e.lacking - e.slack AND r.words < 2 * (e.lacking - e.total) GROUP BY r.source
+), chosen AS (
+  SELECT r.source, r.rank, r.size FROM r JOIN walk w ON w.n = r.n AND w.source IS NOT DISTINCT FROM r.source WHERE w.took
+  UNION ALL
+  SELECT r.source, r.rank, r.size FROM r JOIN extra x ON x.n = r.n AND x.source IS NOT DISTINCT FROM r.source
 )
-SELECT doc_id, size, source_size, target,
-       (copies + CASE WHEN head <> (x.n IS NOT NULL) THEN 1 ELSE 0 END) * size AS taken,
-       copies + CASE WHEN head <> (x.n IS NOT NULL) THEN 1 ELSE 0 END AS copies
-FROM p LEFT JOIN x ON x.n = 1 AND p.source IS NOT DISTINCT FROM x.source AND p.u = x.u
+SELECT o.doc_id, o.size, c.source_size, c.target, (c.copies + CASE WHEN h.rank IS NULL THEN 0 ELSE 1 END) * o.size AS taken,
+       c.copies + CASE WHEN h.rank IS NULL THEN 0 ELSE 1 END AS copies, o.rank
+FROM o JOIN c ON o.source IS NOT DISTINCT FROM c.source
+LEFT JOIN chosen h ON h.source IS NOT DISTINCT FROM o.source AND h.rank = o.rank AND h.size = o.size
 """,
     "op8_exact_topk": """
 WITH v AS (

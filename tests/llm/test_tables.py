@@ -114,26 +114,63 @@ def test_mix(spark, documents):
         assert r.size == size(text[r.doc_id]) and r.source_size == by[s] and abs(r.target - target[s]) < 1e-6 * max(1, target[s])
         assert r.taken == r.copies * r.size <= 3 * r.size
         taken[s] += r.taken
-    largest = Counter()
-    for r in out:
-        largest[source[r.doc_id]] = max(largest[source[r.doc_id]], r.size)
     for s in by:
-        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s], (s, taken[s], target[s])
     assert sorted(map(tuple, mix_sources(skewed.repartition(7)).collect())) == sorted(map(tuple, out))
     times = Counter(r.doc_id for r in mixed_documents(skewed).collect())
     assert times == Counter({r.doc_id: r.copies for r in out if r.copies})
 
 
-def test_pareto_order_within_a_source(documents):
-    source = {r.doc_id: r.source for r in documents.collect()}
-    by = defaultdict(list)
-    for r in mix_sources(documents).collect():
-        if r.score is not None and r.size:
-            by[source[r.doc_id]].append(r)
+def pareto_by_hand(rows, target, source_size, tolerance):
+    """copies by doc_id of one source: down the order of random odds over inclusion odds."""
+    from fractions import Fraction
+    from math import sqrt
+
+    certain = int(target // source_size)
+    lacking, slack = target - certain * source_size, target * tolerance
+
+    def score(r):
+        u = Fraction(2 * int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:12], 16) + 1, 2**49)
+        return float(u / (1 - u)) / sqrt(2 ** r.size.bit_length())
+
+    order, total, took = sorted((r for r in rows if r.size), key=score), 0, set()
+    for r in order if lacking > slack else []:
+        if total <= lacking - slack and total + r.size <= lacking:
+            total += r.size
+            took.add(r.doc_id)
+    left = [r for r in order if r.doc_id not in took and r.size < 2 * (lacking - total)]
+    if left and lacking > slack and total <= lacking - slack:
+        took.add(min(left, key=lambda r: (r.size, score(r))).doc_id)
+    return {r.doc_id: certain + (r.doc_id in took) for r in rows}
+
+
+@pytest.mark.parametrize("fold", [0, 5_000])
+def test_pareto_order_within_a_source(spark, documents, monkeypatch, fold):
+    import tallybook.llm.mixing as m
+
+    monkeypatch.setattr(m, "FOLD_RANKS", fold)
+    docs = documents.withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5))
+    source, by = {r.doc_id: r.source for r in docs.collect()}, defaultdict(list)
+    for r in mix_sources(docs).collect():
+        by[source[r.doc_id]].append(r)
     for rows in by.values():
-        rows.sort(key=lambda r: r.score)
-        copies = [r.copies for r in rows]
-        assert min(sum(a != b for a, b in zip(copies, [max(copies)] * n + [min(copies)] * (len(copies) - n))) for n in range(len(copies) + 1)) <= 1
+        assert {r.doc_id: r.copies for r in rows} == pareto_by_hand(rows, rows[0].target, rows[0].source_size, m.TOLERANCE)
+        certain = rows[0].target // rows[0].source_size
+        sampled = [r for r in rows if r.size]
+        # unequal probabilities, by which the sample is expected to hold just what is lacking
+        assert len({r.p for r in sampled}) > 3 and all(0 < r.p < 1 for r in sampled)
+        assert all(a.p <= b.p for a in sampled for b in sampled if a.size <= b.size)
+        assert abs(sum(r.p * r.size for r in sampled) - (rows[0].target - certain * rows[0].source_size)) < 1e-3 * rows[0].target
+
+
+def test_longer_documents_come_in_as_often_as_their_probability_says(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice((3, 30, 300)), "en", "a", 0) for i in range(6000)] + [(10_000 + i, "w " * 40, "en", "b", 0) for i in range(100)]
+    out = [r for r in mix_sources(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id < 6000]
+    for size in (3, 30, 300):
+        own = [r for r in out if r.size == size]
+        certain = own[0].target // own[0].source_size
+        assert abs(sum(r.copies - certain for r in own) / len(own) - own[0].p) < 0.04
 
 
 def test_edited_fingerprints(documents):

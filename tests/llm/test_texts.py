@@ -134,17 +134,53 @@ def test_special_names_and_long_texts(counter, word_library):
         assert counter.count(text) == len(word_library.encode(text, add_special_tokens=False).ids)
 
 
-@given(st.text("abcdeinorst .,9éü", max_size=40))
-@settings(max_examples=100, deadline=None)
-def test_every_prefix(counter, word_library, text):
+def test_all_pairs_of_low_characters(counter, word_library):
+    """Letters below U+0250 may have small ones beyond it."""
+    low = [chr(i) for i in range(1, 0x250)]
+    for a in low:
+        pairs = [a + b for b in low]
+        exact = [len(x.ids) for x in word_library.encode_batch_fast(pairs, add_special_tokens=False)]
+        assert [counter.count(x) for x in pairs] == exact
+
+
+#: Composing and lone marks, sigmas, contractions, conjoining jamo, letters that change their length, odd spaces.
+PREFIX = st.text(st.sampled_from(" '\n.,-!sStTrevVlLdDmMaebé\u0301\u0327\u0323ΣσςİıßÅ½9٣日本ไทยุ์हिन्दी각\u1100\u1161\u11a8\u018f\u0181\u023a<|>\u00a0\u2028\u0085\x1c…—“’"), max_size=16)
+
+
+@given(PREFIX, PREFIX, st.sampled_from(["", "<|endoftext|>", "<|endof", "<|startoftext|>"]))
+@settings(max_examples=400, deadline=None)
+def test_every_prefix(counter, word_library, before, after, name):
+    text = before + name + after
     exact = [len(word_library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    assert counter.prefix_counts(text) == exact
+    assert counter.prefix_counts(text) == exact and counter.count(text) == exact[-1]
     for budget in (0, 1, 3, 7):
-        cut = counter.truncate(text, budget)
-        n = len(cut)
+        n = len(counter.truncate(text, budget))
         assert max(exact[: n + 1]) <= budget and (n == len(text) or exact[n + 1] > budget)
 
 
+@pytest.mark.parametrize("text", ["Это довольно длинный текст по-русски. " * 500, "it's a long text, isn't it? “Yes”, she'd say. " * 400, "日本語のテキスト" * 500, "ภาษาไทยเป็นภาษาที่" * 300, "x" * 8000])
+def test_prefixes_of_long_texts_take_no_new_encoding(counter, word_library, text):
+    calls = []
+    whole, counter.split = counter.split, lambda t: calls.append(len(t)) or whole(t)
+    try:
+        counts = counter.prefix_counts(text)
+    finally:
+        del counter.split
+    assert sum(calls) < 4 * len(text)
+    for i in [*range(0, len(text), len(text) // 20), len(text)]:
+        assert counts[i] == len(word_library.encode(text[:i], add_special_tokens=False).ids)
+
+
+def test_memory_of_words_and_pairs_is_bounded(monkeypatch):
+    import tallybook.llm.token_counts as t
+
+    monkeypatch.setattr(t, "REMEMBERED", 50)
+    own = PrefixCounter(WORDS)
+    for i in range(300):
+        own.count(f"word{i}abc other{i * 7}xyz " + "y" * 100)
+        assert len(own) <= 50 and len(own.pairs) <= 50 and all(len(w) <= t.LONGEST_REMEMBERED for w in own)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return PieceModel(PIECES)
