@@ -263,17 +263,23 @@ def test_top_k(spark, monkeypatch):
     base = rng.normal(size=(700, 8)).astype(np.float32)
     base[100:300] = base[3]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
-    rows += [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (1150, [float("inf")] + [0.0] * 7), (None, rows[0][1]), (1200, [0.0, 1.0]), rows[5]]
+    # rows that repeat an id, with the same or another vector, also of queries
+    again = [rows[5], rows[50], (50, rows[51][1]), (7, [9.0] * 8), (7, [-9.0] * 8)]
+    ids = np.array([*range(700), *[i for i, _ in again]])
+    base = np.concatenate([base, np.array([v for _, v in again], np.float32)])
+    rows += again + [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (1150, [float("inf")] + [0.0] * 7), (None, rows[0][1]), (1200, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     q_ = np.floor(256 * base.astype(np.float64)).astype(np.int64)
     exact = []
-    for i in range(0, 700, 50):
+    for i in np.flatnonzero(ids % 50 == 0).tolist():
         s = q_ @ q_[i]
-        best = [j for j in np.lexsort((np.arange(700), -s)) if j != i][:5]
-        exact += [(i, r, int(j), int(s[j])) for r, j in enumerate(best, 1)]
-    for shard, block in ((10**6, 10**6), (100, 4)):
-        monkeypatch.setattr(t, "SHARD_ROWS", shard)
+        best = [j for j in np.lexsort((ids, -s)) if j != i][:5]
+        exact += [(int(ids[i]), r, int(ids[j]), int(s[j])) for r, j in enumerate(best, 1)]
+    exact.sort()
+    for size, block, walk in ((1 << 25, 10**6, 1000), (100 * 8 * 8, 4, 3)):
+        monkeypatch.setattr(t, "SHARD_BYTES", size)
         monkeypatch.setattr(t, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(t, "WALK_QUERIES", walk)
         assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect())) == exact
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
