@@ -5,12 +5,14 @@ Terms are the text's pairs of neighbouring words (a lone word is its own term),
 fingerprint has the bits whose votes are above zero. Two fingerprints that differ in d bits come from
 texts whose term weights have a cosine of about cos(pi d / 64); that, not below 0, is their likeness.
 
-``edited_fingerprints`` needs every document beside the next one in descending order of doc_id. Ranges of
-doc_id are sorted apart, and the head of each range is also sent to the end of the range before it, so
-no task sees all documents and texts are moved once.
+``edited_fingerprints`` needs every document beside the next one in descending order of doc_id. Documents are
+dealt to ranges of the order, whose bounds Spark samples, and sorted there, so texts are moved once and pass one by one; a range may be
+larger than memory. What a range cannot know, the document after its last one, follows from its neighbour's
+first one: these two documents of every range are kept with their texts and joined.
 
 Null texts count as empty; texts without words have fingerprint 0. Rows with a null doc_id come last in
-the order, rows with equal doc_id are ordered by text. A single document is its own next one.
+the order, rows with equal doc_id are ordered by a hash of their texts. A single document is its own next one. Empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +26,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, texts
+from .common import map_rows, slices, stored, texts
 
 #: Terms whose bits are counted at once.
 BLOCK = 1 << 16
-#: Documents a range of doc_id has, about.
-RANGE_ROWS = 4_000
-MAX_RANGES = 10_000
+#: Documents of a range, about; more where that would be more than so many ranges.
+RANGE_ROWS, MOST_RANGES = 8_000, 50_000
+#: What the rows of a range are.
+RESULT, FIRST, LAST = 0, 1, 2
 
 
 def signed_votes(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -80,57 +84,66 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return map_rows(docs.select(*keep, docs[text].alias("__text")), run, f"{fields}, fingerprint string")
 
 
-def in_ranges(docs: DataFrame) -> DataFrame:
-    """__range, __ghost, doc_id, text: ranges number the documents in descending order of doc_id, and each ends with a copy (the ghost) of the first document of the next range, the last range with the very first document."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = min(MAX_RANGES, max(1, docs.count() // RANGE_ROWS))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] if ranges > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    # 0 has the ids above all cuts; nulls come after all ids.
-    place = F.lit(len(cuts) + 1) if not cuts else F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") <= c, 1).otherwise(0))
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place if cuts else F.lit(0)).cast("int")
-    placed = docs.withColumn("__range", place)
-    heads = {r["__range"]: r["doc_id"] for r in placed.groupBy("__range").agg(F.max("doc_id").alias("doc_id")).collect()}  # a row for each range
-    order = sorted(heads)
-    if not order:
-        return placed.withColumn("__ghost", F.lit(False))
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's head follows the last range
-    move = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    is_head = F.coalesce(F.col("doc_id").isin([heads[r] for r in order if heads[r] is not None]), F.lit(True))
-    head = (
-        placed.where(is_head)
-        .groupBy("__range", "doc_id")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", "text", move[F.col("__range")].alias("__range"), F.lit(True).alias("__ghost"))
-    )
-    both = placed.withColumn("__ghost", F.lit(False)).unionByName(head)
-    return both.repartition(len(order), "__range").sortWithinPartitions("__range", "__ghost", F.col("doc_id").desc_nulls_last(), "text")
+NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+FIELDS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+def compared(text: str, own: int, following: str, following_print: int) -> tuple:
+    """The values of ``NAMES`` of a document and the next one."""
+    new = edited(text, following)
+    f = fingerprint(new)
+    return len(text), hashlib.sha256(new.encode()).hexdigest(), f"{own:016x}", f"{f:016x}", likeness(own, f), likeness(own, following_print)
+
+
+def ranged(docs: DataFrame) -> DataFrame:
+    """kind, part, doc_id, text and ``NAMES``: of each range the results of all documents but the last, and its first and last with their texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = min(MOST_RANGES, max(1, docs.count() // RANGE_ROWS))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = docs.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, doc_id, text, fingerprint) that waits for the next document
+        part, held, nothing = TaskContext.get().partitionId(), None, (None,) * len(NAMES)
+        kind_of_id = None
+        names, kinds = ["kind", "part", "doc_id", "text", *NAMES], lambda: [pa.int8(), pa.int32(), kind_of_id, pa.string(), *KINDS]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds())], names)
+
         for batch in slices(batches):
-            rows = []
-            for r, ghost, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            kind_of_id, rows = batch.schema.field(0).type, []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = fingerprint(text)
-                if held and held[0] == r:
-                    new = edited(held[2], text)
-                    f = fingerprint(new)
-                    digest = hashlib.sha256(new.encode()).hexdigest()
-                    rows.append((held[1], len(held[2]), digest, f"{held[3]:016x}", f"{f:016x}", likeness(held[3], f), likeness(held[3], own)))
-                held = None if ghost else (r, doc_id, text, own)
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            kinds = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            columns = zip(*rows) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                if held:
+                    rows.append((RESULT, part, held[0], None, *compared(held[1], held[2], text, own)))
+                else:
+                    rows.append((FIRST, part, doc_id, text, *nothing))
+                held = doc_id, text, own
+            yield table(rows)
+        if held:
+            yield table([(LAST, part, held[0], held[1], *nothing)])
+
+    return dealt.mapInArrow(run, f"kind tinyint, part int, doc_id {kind}, text string, {FIELDS}")
 
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_ranges(docs).select("__range", "__ghost", "doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    found = stored(ranged(docs))
+    parts = sorted(r.part for r in found.where(F.col("kind") == FIRST).select("part").collect())  # a number for each range
+    neighbours = docs.sparkSession.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part int, after int")
+    firsts = found.where(F.col("kind") == FIRST).select(F.col("part").alias("after"), F.col("text").alias("following"))
+    lasts = found.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(neighbours, "part").join(firsts, "after").select("doc_id", "text", "following")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [compared(a, fingerprint(a), b, fingerprint(b)) for a, b in zip(texts(batch), texts(batch, "following"))]
+        columns = zip(*rows) if rows else [[] for _ in NAMES]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, KINDS)]], ["doc_id", *NAMES])
+
+    return found.where(F.col("kind") == RESULT).select("doc_id", *NAMES).unionByName(map_rows(lasts, run, f"doc_id {kind}, {FIELDS}"))
 
 
 def block_tables(radius: int, blocks: int) -> list[int]:

@@ -187,10 +187,26 @@ def test_edited_fingerprints_over_many_ranges(documents, monkeypatch):
 
     monkeypatch.setattr(s, "RANGE_ROWS", 9)
     many = sorted(map(tuple, edited_fingerprints(documents).collect()))
+    monkeypatch.setattr(s, "MOST_RANGES", 3)
+    assert many == sorted(map(tuple, edited_fingerprints(documents).collect()))
     monkeypatch.setattr(s, "RANGE_ROWS", 10**9)
     assert many == sorted(map(tuple, edited_fingerprints(documents).collect()))
 
 
+def test_edited_fingerprints_of_rows_without_or_with_equal_ids(spark, monkeypatch):
+    """They form ranges too, and each row's text meets the next one of the order."""
+    import tallybook.llm.simhash as s
+
+    monkeypatch.setattr(s, "RANGE_ROWS", 7)
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices("alpha beta gamma delta epsilon".split(), k=9))
+    rows = [(None, text()) for _ in range(60)] + [(4, text()) for _ in range(60)] + [(9, None), (1, text())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    exact = sorted((r.doc_id or 0, hashlib.sha256(edited(r.text or "", n.text or "").encode()).hexdigest()) for r, n in zip(order, [*order[1:], order[0]]))
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in edited_fingerprints(docs.select("doc_id", "text")).collect()) == exact
+
+
 def test_block_tables_find_all(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
