@@ -13,20 +13,20 @@ its visitors to the least of them, so dense groups cost as much as their members
 links come from alternating star contractions, each round written to the shared folder.
 
 ``one_of_each`` finds all pairs of texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or
-more. A text is named by a digest of its words. Its shingles stand in one order for all texts, the common
+more, which fingerprints can't: a tenth of a text replaced in one piece changes more bits than any radius that still
+tells texts apart. A text is named by a digest of its words. Its shingles stand in one order for all texts, the common
 ones last; as two such texts share at least 0.8 of either set, they share one of the first ones, up to
 a fifth of the set and one more, and meet there. What is common is learned from a part of the texts; any
 order finds all pairs, a better one lets fewer others meet. First each visitor of a meeting point is
 compared with a leader of about its size and the one before it, by the texts themselves; then all of
-different components that their sizes and places allow, so that each pair of a meeting point is linked,
+different components that their sizes, places and sketches allow, so that each pair of a meeting point is linked,
 connected already or ruled out. Copies that the first links connect cost as much as their members; pairs of
 a group that stay just below the likeness are compared one by one.
 
-``wide_links`` and ``alike`` search a wider radius of fingerprints and verify it; ``one_of_each`` does not need them.
-
-Null texts count as empty; texts without words have fingerprint 0 and link like any other. Rows with
-equal doc_id are one node for ids, each with its own fingerprint. component_id is the least non-null
-doc_id of a component. Empty tables give empty results; other columns are ignored.
+Null texts count as empty; texts without words have fingerprint 0 and link like any other. In ``near_duplicates`` rows with
+equal doc_id are one node for ids, each with its own fingerprint; component_id is the least non-null
+doc_id of a component. ``one_of_each`` tells rows apart by doc_id and text: unlike texts of one id, and texts without an id, stay.
+Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,11 +47,10 @@ SEGMENTS, SEGMENT_BITS = 16, 4
 BLOCK = 1 << 16
 SEED = 42
 MOST_ROUNDS = 60
-#: Of ``wide_links``: the radius within which all words' fingerprints meet, the widest one of a link, the widest one of the
-#: shingles' fingerprints of a link, and what the texts of a link must have in common, also in ``one_of_each``.
-RADIUS, WIDEST, SHINGLES_WIDEST, LIKE_WORDS, LIKENESS = 5, 8, 18, 5, 0.8
-#: A visitor with so many links to leaders of its meeting point leads no others.
-LEADERS = 4
+#: What the texts of a link in ``one_of_each`` must have in common.
+LIKE_WORDS, LIKENESS = 5, 0.8
+#: Fingerprints that more than one in so many rows have are joined by broadcast: there are fewer than so many.
+HOT_SHARE = 200
 #: Links of one fingerprint are spread over so many keys.
 SALTS = 64
 #: Shingles that stand last in the order: of every so many texts, those that so many have, the most common ones up to a fixed number.
@@ -92,11 +91,6 @@ def majority_fingerprint(text: str, width: int) -> int:
     return majority(np.array(shingle_hashes(text, width), dtype=np.uint64))
 
 
-def words_fingerprint(text: str) -> int:
-    """Bits that more than half of the hashes of the distinct words have."""
-    return majority(np.unique(np.array(shingle_hashes(text, 1), dtype=np.uint64)))
-
-
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -108,28 +102,20 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
 
-def visits(prints: DataFrame, parts: int = 1, part: int = 0, of: str = "fp") -> DataFrame:
-    """The columns of prints, cell, hubs: the cells that each value of ``of`` (or one of its ``parts`` equal parts) visits, and what is within one flip of it in that cell."""
-    names = prints.columns
-    bits = 64 // parts
-    segments = bits // SEGMENT_BITS
-    value = F.col(of) if parts == 1 else F.shiftrightunsigned(of, bits * part).bitwiseAND(F.lit((1 << bits) - 1))
-    popcounts = [F.bit_count(F.shiftrightunsigned("value", SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(segments)]
-    step = [(SEGMENT_BITS + 1) ** i for i in range(segments)]
-    first = part * (SEGMENT_BITS + 1) ** segments  # cells of another part are other cells
-    cell = sum((p.cast("long") * step[i] for i, p in enumerate(popcounts)), F.lit(first).cast("long"))
-
-    def hubs(values):
-        return values if parts == 1 else F.transform(values, lambda x: x + F.lit(part << bits).cast("long"))
+def visits(prints: DataFrame) -> DataFrame:
+    """fp, cell, hubs: the cells that each fingerprint visits, and what is within one flip of it in that cell."""
+    popcounts = [F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) for i in range(SEGMENTS)]
+    step = [(SEGMENT_BITS + 1) ** i for i in range(SEGMENTS)]
+    cell = sum((p.cast("long") * step[i] for i, p in enumerate(popcounts)), F.lit(0).cast("long"))
 
     def flips(i: int, up: bool):
         masks = [1 << (SEGMENT_BITS * i + j) for j in range(SEGMENT_BITS)]
         signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-        own = F.filter(signed, lambda m: (F.col("value").bitwiseAND(m) == 0) if up else (F.col("value").bitwiseAND(m) != 0))
-        return F.struct((F.col("cell") + (step[i] if up else -step[i])).alias("cell"), hubs(F.transform(own, lambda m: F.col("value").bitwiseXOR(m))).alias("hubs"))
+        own = F.filter(signed, lambda m: (F.col("fp").bitwiseAND(m) == 0) if up else (F.col("fp").bitwiseAND(m) != 0))
+        return F.struct((F.col("cell") + (step[i] if up else -step[i])).alias("cell"), F.transform(own, lambda m: F.col("fp").bitwiseXOR(m)).alias("hubs"))
 
-    around = F.array(F.struct(F.col("cell"), hubs(F.array(F.col("value"))).alias("hubs")), *[flips(i, up) for i in range(segments) for up in (True, False)])
-    return prints.select(*names, value.alias("value")).select(*names, "value", cell.alias("cell")).select(*names, F.explode(around).alias("v")).select(*names, "v.cell", "v.hubs").where(F.size("hubs") > 0)
+    around = F.array(F.struct(F.col("cell"), F.array(F.col("fp")).alias("hubs")), *[flips(i, up) for i in range(SEGMENTS) for up in (True, False)])
+    return prints.select("fp", cell.alias("cell")).select("fp", F.explode(around).alias("v")).select("fp", "v.cell", "v.hubs").where(F.size("hubs") > 0)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -141,70 +127,6 @@ def links(prints: DataFrame) -> DataFrame:
     return met.join(least, "hub").where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def wide_links(prints: DataFrame, radius: int = RADIUS, widest: int = WIDEST, shingles_widest: int = SHINGLES_WIDEST) -> DataFrame:
-    """u, v with u > v: links of fp whose words_fp differ in at most ``radius`` bits (up to 11), and of what else meets
-    in at most ``widest``; their own bits differ in at most ``shingles_widest``. prints: distinct fp with a words_fp each.
-
-    Of p parts one differs in at most two bits if all do in 3 p - 1 at most. The visitors of each meeting
-    point pass by in order; one is linked to all leaders within reach, and where these are fewer than
-    ``LEADERS`` it becomes a leader too. So of two fingerprints within the radius, either they are linked or
-    the later one is linked to ``LEADERS`` others; a meeting point costs its visitors times its leaders,
-    never their pairs.
-    """
-    parts = next((p for p in (1, 2, 4) if radius < 3 * p), 0)
-    if not parts:
-        raise ValueError("the radius is 11 at most")
-    own = visits(prints, parts, 0, "words_fp")
-    for part in range(1, parts):
-        own = own.unionByName(visits(prints, parts, part, "words_fp"))
-    shared = own.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
-    met = own.join(shared, "cell", "left_semi").select("words_fp", "fp", F.explode("hubs").alias("hub"))
-    all_bits = (1 << 64) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, leaders = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hubs, words, prints = (batch.column(i).to_numpy() for i in range(3))
-            goes_on = np.concatenate([[hub is not None and hubs[0] == hub], hubs[1:] == hubs[:-1]])
-            # the batch's last row may lead the next batch's first ones
-            met_by_two = goes_on | np.concatenate([goes_on[1:], [True]])
-            us, vs = [], []
-            for i in np.flatnonzero(met_by_two).tolist():
-                w, own = int(words[i]), int(prints[i])
-                if not goes_on[i]:
-                    leaders = [(w, own)]
-                    continue
-                near = [b for a, b in leaders if ((a ^ w) & all_bits).bit_count() <= widest and ((b ^ own) & all_bits).bit_count() <= shingles_widest]
-                us += [own] * len(near)
-                vs += near
-                if len(near) < LEADERS:
-                    leaders.append((w, own))
-            hub = hubs[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    met = met.repartition("hub").sortWithinPartitions("hub", "fp").select("hub", "words_fp", "fp")
-    found = met.mapInArrow(run, "u bigint, v bigint")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def alike(edges: DataFrame, docs: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
-    """The links (u, v) whose texts share enough shingles of ``LIKE_WORDS`` words. distinct: fp and the least doc_id that has it."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    linked = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("least").alias("doc_id"))
-
-    def printed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = texts(batch)
-        fp = np.array([majority_fingerprint(t, width) for t in own], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(own, pa.string())], ["doc_id", "fp", "text"])
-
-    own = docs.select("doc_id", "text").join(linked.select("doc_id"), "doc_id", "left_semi")
-    bodies = map_rows(own, printed, f"doc_id {kind}, fp bigint, text string").join(linked, ["doc_id", "fp"])
-    bodies = stored(bodies.groupBy("fp").agg(F.min("text").alias("text")))  # rows with equal doc_id may share a fingerprint
-    return holding(edges, bodies)
-
-
 def holding(edges: DataFrame, bodies: DataFrame) -> DataFrame:
     """The links (u, v) whose texts share enough shingles of ``LIKE_WORDS`` words. bodies: fp, text."""
 
@@ -261,15 +183,18 @@ def classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     ids = roots.join(distinct, roots["node"] == distinct["fp"])
     by_root = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = ids.join(by_root, "root").select(F.col("node").alias("fp"), "component_id")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document; shingles have ``width`` words."""
     prints = stored(with_fingerprints(docs, width))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    known = classes(distinct, links(distinct.select("fp")))
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    known = stored(classes(distinct, links(distinct.select("fp"))))
+    # Fingerprints of many rows go to these, the others meet theirs by a shuffle.
+    hot = F.broadcast(known.where(F.col("n") > prints.count() // HOT_SHARE + 1).drop("n"))
+    joined = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(known.drop("n"), "fp"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def digest(text: str) -> bytes:
@@ -278,15 +203,15 @@ def digest(text: str) -> bytes:
 
 
 def with_digests(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, digest and, if asked for, the text."""
+    """key, doc_id, digest and, if asked for, the text. docs: key, doc_id, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = texts(batch)
-        columns = [batch.column(0), pa.array([digest(t) for t in own], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.string())] * len(more), ["doc_id", "digest", *more])
+        columns = [batch.column(0), batch.column(1), pa.array([digest(t) for t in own], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.string())] * len(more), ["key", "doc_id", "digest", *more])
 
-    return map_rows(docs.select("doc_id", "text"), run, ", ".join([f"doc_id {kind}", "digest binary", *[f"{m} string" for m in more]]))
+    return map_rows(docs.select("key", "doc_id", "text"), run, ", ".join(["key bigint", f"doc_id {kind}", "digest binary", *[f"{m} string" for m in more]]))
 
 
 def common_shingles(docs: DataFrame, distinct: DataFrame) -> np.ndarray:
@@ -296,15 +221,14 @@ def common_shingles(docs: DataFrame, distinct: DataFrame) -> np.ndarray:
         own = [np.unique(np.array(shingle_hashes(t, LIKE_WORDS), np.uint64)) for t in texts(batch)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], ["h"])
 
-    some = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(ORDER_OF)) == 0).select(F.col("least").alias("doc_id"))
-    counts = map_rows(docs.select("doc_id", "text").join(some, "doc_id", "left_semi").select("text"), run, "h bigint").groupBy("h").count()
+    some = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(ORDER_OF)) == 0).select("key")
+    counts = map_rows(docs.select("key", "text").join(some, "key", "left_semi").select("text"), run, "h bigint").groupBy("h").count()
     found = counts.where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
     return found.column(0).to_numpy()[::-1].view(np.uint64).copy()
 
 
 def first_shingles(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, digest, n (shingles of the text), the first of them in the order, one of which it shares with each text like it, and its sketch."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """key, digest, n (shingles of the text), the first of them in the order, one of which it shares with each text like it, and its sketch."""
     by_hash = np.argsort(common)
     known, ranks = common[by_hash], by_hash + 1
 
@@ -322,9 +246,9 @@ def first_shingles(docs: DataFrame, common: np.ndarray) -> DataFrame:
             firsts.append(hashes[: n - ceil(LIKENESS * n - 1e-6) + 1].view(np.int64))
         columns = [batch.column(0), pa.array([digest(t) for t in own], pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
         columns += [pa.array([x[i] for x in sketches], pa.int64()) for i in range(SKETCH)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "firsts", *SKETCH_NAMES])
+        return pa.RecordBatch.from_arrays(columns, ["key", "digest", "n", "firsts", *SKETCH_NAMES])
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, digest binary, n int, firsts array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH_NAMES))
+    return map_rows(docs.select("key", "text"), run, "key bigint, digest binary, n int, firsts array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH_NAMES))
 
 
 def by_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -416,9 +340,9 @@ def compared(met: DataFrame, all_pairs: bool) -> DataFrame:
 
 
 def likenesses(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """u, v with u > v: links of nodes that connect what texts alike connect. distinct: node, digest, least."""
-    named = distinct.select("node", "digest", F.col("least").alias("doc_id"))
-    firsts = stored(first_shingles(docs, common_shingles(docs, distinct)).join(named, ["doc_id", "digest"]).select("node", "n", "firsts", *SKETCH_NAMES).dropDuplicates(["node"]))
+    """u, v with u > v: links of nodes that connect what texts alike connect. docs: key, text; distinct: node, digest, key (of a row that has the text)."""
+    named = distinct.select("node", "digest", "key")
+    firsts = stored(first_shingles(docs, common_shingles(docs, distinct)).join(named, ["key", "digest"]).select("node", "n", "firsts", *SKETCH_NAMES).dropDuplicates(["node"]))
     met = firsts.select("node", "n", F.posexplode("firsts").alias("at", "hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,8 +361,8 @@ def likenesses(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     def verified(edges: DataFrame) -> DataFrame:
         linked = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(named, "node")
-        own = docs.select("doc_id", "text").join(linked.select("doc_id").distinct(), "doc_id", "left_semi")
-        bodies = with_digests(own, "text").join(linked, ["doc_id", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
+        own = docs.join(linked.select("key"), "key", "left_semi")
+        bodies = with_digests(own, "text").join(linked, ["key", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
         return stored(holding(edges, stored(bodies.select(F.col("node").alias("fp"), "text"))))
 
     tried = stored(compared(met, False))
@@ -451,18 +375,20 @@ def likenesses(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return held.unionByName(verified(rest))
 
 
-def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The documents without their near-duplicates: of each class the one with the least doc_id, of its repeated rows the one with the least text.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without their near-duplicates: of each class the one with the least doc_id (null last), of rows with equal doc_id and text one.
 
-    A class joins texts of equal words and texts that ``likenesses`` links; ``width`` has no influence any more.
-    Rows without doc_id go.
+    A class joins texts of equal words and texts that ``likenesses`` links.
     """
-    docs = docs.where("doc_id is not null")
-    prints = stored(with_digests(docs))
-    distinct = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    known = classes(distinct.select(F.col("node").alias("fp"), "least"), likenesses(docs, distinct))
-    known = known.join(distinct.select(F.col("node").alias("fp"), "digest"), "fp").select("digest", "component_id")
-    kept = prints.join(known, "digest").where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return own.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
+    prints = with_digests(keyed)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least")
+    distinct = stored(prints.groupBy("digest").agg(least).select("digest", "least", "least.key", F.monotonically_increasing_id().alias("node")))
+    roots = stored(components(likenesses(keyed, distinct)))
+    rooted = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    kept = stored(rooted.agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key")))
+    hashed = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    # Equal rows are folded before they move.
+    own = docs.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("__row"))
+    return own.join(kept, "__key", "left_semi").select("__row.*")

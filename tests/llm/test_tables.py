@@ -19,7 +19,7 @@ from tallybook.llm.language_id import identify
 from tallybook.llm.licenses import scan_licenses
 from tallybook.llm.line_dedup import LONG_WORDS, dedup_lines
 from tallybook.llm.mixing import mix_sources, mixed_documents
-from tallybook.llm.near_dedup import alike, components, majority_fingerprint, near_duplicates, one_of_each, shingle_hashes, wide_links, words_fingerprint
+from tallybook.llm.near_dedup import components, majority_fingerprint, near_duplicates, one_of_each, shingle_hashes
 from tallybook.llm.pieces import decode_documents, encode_documents, piece_digests
 from tallybook.llm.simhash import edited, edited_fingerprints, fingerprint, fingerprints, within_radius
 from tallybook.llm.token_counts import count_tokens, truncate_to_budget
@@ -40,7 +40,7 @@ DOCUMENT_OPERATORS = {
     "lines": dedup_lines,
     "licenses": scan_licenses,
     "near": lambda d: near_duplicates(d, 3),
-    "one": lambda d: one_of_each(d, 3),
+    "one": one_of_each,
     "languages": identify,
 }
 
@@ -400,30 +400,6 @@ def test_no_labels_and_no_letters(spark):
     assert {r.doc_id: r.lang_pred for r in identify(one).collect()} == {1: "xx", 2: "und", 3: "und", 7: "xx"}
 
 
-@pytest.mark.parametrize("radius", [2, 5, 11])
-def test_wide_links(spark, radius):
-    rng = random.Random(radius)
-    prints = {rng.getrandbits(64) for _ in range(60)}
-    for p in list(prints):
-        for _ in range(6):
-            prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 2))))
-    prints = [p - (1 << 64) if p >> 63 else p for p in prints]
-    both = spark.createDataFrame([(p, p) for p in prints], "fp bigint, words_fp bigint")
-    found = {(r.u, r.v) for r in wide_links(both, radius, radius).collect()}
-    near = {(max(a, b), min(a, b)) for a, b in combinations(prints, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
-    assert found <= near
-    linked = {x for pair in found for x in pair}
-    assert all(pair[0] in linked or pair[1] in linked for pair in near)
-    assert len(near & found) > 0.8 * len(near)
-
-
-def test_wide_links_verify_both_fingerprints(spark):
-    """Equal sets of words alone make no link, and six bits in one half are taken along where the other half meets."""
-    rows = [(0b1, 5), ((1 << 40) - 1, 5), (0b11, 5 ^ 0b111111)]
-    found = {(r.u, r.v) for r in wide_links(spark.createDataFrame(rows, "fp bigint, words_fp bigint")).collect()}
-    assert found == {(0b11, 0b1)}
-
-
 def test_one_of_each(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
@@ -438,25 +414,30 @@ def test_one_of_each(spark):
             bodies.append(copy)
     bodies = [" ".join(b) for b in bodies] + ["", None, bodies[0][0], " ".join(bodies[0]).upper()]
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(bodies)], SCHEMA)
-    kept = {r.doc_id for r in one_of_each(docs, 3).collect()}
-    prints = [majority_fingerprint(t or "", 3) for t in bodies]
-    words = [words_fingerprint(t or "") for t in bodies]
+    kept = {r.doc_id for r in one_of_each(docs).collect()}
     sets = [set(shingle_hashes(t or "", 5)) for t in bodies]
-
-    def left(linked):
-        root = list(range(len(bodies)))
-        for a, b in combinations(range(len(bodies)), 2):
-            if prints[a] == prints[b] or linked(a, b):
-                low, high = sorted((root[a], root[b]))
-                root = [low if r == high else r for r in root]
-        return set(root)
-
+    same = [(t or "").lower().split() for t in bodies]
     like = lambda a, b: len(sets[a] & sets[b]) > 0 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    assert left(like) <= kept  # nothing goes that has no link
-    assert kept <= left(lambda a, b: like(a, b) and (words[a] ^ words[b]).bit_count() <= 5)  # all that must meet are found
+    root = list(range(len(bodies)))
+    for a, b in combinations(range(len(bodies)), 2):
+        if same[a] == same[b] or like(a, b):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert kept == set(root)
     assert len(kept) < 85 and all(5 * i + 4 in kept for i in range(30))  # forty changed words are another text
 
 
+def test_one_of_each_without_or_with_equal_ids(spark):
+    """Unlike texts of one id and texts without an id stay, of equal rows one."""
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, d), (7, d + " end"), (2, a.upper()), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, "s", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in one_of_each(docs.repartition(3)).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (None, c), (7, d + " end")], key=repr)
+
+
 def test_texts_of_equal_fingerprint_are_told_apart(spark):
     """A shingle of more than half of a text makes its fingerprint, whatever the rest says."""
     rng = random.Random(4)
@@ -464,7 +445,7 @@ def test_texts_of_equal_fingerprint_are_told_apart(spark):
     bodies = ["- " * 300 + t for t in tails] + [("- " * 300 + tails[0]).upper()]
     assert majority_fingerprint(bodies[0], 3) == majority_fingerprint(bodies[1], 3)
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(bodies)], SCHEMA)
-    assert {r.doc_id for r in one_of_each(docs, 3).collect()} == {0, 1}
+    assert {r.doc_id for r in one_of_each(docs).collect()} == {0, 1}
 
 
 def test_one_of_each_finds_all_pairs_of_a_dense_group(spark):
@@ -495,16 +476,53 @@ def test_one_of_each_finds_all_pairs_of_a_dense_group(spark):
             low, high = sorted((root[a], root[b]))
             root = [low if r == high else r for r in root]
     assert 10 < len(set(root)) < 230
-    assert {r.doc_id for r in one_of_each(docs, 3).collect()} == set(root)
+    assert {r.doc_id for r in one_of_each(docs).collect()} == set(root)
+
+
+@pytest.fixture(scope="module")
+def large_group(spark):
+    """1,500 texts around one passage that are alike to some of each other, as many copies of one text with other words in one place, and other texts."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage, base, bodies = [word() for _ in range(60)], [word() for _ in range(100)], []
+    for i in range(1500):
+        bodies.append(passage + [word() for _ in range(rng.choice((4, 8, 30)))])
+        copy = list(base)
+        copy[rng.randrange(100)] = word()
+        bodies.append(copy)
+    bodies += [[word() for _ in range(40)] for _ in range(200)]
+    rng.shuffle(bodies)
+    return [" ".join(b) for b in bodies]
+
+
+def all_pairs_classes(bodies):
+    """Least index of each text's class, by comparing every pair with shared shingles."""
+    at: dict[int, list[int]] = defaultdict(list)
+    sets = [set(shingle_hashes(t, 5)) for t in bodies]
+    for i, s in enumerate(sets):
+        for h in s:
+            at[h].append(i)
+    root = list(range(len(bodies)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j, both in Counter(j for h in s for j in at[h] if j < i).items():
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in range(len(bodies))}
 
 
-def test_alike_drops_links_of_unlike_texts(spark):
-    texts = ["a b c d e f g h", "A b c d e f g h", "p q r s t u v w"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    prints = [np.array([majority_fingerprint(t, 3)], np.uint64).view(np.int64)[0].item() for t in texts]
-    distinct = spark.createDataFrame([(prints[0], 0), (prints[2], 2)], "fp bigint, least bigint")
-    edges = spark.createDataFrame([(max(prints), min(prints))], "u bigint, v bigint")
-    assert prints[0] == prints[1] and not alike(edges, docs, distinct, 3).count()
+def test_one_of_each_of_a_large_group(spark, large_group):
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(large_group)], SCHEMA)
+    exact = all_pairs_classes(large_group)
+    assert 200 < len(exact) < 1900
+    assert {r.doc_id for r in one_of_each(docs).collect()} == exact
 
 
 def test_pipeline(spark, tmp_path):
