@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,25 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is named (tests), one of our own."""
+    """The shared folder of the cluster; a folder of our own only where none is named and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tallybook-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+#: Folders of ``stored`` that are still there.
+kept_folders: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, and its size is known."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept_folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def null_safe_key(*names: str):
-    """Columns of a join key in which nulls are equal to nulls."""
-    return [F.struct(*[F.col(n) for n in names])]
+def clear_stored(spark: SparkSession, before: int = 0) -> None:
+    """Deletes what ``stored`` has written but for the first ``before`` folders. Only for results that are written already: others still read it."""
+    jvm = spark.sparkContext._jvm
+    while len(kept_folders) > before:
+        path = jvm.org.apache.hadoop.fs.Path(kept_folders.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ and one whose runner-up is close is flagged as ambiguous.
 
 The classifiers come from n-gram counts over all labelled rows, each document with the same weight;
 counts are whole numbers, so every order of adding them gives the same model. Labels are the
-values of lang that are not null. Null texts and texts without letters are ``und`` with score 0, as is
+values of lang that are not null, the ``MOST_LANGUAGES`` most frequent ones. Null texts and texts without letters are ``und`` with score 0, as is
 every text when no row has a label. Repeated rows give repeated results; other columns are ignored.
 """
 
@@ -31,6 +31,8 @@ FEATURES = BUCKETS * len(ORDERS)
 UNIT = 1_000_000
 FOLDS = 5
 LEAST_CODE = 15
+#: Labels that are learned: the most frequent ones (ties by code point); it bounds the model and what the driver gets.
+MOST_LANGUAGES = 256
 AMBIGUOUS = 0.1
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case, other ASCII as spaces, all else as it is.
@@ -102,9 +104,10 @@ def language_counts(labelled: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model:
-    """From the rows that are not held out and have a label and letters. The driver gets FEATURES numbers for each language."""
+    """From the rows that are not held out and have a label and letters. The driver gets FEATURES numbers for each of at most MOST_LANGUAGES languages."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    table = language_counts(labelled).toArrow()
+    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
+    table = language_counts(labelled.join(F.broadcast(frequent), "lang", "left_semi")).toArrow()
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
     place = {lang: i for i, lang in enumerate(languages)}

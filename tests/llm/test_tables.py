@@ -525,6 +525,32 @@ def test_one_of_each_of_a_large_group(spark, large_group):
     assert {r.doc_id for r in one_of_each(docs).collect()} == exact
 
 
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    import tallybook.llm.language_id as m
+
+    monkeypatch.setattr(m, "MOST_LANGUAGES", 2)
+    rows = [(i, f"text of label {i}", f"dirty-{i}") for i in range(60)] + [(100 + i, "ein deutscher satz", "de") for i in range(9)] + [(200 + i, "an english text", "en") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert m.fit(docs).languages == ["de", "en"]
+
+
+def test_scratch_folder(spark):
+    from tallybook.llm import common
+
+    class Cluster:
+        conf = type("conf", (), {"get": staticmethod(lambda name, other: None)})
+        sparkContext = type("context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.scratch_dir(Cluster)
+    before = len(common.kept_folders)
+    kept = common.stored(spark.range(3))
+    assert kept.count() == 3
+    path = common.kept_folders[-1]
+    common.clear_stored(spark, before)
+    assert len(common.kept_folders) == before and not __import__("os").path.exists(path)
+
+
 def test_pipeline(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
