@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONCE = "tallybook-end-of-record"
@@ -48,3 +50,35 @@ def keys(json_text: Column) -> Column:
 
 def has_any(names: Column, *wanted: str) -> Column:
     return F.arrays_overlap(names, F.array(*[F.lit(w) for w in wanted]))
+
+
+class Field(NamedTuple):
+    """What a path of a VARIANT holds: its value, the name of its type and its text; null where there is no such path."""
+
+    value: Column
+    shape: Column
+    text: Column
+
+    @property
+    def there(self) -> Column:
+        return self.value.isNotNull()
+
+    @property
+    def is_text(self) -> Column:
+        return self.shape == "STRING"
+
+    @property
+    def is_object(self) -> Column:
+        return F.startswith(self.shape, F.lit("OBJECT"))
+
+    @property
+    def is_integer(self) -> Column:
+        return self.shape.isin("BIGINT", "TINYINT", "SMALLINT", "INT")
+
+
+def extracted(df: DataFrame, v: str, paths: list[str]) -> tuple[DataFrame, dict[str, Field]]:
+    """df with columns for the value, shape and text of each path, read once each, and the fields by path. Rules over them are plain expressions."""
+    at = {p: f"__{v}_{i}" for i, p in enumerate(dict.fromkeys(paths))}
+    df = df.withColumns({f"{c}v": F.col(v) if p == "$" else member(F.col(v), p) for p, c in at.items()})
+    df = df.withColumns({f"{c}s": F.schema_of_variant(f"{c}v") for c in at.values()} | {f"{c}t": F.try_variant_get(f"{c}v", "$", "string") for c in at.values()})
+    return df, {p: Field(F.col(f"{c}v"), F.col(f"{c}s"), F.col(f"{c}t")) for p, c in at.items()}

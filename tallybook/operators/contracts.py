@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_utc_second
-from ..functions.values import is_object, keys, member, once, truthy
+from ..functions.values import Field, extracted, is_object, keys, member, once, truthy
 
 # Fixed values of the agent-run contract.
 KINDS = ("agent.run.started", "agent.run.completed", "agent.run.blocked")
@@ -49,44 +49,54 @@ KEY_MARKER = "-----BEGIN " + "PRIVATE KEY-----"
 
 def errors_of(rules: list[tuple[Column, str]]) -> Column:
     """The texts of the rules whose condition for an error holds, in order."""
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(text)) for c, text in rules]), lambda x: x.isNotNull())
-
-
-def agent_run_errors(v: Column) -> Column:
-    """Errors of an agent-run event given as VARIANT; empty if it is valid."""
-    return once(v, _agent_run_errors)
-
-
-def _agent_run_errors(v: Column) -> Column:
-    present = lambda path: member(v, path).isNotNull()
-    text = lambda path: member(v, path, "string")
-    shape = lambda path: F.schema_of_variant(member(v, path))
-    rules: list[tuple[Column, str]] = [(v.isNull() | ~is_object(v), "$: not an object")]
-    for path in ("$.source", "$.subject", "$.data"):
-        rules.append((present(path) & ~is_object(member(v, path)), f"{path}: not an object"))
-    for path, allowed in KEYS.items():
-        rules.append((F.size(F.array_except(keys(F.to_json(member(v, path))), F.array(*[F.lit(k) for k in allowed]))) > 0, f"{path}: unknown key"))
-    rules += [(~present(f"$.{k}"), f"$.{k}: missing") for k in REQUIRED]
-    rules += [(present("$.source") & ~present(f"$.source.{k}"), f"$.source.{k}: missing") for k in KEYS["$.source"]]
-    rules += [(present(p) & ~((shape(p) == "STRING") & text(p).isin(*allowed)), f"{p}: not allowed") for p, allowed in ENUMS.items()]
-    rules += [(present(p) & ~((shape(p) == "STRING") & F.length(text(p)).between(1, most)), f"{p}: length") for p, most in LENGTHS.items()]
-    rules += [(present(p) & ~(shape(p).isin("BIGINT", "TINYINT", "SMALLINT", "INT") & (member(v, p, "bigint") >= least)), f"{p}: not an integer of at least {least}") for p, least in INTEGERS.items()]
-    rules.append((present("$.event_id") & ~((shape("$.event_id") == "STRING") & text("$.event_id").rlike(EVENT_ID)), "$.event_id: pattern"))
-    rules.append((present("$.ts") & parse_utc_second(text("$.ts")).isNull(), "$.ts: pattern"))
+    none = F.array(F.lit(None).cast("string"))
+    return F.array_except(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(text)) for c, text in rules]), none)  # unlike a filter by lambda it is compiled
+
+
+CONDITIONAL = ("$.subject.scope", "$.subject.repo", "$.subject.host", "$.status", "$.data.operation", "$.data.task_class")
+
+
+def with_agent_run_errors(df: DataFrame, v: str, name: str = "errors") -> DataFrame:
+    """Df and the errors of an agent-run event in the VARIANT column ``v``; empty if it is valid."""
+    own = df.columns
+    paths = ["$", "$.source", "$.subject", "$.data", *[f"$.{k}" for k in REQUIRED], *[f"$.source.{k}" for k in KEYS["$.source"]], *ENUMS, *LENGTHS, *INTEGERS, *ARRAYS, *CONDITIONAL]
+    df, at = extracted(df, v, paths)
+    df = df.withColumns({f"__keys{i}": F.array_except(keys(F.to_json(at[p].value)), F.array(*[F.lit(k) for k in allowed])) for i, (p, allowed) in enumerate(KEYS.items())})
+    rules: list[tuple[Column, str]] = [(~F.coalesce(at["$"].is_object, F.lit(False)), "$: not an object")]
+    rules += [(at[p].there & ~at[p].is_object, f"{p}: not an object") for p in ("$.source", "$.subject", "$.data")]
+    rules += [(F.size(f"__keys{i}") > 0, f"{p}: unknown key") for i, p in enumerate(KEYS)]
+    rules += [(~at[f"$.{k}"].there, f"$.{k}: missing") for k in REQUIRED]
+    rules += [(at["$.source"].there & ~at[f"$.source.{k}"].there, f"$.source.{k}: missing") for k in KEYS["$.source"]]
+    rules += [(at[p].there & ~(at[p].is_text & at[p].text.isin(*allowed)), f"{p}: not allowed") for p, allowed in ENUMS.items()]
+    rules += [(at[p].there & ~(at[p].is_text & F.length(at[p].text).between(1, most)), f"{p}: length") for p, most in LENGTHS.items()]
+    rules += [(at[p].there & ~(at[p].is_integer & (at[p].text.try_cast("bigint") >= least)), f"{p}: not an integer of at least {least}") for p, least in INTEGERS.items()]
+    event_id, ts = at["$.event_id"], at["$.ts"]
+    rules.append((event_id.there & ~(event_id.is_text & event_id.text.rlike(EVENT_ID)), "$.event_id: pattern"))
+    rules.append((ts.there & (~ts.is_text | parse_utc_second(ts.text).isNull()), "$.ts: pattern"))
     for p, (least, most) in ARRAYS.items():
-        items = member(v, p, "array<string>")
-        fits = F.size(items).between(least, most) & (F.size(F.array_distinct(items)) == F.size(items))
-        fits &= F.forall(items, lambda x: x.rlike(EVENT_ID)) if p != "$.evidence_refs" else F.forall(items, lambda x: F.length(x).between(1, 240))
-        rules.append((present(p) & ~F.coalesce(fits, F.lit(False)), f"{p}: items"))
-    scope = text("$.subject.scope")
+        fits = texts_fit(at[p], least, most, (lambda x: x.rlike(EVENT_ID)) if p != "$.evidence_refs" else (lambda x: F.length(x).between(1, 240)))
+        rules.append((at[p].there & ~fits, f"{p}: items"))
+    there = lambda p: at[p].there
+    scope = at["$.subject.scope"].text
     rules += [
-        ((text("$.status") == "corrected") & ~present("$.corrects"), "$.corrects: missing"),
-        (present("$.subject") & ~present("$.subject.repo") & ~(present("$.subject.scope") & present("$.subject.host")), "$.subject: no target"),
-        ((scope == "repository") & (~present("$.subject.repo") | present("$.subject.host")), "$.subject: not a repository's"),
-        ((scope == "host") & (~present("$.subject.host") | present("$.subject.repo")), "$.subject: not a host's"),
-        (present("$.subject.scope") & (~present("$.data.operation") | ~present("$.data.task_class")), "$.data: operation and task_class missing"),
+        ((at["$.status"].text == "corrected") & ~there("$.corrects"), "$.corrects: missing"),
+        (there("$.subject") & ~there("$.subject.repo") & ~(there("$.subject.scope") & there("$.subject.host")), "$.subject: no target"),
+        ((scope == "repository") & (~there("$.subject.repo") | there("$.subject.host")), "$.subject: not a repository's"),
+        ((scope == "host") & (~there("$.subject.host") | there("$.subject.repo")), "$.subject: not a host's"),
+        (there("$.subject.scope") & (~there("$.data.operation") | ~there("$.data.task_class")), "$.data: operation and task_class missing"),
     ]
-    return errors_of(rules)
+    return df.withColumn(name, errors_of(rules)).select(*own, name)
+
+
+def texts_fit(field: Field, least: int, most: int | None, item, unique: bool = True) -> Column:
+    """Whether a field is an array of texts, all different, that meet ``item``. The elements' own types count: a number is no text."""
+    items = F.try_variant_get(field.value, "$", "array<string>")
+    fits = field.shape.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(items) >= least) & F.forall(items, lambda x: F.coalesce(item(x), F.lit(False)))
+    if most is not None:
+        fits &= F.size(items) <= most
+    if unique:
+        fits &= F.size(F.array_distinct(items)) == F.size(items)
+    return F.coalesce(fits, F.lit(False))
 
 
 def provenance_errors(v: Column) -> Column:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import bounded, matches_glob
 from ..functions.times import expiry, utc_millis, utc_second
-from ..functions.values import has_any, keys, member, once, truthy
+from ..functions.values import has_any, is_object, keys, member, once, truthy
 
 # Retention patterns in order, first match wins; 0 days is unlimited.
 POLICIES = (
     ("debug.*", 7), ("*.debug", 7), ("*.debug.*", 7), ("probe.*", 7), ("*.probe", 7), ("test.*", 7), ("*.test", 7), ("*.test.*", 7),
-    ("temp.*", 1), ("*.temp", 1), ("*.temp.*", 1), ("heimgeist.self_state.snapshot", 0), ("*.published.v1", 0), ("*.published.v*", 0), ("insights.*", 90), ("*", 30),
+    ("temp.*", 1), ("*.temp", 1), ("*.temp.*", 1), ("*.self_state.snapshot", 0), ("*.published.v1", 0), ("*.published.v*", 0), ("insights.*", 90), ("*", 30),
 )
 DEFAULT_TTL = 30
 # Names that mean the same.
@@ -71,12 +71,41 @@ def with_envelope(df: DataFrame, domain: str, received: str, payload_json: str,
     ).withColumn("envelope_domain", F.col(domain))
 
 
-def envelope_json() -> Column:
-    """The envelope as JSON; a null quality leaves its key out."""
-    quality = F.when(F.col("signal_strength").isNotNull(), F.struct("signal_strength", "completeness"))
-    return F.to_json(
-        F.struct(F.col("envelope_domain").alias("domain"), F.col("received_second").alias("received_at"), F.struct("ttl_days", "expires_at").alias("retention"), quality.alias("quality"))
-    )
+def envelope_json(payload_json: str) -> Column:
+    """The envelope as JSON of the rows of ``with_envelope``; a null expiry stays as null, without quality its key is left out."""
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    text = lambda c: F.coalesce(F.to_json(F.col(c).cast("variant")), F.lit("null"))
+    retention = F.concat(F.lit("{"), F.concat_ws(",", field("ttl_days", F.col("ttl_days").cast("string")), field("expires_at", text("expires_at"))), F.lit("}"))
+    quality = F.when(F.col("signal_strength").isNotNull(), field("quality", F.concat(F.lit('{"signal_strength":'), text("signal_strength"), F.lit(',"completeness":'), F.col("completeness").cast("string"), F.lit("}"))))
+    parts = [field("domain", text("envelope_domain")), field("received_at", text("received_second")), field("payload", F.col(payload_json)), field("retention", retention), quality]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def with_markers(payload_json: Column) -> Column:
+    """The payload with its quality, in place of one it has."""
+    quality = F.concat(F.lit('{"signal_strength":"'), signal_strength(payload_json), F.lit('","completeness":'), completeness(payload_json).cast("string"), F.lit("}"))
+    return with_member(payload_json, "quality", quality)
+
+
+def with_domain(payload_json: Column, domain: Column) -> Column:
+    """The item with this domain, whatever it had."""
+    return with_member(payload_json, "domain", F.to_json(domain.cast("variant")))
+
+
+def with_event_id(payload_json: Column) -> Column:
+    """The item with its id as event_id too, only if it has no event_id, not even null."""
+    v = F.try_parse_json(payload_json)
+    own = keys(payload_json)
+    given = has_any(own, "id") & ~has_any(own, "event_id")
+    return F.when(given, with_member(payload_json, "event_id", F.to_json(member(v, "$.id")))).otherwise(payload_json)
+
+
+def with_member(object_json: Column, name: str, value_json: Column) -> Column:
+    """An object's JSON with one member set, behind the others."""
+    items = F.from_json(object_json, "map<string,variant>")
+    others = F.filter(keys(object_json), lambda k: k != name)
+    pairs = F.transform(others, lambda k: F.concat(F.to_json(k.cast("variant")), F.lit(":"), F.coalesce(F.to_json(items[k]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.concat_ws(",", pairs, F.array(F.concat(F.lit(f'"{name}":'), value_json))), F.lit("}"))
 
 
 def unwrapped(item: Column) -> Column:
@@ -84,6 +113,12 @@ def unwrapped(item: Column) -> Column:
     return F.coalesce(member(item, "$.payload"), item)
 
 
+def extracted_payload(item: Column) -> Column:
+    """The payload if it is an object, else the whole item."""
+    payload = member(item, "$.payload")
+    return F.when(is_object(payload), payload).otherwise(item)
+
+
 def unexpired(expires_at: Column, now: Column) -> Column:
     """no expiry, or one after now."""
     return expires_at.isNull() | (expires_at > now)

@@ -14,8 +14,32 @@ def blank_to_null(c: Column) -> Column:
 
 
 def operation() -> Column:
-    """P10: of the data, else of the subject."""
-    return F.coalesce(blank_to_null(F.col("operation")), F.col("subject_operation"))
+    """P10: of the data, else of the subject. Columns: operation, subject_operation."""
+    return F.coalesce(blank_to_null(F.col("operation")), blank_to_null(F.col("subject_operation")))
+
+
+def target() -> Column:
+    """struct(scope, name): the host of a host event, else the repository."""
+    host_event = F.col("scope").eqNullSafe("host")
+    return F.struct(F.when(host_event, "host").otherwise("repository").alias("scope"), F.when(host_event, F.col("host")).otherwise(F.col("repo")).alias("name"))
+
+
+def recent_rows(events: DataFrame) -> DataFrame:
+    """event_id, ts, kind, repo, target, operation, task_class, outcome, blocker_code; blockers of blocked events only."""
+    outcome = F.coalesce(blank_to_null(F.col("outcome")), F.col("result"))
+    return events.select("event_id", "ts", "kind", "repo", target().alias("target"), "operation", "task_class", outcome.alias("outcome"), F.when(F.col("kind") == "agent.run.blocked", F.col("blocker_code")).alias("blocker_code"))
+
+
+def view_rows(events: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, repo, run_id, kind, branch, evidence (the first reference), summary; "" for what is missing."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return events.select(*keep, text("repo").alias("repo"), text("run_id").alias("run_id"), "kind", text("branch").alias("branch"), F.coalesce(F.try_element_at("evidence_refs", F.lit(1)), F.lit("")).alias("evidence"), text("summary").alias("summary"))
+
+
+def produced_by(source_repo: str, component: str, kinds: tuple[str, ...]) -> Column:
+    """null for an event of this producer (source_repo, source_component) and these kinds, else the reason against it."""
+    fits = F.col("source_repo").eqNullSafe(source_repo) & F.col("source_component").eqNullSafe(component)
+    return F.when(~fits, "other producer").when(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), "other kind")
 
 
 def on_repo(repo: str) -> Column:
@@ -27,10 +51,11 @@ def on_host(host: str) -> Column:
     return F.col("scope").eqNullSafe("host") & (F.col("host") == host)
 
 
-def filtered(events: DataFrame, repo: str = "", host: str = "", operation: str = "", task_class: str = "", outcome: str = "", component: str = "", since: Column | None = None) -> DataFrame:
-    """Events that meet all given conditions; an empty text sets none."""
+def filtered(events: DataFrame, repo: str = "", host: str = "", operation: str = "", task_class: str = "", outcome: str = "", component: str = "", since: Column | None = None, subject_component: str = "") -> DataFrame:
+    """Events that meet all given conditions; an empty text sets none. The source's component and the subject's stand for themselves."""
     conditions = [on_repo(repo)] * bool(repo) + [on_host(host)] * bool(host)
-    conditions += [F.col(c) == v for c, v in (("operation", operation), ("task_class", task_class), ("component", component)) if v]
+    given = (("operation", operation), ("task_class", task_class), ("source_component", component), ("subject_component", subject_component))
+    conditions += [F.col(c) == v for c, v in given if v]
     if outcome:
         conditions.append(F.coalesce(blank_to_null(F.col("outcome")), F.col("result")) == outcome)
     if since is not None:
@@ -99,8 +124,20 @@ def newer_only(reports: DataFrame, key: str, time: str) -> DataFrame:
     return reports.withColumn("newest_before", F.max(time).over(before)).where(F.col("newest_before").isNull() | (F.col(time) > F.col("newest_before"))).drop("newest_before")
 
 
-def contiguous(ranges: DataFrame, key: str) -> DataFrame:
-    """Whether the ranges (start_offset, end_offset) of each key follow each other from 0 without gaps."""
-    w = Window.partitionBy(key).orderBy("start_offset")
-    follows = F.col("start_offset") == F.coalesce(F.lag("end_offset").over(w), F.lit(0))
-    return ranges.withColumn("follows", follows).groupBy(key).agg(F.bool_and("follows").alias("contiguous"), F.max("end_offset").alias("size"))
+def contiguous(ranges: DataFrame, key: str, size: str | None = None) -> DataFrame:
+    """For each key its end, and whether its ranges (start_offset, end_offset) follow each other from 0 to it without gaps or
+    overlaps; with a column ``size``, also whether the end is the size.
+
+    Each offset is as often a start as an end, but for 0 and the last end: of ranges that go forward, only one chain does that.
+    """
+    forward = F.col("start_offset") < F.col("end_offset")
+    ends = F.array(F.struct(F.col("start_offset").alias("at"), F.lit(1).alias("n")), F.struct(F.col("end_offset").alias("at"), F.lit(-1).alias("n")))
+    offsets = ranges.select(key, F.explode(ends).alias("e")).groupBy(key, "e.at").agg(F.sum("e.n").alias("n"))
+    net = offsets.where("n <> 0").groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("__net"))
+    sizes = ranges.groupBy(key).agg(F.max("end_offset").alias("end"), F.min(forward).alias("__forward"), *([F.max(size).alias("__size")] if size else []))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("n")), F.struct(F.col("end").alias("at"), F.lit(-1).cast("long").alias("n")))
+    follows = F.col("__forward") & (F.coalesce(F.to_json("__net"), F.lit("")) == F.to_json(whole))
+    if size:
+        follows &= F.col("end") == F.col("__size")
+    joined = sizes.join(net, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.select(key, follows.alias("contiguous"), F.col("end").alias("size"))

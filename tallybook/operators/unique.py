@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import table_or_none, written
+
+#: Folders of a domain in a ledger, by a hash of event_id; a batch reads only those it has identities of.
+BUCKETS = 64
+#: Pairs of domain and bucket that are named to the scan; a batch with more reads all buckets of the ledger.
+MOST_FOLDERS = 4_096
+
 
 class IdentityConflict(ValueError):
     """An identity comes with two payloads; nothing is written."""
 
 
+def bucket(event_id: str = "event_id") -> Column:
+    return F.pmod(F.xxhash64(event_id), F.lit(BUCKETS)).cast("int")
+
+
 def conflicts(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """Identities with more than one fingerprint in the batch, or another one in the ledger. Both: domain, event_id, fp."""
     keys = ["domain", "event_id"]
@@ -18,12 +29,28 @@ def conflicts(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return inside.join(known, keys, "left").where("a <> b or known <> a").select(*keys).distinct()
 
 
+def first_rows(batch: DataFrame) -> DataFrame:
+    """The first row of each identity in order of group and row, by partial minima."""
+    keys = ["domain", "event_id"]
+    rest = [c for c in batch.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct("group_pos", "row_pos")).alias("first")
+    return batch.groupBy(*keys).agg(first).select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest]).select(batch.columns)
+
+
 def new_rows(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """The first row of each identity that the ledger does not have, in order of group and row."""
     keys = ["domain", "event_id"]
-    first = Window.partitionBy(*keys).orderBy("group_pos", "row_pos")
-    fresh = batch.join(ledger.select(*keys), keys, "left_anti")
-    return fresh.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
+    return first_rows(batch).join(ledger.select(*keys), keys, "left_anti")
+
+
+def check_groups(groups: DataFrame, rows: DataFrame) -> None:
+    """K3: each group (group_id, group_pos) stands once and has rows (group_pos)."""
+    again = groups.groupBy("group_id").count().where("count > 1 or group_id is null or group_id = ''").take(1)
+    if again:
+        raise ValueError(f"group {again[0]['group_id']!r} is empty or stands more than once")
+    bare = groups.join(rows.select("group_pos").distinct(), "group_pos", "left_anti").take(1)
+    if bare:
+        raise ValueError(f"group {bare[0]['group_id']!r} has no rows")
 
 
 def group_counts(batch: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -39,29 +66,46 @@ def missing(wanted: DataFrame, ledger: DataFrame) -> DataFrame:
     return wanted.join(ledger, ["domain", "event_id"], "left_anti")
 
 
+def folders_of(batch: DataFrame) -> Column:
+    """A condition on domain and bucket that holds for all folders in which the batch (domain, bucket) may have identities."""
+    some = batch.select("domain", "bucket").distinct().limit(MOST_FOLDERS + 1).collect()
+    if len(some) > MOST_FOLDERS:
+        return F.lit(True)
+    by_domain: dict[str, list[int]] = {}
+    for r in some:
+        by_domain.setdefault(r["domain"], []).append(r["bucket"])
+    fits = F.lit(False)
+    for domain, buckets in sorted(by_domain.items(), key=repr):
+        own = F.col("domain").eqNullSafe(domain)
+        fits |= own if len(buckets) == BUCKETS else own & F.col("bucket").isin(*sorted(buckets))
+    return fits
+
+
 def append_unique(batch: DataFrame, path: str) -> tuple[int, int]:
-    """K1-K3: appends the new rows of a batch to the Parquet ledger at ``path``, partitioned by domain; (written, skipped).
+    """K1-K3: appends the new rows of a batch to the Parquet ledger at ``path``, in folders by domain and bucket of event_id; (written, skipped).
 
-    The batch is checked as a whole first, and a conflict writes nothing. One writer at a time: plain
-    Parquet cannot refuse a second one.
+    Only the folders of the batch's own identities are read. The batch is checked as a whole first, and a conflict writes nothing. One
+    writer at a time: plain Parquet cannot refuse a second one.
     """
-    spark = batch.sparkSession
-    try:
-        ledger = spark.read.parquet(path).select("domain", "event_id", "fp")
-    except Exception as e:  # a ledger that does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        ledger = batch.select("domain", "event_id", "fp").limit(0)
-    bad = conflicts(batch, ledger).take(5)
+    batch = written(batch.withColumn("bucket", bucket()))
+    requested = batch.count()
+    if not requested:
+        return 0, 0
+    ledger = table_or_none(batch.sparkSession, path)
+    known = batch.select("domain", "event_id", "fp").limit(0) if ledger is None else ledger.where(folders_of(batch)).select("domain", "event_id", "fp")
+    # one row for each identity of the batch: its first row, whether its payloads differ, what the ledger has
+    keys, rest = ["domain", "event_id"], [c for c in batch.columns if c not in ("domain", "event_id")]
+    first = F.min_by(F.struct(*rest), F.struct("group_pos", "row_pos")).alias("first")
+    own = batch.groupBy(*keys).agg(first, (F.min("fp") != F.max("fp")).alias("differs"))
+    judged = written(own.join(known.withColumnRenamed("fp", "known"), keys, "left"))
+    bad = judged.where("differs or known <> first.fp").select(*keys).take(5)
     if bad:
         raise IdentityConflict(f"divergent payloads, among them {[tuple(r) for r in bad]}")
-    requested = batch.count()
-    fresh = new_rows(batch, ledger).persist()
-    written = fresh.count()
-    if written:
-        fresh.write.mode("append").partitionBy("domain").parquet(path)
-    fresh.unpersist()
-    return written, requested - written
+    fresh = judged.where("known is null").select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest])
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").partitionBy("domain", "bucket").parquet(path)
+    return n, requested - n
 
 
 def inventory_delta(current: DataFrame, known: DataFrame) -> DataFrame:
@@ -71,14 +115,35 @@ def inventory_delta(current: DataFrame, known: DataFrame) -> DataFrame:
     return c.join(k, "path", "full_outer").select("path", state.alias("state"))
 
 
-def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
-    """Rows of both, those of the overlay in place of the base's."""
-    both = base.withColumn("generation", F.lit(0)).unionByName(over.withColumn("generation", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("generation").desc()))
-    return both.withColumn("rank", rank).where("rank = 1").drop("rank", "generation")
+def overlay(base: DataFrame, over: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of both, those of the overlay in place of the base's; of several in one generation the last by ``order``, else the greatest row."""
+    both = base.withColumn("__generation", F.lit(0)).unionByName(over.withColumn("__generation", F.lit(1)))
+    rest = [c for c in base.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct("__generation", *([order] if order else rest))).alias("last")
+    return both.groupBy(key).agg(last).select(key, *[F.col(f"last.{c}").alias(c) for c in rest]).select(base.columns)
+
+
+def merged_generations(loose: DataFrame, bundled: DataFrame) -> DataFrame:
+    """One row for each (path, sha256), of the loose table where both have it; unequal fingerprints (fp) of one are an error."""
+    keys = ["path", "sha256"]
+    both = loose.withColumn("__loose", F.lit(1)).unionByName(bundled.withColumn("__loose", F.lit(0)))
+    rest = [c for c in loose.columns if c not in keys]
+    found = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__loose", *rest)).alias("kept"), (F.min("fp") != F.max("fp")).alias("differs"))
+    bad = found.where("differs").take(1)
+    if bad:
+        raise IdentityConflict(f"generations of {bad[0]['path']} differ")
+    return found.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in rest]).select(loose.columns)
 
 
 def confirmed_sources(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """For each source whether all its events are in the ledger with equal payloads. events: source, domain, event_id, fp."""
     known = ledger.select("domain", "event_id", F.col("fp").alias("known"))
     return events.join(known, ["domain", "event_id"], "left").groupBy("source").agg(F.bool_and(F.col("fp").eqNullSafe(F.col("known"))).alias("confirmed"), F.count("*").alias("n"))
+
+
+def one_after_the_other(*inputs: DataFrame) -> DataFrame:
+    """The rows of all inputs with ``pos``, the number of their input."""
+    out = inputs[0].withColumn("pos", F.lit(1))
+    for i, df in enumerate(inputs[1:], 2):
+        out = out.unionByName(df.withColumn("pos", F.lit(i)))
+    return out

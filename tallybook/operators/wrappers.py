@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import sanitize_domain
 from ..functions.times import parse_absolute, parse_iso
 from ..functions.values import is_object, keys, member, once
+from ..plans.folds import walk
 from .contracts import RAW_KEYS, errors_of, provenance_errors, redaction_findings, summary_too_long
 from .history import normalized_status
 
@@ -42,7 +43,7 @@ def first_error(rules: list[tuple[Column, Column | str]]) -> Column:
 
 
 def wrapper_error(v: Column, insight: str, state: str) -> Column:
-    """The first error of a wrapped event of the kinds ``insight`` or ``state``; null if it is valid. A version of true counts as 1 for insights."""
+    """The first error (fixed texts) of a wrapped event of the kinds ``insight`` or ``state``; null if it is valid. A version of true counts as 1 for insights."""
 
     def rules(v: Column) -> Column:
         m = lambda path: member(v, path)
@@ -155,8 +156,8 @@ def source_list(lists: DataFrame) -> DataFrame:
     enabled = member(F.col("s"), "$.enabled")
     rows = items.select("seq", "pos", text("repo").alias("repo"), text("summary_url").alias("url"), F.coalesce(F.try_variant_get("s", "$.enabled", "boolean"), F.lit(True)).alias("enabled"), (enabled.isNull() | F.is_variant_null(enabled) | (shape(enabled) == "BOOLEAN")).alias("fits"))
     rows = rows.where("repo is not null and url is not null and fits and enabled")
-    last = Window.partitionBy("repo").orderBy(F.col("seq").desc(), F.col("pos").desc())
-    return rows.withColumn("rank", F.row_number().over(last)).where("rank = 1").select("repo", "url")
+    last = F.max_by(F.struct("repo", "url"), F.struct("seq", "pos")).alias("last")
+    return rows.groupBy(F.col("repo").alias("__repo")).agg(last).select("last.repo", "last.url")
 
 
 def status_of(v: Column) -> Column:
@@ -172,26 +173,10 @@ def status_of(v: Column) -> Column:
     return once(v, judged)
 
 
-def walk(df: DataFrame, v: str, keep: list[str], depth: int = 8) -> DataFrame:
-    """Keep, path, key, value of every member and element below ``v``, down to ``depth`` levels; null keys in arrays."""
-    level = df.select(*keep, F.lit("$").alias("path"), F.col(v).alias("value"))
-    out = None
-    for _ in range(depth):
-        level = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"))
-        below = level.select(*keep, "path", F.schema_of_variant("value").startswith("ARRAY").alias("in_array"), "value").lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "item")
-        )
-        place = F.when(F.col("in_array"), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key"))
-        level = below.select(*keep, place.alias("path"), "key", F.col("item").alias("value"))
-        out = level if out is None else out.unionByName(level)
-        level = level.drop("key")
-    return out
-
-
-def nested_redaction(df: DataFrame, v: str, keep: list[str]) -> DataFrame:
-    """C15 on nested values: path and finding of forbidden keys and texts at any depth."""
-    rows = walk(df, v, keep)
+def nested_redaction(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """C15 on JSON text: path and finding of forbidden keys and texts at any depth."""
+    rows = walk(df, text, keep)
     raw = F.when(F.lower("key").isin(*RAW_KEYS), F.array(F.lit("raw output")))
-    text = F.when(F.schema_of_variant("value") == "STRING", redaction_findings(F.try_variant_get("value", "$", "string")))
+    findings = F.when(F.col("kind") == "string", redaction_findings(F.try_variant_get(F.try_parse_json("value"), "$", "string")))
     nothing = F.array().cast("array<string>")
-    return rows.select(*keep, "path", F.explode(F.concat(F.coalesce(raw, nothing), F.coalesce(text, nothing))).alias("finding"))
+    return rows.select(*keep, "path", F.explode(F.concat(F.coalesce(raw, nothing), F.coalesce(findings, nothing))).alias("finding"))

@@ -1,75 +1,150 @@
-"""Sequential folds: parallel across keys, ordered within one."""
+"""Sequential folds: parallel across keys, ordered within one. Rows stream by in sorted partitions, so a key may be larger than memory."""
 
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_iso
 
 FUTURE = pd.Timedelta(minutes=10)
+START = b"\0" * 32
 
 
-def hash_chain(lines: DataFrame, key: str) -> DataFrame:
-    """Per key the chain sha256(chain + raw) over its lines in seq order, and their number. Batches stream through, so a key may be larger than memory."""
+def streamed(df: DataFrame, key: str, order: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the rows of df, those of a key together and in order."""
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
-    def run(batches):
-        import pyarrow as pa
 
-        held, chain, n = None, b"\0" * 32, 0
-        done = []
+def hash_chain(lines: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """Per key the chain sha256(chain + raw) over its lines (seq, value) in seq order, and their number.
+
+    ``known`` (key, chain, records) carries chains on from where an earlier run ended.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chain, n, done = None, START, 0, []
         for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, value, old, count in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if n and k != held:
                     done.append((held, chain.hex(), n))
-                    chain, n = b"\0" * 32, 0
-                held, n = k, n + 1
+                    n = 0
+                if not n:
+                    held, chain, n = k, bytes.fromhex(old) if old else START, count or 0
+                n += 1
                 chain = hashlib.sha256(chain + (value or "").encode()).digest()
+            if len(done) > 10_000:
+                yield table(done)
+                done = []
         if n:
             done.append((held, chain.hex(), n))
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], [key, "chain", "records"])
+        yield table(done)
 
-    return lines.select(key, "seq", "value").repartition(key).sortWithinPartitions(key, "seq").select(key, "value").mapInArrow(run, f"{key} string, chain string, records bigint")
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], [key, "chain", "records"])
 
+    own = lines.select(key, "seq", "value")
+    if known is None:
+        own = own.withColumn("old", F.lit(None).cast("string")).withColumn("count", F.lit(None).cast("bigint"))
+    else:
+        own = own.join(known.select(key, F.col("chain").alias("old"), F.col("records").alias("count")), key, "left")
+    ordered = own.repartition(key).sortWithinPartitions(key, "seq").select(key, "value", "old", "count")
+    found = ordered.mapInArrow(run, f"{key} string, chain string, records bigint")
+    return found if known is None else found.unionByName(known.select(key, "chain", "records").join(own.select(key).distinct(), key, "left_anti"))
 
-def within_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
-    """Items (pos, bytes) of each key taken in order while they fit; one that is too large is passed over and later ones may fit."""
-    state = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("pos", "bytes"))),
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken")),
-        lambda s, x: F.when(s["used"] + x["bytes"] <= budget, F.struct((s["used"] + x["bytes"]).alias("used"), F.concat(s["taken"], F.array(x["pos"].cast("long"))).alias("taken"))).otherwise(s),
-    )
-    return items.groupBy(key).agg(state.alias("s")).select(key, F.col("s.used").alias("used"), F.col("s.taken").alias("taken"))
-
-
-def packed(items: DataFrame, key: str, limit: int) -> DataFrame:
-    """Request number for each item (pos, bytes) of a key; a request is a JSON array of at most ``limit`` bytes. An item too large by itself is an error before anything is sent."""
-    if items.where(F.col("bytes") + 2 > limit).take(1):
-        raise ValueError("an item does not fit into a request of its own")
 
+def snapshot_digest(lines: DataFrame, key: str) -> DataFrame:
+    """A3: one row with records and a digest of a table of lines that depends on the order of each key's: the digest over the keys' chains, in order of key."""
+    chains = hash_chain(lines, key)
+    ordered = F.array_sort(F.collect_list(F.struct(key, "chain", "records")))
+    return chains.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.sha2(F.to_json(ordered), 256).alias("snapshot_sha256"))
+
+
+def within_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
+    """Key, pos, bytes and whether the item is taken: items (pos, bytes) of each key in order while they fit; one that is too large is passed over and later ones may fit."""
     kind = items.schema[key].dataType.simpleString()
 
-    def run(batches):
-        import pyarrow as pa
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, used, first = None, 0, True
+        for batch in batches:
+            taken = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if first or k != held:
+                    held, used, first = k, 0, False
+                taken.append(used + n <= budget)
+                used += n if taken[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [key, "pos", "bytes", "taken"])
+
+    own = items.select(key, F.col("pos").cast("long").alias("pos"), F.col("bytes").cast("long").alias("bytes"))
+    return streamed(own, key, ["pos"], run, f"{key} {kind}, pos bigint, bytes bigint, taken boolean")
 
-        held, number, size = None, 0, 2
+
+def packed(items: DataFrame, key: str, limit: int, framed: bool = True) -> DataFrame:
+    """Key, pos, request, start: the number of the request that takes an item (pos, bytes) of a key, and the bytes of it before the item.
+
+    A request is a JSON array of at most ``limit`` bytes with its brackets and commas, or, not ``framed``, the items end to end. An
+    item too large by itself is an error before anything is sent.
+    """
+    frame, comma = (2, 1) if framed else (0, 0)
+    if items.where(F.col("bytes") + frame > limit).take(1):
+        raise ValueError("an item does not fit into a request of its own")
+    kind, place = items.schema[key].dataType.simpleString(), items.schema["pos"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, size, some = None, 0, frame, False
         for batch in batches:
-            requests = []
+            requests, starts = [], []
             for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if k != held:
-                    held, number, size = k, 0, 2
-                extra = n + (size > 2)
-                if size + extra > limit:
-                    number, size, extra = number + 1, 2, n
-                size += extra
+                    held, number, size, some = k, 0, frame, False
+                if size + n + comma * some > limit:
+                    number, size, some = number + 1, frame, False
+                size += comma * some
                 requests.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(requests, pa.int64())], [key, "pos", "request"])
+                starts.append(size)
+                size, some = size + n, True
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(requests, pa.int64()), pa.array(starts, pa.int64())], [key, "pos", "request", "start"])
+
+    return streamed(items.select(key, "pos", F.col("bytes").cast("long").alias("bytes")), key, ["pos"], run, f"{key} {kind}, pos {place}, request bigint, start bigint")
 
-    ordered = items.select(key, F.col("pos").cast("long").alias("pos"), F.col("bytes").cast("long").alias("bytes")).repartition(key).sortWithinPartitions(key, "pos")
-    return ordered.mapInArrow(run, f"{key} {kind}, pos bigint, request bigint")
+
+def walk(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Keep, path, key, kind, value of every member and element below the JSON in ``text``, at any depth; null keys in arrays, values as JSON.
+
+    Text that is no JSON has no rows; of equal keys the last counts.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    kinds = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part, rows, origin = batch.slice(start, 256), [], []
+                for i, line in enumerate(part.column(len(keep)).to_pylist()):
+                    try:
+                        todo = [("$", json.loads(line or ""))]
+                    except ValueError:
+                        continue
+                    while todo:
+                        path, value = todo.pop()
+                        below = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+                        for k, x in below:
+                            at = f"{path}[{k}]" if isinstance(value, list) else f"{path}.{k}"
+                            rows.append((at, None if isinstance(value, list) else k, kinds[type(x)], json.dumps(x, ensure_ascii=False)))
+                            origin.append(i)
+                            if isinstance(x, (dict, list)):
+                                todo.append((at, x))
+                columns = list(zip(*rows)) if rows else [[]] * 4
+                at = pa.array(origin, pa.int32())
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(keep))], *[pa.array(c, pa.string()) for c in columns]], [*keep, "path", "key", "kind", "value"])
+
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, path string, key string, kind string, value string")
 
 
 def step(stored: dict | None, status: str, generated_at: pd.Timestamp | None, received_at: pd.Timestamp) -> dict | None:
@@ -88,11 +163,20 @@ def step(stored: dict | None, status: str, generated_at: pd.Timestamp | None, re
 def reported_states(reports: DataFrame) -> DataFrame:
     """Last state of each repo from reports (repo, seq, status, generated_at text, received_at) in arrival order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for r in pdf.sort_values("seq").itertuples():
-            state = step(state, r.status, None if pd.isna(r.generated) else r.generated, r.received_at) or state
-        return pd.DataFrame([{"repo": pdf["repo"].iloc[0], **state}])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, done = None, None, []
+        for batch in batches:
+            for repo, status, generated, received in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if repo != held:
+                    if state:
+                        done.append((held, *state.values()))
+                    held, state = repo, None
+                state = step(state, status, generated, received) or state
+        if state:
+            done.append((held, *state.values()))
+        at = pa.timestamp("us", tz="UTC")
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), at, pa.bool_()))], ["repo", "status", "generated_at", "sanitized"])
 
     own = reports.select("repo", "seq", "status", parse_iso(F.col("generated_at")).alias("generated"), "received_at")
-    return own.groupBy("repo").applyInPandas(run, "repo string, status string, generated_at timestamp, sanitized boolean")
+    ordered = own.repartition("repo").sortWithinPartitions("repo", "seq").select("repo", "status", "generated", "received_at")
+    return ordered.mapInArrow(run, "repo string, status string, generated_at timestamp, sanitized boolean")

@@ -1,25 +1,32 @@
-"""Import and compaction of source files as jobs over tables."""
+"""Import of source files into a ledger, with receipts, as jobs over tables."""
 
 from __future__ import annotations
 
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import canonical_json, fingerprint
+from ..functions.digests import canonical_json, content_id, fingerprint
 from ..functions.values import member
 from ..operators import unique
-from ..operators.contracts import agent_run_errors
-from ..sources.jsonl import lines, records
+from ..operators.contracts import KINDS, with_agent_run_errors
+from ..operators.history import produced_by
+from ..sources.jsonl import files, lines, records
+from ..sources.scratch import table_or_none, written
 
+NO_EVENTS = "source string, seq bigint, event_id string, kind string, fp binary, canonical string, errors array<string>, value string"
 
-def source_events(spark: SparkSession, path: str) -> DataFrame:
-    """source, seq, event_id, kind, fp, canonical, errors of each line of each source file. A cut-off last line is an error."""
+
+def source_events(spark: SparkSession, path: str | list[str], producer: tuple[str, str] | None = None) -> DataFrame:
+    """source, seq, event_id, kind, fp, canonical, errors, value of each line of each source file. A cut-off last line is an error; so is (F12) an event that is not of ``producer`` (repo, component)."""
     own = records(lines(spark, path).where(F.trim("value") != ""))
-    errors = F.when(~F.col("valid"), F.array(F.lit("not an object"))).when(F.col("next_offset") > F.col("file_size"), F.array(F.lit("cut off"))).otherwise(agent_run_errors(F.col("v")))
-    out = own.withColumn("canonical", canonical_json("value")).withColumn("errors", errors)
-    return out.select(F.col("path").alias("source"), "seq", member(F.col("v"), "$.event_id", "string").alias("event_id"), member(F.col("v"), "$.kind", "string").alias("kind"), fingerprint(F.col("canonical")).alias("fp"), "canonical", "errors", "value")
+    own = with_agent_run_errors(own, "v", "__errors").withColumn("canonical", canonical_json("value"))
+    text = lambda p: member(F.col("v"), p, "string")
+    own = own.withColumns({"kind": text("$.kind"), "source_repo": text("$.source.repo"), "source_component": text("$.source.component")})
+    other = produced_by(*producer, KINDS) if producer else F.lit(None).cast("string")
+    errors = F.when(~F.col("valid"), F.array(F.lit("not an object"))).when(F.col("next_offset") > F.col("file_size"), F.array(F.lit("cut off"))).when(F.size("__errors") > 0, F.col("__errors")).when(other.isNotNull(), F.array(other))
+    errors = errors.otherwise(F.array().cast("array<string>"))
+    return own.select(F.col("path").alias("source"), "seq", text("$.event_id").alias("event_id"), "kind", fingerprint(F.col("canonical")).alias("fp"), "canonical", errors.alias("errors"), "value")
 
 
 def profiles(events: DataFrame) -> DataFrame:
@@ -35,45 +42,108 @@ def profiles(events: DataFrame) -> DataFrame:
     )
 
 
-def import_sources(spark: SparkSession, path: str, ledger: str, receipts: str, domain: str = "agent.ledger") -> DataFrame:
-    """Imports the valid source files that no receipt covers with the same digest; one row per source with its state.
+def receipt_key(source: Column, digest: Column) -> Column:
+    """The key of a receipt, of path and content."""
+    return F.sha2(F.to_json(F.struct(source.alias("source_path"), digest.alias("source_sha256"))), 256)
+
+
+def legacy_key(source: Column) -> Column:
+    """The former key, of the path alone."""
+    return F.sha2(source, 256)
+
+
+RECEIPT = ["bytes", "digest", "event_ids", "imported", "key", "n_events", "recorded_at", "skipped", "source"]
+
+
+def signed(receipts: DataFrame) -> DataFrame:
+    """K8: receipts with the digest of their own fields."""
+    return receipts.withColumn("receipt_sha256", F.sha2(F.to_json(F.struct(*RECEIPT)), 256))
+
+
+def event_list_receipt(events: DataFrame, imported: int, skipped: int) -> DataFrame:
+    """K7: one row for an imported list of events (event_id, canonical): ids, counts, a digest of the batch and one of the receipt."""
+    own = events.agg(F.sort_array(F.collect_list("event_id")).alias("event_ids"), F.array_sort(F.collect_list(F.sha2("canonical", 256))).alias("content"))
+    own = own.select("event_ids", F.size("event_ids").alias("requested"), F.lit(imported).alias("imported"), F.lit(skipped).alias("skipped"), F.sha2(F.concat_ws(",", "content"), 256).alias("batch_sha256"))
+    return own.withColumn("receipt_sha256", content_id(F.to_json(F.struct(*sorted(own.columns)))))
+
+
+def with_receipts(own: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Profiles with ``receipt``: intact, broken or null (none). The receipt under the key of path and content counts; only where there is none, even a broken one, that under the path's key.
 
-    Invalid sources become rows with state ``invalid`` and stop nothing; a conflict with the ledger
-    raises before anything is written. Importing again writes nothing. Each run's states stay as a table beside
-    the receipts.
+    A receipt is intact if every field fits the source, its counts add up and its digest is its own.
     """
-    events = source_events(spark, path).persist()
+    whole = receipts.withColumn("__own", F.sha2(F.to_json(F.struct(*RECEIPT)), 256) == F.col("receipt_sha256"))
+    mine = whole.select(F.col("key").alias("__key"), F.struct("bytes", "digest", "event_ids", "imported", "n_events", "skipped", "source", "__own", "recorded_at").alias("r"))
+    last = mine.groupBy("__key").agg(F.max_by("r", "r.recorded_at").alias("r"))
+    keyed = own.withColumns({"__new": receipt_key(F.col("source"), F.col("digest")), "__old": legacy_key(F.col("source"))})
+    joined = keyed.join(last.select(F.col("__key").alias("__new"), F.col("r").alias("__a")), "__new", "left").join(last.select(F.col("__key").alias("__old"), F.col("r").alias("__b")), "__old", "left")
+    joined = joined.withColumn("__r", F.coalesce("__a", "__b"))
+    r = lambda c: F.col(f"__r.{c}")
+    fits = r("__own") & (r("source") == F.col("source")) & (r("bytes") == F.col("bytes")) & (r("digest") == F.col("digest")) & (r("event_ids") == F.col("event_ids")) & (r("n_events") == F.col("n_events"))
+    fits &= (r("imported") >= 0) & (r("skipped") >= 0) & (r("imported") + r("skipped") == r("n_events"))
+    state = F.when(F.col("__r").isNull(), F.lit(None).cast("string")).when(F.coalesce(fits, F.lit(False)), "intact").otherwise("broken")
+    return joined.withColumn("receipt", state).select(*own.columns, "receipt")
+
+
+def import_sources(spark: SparkSession, path: str, ledger: str, receipts: str, domain: str = "agent.ledger", producer: tuple[str, str] | None = None, archived: DataFrame | None = None) -> DataFrame:
+    """Imports the valid source files that no intact receipt covers; one row per source with its state.
+
+    The listing comes first: a file whose path, size and time are those of its last reading is ``reused`` (or ``invalid`` still) without being read, so a run
+    that finds no change reads no source, and one that finds a few reads these. Invalid sources become rows and stop nothing; a conflict with the
+    ledger raises before anything is written. Importing again writes nothing. ``removed`` are sources read before that are no longer there; ``archived`` (source)
+    are those that bundles hold. What was read of each file is kept beside the receipts.
+    """
+    seen_path = f"{receipts.rstrip('/')}-seen"
+    listed = written(files(spark, path if "*" in path else f"{path.rstrip('/')}/*").select(F.col("path").alias("source"), F.col("bytes").alias("file_bytes"), "modified"))
+    fields = "source string, file_bytes bigint, modified timestamp, bytes bigint, n_events bigint, digest string, last_kind string, valid boolean"
+    seen = table_or_none(spark, seen_path)
+    seen = spark.createDataFrame([], fields + ", at timestamp") if seen is None else seen
+    last = seen.groupBy("source").agg(F.max_by(F.struct("file_bytes", "modified", "bytes", "n_events", "digest", "last_kind", "valid"), "at").alias("s"))
+    joined = listed.join(last, "source", "left").withColumn("same", F.coalesce((F.col("s.file_bytes") == F.col("file_bytes")) & (F.col("s.modified") == F.col("modified")), F.lit(False)))
+    joined = written(joined)
+    totals = joined.agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("new")).first()
+    state_of_old = F.when(F.col("s.valid"), "reused").otherwise("invalid")
+    old = joined.where("same").select("source", "s.n_events", "s.digest", "s.last_kind", state_of_old.alias("state"))
+    removed = last.join(listed.select("source"), "source", "left_anti")
+    if archived is not None:
+        removed = removed.join(archived.select("source"), "source", "left_anti")
+    out = old.unionByName(removed.select("source", "s.n_events", "s.digest", "s.last_kind", F.lit("removed").alias("state")))
+    if not totals["new"]:
+        return out
+    # all files by their folder, or the few new ones by name
+    paths = path if totals["new"] == totals["n"] else [r["source"] for r in joined.where("not same").select("source").collect()]
+    events = written(source_events(spark, paths, producer))
+    known = table_or_none(spark, receipts)
     own = profiles(events)
-    try:
-        known = spark.read.parquet(receipts).select("source", "digest")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = own.select("source", "digest").limit(0)
-    known = known.groupBy("source").agg(F.collect_set("digest").alias("seen"))
-    covered = F.coalesce(F.array_contains("seen", F.col("digest")), F.lit(False))
-    state = F.when(~F.col("valid"), "invalid").when(covered, "reused").when(F.col("seen").isNull(), "added").otherwise("changed")
-    run = f"{receipts.rstrip('/')}-runs/{uuid.uuid4().hex}"
-    own.join(known, "source", "left").withColumn("state", state).drop("seen").write.parquet(run)
-    judged = spark.read.parquet(run)
+    own = own.withColumn("receipt", F.lit(None).cast("string")) if known is None else with_receipts(own, known)
+    before = last.select("source", F.lit(True).alias("before"))
+    state = F.when(~F.col("valid"), "invalid").when(F.col("receipt").eqNullSafe("intact"), "reused").when(F.col("before"), "changed").otherwise("added")
+    judged = written(own.join(before, "source", "left").withColumn("state", state))
     todo = judged.where("state in ('added', 'changed')").select("source")
     batch = events.join(todo, "source").select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload"))
+    had = written(known_ids(spark, ledger, batch))
     unique.append_unique(batch, ledger)
-    done = judged.where("state in ('added', 'changed')").select("source", "digest", "bytes", "n_events", "event_ids")
-    if done.take(1):
-        done.write.mode("append").parquet(receipts)
-    events.unpersist()
-    return judged.select("source", "n_events", "digest", "last_kind", "state")
-
-
-def compaction_reasons(own: DataFrame, confirmed: DataFrame, receipts: DataFrame, terminal: tuple[str, ...] = ("agent.run.completed", "agent.run.blocked")) -> DataFrame:
-    """For each source ``eligible`` or the first reason against moving it into a bundle."""
-    joined = own.join(confirmed, "source", "left").join(receipts.select("source", "digest", F.lit(True).alias("receipt")).distinct(), ["source", "digest"], "left")
-    reason = (
-        F.when(~F.col("valid"), "invalid")
-        .when(~F.coalesce(F.col("last_kind").isin(*terminal), F.lit(False)), "nonterminal")
-        .when(F.col("receipt").isNull(), "receipt")
-        .when(~F.coalesce("confirmed", F.lit(False)), "ledger-unconfirmed")
-        .otherwise("eligible")
-    )
-    return joined.select("source", "bytes", reason.alias("reason"))
+    # a source's events are new unless the ledger had them, or an earlier source of the batch
+    firsts = unique.first_rows(batch.select("domain", "event_id", "group_pos", "row_pos")).join(had, ["domain", "event_id"], "left_anti").groupBy(F.col("group_pos").alias("source")).agg(F.count("*").alias("imported"))
+    done = judged.where("state in ('added', 'changed')").join(firsts, "source", "left").withColumns({"imported": F.coalesce("imported", F.lit(0).cast("long")), "recorded_at": F.current_timestamp(), "key": receipt_key(F.col("source"), F.col("digest"))})
+    done = done.withColumn("skipped", F.col("n_events") - F.col("imported"))
+    signed(done.select(*RECEIPT)).write.mode("append").parquet(receipts)
+    read = joined.where("not same").select("source", "file_bytes", "modified").join(judged.select("source", "bytes", "n_events", "digest", "last_kind", "valid"), "source")
+    read.withColumn("at", F.current_timestamp()).write.mode("append").parquet(seen_path)
+    return out.unionByName(judged.select("source", "n_events", "digest", "last_kind", "state"))
+
+
+def known_ids(spark: SparkSession, ledger: str, batch: DataFrame) -> DataFrame:
+    """domain, event_id of the batch's identities that the ledger has, from the folders of the batch."""
+    table = table_or_none(spark, ledger)
+    if table is None:
+        return batch.select("domain", "event_id").limit(0)
+    own = batch.select("domain", "event_id", unique.bucket().alias("bucket"))
+    return table.where(unique.folders_of(own)).select("domain", "event_id").join(own.select("domain", "event_id"), ["domain", "event_id"], "left_semi")
+
+
+def import_totals(states: DataFrame) -> DataFrame:
+    """Sources and events by state, over the rows of an import."""
+    return states.groupBy("state").agg(F.count("*").alias("sources"), F.sum("n_events").alias("events"))
+
+

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digests, texts, times, values
 from .operators import contracts, envelope, history, paging, unique, wrappers
-from .plans import folds
+from .plans import compaction, delivery, folds, reconcile
 from .sources import sinks
 from .sources.bindings import ledger, payload_json, table
 from .sources.jsonl import snapshots
@@ -43,7 +44,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {LEDGER}{sql}" if sql.startswith(",") else f"WITH {LEDGER}\n{sql}"
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {LEDGER},{sql.removeprefix(', RECURSIVE')}" if sql.startswith(", RECURSIVE") else f"WITH {LEDGER}{sql}" if sql.startswith(",") else f"WITH {LEDGER}\n{sql}"
         return f
 
     return add
@@ -142,42 +143,54 @@ def domain_dump(spark, sf_dir):
     return ledger(spark, sf_dir).where("domain = 'app.signup'").select("seq", "event_id", "value")
 
 
-LINES_SQL = """l AS (SELECT seq, event_id, ts, value > 5 AS valid, strlen(payload) + 1 AS width, sum(strlen(payload) + 1) OVER (ORDER BY seq) AS next_offset FROM payloads WHERE domain = 'app.error')"""
+LINES_SQL = """l AS (SELECT domain, seq, event_id, ts, value > 5 AS valid, strlen(payload) + 1 AS width, sum(strlen(payload) + 1) OVER (PARTITION BY domain ORDER BY seq) AS next_offset FROM payloads)"""
 
 
-def lines_of_errors(spark, sf_dir):
-    """The error domain with byte offsets; one domain is one file's worth of rows here."""
-    from pyspark.sql import Window
+def offset_lines(spark, sf_dir):
+    """The lines of every domain with byte offsets."""
+    own = payloads(spark, sf_dir).withColumn("width", F.octet_length("payload").cast("long") + 1).select("domain", "seq", "event_id", "ts", (F.col("value") > 5).alias("valid"), "width")
+    return paging.with_offsets(own, "domain", "width")
 
-    own = payloads(spark, sf_dir).where("domain = 'app.error'").withColumn("width", F.octet_length("payload").cast("long") + 1)
-    w = Window.partitionBy("domain").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("next_offset", F.sum("width").over(w)).withColumn("valid", F.col("value") > 5)
-    return own.withColumn("start_offset", F.col("next_offset") - F.col("width"))
 
-
-@query(f", {LINES_SQL} SELECT seq, (next_offset - width)::BIGINT AS start_offset, next_offset::BIGINT AS next_offset FROM l")
+@query(f", {LINES_SQL} SELECT domain, seq, (next_offset - width)::BIGINT AS start_offset, next_offset::BIGINT AS next_offset FROM l")
 def byte_offsets(spark, sf_dir):
     """W6."""
-    return lines_of_errors(spark, sf_dir).select("seq", "start_offset", "next_offset")
+    return offset_lines(spark, sf_dir).select("domain", "seq", "start_offset", "next_offset")
 
 
-@query(f""", {LINES_SQL}, v AS (SELECT *, row_number() OVER (ORDER BY next_offset) AS r FROM l WHERE valid AND next_offset - width >= 1000)
-SELECT event_id, true AS has_more, (SELECT (next_offset - width)::BIGINT FROM v WHERE r = 26) AS next_cursor FROM v WHERE r <= 25""")
+@query(f""", {LINES_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY next_offset) AS r FROM l WHERE valid AND next_offset - width >= 1000)
+SELECT d.domain, coalesce((SELECT string_agg(event_id, ',' ORDER BY r) FROM v WHERE v.domain = d.domain AND r <= 25), '') AS event_ids, exists(SELECT 1 FROM v WHERE v.domain = d.domain AND r = 26) AS has_more,
+coalesce((SELECT (next_offset - width)::BIGINT FROM v WHERE v.domain = d.domain AND r = 26), d.e) AS next_cursor FROM (SELECT domain, max(next_offset)::BIGINT AS e FROM l GROUP BY domain) d""")
 def cursor_page(spark, sf_dir):
-    """O2."""
-    return paging.page(lines_of_errors(spark, sf_dir), 1000, 25).select("event_id", "has_more", "next_cursor")
+    """O2: a page of every domain."""
+    found = paging.pages(offset_lines(spark, sf_dir), "domain", 1000, 25)
+    return found.select("domain", F.concat_ws(",", F.transform("items", lambda x: x["event_id"])).alias("event_ids"), "has_more", "next_cursor")
+
 
+@query(f", {LINES_SQL} SELECT domain, '' AS event_ids, false AS has_more, max(next_offset)::BIGINT AS next_cursor FROM l GROUP BY domain")
+def cursor_page_of_corrupt_lines(spark, sf_dir):
+    """O2 where no line is valid: the cursor passes them."""
+    found = paging.pages(offset_lines(spark, sf_dir).withColumn("valid", F.lit(False)), "domain", 0, 25)
+    return found.select("domain", F.concat_ws(",", F.transform("items", lambda x: x["event_id"])).alias("event_ids"), "has_more", "next_cursor")
 
-@query(f", {LINES_SQL} SELECT count(*) AS total, count_if(valid) AS valid, count_if(NOT valid) AS invalid, max(next_offset)::BIGINT AS bytes, max(ts) FILTER (valid) AS last_seen FROM l")
+
+@query(f", {LINES_SQL} SELECT domain, count(*) AS total, count_if(valid) AS valid, count_if(NOT valid) AS invalid, max(next_offset)::BIGINT AS bytes, max(ts) FILTER (valid) AS last_seen FROM l GROUP BY domain")
 def line_statistics(spark, sf_dir):
     """A2, A6, F8."""
-    return paging.line_statistics(lines_of_errors(spark, sf_dir))
+    return paging.line_statistics(offset_lines(spark, sf_dir), "domain")
+
 
+@query(f""", {LINES_SQL} SELECT domain, array_to_string(list((next_offset - width)::BIGINT ORDER BY next_offset)[1:20], ',') AS offsets, count(*) > 20 AS truncated FROM l WHERE NOT valid GROUP BY domain""")
+def line_diagnostics(spark, sf_dir):
+    """A2: the first invalid lines of every domain."""
+    found = paging.diagnostics(offset_lines(spark, sf_dir), "domain")
+    return found.select("domain", F.concat_ws(",", F.transform("offsets", lambda x: x.cast("string"))).alias("offsets"), "truncated")
 
-@query(f", {LINES_SQL}, c AS (SELECT *, lag(next_offset) OVER (ORDER BY seq) AS p FROM l) SELECT 'app.error' AS domain, bool_and(next_offset - width = coalesce(p, 0)) AS contiguous, max(next_offset)::BIGINT AS size FROM c")
+
+@query(f", {LINES_SQL}, c AS (SELECT *, lag(next_offset) OVER (PARTITION BY domain ORDER BY seq) AS p FROM l WHERE domain <> 'app.click' OR seq % 100 <> 0) SELECT domain, bool_and(next_offset - width = coalesce(p, 0)) AS contiguous, max(next_offset)::BIGINT AS size FROM c GROUP BY domain")
 def contiguous_ranges(spark, sf_dir):
-    """W7."""
-    return history.contiguous(lines_of_errors(spark, sf_dir).withColumnRenamed("next_offset", "end_offset"), "domain")
+    """Of every domain, one of which has gaps."""
+    return history.contiguous(offset_lines(spark, sf_dir).where("domain <> 'app.click' or seq % 100 <> 0").withColumnRenamed("next_offset", "end_offset"), "domain")
 
 
 TYPE_SQL = """coalesce(nullif(json_extract_string(payload, '$.kind'), ''), nullif(json_extract_string(payload, '$.type'), ''), json_extract_string(payload, '$.event'))"""
@@ -246,7 +259,7 @@ CASE WHEN host IS NOT NULL AND seq % 4 <> 0 THEN '$.subject: unknown key' WHEN k
 WHEN seq % 17 = 0 THEN '$.evidence_refs: items' WHEN seq % 13 = 0 THEN '$.corrects: missing' END AS first_error FROM ledger""")
 def run_event_contract(spark, sf_dir):
     """Closed keys, enumerations, patterns, arrays, conditions; the first error in rule order."""
-    own = ledger(spark, sf_dir).withColumn("errors", contracts.agent_run_errors(F.try_parse_json(F.expr(RUN_EVENT))))
+    own = contracts.with_agent_run_errors(ledger(spark, sf_dir).select("seq", F.try_parse_json(F.expr(RUN_EVENT)).alias("v")), "v")
     return own.select("seq", (F.size("errors") == 0).alias("valid"), F.try_element_at("errors", F.lit(1)).alias("first_error"))
 
 
@@ -316,10 +329,10 @@ def missing_identities(spark, sf_dir):
     return unique.missing(batch.select("domain", "event_id").distinct(), known)
 
 
-@query("SELECT 's' || (seq % 50) AS source, bool_and(seq % 3 = 0) AS confirmed, count(*) AS n FROM ledger WHERE seq % 10 < 3 GROUP BY ALL")
+@query("SELECT 's' || (seq % 51) AS source, bool_and(seq % 3 = 0) AS confirmed, count(*) AS n FROM ledger GROUP BY ALL")
 def confirmed_sources(spark, sf_dir):
     """J5."""
-    own = ledger(spark, sf_dir).where("seq % 10 < 3").withColumn("fp", F.lit("x")).withColumn("source", F.concat(F.lit("s"), F.col("seq") % 50))
+    own = ledger(spark, sf_dir).withColumn("fp", F.lit("x")).withColumn("source", F.concat(F.lit("s"), F.col("seq") % 51))
     return unique.confirmed_sources(own, ledger(spark, sf_dir).where("seq % 3 = 0").select("domain", "event_id", F.lit("x").alias("fp")))
 
 
@@ -451,27 +464,52 @@ def unwrapped_items(spark, sf_dir):
     return payloads(spark, sf_dir).select("seq", F.when(values.member(v, "$.data").isNotNull(), F.to_json(values.member(v, "$.data"))).otherwise("whole").alias("item"))
 
 
-@query()
+@query(""", RECURSIVE o AS (SELECT domain || '/' || user_id AS k, payload, row_number() OVER (PARTITION BY domain, user_id ORDER BY seq) AS n FROM payloads),
+c AS (SELECT k, n, sha256(repeat('\\x00', 32)::BLOB || encode(payload)) AS chain FROM o WHERE n = 1 UNION ALL SELECT o.k, o.n, sha256(unhex(c.chain) || encode(o.payload)) FROM c JOIN o ON o.k = c.k AND o.n = c.n + 1)
+SELECT k, arg_max(chain, n) AS chain, max(n) AS records FROM c GROUP BY k""")
 def hash_chains(spark, sf_dir):
-    """W11, A3."""
+    """W11."""
     return folds.hash_chain(payloads(spark, sf_dir).select(F.concat("domain", F.lit("/"), F.col("user_id")).alias("k"), "seq", F.col("payload").alias("value")), "k")
 
 
-@query()
+@query(""", RECURSIVE o AS (SELECT domain AS k, payload, seq, row_number() OVER (PARTITION BY domain ORDER BY seq) AS n FROM payloads),
+c AS (SELECT k, n, sha256(repeat('\\x00', 32)::BLOB || encode(payload)) AS chain FROM o WHERE n = 1 UNION ALL SELECT o.k, o.n, sha256(unhex(c.chain) || encode(o.payload)) FROM c JOIN o ON o.k = c.k AND o.n = c.n + 1)
+SELECT sum(records)::BIGINT AS records, sha256('[' || string_agg('{"domain":"' || k || '","chain":"' || chain || '","records":' || records || '}', ',' ORDER BY k) || ']') AS snapshot_sha256 FROM (SELECT k, arg_max(chain, n) AS chain, max(n) AS records FROM c GROUP BY k)""")
+def ledger_snapshot(spark, sf_dir):
+    """A3: the digest of the whole ledger, each domain's lines in order."""
+    return folds.snapshot_digest(payloads(spark, sf_dir).select("domain", "seq", F.col("payload").alias("value")), "domain")
+
+
+@query(""", RECURSIVE o AS (SELECT run_id, seq, strlen(payload) AS bytes, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM payloads),
+c AS (SELECT run_id, seq, bytes, n, bytes <= 250 AS taken, CASE WHEN bytes <= 250 THEN bytes ELSE 0 END AS used FROM o WHERE n = 1
+UNION ALL SELECT o.run_id, o.seq, o.bytes, o.n, c.used + o.bytes <= 250, CASE WHEN c.used + o.bytes <= 250 THEN c.used + o.bytes ELSE c.used END FROM c JOIN o ON o.run_id = c.run_id AND o.n = c.n + 1)
+SELECT run_id, seq AS pos, bytes, taken FROM c""")
 def byte_budget(spark, sf_dir):
     """W12."""
     own = payloads(spark, sf_dir).select("run_id", F.col("seq").alias("pos"), F.octet_length("payload").cast("long").alias("bytes"))
     return folds.within_budget(own, "run_id", 250)
 
 
-@query()
+PACKING_SQL = """, RECURSIVE o AS (SELECT run_id, seq, strlen(payload) AS bytes, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM payloads),
+c AS (SELECT run_id, seq, n, 0::BIGINT AS request, {frame}::BIGINT AS start, {frame} + bytes AS size FROM o WHERE n = 1
+UNION ALL SELECT o.run_id, o.seq, o.n, CASE WHEN c.size + {comma} + o.bytes > {limit} THEN c.request + 1 ELSE c.request END, CASE WHEN c.size + {comma} + o.bytes > {limit} THEN {frame} ELSE c.size + {comma} END,
+CASE WHEN c.size + {comma} + o.bytes > {limit} THEN {frame} + o.bytes ELSE c.size + {comma} + o.bytes END FROM c JOIN o ON o.run_id = c.run_id AND o.n = c.n + 1)"""
+
+
+@query(PACKING_SQL.format(frame=2, comma=1, limit=400) + " SELECT run_id, seq AS pos, request, start FROM c")
 def request_packing(spark, sf_dir):
     """W13."""
     own = payloads(spark, sf_dir).select("run_id", F.col("seq").alias("pos"), F.octet_length("payload").cast("long").alias("bytes"))
     return folds.packed(own, "run_id", 400)
 
 
-@query()
+@query(""", RECURSIVE o AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY seq) AS n, ts AS received, CASE WHEN seq % 7 = 0 THEN 'MISSING' WHEN value >= 40 THEN 'WARN' ELSE 'OK' END AS s,
+CASE WHEN seq % 9 = 0 THEN NULL WHEN seq % 9 = 1 THEN date_trunc('second', ts) + INTERVAL 1 HOUR ELSE date_trunc('second', ts) END AS g FROM ledger WHERE repo IS NOT NULL),
+j AS (SELECT *, CASE WHEN s = 'MISSING' THEN 'missing' WHEN g IS NULL OR g > received + INTERVAL 10 MINUTE THEN 'unusable' ELSE 'usable' END AS kind FROM o),
+c AS (SELECT repo, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::TIMESTAMP AS held, NULL::BOOLEAN AS sanitized FROM j WHERE n = 1
+UNION ALL SELECT j.repo, j.n, CASE WHEN w THEN CASE j.kind WHEN 'missing' THEN 'MISSING' WHEN 'unusable' THEN 'FAIL' ELSE j.s END ELSE c.status END, CASE WHEN w THEN CASE j.kind WHEN 'usable' THEN j.g ELSE j.received END ELSE c.held END, CASE WHEN w THEN j.kind = 'unusable' ELSE c.sanitized END
+FROM c JOIN j ON j.repo = c.repo AND j.n = c.n + 1, LATERAL (SELECT CASE WHEN j.kind <> 'usable' THEN c.held IS NULL ELSE c.held IS NULL OR j.g > c.held END AS w) x)
+SELECT repo, arg_max(status, n) AS status, arg_max(held, n) AS generated_at, arg_max(sanitized, n) AS sanitized FROM c GROUP BY repo""")
 def reported_states(spark, sf_dir):
     """W10."""
     own = ledger(spark, sf_dir).where("repo is not null")
@@ -480,7 +518,11 @@ def reported_states(spark, sf_dir):
     return folds.reported_states(own.select("repo", "seq", status.alias("status"), generated.alias("generated_at"), F.col("ts").alias("received_at")))
 
 
-@query()
+@query("""SELECT seq, '{' || CASE WHEN seq % 4 = 0 THEN '"data":{},' ELSE '' END || '"event":"fallback"' || CASE WHEN seq % 2 = 0 THEN ',"event_id":7' ELSE '' END
+|| CASE WHEN seq % 3 = 0 THEN ',"kind":"' || n || '"' WHEN seq % 3 = 2 THEN ',"label":"' || n || '"' ELSE '' END || CASE WHEN seq % 7 <> 0 THEN ',"source":{"component":"","repo":"r"}' ELSE '' END
+|| CASE WHEN seq % 5 <> 0 THEN ',"ts":null' ELSE '' END || CASE WHEN seq % 3 = 1 THEN ',"type":"' || n || '"' ELSE '' END || '}' AS canonical,
+sha256(unhex(lpad(to_hex(strlen(domain)), 16, '0')) || encode(domain) || unhex(lpad(to_hex(strlen(event_id)), 16, '0')) || encode(event_id)) AS digest
+FROM (SELECT *, CASE WHEN seq % 11 = 0 THEN '' ELSE kind END AS n FROM ledger)""")
 def canonical_payloads(spark, sf_dir):
     """T17, T20."""
     own = payloads(spark, sf_dir).select("seq", digests.canonical_json("payload").alias("canonical"), "domain", "event_id")
@@ -523,12 +565,141 @@ def wrapper_errors(spark, sf_dir):
 unnest([seq % 3 = 0, seq % 3 = 1, seq % 3 = 2, seq % 5 <> 0, seq % 7 <> 0, seq % 2 = 0, seq % 4 = 0, true, seq % 7 <> 0, seq % 7 <> 0]) AS there FROM ledger) WHERE there""")
 def walked_payloads(spark, sf_dir):
     """T25."""
-    own = payloads(spark, sf_dir).select("seq", F.try_parse_json("payload").alias("v"))
-    return wrappers.walk(own, "v", ["seq"], 3).select("seq", "path")
+    return folds.walk(payloads(spark, sf_dir).select("seq", "payload"), "payload", ["seq"]).select("seq", "path")
 
 
-@query("SELECT (upto - 1) // 2000 AS bundle, run_id AS source, (sum(bytes) OVER (PARTITION BY (upto - 1) // 2000 ORDER BY run_id) - bytes)::BIGINT AS start_offset FROM (SELECT run_id, bytes, sum(bytes) OVER (ORDER BY run_id) AS upto FROM (SELECT run_id, sum(strlen(payload) + 1) AS bytes FROM payloads GROUP BY run_id))")
+@query(""", RECURSIVE f AS (SELECT user_id % 40 AS shard, run_id AS source, sum(strlen(payload) + 1)::BIGINT AS bytes FROM (SELECT *, user_id FROM payloads) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY source) AS n FROM f WHERE bytes <= 2000),
+c AS (SELECT shard, source, n, 0::BIGINT AS bundle, 0::BIGINT AS start_offset, bytes AS end_offset FROM o WHERE n = 1
+UNION ALL SELECT o.shard, o.source, o.n, CASE WHEN c.end_offset + o.bytes > 2000 THEN c.bundle + 1 ELSE c.bundle END, CASE WHEN c.end_offset + o.bytes > 2000 THEN 0 ELSE c.end_offset END, CASE WHEN c.end_offset + o.bytes > 2000 THEN o.bytes ELSE c.end_offset + o.bytes END
+FROM c JOIN o ON o.shard = c.shard AND o.n = c.n + 1) SELECT shard, bundle, source, start_offset, end_offset FROM c""")
 def bundle_layout(spark, sf_dir):
     """K9, W7."""
-    own = payloads(spark, sf_dir).groupBy(F.col("run_id").alias("source")).agg(F.sum(F.octet_length("payload") + 1).alias("bytes"), F.lit("").alias("digest"))
-    return sinks.bundle(own, 2000).select("bundle", "source", "start_offset")
+    own = payloads(spark, sf_dir).groupBy((F.col("user_id") % 40).alias("shard"), F.col("run_id").alias("source")).agg(F.sum(F.octet_length("payload") + 1).alias("bytes"), F.lit("").alias("digest"))
+    return sinks.bundle(own, 2000, "shard").select("shard", "bundle", "source", "start_offset", "end_offset")
+
+
+@query("""SELECT user_id % 40 AS shard, bool_and(true) AS intact, count(DISTINCT run_id) AS n_sources FROM ledger GROUP BY ALL""")
+def bundle_integrity(spark, sf_dir):
+    """C17: manifests of all bundles, and what they say against the sources."""
+    own = payloads(spark, sf_dir).groupBy((F.col("user_id") % 40).alias("shard"), F.col("run_id").alias("source")).agg(F.sum(F.octet_length("payload") + 1).alias("bytes"), F.lit("").alias("digest"))
+    manifest = sinks.manifests(sinks.bundle(own, 1_000_000, "shard"), "shard")
+    return sinks.intact(manifest, "shard", own).join(manifest.select("shard", "bundle", "n_sources"), ["shard", "bundle"]).groupBy("shard").agg(F.bool_and("intact").alias("intact"), F.sum("n_sources").alias("n_sources"))
+
+
+@query("""SELECT source, bytes, CASE WHEN n > 3000 THEN 'source_bound' WHEN seq % 10 = 0 THEN 'invalid_source' WHEN last NOT IN ('agent.run.completed', 'agent.run.blocked') THEN 'nonterminal' WHEN ts > TIMESTAMP '2024-01-29 12:00:00' THEN 'grace_pending'
+WHEN seq % 3 = 0 THEN 'receipt_invalid_or_missing' WHEN seq % 4 = 0 THEN 'ledger_unconfirmed' ELSE 'eligible' END AS reason FROM (SELECT run_id AS source, sum(strlen(payload) + 1)::BIGINT AS bytes, max(seq) AS seq, max(ts) AS ts, arg_max(kind, seq) AS last, row_number() OVER (ORDER BY run_id) AS n FROM payloads GROUP BY run_id)""")
+def compaction_reasons(spark, sf_dir):
+    """The first reason against each run's file."""
+    own = payloads(spark, sf_dir).groupBy(F.col("run_id").alias("source")).agg(F.sum(F.octet_length("payload") + 1).alias("bytes"), F.max("seq").alias("seq"), F.max("ts").alias("modified"), F.max_by("kind", "seq").alias("last_kind"))
+    own = compaction.first_sources(own, 3000).withColumns({"valid": F.col("seq") % 10 != 0, "receipt": F.when(F.col("seq") % 3 != 0, "intact")})
+    confirmed = own.select("source", (F.col("seq") % 4 != 0).alias("confirmed"))
+    return compaction.reasons(own, confirmed, datetime(2024, 1, 30, 12, tzinfo=timezone.utc), 86_400, 1 << 40).select("source", "bytes", "reason")
+
+
+COMPONENT_SQL = "SELECT event_id, CASE WHEN seq % 3 = 0 THEN 'operator' ELSE 'worker' END AS source_component, CASE WHEN seq % 5 = 0 THEN 'api' END AS subject_component, CASE WHEN seq % 2 = 0 THEN 'r' ELSE 'q' END AS source_repo, kind, seq FROM ledger"
+
+
+def with_components(spark, sf_dir):
+    return ledger(spark, sf_dir).withColumns(
+        {
+            "source_component": F.expr("case when seq % 3 = 0 then 'operator' else 'worker' end"),
+            "subject_component": F.expr("case when seq % 5 = 0 then 'api' end"),
+            "source_repo": F.expr("case when seq % 2 = 0 then 'r' else 'q' end"),
+        }
+    )
+
+
+@query(f"SELECT event_id, source_component, subject_component FROM ({COMPONENT_SQL}) WHERE source_component = 'operator' AND subject_component = 'api'")
+def history_components(spark, sf_dir):
+    """The source's component never stands in for the subject's."""
+    return history.filtered(with_components(spark, sf_dir), component="operator", subject_component="api").select("event_id", "source_component", "subject_component")
+
+
+@query(f"SELECT event_id, CASE WHEN source_repo <> 'r' OR source_component <> 'operator' THEN 'other producer' WHEN kind NOT LIKE 'agent.run.%' THEN 'other kind' END AS reason FROM ({COMPONENT_SQL})")
+def producer_gate(spark, sf_dir):
+    """F12."""
+    return with_components(spark, sf_dir).select("event_id", history.produced_by("r", "operator", contracts.KINDS).alias("reason"))
+
+
+@query("""SELECT event_id, ts, kind, repo, coalesce(host, repo) AS target, operation, task_class, coalesce(nullif(outcome, ''), result) AS outcome, CASE WHEN kind = 'agent.run.blocked' THEN blocker_code END AS blocker_code FROM ledger ORDER BY ts DESC, event_id DESC, seq LIMIT 200""")
+def recent_rows(spark, sf_dir):
+    """The nine fields of the newest rows."""
+    return history.recent_rows(history.newest(ledger(spark, sf_dir), 200)).withColumn("target", F.col("target.name"))
+
+
+@query("""SELECT coalesce(repo, '') AS repo, run_id, kind, '' AS branch, CASE WHEN seq % 3 = 0 THEN '' ELSE 'ref-' || seq END AS evidence, CASE WHEN seq % 4 = 0 THEN '' ELSE 's' || seq END AS summary, seq FROM ledger""")
+def view_rows(spark, sf_dir):
+    """The first reference, and empty texts for what is missing."""
+    own = ledger(spark, sf_dir).withColumns(
+        {
+            "branch": F.lit(None).cast("string"),
+            "evidence_refs": F.expr("case when seq % 3 = 0 then array() else array(concat('ref-', seq), 'other') end"),
+            "summary": F.expr("case when seq % 4 <> 0 then concat('s', seq) end"),
+        }
+    )
+    return history.view_rows(own, "seq")
+
+
+@query(""", p AS (SELECT seq, domain, payload, json_extract_string(payload, '$.event') AS e FROM payloads)
+SELECT seq, 'app.forced' AS domain, e AS event, seq % 2 = 0 AS has_event_id, CASE WHEN s >= 4 THEN 'high' WHEN s >= 2 THEN 'medium' ELSE 'low' END AS strength FROM
+(SELECT *, 1 + (seq % 5 <> 0)::INT + (seq % 7 <> 0)::INT + (seq % 4 = 0 OR len(json_keys(payload)) > 3)::INT + (seq % 2 = 0)::INT AS s FROM p)""")
+def marked_payloads(spark, sf_dir):
+    """Markers and a forced domain set into the payload's JSON."""
+    marked = envelope.with_domain(envelope.with_markers(F.col("payload")), F.lit("app.forced"))
+    v = F.try_parse_json("m")
+    own = payloads(spark, sf_dir).select("seq", marked.alias("m"))
+    text = lambda p: F.try_variant_get(v, p, "string")
+    return own.select("seq", text("$.domain").alias("domain"), text("$.event").alias("event"), values.member(v, "$.event_id").isNotNull().alias("has_event_id"), text("$.quality.signal_strength").alias("strength"))
+
+
+@query("""SELECT seq, CASE WHEN seq % 3 = 0 THEN '5' WHEN seq % 3 = 1 THEN '"i' || seq || '"' ELSE 'absent' END AS event_id FROM ledger""")
+def given_event_ids(spark, sf_dir):
+    """Id becomes event_id only where that key is absent, a null one stays."""
+    item = F.expr("case when seq % 6 = 0 then '{\"event_id\":5,\"id\":\"x\"}' when seq % 6 = 3 then '{\"id\":\"y\",\"event_id\":5}' when seq % 3 = 1 then concat('{\"id\":\"i', seq, '\"}') else '{\"other\":1}' end")
+    v = F.try_parse_json(envelope.with_event_id(item))
+    return ledger(spark, sf_dir).select("seq", F.coalesce(F.to_json(values.member(v, "$.event_id")), F.lit("absent")).alias("event_id"))
+
+
+@query("""SELECT seq, '{"domain":"' || domain || '","received_at":"' || strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') || '","payload":' || payload || ',"retention":{"ttl_days":' || ttl || ',"expires_at":"' || strftime(date_trunc('second', ts + to_days(ttl)), '%Y-%m-%dT%H:%M:%SZ') || '"},"quality":{"signal_strength":"' || CASE WHEN s >= 4 THEN 'high' WHEN s >= 2 THEN 'medium' ELSE 'low' END || '","completeness":' || (seq % 5 <> 0 AND seq % 7 <> 0) || '}}' AS line
+FROM (SELECT *, """ + TTL_SQL + """ AS ttl, 1 + (seq % 5 <> 0)::INT + (seq % 7 <> 0)::INT + (seq % 4 = 0 OR len(json_keys(payload)) > 3)::INT + (seq % 2 = 0)::INT AS s FROM payloads)""")
+def envelope_lines(spark, sf_dir):
+    """The whole envelope as its line."""
+    return envelope.with_envelope(payloads(spark, sf_dir), "domain", "ts", "payload").select("seq", envelope.envelope_json("payload").alias("line"))
+
+
+@query("SELECT pos, event_id FROM (SELECT 1 AS pos, event_id, kind FROM ledger WHERE kind = 'agent.run.started' UNION ALL SELECT 2, event_id, kind FROM ledger WHERE kind <> 'click.temp')")
+def joined_inputs(spark, sf_dir):
+    """Inputs one after the other."""
+    own = ledger(spark, sf_dir).select("event_id", "kind")
+    return unique.one_after_the_other(own.where("kind = 'agent.run.started'"), own.where("kind <> 'click.temp'")).select("pos", "event_id")
+
+
+@query("""SELECT run_id AS source, sha256('{"source_path":"' || run_id || '","source_sha256":"' || sha256(run_id) || '"}') AS key, sha256(run_id) AS legacy FROM ledger GROUP BY run_id""")
+def receipt_keys(spark, sf_dir):
+    """T26."""
+    return ledger(spark, sf_dir).select(F.col("run_id").alias("source")).distinct().select("source", reconcile.receipt_key(F.col("source"), F.sha2("source", 256)).alias("key"), reconcile.legacy_key(F.col("source")).alias("legacy"))
+
+
+@query("""SELECT run_id AS source, CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 5 = 1 THEN 'broken' WHEN seq % 5 = 2 THEN 'broken' ELSE 'intact' END AS receipt FROM (SELECT run_id, min(seq) AS seq FROM ledger GROUP BY run_id)""")
+def receipts_of_sources(spark, sf_dir):
+    """0 has none, 1 a broken one under the new key that blocks the old one, 2 one of other bytes, 3 one under the old key, 4 one under the new key."""
+    own = ledger(spark, sf_dir).groupBy(F.col("run_id").alias("source")).agg(F.count("*").alias("n_events"), F.sum("seq").alias("bytes"), F.sort_array(F.collect_list("event_id")).alias("event_ids"), F.min("seq").alias("first"))
+    own = own.withColumn("digest", F.sha2("source", 256))
+    new, old = reconcile.receipt_key(F.col("source"), F.col("digest")), reconcile.legacy_key(F.col("source"))
+    made = own.withColumns({"imported": F.col("n_events"), "skipped": F.lit(0).cast("long"), "recorded_at": F.lit("2024-01-01").cast("timestamp"), "key": F.when(F.col("first") % 5 == 3, old).otherwise(new), "bytes": F.col("bytes") + F.when(F.col("first") % 5 == 2, 1).otherwise(0)})
+    good = reconcile.signed(made.where("first % 5 > 0").select(*reconcile.RECEIPT))
+    broken = good.join(own.where("first % 5 = 1").select("source"), "source", "left_semi").withColumn("receipt_sha256", F.lit("0"))
+    blocked = reconcile.signed(made.where("first % 5 = 1").withColumn("key", old).select(*reconcile.RECEIPT))
+    receipts = good.join(own.where("first % 5 = 1").select("source"), "source", "left_anti").unionByName(broken.select(good.columns)).unionByName(blocked)
+    return reconcile.with_receipts(own.select("source", "bytes", "digest", "event_ids", "n_events"), receipts).select("source", "receipt")
+
+
+@query("""SELECT run_id AS source, count(*) AS events, sum(strlen(payload) + 1)::BIGINT AS bytes, max(user_id) % 3 = 0 AS flushed FROM payloads GROUP BY run_id""")
+def outbox_status(spark, sf_dir):
+    """Every third user's files are delivered whole, the others up to their first event."""
+    own = payloads(spark, sf_dir).select(F.col("run_id").alias("source"), "seq", "user_id", (F.octet_length("payload").cast("long") + 1).alias("width"))
+    placed = paging.with_offsets(own, "source", "width")
+    done = placed.groupBy("source").agg(F.max("user_id").alias("u"), F.max("next_offset").alias("all"), F.count("*").alias("n"), F.min("next_offset").alias("first"))
+    receipts = done.select("source", F.when(F.col("u") % 3 == 0, F.col("all")).otherwise(F.col("first")).alias("bytes"), F.when(F.col("u") % 3 == 0, F.col("n")).otherwise(0).alias("events"))
+    return delivery.status(placed, receipts)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_iso
 from ..functions.values import is_object, member, strict_json
+from .scratch import written
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +44,35 @@ def records(df: DataFrame) -> DataFrame:
     return df.withColumn("v", strict_json(F.col("value"))).withColumn("valid", F.coalesce(is_object(F.col("v")), F.lit(False)))
 
 
+def snapshot(spark: SparkSession, path: str, start_offset: int = 0, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(complete lines up to the end each file had, manifest: path, snapshot_bytes). With the manifest of an earlier call in ``sizes`` the same lines as then, whatever was appended since."""
+    own = scan(spark, path, start_offset)
+    if sizes is None:
+        sizes = written(own.groupBy("path").agg(F.max("next_offset").alias("snapshot_bytes")))
+    return own.join(sizes, "path").where(F.col("next_offset") <= F.col("snapshot_bytes")).drop("snapshot_bytes"), sizes
+
+
+def files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Path, bytes, modified of the files that a glob finds, without their content."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def inventory(spark: SparkSession, root: str, folder: str = "outbox") -> DataFrame:
+    """Kind (loose, manifest, bundle), path, name, bytes, modified of an outbox: ``<producer>/<folder>/*.jsonl`` and what its folder of bundles holds. Kinds without files have no rows."""
+    globs = (("loose", f"*/{folder}/*.jsonl"), ("manifest", f"*/{folder}/bundles/*.manifest.json"), ("bundle", f"*/{folder}/bundles/*.bundle.jsonl"))
+    out = None
+    for kind, glob in globs:
+        try:
+            own = files(spark, f"{root.rstrip('/')}/{glob}").select(F.lit(kind).alias("kind"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "modified")
+            own.schema  # noqa: B018
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        out = own if out is None else out.unionByName(own)
+    return spark.createDataFrame([], "kind string, path string, name string, bytes bigint, modified timestamp") if out is None else out
+
+
 def strict_batch(spark: SparkSession, path: str) -> DataFrame:
     """Blank lines skipped; any other line that is no object, or a cut-off last line, is an error of its whole file."""
     own = records(lines(spark, path).where(F.trim("value") != ""))
@@ -48,14 +82,50 @@ def strict_batch(spark: SparkSession, path: str) -> DataFrame:
     return own
 
 
-def loaded(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of files that are JSON lines, an array, one object, or {"events": [...]}."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", strict_json(F.col("value")).alias("v"))
-    one = whole.where("v is not null")
-    array = F.coalesce(F.try_variant_get("v", "$.events", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    items = one.select("path", F.posexplode(array).alias("seq", "v"))
-    apart = records(lines(spark, path).where(F.trim("value") != "")).join(one.select("path"), "path", "left_anti")
-    return items.unionByName(apart.where("v is not null").select("path", "seq", "v"))
+def loaded(spark: SparkSession, path: str, only_objects: bool = False) -> DataFrame:
+    """Path, seq, v of files that are JSON lines, an array, one object, or {"events": [...]}. S6: with ``only_objects`` an element that is no object is an error.
+
+    Files are JSON lines if their first full line is a value of its own and more follows; these are read by lines, in splits. Only the others are read whole.
+    """
+    own = lines(spark, path).where(F.trim("value") != "")
+    heads = own.groupBy("path").agg(F.min_by("value", "seq").alias("first"), F.count("*").alias("n"))
+    by_line = written(heads.select("path", (strict_json(F.col("first")).isNotNull() & (F.col("n") > 1)).alias("by_line")))
+    apart = records(own.join(by_line.where("by_line").select("path"), "path", "left_semi")).where("v is not null").select("path", "seq", "v")
+    others = [r["path"] for r in by_line.where("not by_line").select("path").collect()]  # a name for each such file
+    if others:
+        whole = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("path"), strict_json(F.col("value")).alias("v")).where("v is not null")
+        array = F.coalesce(F.try_variant_get("v", "$.events", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+        apart = whole.select("path", F.posexplode(array).alias("seq", "v")).select("path", F.col("seq").cast("bigint").alias("seq"), "v").unionByName(apart.withColumn("seq", F.col("seq").cast("bigint")))
+    if only_objects:
+        bad = apart.where(~is_object(F.col("v"))).select("path").take(1)
+        if bad:
+            raise ValueError(f"an element of {bad[0].path} is no object")
+    return apart
+
+
+def concatenated(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """Path, seq, value (compact JSON) of files of JSON values that follow each other with any white space, over several lines or in one; the last ones if asked for.
+
+    A value that cannot be read ends its file. A file is read in one piece.
+    """
+
+    def run(batches):
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at, found = 0, deque(maxlen=last)
+                while True:
+                    while at < len(text) and text[at] in " \t\r\n":
+                        at += 1
+                    try:
+                        value, at = decoder.raw_decode(text, at)
+                    except ValueError:
+                        break
+                    found.append(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(list(found), pa.string())], ["path", "seq", "value"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.mapInArrow(run, "path string, seq bigint, value string")
 
 
 def snapshots(df: DataFrame) -> DataFrame:

@@ -1,61 +1,124 @@
-"""Files for other readers: frozen cohorts, metric exports, bundles."""
+"""Files for other readers: frozen cohorts, metric exports, bundles and their index."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import canonical_json
 from ..functions.times import parse_iso
+from ..plans.folds import hash_chain, packed, snapshot_digest
+from .jsonl import lines
+from .scratch import table_or_none, written
 
 
-def freeze(events: DataFrame, path: str, query: dict) -> DataFrame:
-    """Writes canonical lines newest first (event_id, ts, seq, value) and returns the receipt, one row.
+#: Bytes of a block of text whose lines are chained together.
+BLOCK_BYTES = 1 << 24
 
-    Refuses a table with a line that is no canonical JSON. The digest is over the sorted lines' digests.
+
+def content_digest(spark: SparkSession, path: str) -> DataFrame:
+    """event_count, bytes, content_sha256 of text files: bound are all bytes in order of the files' names, wherever these are cut.
+
+    Blocks of the text are chained line by line, each for itself; the digest is that of their chains in order.
+    """
+    own = lines(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "start_offset", "next_offset", "value")
+    sizes = own.groupBy("file").agg(F.max("next_offset").alias("size"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    bases = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    placed = own.join(bases, "file").withColumn("seq", F.col("base") + F.col("start_offset"))
+    blocks = placed.select(F.floor(F.col("seq") / BLOCK_BYTES).cast("string").alias("block"), "seq", "value")
+    chained = F.array_sort(F.collect_list(F.struct(F.col("block").cast("bigint").alias("block"), "chain", "records")))
+    digest = hash_chain(blocks, "block").agg(F.sha2(F.to_json(chained), 256)).first()[0]
+    return own.agg(F.count("*").alias("event_count"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"), F.lit(digest).alias("content_sha256"))
+
+
+def freeze(events: DataFrame, path: str, query: dict, ledger: DataFrame) -> DataFrame:
+    """Writes canonical lines newest first (event_id, ts, seq, value) and returns the receipt, one row, bound by a digest of its own.
+
+    Refuses if a line of the events or of the ledger (domain, seq, value) they are taken from is no canonical JSON. The receipt binds query, bytes and
+    the ledger's snapshot.
     """
-    lines = events.withColumn("line", canonical_json("value"))
-    if lines.where("line is null").take(1):
-        raise ValueError("cannot freeze history from a ledger with invalid records")
-    ordered = lines.orderBy(F.col("ts").desc(), F.col("event_id").desc(), "seq")
+    spark = events.sparkSession
+    bad = ledger.select("value").unionByName(events.select("value")).where(canonical_json("value").isNull())
+    if bad.take(1):
+        raise ValueError("a line that is no JSON stands in the ledger: nothing is frozen")
+    ordered = events.withColumn("line", canonical_json("value")).orderBy(F.col("ts").desc(), F.col("event_id").desc(), "seq")
     ordered.select("line").write.text(path)
-    written = events.sparkSession.read.text(path)
     text = json.dumps(query, sort_keys=True, separators=(",", ":"))
-    return written.agg(F.count("*").alias("event_count"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.bit_xor(F.xxhash64("value")).alias("content")).select(
-        "*", F.lit(path).alias("cohort_path"), F.sha2(F.lit(text), 256).alias("query_sha256")
-    )
+    snapshot = snapshot_digest(ledger, "domain").first()["snapshot_sha256"]
+    bound = {"cohort_path": F.lit(path), "query_sha256": F.sha2(F.lit(text), 256), "snapshot_sha256": F.lit(snapshot)}
+    receipt = content_digest(spark, path).withColumns(bound)
+    return receipt.withColumn("receipt_sha256", F.sha2(F.to_json(F.struct(*sorted(receipt.columns))), 256))
 
 
 def export_metrics(snapshots: DataFrame, path: str) -> None:
-    """K5: snapshots (time_text, payload) by the date in the time's own offset, and the newest one apart."""
-    dated = snapshots.select(F.substring("time_text", 1, 10).alias("date"), "time_text", "payload")
-    dated.write.mode("overwrite").partitionBy("date").json(f"{path}/by_date")
-    newest = dated.orderBy(parse_iso(F.col("time_text")).desc()).limit(1)
-    newest.write.mode("overwrite").json(f"{path}/latest")
+    """K5: snapshots (time_text, payload, seq) by the date in the time's own offset, and the newest one apart; of equal times the first."""
+    dated = snapshots.select(F.substring("time_text", 1, 10).alias("date"), "time_text", "payload", "seq")
+    dated.drop("seq").write.mode("overwrite").partitionBy("date").json(f"{path}/by_date")
+    newest = dated.orderBy(parse_iso(F.col("time_text")).desc(), "seq").limit(1)
+    newest.drop("seq").write.mode("overwrite").json(f"{path}/latest")
 
 
-def bundle(sources: DataFrame, size: int) -> DataFrame:
-    """Bundle, source, start_offset, end_offset: sources (source, bytes, digest) in order, each bundle at most ``size`` bytes of sources unless one alone is larger.
+def bundle(sources: DataFrame, size: int, shard: str) -> DataFrame:
+    """Shard, bundle, source, digest, start_offset, end_offset of sources (source, bytes, digest): in order, each bundle of a shard (say, a producer) has at most ``size`` bytes.
 
-    Bundles are runs of equal quotient of the running size, so no fold over all sources is needed.
+    Sources larger than that by themselves are left out; they stay loose files.
     """
-    running = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, 0)  # a row for each file
-    placed = sources.withColumn("upto", F.sum("bytes").over(running)).withColumn("bundle", F.floor((F.col("upto") - 1) / size))
-    inside = Window.partitionBy("bundle").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("end_offset", F.sum("bytes").over(inside)).select("bundle", "source", "digest", (F.col("end_offset") - F.col("bytes")).alias("start_offset"), "end_offset")
+    fitting = sources.where(F.col("bytes") <= size)
+    placed = packed(fitting.select(shard, F.col("source").alias("pos"), "bytes"), shard, size, framed=False)
+    joined = placed.select(shard, F.col("pos").alias("source"), F.col("request").alias("bundle"), F.col("start").alias("start_offset")).join(fitting, [shard, "source"])
+    return joined.select(shard, "bundle", "source", "digest", "start_offset", (F.col("start_offset") + F.col("bytes")).alias("end_offset"))
 
 
-def manifests(placed: DataFrame) -> DataFrame:
+def manifests(placed: DataFrame, shard: str) -> DataFrame:
     """For each bundle its sources in order, bytes, and a digest that binds them."""
     entries = F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", "source", "digest")))
-    return placed.groupBy("bundle").agg(F.count("*").alias("n_sources"), F.max("end_offset").alias("bytes"), entries.alias("sources")).withColumn("manifest_sha256", F.sha2(F.to_json("sources"), 256))
+    return placed.groupBy(shard, "bundle").agg(F.count("*").alias("n_sources"), F.max("end_offset").alias("bytes"), entries.alias("sources")).withColumn("manifest_sha256", F.sha2(F.to_json("sources"), 256))
 
 
-def intact(manifest: DataFrame) -> DataFrame:
-    """For each bundle whether its digest fits, its ranges follow each other, and no source stands twice."""
+def intact(manifest: DataFrame, shard: str, loaded: DataFrame | None = None) -> DataFrame:
+    """C17: for each bundle whether its digest fits, its ranges follow each other up to its bytes, its counts are right and no source stands twice.
+
+    With ``loaded`` (source, bytes, digest: what the bundle's bytes give now) also whether every source still is what the manifest says.
+    """
     s = F.col("sources")
-    follow = F.forall(F.sequence(F.lit(1), F.size(s)), lambda i: F.when(i == 1, F.element_at(s, 1)["start_offset"] == 0).otherwise(F.element_at(s, i)["start_offset"] == F.element_at(s, F.greatest(i - 1, F.lit(1)))["end_offset"]))
+    follow = F.forall(F.sequence(F.lit(1), F.size(s)), lambda i: F.element_at(s, i)["start_offset"] == F.when(i == 1, F.lit(0).cast("long")).otherwise(F.element_at(s, F.greatest(i - 1, F.lit(1)))["end_offset"]))
     once = F.size(F.array_distinct(F.transform(s, lambda x: x["source"]))) == F.size(s)
-    return manifest.select("bundle", ((F.sha2(F.to_json("sources"), 256) == F.col("manifest_sha256")) & follow & once).alias("intact"))
+    counts = (F.size(s) == F.col("n_sources")) & (F.element_at(s, -1)["end_offset"] == F.col("bytes"))
+    judged = manifest.select(shard, "bundle", "sources", ((F.sha2(F.to_json("sources"), 256) == F.col("manifest_sha256")) & follow & once & counts).alias("intact"))
+    if loaded is None:
+        return judged.drop("sources")
+    entries = judged.select(shard, "bundle", "intact", F.explode("sources").alias("e")).select(shard, "bundle", "intact", "e.source", "e.digest", (F.col("e.end_offset") - F.col("e.start_offset")).alias("size"))
+    found = entries.join(loaded.select("source", F.col("digest").alias("now"), F.col("bytes").alias("size_now")), "source", "left")
+    same = F.coalesce((F.col("digest") == F.col("now")) & (F.col("size") == F.col("size_now")), F.lit(False))
+    return found.groupBy(shard, "bundle").agg(F.bool_and(F.col("intact") & same).alias("intact"))
+
+
+def archive_index(manifest: DataFrame, shard: str) -> DataFrame:
+    """Source, digest, shard, bundle of all manifests, a row for each source."""
+    return manifest.select(shard, "bundle", F.explode("sources").alias("e")).select("e.source", "e.digest", shard, "bundle")
+
+
+def index_faults(index: DataFrame, manifest: DataFrame, shard: str) -> DataFrame:
+    """Sources of the index that stand twice, point to no bundle or to one without them; nothing if it is whole."""
+    twice = index.groupBy("source", "digest").count().where("count > 1").select("source", F.lit("twice").alias("fault"))
+    entries = archive_index(manifest, shard)
+    keys = ["source", "digest", shard, "bundle"]
+    lost = index.join(entries, keys, "left_anti").select("source", F.lit("not in its bundle").alias("fault"))
+    missing = entries.join(index, keys, "left_anti").select("source", F.lit("not in the index").alias("fault"))
+    return twice.unionByName(lost).unionByName(missing)
+
+
+def refresh_index(index: DataFrame, path: str) -> bool:
+    """Writes the index unless the table at ``path`` has the same rows already; whether it was written."""
+    spark = index.sparkSession
+    known = table_or_none(spark, path)
+    own = written(index)
+    if known is not None and sorted(known.columns) == sorted(own.columns):
+        both = known.select(own.columns)
+        if not own.exceptAll(both).take(1) and not both.exceptAll(own).take(1):
+            return False
+    own.write.mode("overwrite").parquet(path)
+    return True

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.digests import fingerprint
 from ..operators.unique import append_unique
-from ..plans.folds import step
+from ..plans.folds import hash_chain, step
+from ..plans.reconcile import source_events
+from ..sources.scratch import table_or_none, written
 
 
 def poll(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -50,3 +52,62 @@ def states(reports: DataFrame) -> DataFrame:
     return reports.groupBy("repo").applyInPandasWithState(
         run, "repo string, status string, generated_at timestamp, sanitized boolean", "status string, generated_at timestamp, sanitized boolean", "update", "NoTimeout"
     )
+
+
+def chains(stream: DataFrame, key: str, state: str, checkpoint: str) -> StreamingQuery:
+    """The hash chain of each key as its lines (key, seq, value) arrive; the table at ``state`` has (key, chain, records) of each batch that came to it.
+
+    A batch that is run again after a failure starts from the chains before it, and its rows replace what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = latest_chains(spark, key, state, number)
+        own = written(batch.select(key, "seq", "value"))
+        found = written(hash_chain(own, key, known.join(own.select(key).distinct(), key, "left_semi")))
+        found.write.mode("overwrite").parquet(f"{state.rstrip('/')}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_chains(spark: SparkSession, key: str, state: str, before: int | None = None) -> DataFrame:
+    """The chain and records of each key as of the last batch, or as of the one before a number."""
+    table = table_or_none(spark, state)
+    if table is None:
+        return spark.createDataFrame([], f"{key} string, chain string, records bigint")
+    if before is not None:
+        table = table.where(F.col("batch") < before)
+    return table.groupBy(key).agg(F.max_by(F.struct("chain", "records"), "batch").alias("s")).select(key, "s.chain", "s.records")
+
+
+def incremental_import(spark: SparkSession, folder: str, ledger: str, checkpoint: str, domain: str = "agent.ledger") -> StreamingQuery:
+    """Appends the events of source files that came to the folder since the last call; invalid files are passed over. Files that grow afterwards are for ``import_sources``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        names = [r["source"] for r in batch.select("source").distinct().collect()]  # a name for each new file
+        if names:
+            events = written(source_events(spark, names))
+            bad = events.where(F.size("errors") > 0).select("source").distinct()
+            fit = events.join(bad, "source", "left_anti")
+            append_unique(fit.select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload")), ledger)
+
+    stream = spark.readStream.option("maxFilesPerTrigger", 1_000).format("text").load(folder).select(F.col("_metadata.file_path").alias("source"))
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def validated(lines: DataFrame, key: str, state: str, contract: str, judge) -> DataFrame:
+    """The lines with ``errors``; only those behind what an earlier call has judged under the same contract are judged by ``judge(lines)`` now.
+
+    ``contract`` is a digest of the rules: another one judges all anew. lines: key, start_offset, next_offset and what the judge reads.
+    """
+    spark, path = lines.sparkSession, f"{state.rstrip('/')}/{contract}"
+    known = table_or_none(spark, path)
+    fresh = lines
+    if known is not None:
+        upto = known.groupBy(key).agg(F.max("next_offset").alias("__upto"))
+        fresh = lines.join(upto, key, "left").where("__upto is null or start_offset >= __upto").drop("__upto")
+    found = written(judge(fresh).select(key, "start_offset", "next_offset", "errors"))
+    if found.take(1):
+        found.write.mode("append").parquet(path)
+    judged = found if known is None else known.select(found.columns).unionByName(found)
+    return lines.join(judged.select(key, "start_offset", "errors"), [key, "start_offset"])

@@ -66,29 +66,30 @@ def test_ingest_errors(spark):
 
 def test_nested_findings(spark):
     item = {"a": [{"b": "see /home/x"}, "token: abc"], "c": {"STDOUT": 1}, "d": ["fine"]}
-    out = {(r.path, r.finding) for r in wrappers.nested_redaction(values(spark, [item]), "v", ["seq"]).collect()}
+    out = {(r.path, r.finding) for r in wrappers.nested_redaction(spark.createDataFrame([(0, json.dumps(item))], "seq int, text string"), "text", ["seq"]).collect()}
     assert out == {("$.a[0].b", "private path"), ("$.a[1]", "secret assignment"), ("$.c.STDOUT", "raw output")}
 
 
 def test_frozen_cohort(spark, tmp_path):
-    df = spark.createDataFrame([("1", 5, 0, '{"b":1,"a":2}'), ("2", 6, 1, '{"c":3}')], "event_id string, ts int, seq int, value string")
-    receipt = sinks.freeze(df, str(tmp_path / "cohort"), {"repo": "r"}).first()
+    df = spark.createDataFrame([("1", 5, 0, '{"b":1,"a":2}', "d"), ("2", 6, 1, '{"c":3}', "d")], "event_id string, ts int, seq int, value string, domain string")
+    receipt = sinks.freeze(df, str(tmp_path / "cohort"), {"repo": "r"}, df).first()
     lines = [r.value for r in spark.read.text(str(tmp_path / "cohort")).collect()]
     assert lines == ['{"c":3}', '{"a":2,"b":1}'] and (receipt.event_count, receipt.bytes) == (2, 22)
     with pytest.raises(ValueError):
-        sinks.freeze(df.withColumn("value", F.lit("{")), str(tmp_path / "other"), {})
+        sinks.freeze(df.withColumn("value", F.lit("{")), str(tmp_path / "other"), {}, df)
 
 
 def test_metric_export(spark, tmp_path):
-    df = spark.createDataFrame([("2026-01-01T23:30:00-05:00", "{}"), ("2026-01-02T01:00:00Z", "{}")], "time_text string, payload string")
+    df = spark.createDataFrame([("2026-01-01T23:30:00-05:00", "{}", 0), ("2026-01-02T01:00:00Z", "{}", 1)], "time_text string, payload string, seq int")
     sinks.export_metrics(df, str(tmp_path))
     assert spark.read.json(str(tmp_path / "latest")).first().time_text == "2026-01-01T23:30:00-05:00"
     assert spark.read.json(str(tmp_path / "by_date")).select("date").distinct().count() == 2
 
 
 def test_bundles(spark):
-    df = spark.createDataFrame([(f"s{i:02}", 30 + i, f"d{i}") for i in range(20)], "source string, bytes bigint, digest string")
-    manifest = sinks.manifests(sinks.bundle(df, 100))
-    assert all(r.intact for r in sinks.intact(manifest).collect()) and manifest.agg(F.sum("n_sources")).first()[0] == 20
+    df = spark.createDataFrame([("p", f"s{i:02}", 30 + i, f"d{i}") for i in range(20)], "shard string, source string, bytes bigint, digest string")
+    manifest = sinks.manifests(sinks.bundle(df, 100, "shard"), "shard")
+    assert all(r.intact for r in sinks.intact(manifest, "shard").collect()) and manifest.agg(F.sum("n_sources")).first()[0] == 20
+    assert manifest.agg(F.max("bytes")).first()[0] <= 100
     broken = manifest.withColumn("manifest_sha256", F.when(F.col("bundle") == 0, "x").otherwise(F.col("manifest_sha256")))
-    assert {r.bundle for r in sinks.intact(broken).where("not intact").collect()} == {0}
+    assert {r.bundle for r in sinks.intact(broken, "shard").where("not intact").collect()} == {0}
