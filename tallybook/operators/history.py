@@ -141,3 +141,9 @@ def contiguous(ranges: DataFrame, key: str, size: str | None = None) -> DataFram
         follows &= F.col("end") == F.col("__size")
     joined = sizes.join(net, F.col(key).eqNullSafe(F.col("__key")), "left")
     return joined.select(key, follows.alias("contiguous"), F.col("end").alias("size"))
+
+
+def tally(rows: DataFrame, root: str, label: str) -> DataFrame:
+    """``root`` and the counts of each label as a map."""
+    counts = rows.groupBy(root, label).agg(F.count("*").alias("n"))
+    return counts.groupBy(root).agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("results"))

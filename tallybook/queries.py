@@ -75,10 +75,12 @@ def history_host_outcome_since(spark, sf_dir):
     return own.select("event_id", "host", "operation", "task_class", F.coalesce(history.blank_to_null(F.col("outcome")), "result").alias("outcome"))
 
 
-@query("SELECT operation, task_class, count(*) AS n FROM ledger WHERE operation = 'merge' AND task_class = 'deploy' GROUP BY ALL")
+@query("""SELECT op AS operation, task_class, count(*) AS n FROM (SELECT *, coalesce(nullif(CASE WHEN seq % 7 = 6 THEN '' ELSE operation END, ''), CASE WHEN seq % 2 = 0 THEN 'merge' END) AS op FROM ledger) WHERE op = 'merge' GROUP BY ALL""")
 def history_operation_class(spark, sf_dir):
-    """F1, P10, P11."""
-    return history.filtered(ledger(spark, sf_dir), operation="merge", task_class="deploy").groupBy("operation", "task_class").agg(F.count("*").alias("n"))
+    """An event's own operation, else its subject's; the class is its own only."""
+    own = ledger(spark, sf_dir).withColumns({"operation": F.expr("case when seq % 7 = 6 then '' else operation end"), "subject_operation": F.expr("case when seq % 2 = 0 then 'merge' end")})
+    own = own.withColumn("operation", history.operation())
+    return history.filtered(own, operation="merge").groupBy("operation", "task_class").agg(F.count("*").alias("n"))
 
 
 @query(SUMMARY_SQL)
@@ -102,7 +104,7 @@ def latest_per_repo(spark, sf_dir):
 
 @query("SELECT repo, run_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY repo, run_id ORDER BY ts DESC, seq DESC) AS r FROM ledger WHERE repo IS NOT NULL) WHERE r = 1")
 def latest_per_run(spark, sf_dir):
-    """W2, P16."""
+    """W2."""
     own = ledger(spark, sf_dir).where("repo is not null").select("repo", "run_id", "seq", "event_id", "kind", "ts")
     return history.latest_by(own, ["repo", "run_id"], ["ts"]).select("repo", "run_id", "event_id", "kind")
 
@@ -374,7 +376,7 @@ def duplicate_generations(spark, sf_dir):
 
 @query("SELECT domain, count(DISTINCT event_id) AS ids, count(*) AS n FROM ledger GROUP BY domain")
 def identity_counts(spark, sf_dir):
-    """A13, A9."""
+    """A13."""
     return ledger(spark, sf_dir).groupBy("domain").agg(F.countDistinct("event_id").alias("ids"), F.count("*").alias("n"))
 
 
@@ -384,10 +386,26 @@ def sorted_ids(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("run_id").agg(F.concat_ws(",", F.sort_array(F.collect_list("event_id"))).alias("ids"))
 
 
-@query("SELECT result, count(*) AS n, count(DISTINCT run_id) AS runs FROM ledger GROUP BY result")
+@query("SELECT domain AS root, string_agg(result || ':' || n, ',' ORDER BY result) AS results, sum(n)::BIGINT AS runs FROM (SELECT domain, result, count(*) AS n FROM (SELECT domain, run_id, arg_max(result, struct_pack(ts, seq)) AS result FROM ledger GROUP BY ALL) GROUP BY ALL) GROUP BY domain")
 def result_tally(spark, sf_dir):
-    """A7, A11."""
-    return ledger(spark, sf_dir).groupBy("result").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
+    """For each root the results of its runs' latest events."""
+    runs = history.latest_by(ledger(spark, sf_dir).select("domain", "run_id", "result", "ts", "seq"), ["domain", "run_id"], ["ts"])
+    tally = history.tally(runs, "domain", "result")
+    entries = F.array_sort(F.transform(F.map_entries("results"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
+    return tally.select(F.col("domain").alias("root"), F.concat_ws(",", entries).alias("results"), F.aggregate(F.map_values("results"), F.lit(0).cast("long"), lambda a, x: a + x).alias("runs"))
+
+
+@query("""SELECT 'strength' AS counter, domain, CASE WHEN s >= 4 THEN 'high' WHEN s >= 2 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM (SELECT *, 1 + (seq % 5 <> 0)::INT + (seq % 7 <> 0)::INT + (seq % 4 = 0 OR len(json_keys(payload)) > 3)::INT + (seq % 2 = 0)::INT AS s FROM payloads) GROUP BY ALL
+UNION ALL SELECT 'rejected', domain, 'source _must be an object_', count(*) FROM payloads WHERE seq % 7 = 0 GROUP BY ALL UNION ALL SELECT 'rejected', domain, 'source.component', count(*) FROM payloads WHERE seq % 7 <> 0 GROUP BY ALL
+UNION ALL SELECT 'type', domain, coalesce(nullif(t, ''), 'domain.' || domain), count(*) FROM (SELECT domain, CASE WHEN seq % 3 = 0 THEN '' ELSE kind END AS t FROM payloads) GROUP BY ALL""")
+def labelled_counters(spark, sf_dir):
+    """A4: by event type (of its domain where it has none), by strength, and by the reason of a rejection; labels are cut and cleaned."""
+    own = payloads(spark, sf_dir)
+    strength = own.select(F.lit("strength").alias("counter"), "domain", envelope.signal_strength(F.col("payload")).alias("label"))
+    reason = F.try_element_at(contracts.provenance_errors(F.try_parse_json("payload")), F.lit(1))
+    rejected = own.select(F.lit("rejected").alias("counter"), "domain", F.regexp_replace(reason, "[()]", "_").alias("label")).where("label is not null")
+    kinds = own.select(F.lit("type").alias("counter"), "domain", F.coalesce(history.blank_to_null(F.expr("case when seq % 3 = 0 then '' else kind end")), F.concat(F.lit("domain."), "domain")).alias("label"))
+    return strength.unionByName(rejected).unionByName(kinds).groupBy("counter", "domain", "label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, 'sha256:' || sha256(payload) AS content_id, lower(lpad(hex(strlen(payload)), 16, '0')) || sha256(payload) AS fingerprint FROM payloads")
@@ -457,11 +475,11 @@ def newest_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(100).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
-@query("SELECT seq, coalesce(CASE WHEN json_exists(payload, '$.data') THEN '{}' END, 'whole') AS item FROM payloads")
+@query("""SELECT seq, CASE seq % 3 WHEN 0 THEN '{"x":' || seq || '}' WHEN 1 THEN '5' ELSE '{"x":2}' END AS unwrapped, CASE seq % 3 WHEN 0 THEN '{"x":' || seq || '}' WHEN 1 THEN '{"payload":5,"x":1}' ELSE '{"x":2}' END AS payload FROM ledger""")
 def unwrapped_items(spark, sf_dir):
-    """Key presence."""
-    v = F.try_parse_json("payload")
-    return payloads(spark, sf_dir).select("seq", F.when(values.member(v, "$.data").isNotNull(), F.to_json(values.member(v, "$.data"))).otherwise("whole").alias("item"))
+    """The payload by the presence of its key, and only if it is an object."""
+    item = F.try_parse_json(F.expr("case seq % 3 when 0 then concat('{\"payload\":{\"x\":', seq, '}}') when 1 then '{\"payload\":5,\"x\":1}' else '{\"x\":2}' end"))
+    return ledger(spark, sf_dir).select("seq", F.to_json(envelope.unwrapped(item)).alias("unwrapped"), F.to_json(envelope.extracted_payload(item)).alias("payload"))
 
 
 @query(""", RECURSIVE o AS (SELECT domain || '/' || user_id AS k, payload, row_number() OVER (PARTITION BY domain, user_id ORDER BY seq) AS n FROM payloads),
