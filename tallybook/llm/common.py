@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
 
 #: Rows of an Arrow batch that Python works on at once.
 SLICE_ROWS = 256
@@ -20,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is named and driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="tallybook-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 #: Folders of ``stored`` that are still there.
 kept_folders: list[str] = []
 

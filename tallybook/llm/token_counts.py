@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows, texts
 
 #: Words and pairs of tokens remembered by a Python worker; when there are more, it starts afresh. Longer words are not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 1_200_000, 64
 SIMPLE = 0x250
 SIGMA = "\u03a3"
 #: An apostrophe may begin a contraction; the small form of the dotted I ends with a mark.
