@@ -122,7 +122,8 @@ def links(prints: DataFrame) -> DataFrame:
     """u, v with u > v: links that connect what fingerprints at most two bits apart connect. prints: distinct fp."""
     own = visits(prints)
     shared = own.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
-    met = stored(own.join(shared, "cell", "left_semi").select("fp", F.explode("hubs").alias("hub")))
+    # the number of shared cells grows with the input: no broadcast, at any size
+    met = stored(own.join(shared.hint("merge"), "cell", "left_semi").select("fp", F.explode("hubs").alias("hub")))
     least = met.groupBy("hub").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("hub", "v")
     return met.join(least, "hub").where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
 
