@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
@@ -9,9 +10,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import times
-from .operators import closed, unique, wrappers
-from .plans import compaction, delivery, reconcile
+from .functions import digests, times
+from .operators import closed, envelope, paging, unique, wrappers
+from .plans import compaction, delivery, reconcile, retention
 from .queries import ORACLE_SQL, QUERIES, payloads, query, unique_batch
 from .sources import jsonl, sinks
 from .sources.bindings import ledger, table
@@ -363,6 +364,80 @@ def source_generations(spark, sf_dir):
 
 
 
+KEY = b"a key of the test"
+INNER, OUTER = (bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query(f"SELECT seq, CASE WHEN seq % 5 = 0 THEN 'unknown' ELSE 'anon:' || left(sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode('10.0.0.' || user_id)))), 20) END AS who FROM ledger")
+def pseudonyms(spark, sf_dir):
+    """T21."""
+    address = F.when(F.col("seq") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("10.0.0."), "user_id"))
+    return ledger(spark, sf_dir).select("seq", digests.pseudonym(address, KEY).alias("who"))
+
+
+@query("SELECT seq, kind FROM ledger WHERE ts + to_days(CASE WHEN kind LIKE 'debug.%' THEN 7 WHEN kind LIKE '%.temp' THEN 1 ELSE 30 END) > TIMESTAMP '2024-01-20 00:00:00'")
+def swept_ledger(spark, sf_dir):
+    """A ledger whose folders are rewritten without what has expired."""
+    own = ledger(spark, sf_dir).select("seq", "kind", "domain", unique.bucket().alias("bucket"), times.expiry(F.col("ts"), envelope.ttl_days(F.col("kind"))).alias("expires_at"))
+    path = folder(spark, "ledger")
+    own.write.partitionBy("domain", "bucket").parquet(path)
+    retention.sweep(spark, path, datetime(2024, 1, 20, tzinfo=timezone.utc))
+    return spark.read.parquet(path).select("seq", "kind")
+
+
+@query("SELECT 'r_c' AS producer, run_id AS run, count(*) AS n FROM ledger WHERE user_id % 10 <> 3 GROUP BY ALL")
+def outbox_appended(spark, sf_dir):
+    """Valid events in a folder for each producer and run."""
+    path = folder(spark, "box")
+    delivery.append_outbox(ledger(spark, sf_dir).where("user_id % 10 <> 3").select(F.expr(VALID_EVENT).alias("value")), path)
+    return spark.read.text(path).groupBy("producer", F.col("run").cast("string").alias("run")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT seq, 'app.forced' AS domain, json_extract_string(payload, '$.event') AS event FROM payloads")
+def raw_appended(spark, sf_dir):
+    """K4: lines appended as they are but for their domain."""
+    path = folder(spark, "raw")
+    item = F.concat(F.lit('{"seq":'), "seq", F.lit(',"domain":"x",'), F.substring("payload", 2, 10_000))
+    delivery.raw_append(payloads(spark, sf_dir).select(item.alias("value")), "app.forced", path)
+    v = F.try_parse_json("value")
+    return spark.read.text(path).select(F.try_variant_get(v, "$.seq", "bigint").alias("seq"), F.try_variant_get(v, "$.domain", "string").alias("domain"), F.try_variant_get(v, "$.event", "string").alias("event"))
+
+
+@query("SELECT run_id, 'sha256:' || sha256(arg_max(event_id, struct_pack(t, seq))) AS event_id, max(t) AS ts FROM (SELECT *, date_trunc('second', ts) AS t FROM ledger WHERE user_id % 3 <> 0) GROUP BY run_id")
+def pending_preview(spark, sf_dir):
+    """The newest event of each run in the files that are not delivered whole."""
+    own = ledger(spark, sf_dir).select("user_id", "seq", F.expr(VALID_EVENT).alias("value")).withColumn("source", F.concat(F.lit("u"), "user_id"))
+    placed = paging.with_offsets(own.withColumn("width", F.octet_length("value").cast("long") + 1), "source", "width")
+    ends = placed.groupBy("source").agg(F.max("user_id").alias("u"), F.max("next_offset").alias("bytes"), F.count("*").alias("events")).where("u % 3 = 0")
+    _, _, runs = delivery.preview(placed.select("source", "start_offset", "next_offset", "seq", "value"), ends.select("source", "bytes", "events"))
+    return runs.select("run_id", "event_id", "ts")
+
+
+def exported(payload: dict, late: bool = False, digest: str | None = None, ref: str = "r") -> str:
+    """An export of a routing outcome as JSON, its digests right unless given."""
+    dump = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
+    whole = {"version": "operator.routing_outcome.v1", "decision_id": "d", "ts": "2026-01-01T00:00:00Z", "task_class": "coding", "route_used": "a:b", "outcome": "success", "resolved": True, "reward": 1.0, "metrics": {"completion_state": "completed", "friction_count": 0, "blocked_by_platform_filter": False, "manual_operator_needed": False}, "does_not_establish": ["x"]} | payload
+    out = {
+        "schema_version": "export.v1", "kind": "operator.routing_outcome.exported", "ts": "2026-01-01T00:00:05Z", "source": {"repo": "own/repo", "component": "c", "revision": "a" * 40, "run_id": "n"}, "payload_contract": PIN,
+        "payload_sha256": digest or hashlib.sha256(dump(whole)).hexdigest(), "payload": whole, "freshness": {"observed_at": "2026-01-01T00:00:09Z" if late else "2026-01-01T00:00:00Z", "exported_at": "2026-01-01T00:00:05Z", "consumer_must_recompute": True},
+        "evidence_refs": [{"kind": "k", "ref": ref, "sha256": "0" * 64}], "non_claims": ["a", "b"],
+        "boundary": {"transport_authority": "t", "payload_authority": "p", "routing_authority": "none", "raw_logs_included": False, "secrets_included": False, "auto_apply_permitted": False},
+    }
+    return json.dumps(out | {"event_id": "sha256:" + hashlib.sha256(dump(out)).hexdigest()})
+
+
+PIN = {"owner": "o", "source_repository": "o", "source_revision": "b" * 40, "source_path": "p", "sha256": "c" * 64}
+EXPORTS = [(exported({}), None), (exported({"reward": 2}), "$.payload.reward: not allowed"), (exported({}, late=True), "$.freshness.exported_at: before observed_at"), (exported({}, digest="0" * 64), "$.payload_sha256: not the payload''s"), (exported({}, ref="/home/me"), "$.evidence_refs[0].ref: private path")]
+
+
+@query(first_of([e for _, e in EXPORTS]))
+def export_contract(spark, sf_dir):
+    """Contracts, pinned values, digests over canonical JSON, times, nothing that must not leave."""
+    own = ledger(spark, sf_dir).select("seq", F.element_at(F.array(*[F.lit(t) for t, _ in EXPORTS]), (F.col("seq") % len(EXPORTS) + 1).cast("int")).alias("text"))
+    given = {f"$.payload_contract.{k}": v for k, v in PIN.items()} | {"$.schema_version": "export.v1", "$.source.repo": "own/repo", "$.boundary.transport_authority": "t", "$.boundary.payload_authority": "p", "$.non_claims": ("a", "b")}
+    return closed.with_export_errors(own, "text", "seq", given).select("seq", F.try_element_at("errors", F.lit(1)).alias("first_error"))
+
+
 # The streams give what the batches give.
 ORACLE_SQL["streamed_states"], ORACLE_SQL["streamed_chains"] = ORACLE_SQL["reported_states"], ORACLE_SQL["hash_chains"]
 __all__ = ["ORACLE_SQL", "QUERIES"]

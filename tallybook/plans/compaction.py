@@ -144,9 +144,9 @@ def rebuild(spark: SparkSession, bundles: str, ledger: str, domain: str = "agent
     return unique.append_unique(rows, ledger)
 
 
-def remove_files(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes files wherever Spark reads them from."""
+def remove_files(spark: SparkSession, paths: list[str], recursive: bool = False) -> None:
+    """Deletes files, or folders with all they hold, wherever Spark reads them from."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, False)
+        path.getFileSystem(conf).delete(path, recursive)
