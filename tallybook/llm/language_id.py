@@ -106,8 +106,8 @@ def language_counts(labelled: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> Model:
     """From the rows that are not held out and have a label and letters. The driver gets FEATURES numbers for each of at most MOST_LANGUAGES languages."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    table = language_counts(labelled.join(F.broadcast(frequent), "lang", "left_semi")).toArrow()
+    frequent = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    table = language_counts(labelled.where(F.col("lang").isin(frequent))).toArrow()
     names = table.column("lang").to_pylist()
     languages = sorted(set(names))
     place = {lang: i for i, lang in enumerate(languages)}

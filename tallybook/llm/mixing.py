@@ -103,9 +103,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     return open_.select("source", "source_size", target.alias("target"))
 
 
-def with_sources(df: DataFrame, sources: DataFrame, on: Column, how: str = "left") -> DataFrame:
-    """Joins a table of sources, broadcast only if its counted rows are few."""
-    return df.join(F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources, on, how)
+def with_sources(df: DataFrame, sources: DataFrame, on: Column, few: bool, how: str = "left") -> DataFrame:
+    """Joins a table of one row for each source at most, broadcast only if the counted sources are few."""
+    return df.join(F.broadcast(sources) if few else sources, on, how)
+
+
+def is_few(sources: DataFrame) -> bool:
+    return sources.count() <= BROADCAST_SOURCES
 
 
 def inclusion(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def inclusion(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select("s", "copies", "lacking", "slack", F.when(F.col("classes").isNotNull() & (F.col("lacking") > 0), F.pow(F.lit(2.0), found["high"])).otherwise(0.0).alias("lambda"))
 
 
-def first_end(ranks: DataFrame, state: DataFrame) -> DataFrame:
+def first_end(ranks: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """``state`` with the first rank after ``after`` that takes the sum above ``lacking - slack`` (``end``, null if none does), the words before it and of it.
 
     Of the documents with at most ``longest`` words. state: s, after, longest, taken, lacking, slack. The order is cut in
@@ -137,14 +141,14 @@ def first_end(ranks: DataFrame, state: DataFrame) -> DataFrame:
     """
     plan = state.withColumn("prefix", F.lit(0).cast("long"))
     bound = plan.select("s", "after", "longest")
-    own = with_sources(ranks, bound, ranks["source"].eqNullSafe(F.col("s")), "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest"))).select("s", "rank", "words")
+    own = with_sources(ranks, bound, ranks["source"].eqNullSafe(F.col("s")), few, "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest"))).select("s", "rank", "words")
     columns = state.columns
     for i in range(ROUNDS):
         shift = SLICE_BITS * (ROUNDS - 1 - i)
         slices = own.groupBy("s", F.shiftright("rank", shift).alias("slice")).agg(F.sum("words").alias("words"))
         if i:
             open_ = plan.select(F.col("s").alias("s3"), "prefix")
-            slices = with_sources(slices, open_, slices["s"].eqNullSafe(F.col("s3")) & (F.shiftright("slice", SLICE_BITS) == F.col("prefix")), "inner")
+            slices = with_sources(slices, open_, slices["s"].eqNullSafe(F.col("s3")) & (F.shiftright("slice", SLICE_BITS) == F.col("prefix")), few, "inner")
         ordered = slices.groupBy(F.col("s").alias("s2")).agg(F.array_sort(F.collect_list(F.struct("slice", "words"))).alias("slices"))
         found = plan.join(ordered, F.col("s").eqNullSafe(F.col("s2")), "left")
         # Moves over the slices that leave the sum below; stops in the first that does not.
@@ -160,10 +164,10 @@ def first_end(ranks: DataFrame, state: DataFrame) -> DataFrame:
     return plan.withColumn("end", F.when(F.col("prefix") >= 0, F.col("prefix"))).drop("prefix")
 
 
-def after_misfits(ranks: DataFrame, state: DataFrame) -> DataFrame:
+def after_misfits(ranks: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """``state`` after the documents that are left: one fold for each source, in order, over what still fits."""
     bound = state.select("s", "after", "longest")
-    own = with_sources(ranks, bound, ranks["source"].eqNullSafe(F.col("s")), "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest")))
+    own = with_sources(ranks, bound, ranks["source"].eqNullSafe(F.col("s")), few, "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest")))
     listed = own.groupBy(F.col("s").alias("s2")).agg(F.array_sort(F.collect_list(F.struct("rank", "size", "words"))).alias("left"))
     found = state.join(listed, F.col("s").eqNullSafe(F.col("s2")), "left")
 
@@ -176,14 +180,14 @@ def after_misfits(ranks: DataFrame, state: DataFrame) -> DataFrame:
     return found.withColumn("folded", folded).select("s", "lacking", "slack", "folded.taken", "folded.ranges")
 
 
-def sampled(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+def sampled(sizes: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """s, ranges of every source: a document is in the sample if its rank is in one of the ranges (first, last) and its size at most the range's ``longest``."""
     ranks = stored(sizes.where("size > 0").groupBy("source", "rank", "size").agg(F.sum("size").alias("words")))
     none = F.array().cast("array<struct<first:bigint,last:bigint,longest:bigint>>")
     state = plan.where("lacking > slack").select("s", F.lit(-1).cast("long").alias("after"), F.floor("lacking").cast("long").alias("longest"), F.lit(0).cast("long").alias("taken"), "lacking", "slack", none.alias("ranges"))
     done = state.select("s", "lacking", "slack", "taken", "ranges").limit(0)
     while True:
-        found = first_end(ranks, state)
+        found = first_end(ranks, state, few)
         fits = F.coalesce((F.col("taken") + F.col("words")).cast("double") <= F.col("lacking"), F.lit(False))
         last = F.when(F.col("end").isNull(), F.lit(END)).when(fits, F.col("end")).otherwise(F.col("end") - 1).cast("long")
         range_ = F.struct((F.col("after") + 1).alias("first"), last.alias("last"), F.col("longest").alias("longest"))
@@ -192,12 +196,12 @@ def sampled(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         judged = stored(judged.withColumn("longest", F.floor(F.col("lacking") - F.col("taken")).cast("long")))
         done = done.unionByName(judged.where("not goes_on").select("s", "lacking", "slack", "taken", "ranges"))
         state = judged.where("goes_on").select("s", F.col("end").alias("after"), "longest", "taken", "lacking", "slack", "ranges")
-        left = with_sources(ranks, state.select("s", "after", "longest"), ranks["source"].eqNullSafe(F.col("s")), "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest")))
+        left = with_sources(ranks, state.select("s", "after", "longest"), ranks["source"].eqNullSafe(F.col("s")), few, "inner").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("longest")))
         if (left.groupBy("s").count().agg(F.max("count")).first()[0] or 0) <= FOLD_RANKS:
             break
-    ended = stored(done.unionByName(after_misfits(ranks, state)))
+    ended = stored(done.unionByName(after_misfits(ranks, state, few)))
     short = ended.where(F.col("taken").cast("double") <= F.col("lacking") - F.col("slack"))
-    left = with_sources(ranks, short.withColumnRenamed("s", "s4"), ranks["source"].eqNullSafe(F.col("s4")), "inner")
+    left = with_sources(ranks, short.withColumnRenamed("s", "s4"), ranks["source"].eqNullSafe(F.col("s4")), few, "inner")
     outside = left.where(~is_sampled(F.col("ranges"), F.col("rank"), F.col("size")) & (F.col("words") < 2 * (F.col("lacking") - F.col("taken"))))
     more = outside.groupBy(F.col("s4").alias("s5")).agg(F.min(F.struct("size", "rank")).alias("more"))
     joined = ended.join(more, F.col("s").eqNullSafe(F.col("s5")), "left")
@@ -214,7 +218,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     sizes = stored(with_ranks(docs))
     targets = stored(source_targets(sizes, weights, most))
     plan = stored(inclusion(sizes, targets))
-    ranges = sampled(sizes, plan).withColumnRenamed("s", "s6")
+    few = is_few(plan)
+    ranges = sampled(sizes, plan, few).withColumnRenamed("s", "s6")
     whole = targets.join(plan.select("s", "copies", "lambda"), targets["source"].eqNullSafe(plan["s"])).join(ranges, F.col("s").eqNullSafe(F.col("s6")), "left")
     none = F.array().cast("array<struct<first:bigint,last:bigint,longest:bigint>>")
     return sizes, stored(whole.select("source", "source_size", "target", "copies", "lambda", F.coalesce("ranges", none).alias("ranges")))
@@ -228,7 +233,7 @@ def copies_taken(copies: str = "copies", ranges: str = "ranges", rank: str = "ra
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rank and inclusion probability p (of the copy that is not certain) of every document."""
     sizes, plan = mix_plan(docs, weights, most)
-    joined = with_sources(sizes, plan.withColumnRenamed("source", "s"), sizes["source"].eqNullSafe(F.col("s")))
+    joined = with_sources(sizes, plan.withColumnRenamed("source", "s"), sizes["source"].eqNullSafe(F.col("s")), is_few(plan))
     odds = F.col("lambda") * relative_odds(size_class(F.col("size")))
     return joined.select(
         "doc_id", "size", "source_size", "target", (copies_taken() * F.col("size")).cast("long").alias("taken"), copies_taken().cast("long").alias("copies"), "rank", (odds / (1 + odds)).alias("p")
@@ -241,6 +246,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     plan = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("ranges").alias("__ranges"))
     own = docs.withColumn("__size", word_count(F.col("text")))
     own = own.withColumn("__rank", rank_of(F.col("doc_id"), F.col("__size")))
-    joined = with_sources(own, plan, own["source"].eqNullSafe(F.col("__s")), "inner")
+    joined = with_sources(own, plan, own["source"].eqNullSafe(F.col("__s")), is_few(plan), "inner")
     times = copies_taken("__copies", "__ranges", "__rank", "__size").cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
