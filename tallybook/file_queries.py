@@ -385,11 +385,12 @@ def swept_ledger(spark, sf_dir):
     return spark.read.parquet(path).select("seq", "kind")
 
 
-@query("SELECT 'r_c' AS producer, run_id AS run, count(*) AS n FROM ledger WHERE user_id % 10 <> 3 GROUP BY ALL")
+@query("SELECT 'r_c' AS producer, 'run-' || user_id AS run, count(*) AS n FROM ledger WHERE user_id % 10 <> 3 GROUP BY ALL")
 def outbox_appended(spark, sf_dir):
     """Valid events in a folder for each producer and run."""
     path = folder(spark, "box")
-    delivery.append_outbox(ledger(spark, sf_dir).where("user_id % 10 <> 3").select(F.expr(VALID_EVENT).alias("value")), path)
+    own = ledger(spark, sf_dir).where("user_id % 10 <> 3").withColumn("run_id", F.concat(F.lit("run-"), "user_id"))
+    delivery.append_outbox(own.select(F.expr(VALID_EVENT).alias("value")), path)
     return spark.read.text(path).groupBy("producer", F.col("run").cast("string").alias("run")).agg(F.count("*").alias("n"))
 
 

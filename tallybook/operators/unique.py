@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import table_or_none, written
 
 #: Folders of a domain in a ledger, by a hash of event_id; a batch reads only those it has identities of.
-BUCKETS = 64
+BUCKETS = 32
 #: Pairs of domain and bucket that are named to the scan; a batch with more reads all buckets of the ledger.
 MOST_FOLDERS = 4_096
 
