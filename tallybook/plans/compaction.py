@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import unique
 from ..sources import sinks
 from ..sources.jsonl import files, lines
-from ..sources.scratch import table_or_none, written
+from ..sources.scratch import delete, table_or_none, written
 from .folds import within_budget
 from .reconcile import profiles, source_events, with_receipts
 
@@ -80,7 +80,7 @@ def compact(
         eligible = out.where("reason = 'eligible'").select("source").join(own, "source").select(F.lit(SHARD).alias("shard"), "source", "bytes", "digest")
         publish(spark, eligible, events, bundles, max_bytes)
         if remove:
-            remove_files(spark, [r["source"] for r in out.where("reason = 'eligible'").select("source").collect()])
+            delete(spark, [r["source"] for r in out.where("reason = 'eligible'").select("source").collect()])
     return out
 
 
@@ -142,11 +142,3 @@ def rebuild(spark: SparkSession, bundles: str, ledger: str, domain: str = "agent
         return 0, 0
     rows = batch.select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload"))
     return unique.append_unique(rows, ledger)
-
-
-def remove_files(spark: SparkSession, paths: list[str], recursive: bool = False) -> None:
-    """Deletes files, or folders with all they hold, wherever Spark reads them from."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, recursive)

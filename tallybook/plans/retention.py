@@ -8,8 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.envelope import unexpired
-from ..sources.scratch import written
-from .compaction import remove_files
+from ..sources.scratch import delete, written
 
 
 def sweep(spark: SparkSession, path: str, now: datetime, folders: tuple[str, ...] = ("domain", "bucket")) -> tuple[int, int]:
@@ -27,5 +26,5 @@ def sweep(spark: SparkSession, path: str, now: datetime, folders: tuple[str, ...
     kept = written(table.join(touched.where("`left` > 0").select(*folders), list(folders)).where(keeps).select(table.columns))
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
     empty = touched.where("`left` = 0").select(*folders).collect()  # a row for each folder that goes
-    remove_files(spark, [f"{path.rstrip('/')}/" + "/".join(f"{k}={r[k]}" for k in folders) for r in empty], recursive=True)
+    delete(spark, [f"{path.rstrip('/')}/" + "/".join(f"{k}={r[k]}" for k in folders) for r in empty])
     return totals["n"], totals["rows"]

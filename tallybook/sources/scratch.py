@@ -20,11 +20,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Folders of ``written`` that are still there.
+kept_folders: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: read again by several jobs, it is the same for all."""
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, its size is known, and several jobs that read it see the same rows."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept_folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,3 +41,17 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return None
+
+
+def clear(spark: SparkSession, before: int = 0) -> None:
+    """Deletes what ``written`` has left but for the first ``before`` folders. Only for results that are written elsewhere already: others still read it."""
+    delete(spark, kept_folders[before:])
+    del kept_folders[before:]
+
+
+def delete(spark: SparkSession, paths: list[str], recursive: bool = True) -> None:
+    """Deletes files, or folders with all they hold, wherever Spark reads them from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, recursive)
