@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import clear as clear_stored
+from ..sources.scratch import kept_folders, scratch_dir
+from ..sources.scratch import written as stored
+
+__all__ = ["clear_stored", "kept_folders", "map_rows", "scratch_dir", "slices", "stored", "table", "texts"]
 
 #: Rows of an Arrow batch that Python works on at once.
 SLICE_ROWS = 256
@@ -18,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of ``stored`` that are still there.
-kept_folders: list[str] = []
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, and its size is known."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept_folders.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_stored(spark: SparkSession, before: int = 0) -> None:
-    """Deletes what ``stored`` has written but for the first ``before`` folders. Only for results that are written already: others still read it."""
-    jvm = spark.sparkContext._jvm
-    while len(kept_folders) > before:
-        path = jvm.org.apache.hadoop.fs.Path(kept_folders.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of few rows, so that what Python makes of one stays small."""
     for batch in batches:
