@@ -12,7 +12,7 @@ from .functions import digests, texts, times, values
 from .operators import contracts, envelope, history, paging, unique, wrappers
 from .plans import compaction, delivery, folds, reconcile
 from .sources import sinks
-from .sources.bindings import ledger, payload_json, table
+from .sources.bindings import ledger, payload_json, spread, table
 from .sources.jsonl import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,7 +261,7 @@ CASE WHEN host IS NOT NULL AND seq % 4 <> 0 THEN '$.subject: unknown key' WHEN k
 WHEN seq % 17 = 0 THEN '$.evidence_refs: items' WHEN seq % 13 = 0 THEN '$.corrects: missing' END AS first_error FROM ledger""")
 def run_event_contract(spark, sf_dir):
     """Closed keys, enumerations, patterns, arrays, conditions; the first error in rule order."""
-    own = contracts.with_agent_run_errors(ledger(spark, sf_dir).select("seq", F.try_parse_json(F.expr(RUN_EVENT)).alias("v")), "v")
+    own = contracts.with_agent_run_errors(spread(ledger(spark, sf_dir)).select("seq", F.try_parse_json(F.expr(RUN_EVENT)).alias("v")), "v")
     return own.select("seq", (F.size("errors") == 0).alias("valid"), F.try_element_at("errors", F.lit(1)).alias("first_error"))
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores dealt to all of them, for work that costs more than moving its rows; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, event_id, ts, domain, kind, run_id, scope, host, repo, operation, task_class, blocker_code, outcome, result, value, user_id."""
     e = table(spark, sf_dir, "events")
