@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff_lm import score
 from .common import table
+from .fill_in_middle import fim_digests
 from .html_extract import extract_main_text
 from .language_id import identify
 from .licenses import scan_licenses
@@ -14,6 +16,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pieces import piece_digests
+from .resampling import resample
 from .simhash import edited_fingerprints
 from .token_counts import count_tokens
 from .topk import top_k
@@ -68,6 +71,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums to a millionth."""
+    return score(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +97,9 @@ QUERIES = {
         op8_exact_topk,
         op9_simhash_near_dedup,
         op10_language_id,
+        op11_importance_resampling,
+        op12_lm_scores,
+        op13_fill_in_middle,
     )
 }
 
@@ -152,5 +171,75 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    # Runs of one to three words by their places; checksums bit by bit over the runs' bytes.
+    "op11_importance_resampling": r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS key, row_number() OVER () AS own, text FROM documents
+  UNION ALL SELECT 'b', NULL, -row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT side, key, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT side, own, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]),
+                                       list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run FROM words
+), counted AS (
+  SELECT side, own, run, count(*) AS n FROM runs GROUP BY ALL
+), sums AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(run)), lambda i: (('0x' || substr(hex(encode(run)), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)::BIGINT) & 1)),
+                              lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT run FROM runs)
+), buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM counted JOIN sums USING (run) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM buckets
+), weights AS (
+  SELECT own, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM counted JOIN sums USING (run) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY own
+), scored AS (
+  SELECT key AS doc_id, d.own, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(key::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM words d LEFT JOIN weights USING (own) WHERE side = 'd'
+), drawn AS (
+  SELECT own, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (own)
+""",
+    # Pairs of neighbouring tokens, the beginning in front; sums with compensation.
+    "op12_lm_scores": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS own, doc_id,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(k)), lambda i: (ord(k[i // 8 + 1])::BIGINT >> (i % 8)::BIGINT) & 1)), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 7 = 2 AS held_out,
+         list_append(list_prepend(' <', regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')), ' >') AS w
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') AS k FROM documents)
+), t AS (
+  SELECT own, held_out, unnest(w[2:]) AS word, unnest(w[:-2]) AS before FROM d
+), words AS (
+  SELECT word, count(*) FILTER (NOT held_out) AS c FROM t GROUP BY word
+), n AS (
+  SELECT sum(c)::BIGINT AS tokens, count(*) FILTER (c > 0) AS types FROM words
+), histories AS (
+  SELECT before, count(*) FILTER (NOT held_out) AS c FROM t GROUP BY before
+), pairs AS (
+  SELECT before, word, count(*) FILTER (NOT held_out) AS c FROM t GROUP BY before, word
+), likely AS (
+  SELECT p.before, p.word, w.c AS known, (w.c + 1)::DOUBLE / (n.tokens + n.types + 1) AS base, h.c AS h, p.c FROM pairs p JOIN words w USING (word) JOIN histories h USING (before), n
+), scores AS (
+  SELECT own, count(*) AS n_tokens, count(*) FILTER (known > 0) AS n_known, fsum(log10(base)) AS base_score, fsum(log10((c + 2.0::DOUBLE * base) / (h + 2.0::DOUBLE))) AS score
+  FROM t JOIN likely USING (before, word) GROUP BY own
+)
+SELECT doc_id, held_out, n_tokens, n_known, coalesce(tokens, 0)::BIGINT AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN scores USING (own), n
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), n AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1 : least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1 :], '') AS suf FROM n
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
 """,
 }
