@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Whether Spark deletes a job's shuffle files when it ends, not only when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, jobs delete their shuffle files when they end."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 #: Folders of ``written`` that are still there.
 kept_folders: list[str] = []
 
@@ -28,7 +48,8 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, its size is known, and several jobs that read it see the same rows."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     kept_folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
