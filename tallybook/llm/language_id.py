@@ -7,9 +7,13 @@ place's classifier tells that language's own n-grams; the language with the leas
 and one whose runner-up is close is flagged as ambiguous.
 
 The classifiers come from n-gram counts over all labelled rows, each document with the same weight;
-counts are whole numbers, so every order of adding them gives the same model. Labels are the
-values of lang that are not null, the ``MOST_LANGUAGES`` most frequent ones. Null texts and texts without letters are ``und`` with score 0, as is
-every text when no row has a label. Repeated rows give repeated results; other columns are ignored.
+counts and their shares are whole numbers, so every order of adding them gives the same model. Labels are all
+values of lang that are not null on a row with a text; a language's n-grams are added up by the task that has it, and the driver gets the
+classifiers' sums and a number for each language and place of the codewords. Of languages with the same loss the first by code point is the answer.
+
+Null texts and texts without a letter (Unicode's, so neither digits nor fractions) are ``und`` with score 0, as is
+every text when no row has a label. An empty table gives an empty result. Repeated rows give repeated results; other columns are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, texts
+from .common import map_rows, slices, stored, texts
 
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
@@ -31,9 +35,12 @@ FEATURES = BUCKETS * len(ORDERS)
 UNIT = 1_000_000
 FOLDS = 5
 LEAST_CODE = 15
-#: Labels that are learned: the most frequent ones (ties by code point); it bounds the model and what the driver gets.
-MOST_LANGUAGES = 256
+#: Up to this many languages all pairs of codewords are compared when they are drawn; beyond, they are longer and only have to differ.
+COMPARED = 1024
+#: An n-gram's share of a language's text is counted in this many parts.
+PARTS = 1 << 40
 AMBIGUOUS = 0.1
+#: What may be a letter: also numbers that are no digits.
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case, other ASCII as spaces, all else as it is.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -68,12 +75,21 @@ class Model(NamedTuple):
     trust: np.ndarray  # languages x places
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1 and -1, the best of many draws from a fixed seed by least distance of rows; no column is constant where n > 1."""
+    """n rows of +1 and -1 from a fixed seed, the best of many draws by least distance of rows; no column is constant where n > 1."""
     if n < 2:
         return np.ones((n, LEAST_CODE))
     width = max(LEAST_CODE, 4 * int(np.ceil(np.log2(n))) + 7)
     draw, best, most = np.random.default_rng(10), None, -1.0
+    if n > COMPARED:
+        best = np.where(draw.random((n, 2 * width)) < 0.5, -1.0, 1.0)
+        while len(np.unique(best, axis=0)) < n:
+            best = np.where(draw.random((n, 2 * width)) < 0.5, -1.0, 1.0)
+        return best
     for _ in range(200 if n <= 64 else 5):
         c = np.where(draw.random((n, width)) < 0.5, -1.0, 1.0)
         flat = np.abs(c.sum(axis=0)) == n
@@ -103,33 +119,67 @@ def language_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language with the share of each n-gram of an order in its text, in PARTS. Rows: lang, feature, n, those of a language together."""
+    lang, own = None, None
+
+    def shares() -> np.ndarray:
+        total = np.maximum(own.reshape(len(ORDERS), BUCKETS).sum(axis=1), 1)
+        return (own.reshape(len(ORDERS), BUCKETS).astype(float) * (PARTS / total[:, None])).astype(np.int64).ravel()
+
+    for batch in batches:
+        names, features, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b and names[a] != lang:
+                if own is not None:
+                    yield lang, shares()
+                lang, own = names[a], np.zeros(FEATURES, np.int64)
+            if a < b:
+                own[features[a:b]] += counts[a:b]
+    if own is not None:
+        yield lang, shares()
+
+
 def fit(docs: DataFrame) -> Model:
-    """From the rows that are not held out and have a label and letters. The driver gets FEATURES numbers for each of at most MOST_LANGUAGES languages."""
+    """From the rows that are not held out and have a label and a text. The driver gets a number for each feature and place, and for each language and place."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    table = language_counts(labelled.where(F.col("lang").isin(frequent))).toArrow()
-    names = table.column("lang").to_pylist()
-    languages = sorted(set(names))
-    place = {lang: i for i, lang in enumerate(languages)}
-    counts = np.zeros((len(languages), FEATURES))
-    if languages:
-        counts[[place[x] for x in names], table.column("feature").to_numpy()] = table.column("n").to_numpy()
+    counts = stored(language_counts(labelled))
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     codes = codewords(len(languages))
-    share = counts.reshape(len(languages), len(ORDERS), BUCKETS)
-    share = (share / np.maximum(share.sum(axis=2, keepdims=True), 1)).reshape(len(languages), FEATURES)
-    floor = 1e-5
-    plus = (codes > 0).astype(float)
-    mean = lambda side: side.T @ share / np.maximum(side.sum(axis=0)[:, None], 1)
-    weights = np.log((mean(plus) + floor) / (mean(1 - plus) + floor)).T
-    margins = share @ weights
-    scale = np.maximum(np.abs(margins).mean(axis=0), 1e-9) if len(languages) else np.ones(codes.shape[1])
+    plus, width = {x: codes[i] > 0 for i, x in enumerate(languages)}, codes.shape[1]
+    ordered = counts.repartition("lang").sortWithinPartitions("lang")
+
+    def side_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width + 1, FEATURES), np.int64)  # of the languages with a plus at each place, and of all
+        for lang, share in by_language(batches):
+            sums[:width][plus[lang]] += share
+            sums[width] += share
+        place, feature = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(feature, pa.int32()), pa.array(sums[place, feature], pa.int64())], ["place", "feature", "n"])
+
+    table = ordered.mapInArrow(side_sums, "place int, feature int, n bigint").groupBy("place", "feature").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros((width + 1, FEATURES))
+    sums[table.column("place").to_numpy(), table.column("feature").to_numpy()] = table.column("n").to_numpy() / PARTS
+    floor, sizes = 1e-5, (codes > 0).sum(axis=0)
+    mean = lambda side, n: side / np.maximum(n, 1)[:, None]
+    weights = np.log((mean(sums[:width], sizes) + floor) / (mean(sums[width] - sums[:width], len(languages) - sizes) + floor)).T
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def margins_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, share in by_language(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([(share / PARTS) @ shared.value], pa.list_(pa.float64()))], ["lang", "margins"])
+
+    found = {r["lang"]: r["margins"] for r in ordered.mapInArrow(margins_of, "lang string, margins array<double>").collect()}
+    margins = np.array([found[x] for x in languages]).reshape(len(languages), width)
+    scale = np.maximum(np.abs(margins).mean(axis=0), 1e-9) if len(languages) else np.ones(width)
     trust = np.maximum(margins * codes / scale, 0.05)
     return Model(languages, codes, weights, scale, trust)
 
 
 def predict(model: Model, text: str) -> tuple[str, float, bool]:
     """(language, score, ambiguous)."""
-    if not model.languages or not LETTER.search(text):
+    if not model.languages or not has_letter(text):
         return "und", 0.0, False
     counts = ngram_counts(text)
     total = np.maximum(counts.reshape(len(ORDERS), BUCKETS).sum(axis=1), 1)
