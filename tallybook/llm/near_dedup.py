@@ -388,8 +388,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     distinct = stored(prints.groupBy("digest").agg(least).select("digest", "least", "least.key", F.monotonically_increasing_id().alias("node")))
     roots = stored(components(likenesses(keyed, distinct)))
     rooted = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    kept = stored(rooted.agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key")))
+    kept = stored(rooted.agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.doc_id").alias("__doc_id")))
     hashed = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
-    # Equal rows are folded before they move.
-    own = docs.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("__row"))
-    return own.join(kept, "__key", "left_semi").select("__row.*")
+    # Equal rows are folded before they move; what tells rows apart are doc_id and a digest of the text, the short key only names them.
+    same = [key.alias("__key"), F.col("doc_id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("__text")]
+    own = docs.groupBy(*same).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("__row"))
+    return own.join(kept, (own["__key"] == kept["__key"]) & own["__id"].eqNullSafe(kept["__doc_id"]), "left_semi").select("__row.*")
