@@ -223,7 +223,7 @@ WITH d AS (
 ), likely AS (
   SELECT p.before, p.word, w.c AS known, (w.c + 1)::DOUBLE / (n.tokens + n.types + 1) AS base, h.c AS h, p.c FROM pairs p JOIN words w USING (word) JOIN histories h USING (before), n
 ), scores AS (
-  SELECT own, count(*) AS n_tokens, count(*) FILTER (known > 0) AS n_known, fsum(log10(base)) AS base_score, fsum(log10((c + 2.0::DOUBLE * base) / (h + 2.0::DOUBLE))) AS score
+  SELECT own, count(*) AS n_tokens, count(*) FILTER (known > 0) AS n_known, fsum(log10(base)) AS base_score, fsum(log10((c + 50.0::DOUBLE * base) / (h + 50.0::DOUBLE))) AS score
   FROM t JOIN likely USING (before, word) GROUP BY own
 )
 SELECT doc_id, held_out, n_tokens, n_known, coalesce(tokens, 0)::BIGINT AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN scores USING (own), n
