@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,18 +27,37 @@ def scratch_dir(spark: SparkSession) -> str:
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of a batch that goes between Spark and Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_setting = threading.Lock()
+#: For each setting that is set for a while: what it was, and how many are within.
+_before: dict[str, tuple[str | None, int]] = {}
+
+
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Within it, jobs delete their shuffle files when they end."""
-    before = spark.conf.get(SHUFFLES_GO, None)
-    spark.conf.set(SHUFFLES_GO, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within it, the session has this setting; the last of several threads that leave it gives the former one back."""
+    with _setting:
+        before, within = _before.get(key) or (spark.conf.get(key, None), 0)
+        _before[key] = before, within + 1
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLES_GO)
-        else:
-            spark.conf.set(SHUFFLES_GO, before)
+        with _setting:
+            before, within = _before.pop(key)
+            if within > 1:
+                _before[key] = before, within - 1
+            elif before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)
+
+
+def shuffles_deleted(spark: SparkSession):
+    """Within it, jobs delete their shuffle files when they end."""
+    return setting(spark, SHUFFLES_GO, "true")
 
 
 #: Folders of ``written`` that are still there.
@@ -54,6 +74,26 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the jobs of one call; what is left of them goes when it ends, whatever other threads write."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        with shuffles_deleted(self.spark):
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, self.paths)
+
+
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at ``path``, None if there is none yet."""
     try:
