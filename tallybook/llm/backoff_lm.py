@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import BATCH_BYTES, setting, slices, stored, texts
 
 ORDER = 2
 #: Tokens that a history must have before it outweighs the shorter one; on the held-out documents of the given tables 50 gives 0.34 more (in log10, a token) than 2.
@@ -45,7 +45,9 @@ PRIOR = 50.0
 #: Documents whose key's crc32 leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a block, at most one piece more, and bytes of a piece of a text, at most one word more.
-BLOCK_TOKENS, PIECE = 1_500_000, 1 << 20
+BLOCK_TOKENS, PIECE = 1_000_000, 1 << 20
+#: Rows are blocks here, so a batch of rows between Spark and Python is kept to few of them.
+BATCH = "4m"
 #: Bytes of text whose n-grams share a range of hashes on average.
 RANGE_BYTES = 64 << 20
 SPACE = re.compile(rb"[\x09-\x0D\x20]")
@@ -312,6 +314,11 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, key: str =
 
     ``block_tokens`` and ``piece`` (bytes of a text) bound the memory of a task, whatever the texts' lengths, and change no score.
     """
+    with setting(docs.sparkSession, BATCH_BYTES, BATCH):
+        return _score(docs, order, prior, key, block_tokens, piece)
+
+
+def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: int, piece: int) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
@@ -337,6 +344,6 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, key: str =
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
 
     told = found.where("block is not null").select("block", "n", "part", "counts")
-    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    pieces = stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"))
     whole = pieces.groupBy("number").agg(F.first("key").alias(key), *[F.sum(c).alias(c) for c in names[2:]])
     return whole.select(key, held_out(F.col(key)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
