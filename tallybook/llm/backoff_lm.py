@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, setting, slices, stored, texts
+from .common import BATCH_BYTES, gathered, setting, slices, stored, texts
 
 ORDER = 2
 #: Tokens that a history must have before it outweighs the shorter one; on the held-out documents of the given tables 50 gives 0.34 more (in log10, a token) than 2.
@@ -323,7 +323,7 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     blocks = stored(token_blocks(docs, key, order, block_tokens, piece))
-    found = stored(answers(asked(blocks, order, ranges)))
+    found = stored(gathered(answers(asked(blocks, order, ranges))))
     types, tokens = found.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     names = ["number", "key", "n_tokens", "n_known", "base_score", "score"]
     key_type = _arrow(kind)
@@ -344,6 +344,6 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
 
     told = found.where("block is not null").select("block", "n", "part", "counts")
-    pieces = stored(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"))
+    pieces = stored(gathered(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double")))
     whole = pieces.groupBy("number").agg(F.first("key").alias(key), *[F.sum(c).alias(c) for c in names[2:]])
     return whole.select(key, held_out(F.col(key)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

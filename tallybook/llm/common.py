@@ -11,7 +11,7 @@ from ..sources.scratch import BATCH_BYTES, kept_folders, scratch_dir, setting
 from ..sources.scratch import clear as clear_stored
 from ..sources.scratch import written as stored
 
-__all__ = ["BATCH_BYTES", "clear_stored", "kept_folders", "map_rows", "scratch_dir", "setting", "slices", "stored", "table", "texts"]
+__all__ = ["BATCH_BYTES", "clear_stored", "gathered", "kept_folders", "map_rows", "scratch_dir", "setting", "slices", "stored", "table", "texts"]
 
 #: Rows of an Arrow batch that Python works on at once.
 SLICE_ROWS = 256
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def gathered(df: DataFrame, each: int = 4) -> DataFrame:
+    """A small result of a shuffle in at most ``each`` partitions for a core, so that its table has no more files than these."""
+    return df.coalesce(each * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of few rows, so that what Python makes of one stays small."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, stored, texts
+from .common import gathered, map_rows, slices, stored, texts
 
 ORDERS = (1, 2, 3)
 BUCKETS = 4096
@@ -144,7 +144,7 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.nda
 def fit(docs: DataFrame) -> Model:
     """From the rows that are not held out and have a label and a text. The driver gets a number for each feature and place, and for each language and place."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = stored(language_counts(labelled))
+    counts = stored(gathered(language_counts(labelled), 1))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     codes = codewords(len(languages))
     plus, width = {x: codes[i] > 0 for i, x in enumerate(languages)}, codes.shape[1]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import gathered, slices, stored, texts
 
 BUCKETS = 10_000
 LONGEST_RUN = 3
@@ -124,7 +124,7 @@ def ranked(rows: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame
     spark, names = rows.sparkSession, [f"__k{i}" for i in range(len(keys))]
     keyed = rows.withColumns(dict(zip(names, [k.cast("long") for k in keys])))
     # every task sorts its run; the number of a row holds its run and its place there
-    runs = stored(keyed.sortWithinPartitions(*names).withColumn("__at", F.monotonically_increasing_id()))
+    runs = stored(gathered(keyed).sortWithinPartitions(*names).withColumn("__at", F.monotonically_increasing_id()))
     n = runs.count()
     if not n:
         return runs.drop(*names, "__at").withColumn(name, F.lit(None).cast("long"))
@@ -143,7 +143,7 @@ def ranked(rows: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
     dealt = runs.mapInArrow(deal, f"{fields}, __segment int")
     inside = F.row_number().over(Window.partitionBy("__segment").orderBy(*order))
-    sorted_segments = stored(dealt.withColumn("__within", inside))
+    sorted_segments = stored(gathered(dealt.withColumn("__within", inside)))
     sizes = sorted_segments.groupBy("__segment").count().orderBy("__segment").collect()  # a row for each segment
     bases, before = [], 0
     for r in sizes:
