@@ -14,9 +14,9 @@ from .functions import digests, times
 from .operators import closed, envelope, paging, unique, wrappers
 from .plans import compaction, delivery, reconcile, retention
 from .queries import ORACLE_SQL, QUERIES, payloads, query, unique_batch
-from .sources import jsonl, sinks
+from .sources import commits, jsonl, sinks
 from .sources.bindings import ledger, table
-from .sources.scratch import scratch_dir
+from .sources.scratch import scratch_dir, written
 from .streaming import ingest
 
 BLOCK = 4096
@@ -94,29 +94,43 @@ def concatenated_values(spark, sf_dir):
 def outbox_inventory(spark, sf_dir):
     """What a glob over producers' outboxes finds, without reading it."""
     path = folder(spark, "root")
-    for producer in range(7):  # as many folders as producers
-        own = payloads(spark, sf_dir).where(F.col("user_id") % 7 == producer).select("user_id", F.col("payload").alias("value"))
-        own.repartition("user_id").write.partitionBy("user_id").text(f"{path}-parts/{producer}/outbox")
-    found = jsonl.files(spark, f"{path}-parts/*/outbox/*/*.txt")
-    return found.groupBy(F.lit("loose").alias("kind"), F.regexp_extract("path", "/([0-9]+)/outbox/", 1).cast("long").alias("producer")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    own = payloads(spark, sf_dir).select((F.col("user_id") % 7).alias("producer"), F.lit("outbox").alias("kind"), "user_id", F.col("payload").alias("value"))
+    own.repartition("user_id").write.partitionBy("producer", "kind", "user_id").text(path)
+    found = jsonl.files(spark, f"{path}/*/kind=outbox/*/*.txt")
+    return found.groupBy(F.lit("loose").alias("kind"), part_of("producer").cast("long").alias("producer")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-@query("SELECT domain, event_id, seq % 20 AS group_pos FROM ledger WHERE seq % 2 = 0")
+@query("SELECT domain, event_id, seq % 20 AS group_pos FROM ledger")
 def appended_ledger(spark, sf_dir):
-    """K1-K3: a batch appended twice stands once."""
-    batch, _ = unique_batch(spark, sf_dir)
+    """K1-K3: all rows in a batch that is appended twice stand once; the index grows by a part of them first."""
+    batch, known = unique_batch(spark, sf_dir)
     path = folder(spark, "ledger")
-    for _ in range(2):
-        unique.append_unique(batch, path)
-    return spark.read.parquet(path).select("domain", "event_id", "group_pos")
+    for own in (batch.where("seq % 7 = 0 and group_pos < 100"), batch, batch):
+        unique.append(own, path)
+    return commits.committed(spark, path).select("domain", "event_id", "group_pos")
+
+
+@query("SELECT domain, event_id, seq % 4 = 0 AS divergent FROM ledger")
+def quarantined_events(spark, sf_dir):
+    """Every fourth event of a second batch has another payload; these go to the quarantine, the ledger keeps what it has."""
+    batch, _ = unique_batch(spark, sf_dir)
+    path, odd = folder(spark, "ledger"), folder(spark, "odd")
+    unique.append(batch, path)
+    other = batch.where("group_pos < 100").withColumn("fp", F.when(F.col("seq") % 4 == 0, F.lit(b"other")).otherwise(F.col("fp")))
+    unique.append(other, path, quarantine=odd)
+    found = spark.read.parquet(odd).select(F.col("domain").alias("d"), F.col("event_id").alias("e"))
+    kept = commits.committed(spark, path).select("domain", "event_id")
+    return kept.join(found, (F.col("domain") == F.col("d")) & (F.col("event_id") == F.col("e")), "left").select("domain", "event_id", F.col("e").isNotNull().alias("divergent"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, 0 AS latest FROM ledger GROUP BY 1 UNION ALL SELECT strftime(max(ts), '%Y-%m-%d'), 1, 1 FROM ledger")
 def metric_files(spark, sf_dir):
-    """K5: files by date, and the newest."""
+    """K5: files by date, and the newest, of two exports: that of the later dates keeps the files of the earlier ones."""
     path = folder(spark, "metrics")
-    own = ledger(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time_text"), "event_id", "seq")
-    sinks.export_metrics(own.withColumnRenamed("event_id", "payload"), path)
+    own = ledger(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time_text"), F.col("event_id").alias("payload"), "seq")
+    half = own.agg(F.substring(F.max("time_text"), 1, 8)).first()[0] + "15"
+    for part in (F.col("time_text") < half, F.col("time_text") >= half):
+        sinks.export_metrics(own.where(part), path)
     by_date = spark.read.json(f"{path}/by_date").groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n")).withColumn("latest", F.lit(0))
     return by_date.unionByName(spark.read.json(f"{path}/latest").groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n")).withColumn("latest", F.lit(1)))
 
@@ -171,11 +185,63 @@ def compacted_and_rebuilt(spark, sf_dir):
     path = f"{source_files(spark, sf_dir)}/*/*.txt"
     own, receipts, bundles, again = (folder(spark, x) for x in ("ledger", "receipts", "bundles", "rebuilt"))
     reconcile.import_sources(spark, path, own, receipts)
-    compaction.compact(spark, path, receipts, own, bundles, datetime(2100, 1, 1, tzinfo=timezone.utc), max_sources=60, max_bytes=1 << 40, apply=True)
+    compaction.compact(spark, path, receipts, own, bundles, datetime(2100, 1, 1, tzinfo=timezone.utc), max_sources=60, apply=True)
     compaction.rebuild(spark, bundles, again)
     return spark.read.parquet(again).select("event_id")
 
 
+@query("""SELECT run_id, event_ids, requested, imported, sha256(content) AS batch_sha256 FROM (SELECT run_id, array_to_string(list_sort(list(event_id)), ',') AS event_ids, count(*) AS requested, count_if(seq % 2 = 0)::BIGINT AS imported, array_to_string(list_sort(list(sha256(payload))), ',') AS content FROM payloads GROUP BY run_id)""")
+def list_receipts(spark, sf_dir):
+    """K7: the receipt of the list of each run's events, of which every other one is new."""
+    own = payloads(spark, sf_dir).select("run_id", "event_id", F.col("payload").alias("canonical"), (F.col("seq") % 2 == 0).alias("new"))
+    return reconcile.event_list_receipts(own, "run_id").select("run_id", F.concat_ws(",", "event_ids").alias("event_ids"), "requested", "imported", "batch_sha256")
+
+
+def renamed(spark, path: str, target: str) -> None:
+    """Files of folders ``user_id=<n>`` become ``<target>/<n>.jsonl``, in place of the ones that are there."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.Path(target))
+    for r in jsonl.files(spark, f"{path}/*/*.txt").select("path", part_of("user_id").alias("u")).collect():  # a file for each user
+        file = jvm.Path(f"{target}/{r['u']}.jsonl")
+        fs.delete(file, False)
+        fs.rename(jvm.Path(r["path"]), file)
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 10 = 3 THEN 'invalid' WHEN min(seq) < h AND max(seq) >= h THEN 'grown' ELSE 'added' END AS state, count(*) AS events, CASE WHEN user_id % 10 = 3 THEN 0 ELSE count(*) END AS appended
+FROM ledger, (SELECT (max(seq) + 1) // 2 AS h FROM ledger) GROUP BY user_id, h""")
+def streamed_import(spark, sf_dir):
+    """Files of events by user that grow between two runs of the stream; the second one reads what came behind the first."""
+    src, target, states, check = (folder(spark, x) for x in ("growing", "ledger", "states", "ck"))
+    own = ledger(spark, sf_dir).select("user_id", "seq", F.expr(VALID_EVENT).alias("value"))
+    half = (own.agg(F.max("seq")).first()[0] + 1) // 2
+    for part in (own.where(F.col("seq") < half), own):
+        path = folder(spark, "parts")
+        part.repartition("user_id").sortWithinPartitions("user_id", "seq").drop("seq").write.partitionBy("user_id").text(path)
+        renamed(spark, path, src)
+        ingest.incremental_import(spark, src, target, check, states).awaitTermination()
+    name = lambda c: F.regexp_extract(c, r"([0-9]+)\.jsonl$", 1).cast("long")
+    there = commits.committed(spark, target).groupBy(name("group_pos").alias("u")).agg(F.count("*").alias("appended"))
+    found = ingest.source_states(spark, states).select(name("source").alias("user_id"), "state", "events")
+    return found.join(there, F.col("user_id") == F.col("u"), "left").select("user_id", "state", "events", F.coalesce("appended", F.lit(0).cast("long")).alias("appended"))
+
+
+@query("""SELECT user_id, fault FROM (SELECT user_id, unnest(CASE WHEN user_id % 3 = 0 THEN ['not in the index'] WHEN user_id % 3 = 1 THEN ['twice'] ELSE ['not in its bundle', 'not in the index'] END) AS fault
+FROM (SELECT user_id, arg_max(seq % 3, seq) AS last, row_number() OVER (ORDER BY user_id::VARCHAR || '/') AS n FROM ledger GROUP BY user_id) WHERE n <= 60 AND last > 0 AND user_id % 10 <> 3)""")
+def archive_faults(spark, sf_dir):
+    """An index that lacks sources, has some twice and others in a bundle that is not theirs."""
+    path = f"{source_files(spark, sf_dir)}/*/*.txt"
+    own, receipts, bundles = (folder(spark, x) for x in ("ledger", "receipts", "bundles"))
+    reconcile.import_sources(spark, path, own, receipts)
+    compaction.compact(spark, path, receipts, own, bundles, datetime(2100, 1, 1, tzinfo=timezone.utc), max_sources=60, apply=True)
+    index = written(spark.read.parquet(f"{bundles}/index"))
+    user = lambda c: part_of("user_id", c).cast("long")
+    kind = user("source") % 3
+    wrong = index.where(kind == 1).unionByName(index.where(kind == 1)).unionByName(index.where(kind == 2).withColumn(compaction.NAME, F.lit("another")))
+    wrong.write.mode("overwrite").parquet(f"{bundles}/index")
+    return compaction.archive_faults(spark, bundles).select(user("source").alias("user_id"), "fault").distinct()
+
+
 def accepted(values: list[str]) -> int:
     return 200 if values else 400
 
@@ -196,10 +262,10 @@ def in_two_parts(spark, df: DataFrame, name: str) -> tuple[str, str]:
     return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
-@query("SELECT domain, event_id FROM ledger WHERE seq % 2 = 0")
+@query("SELECT domain, event_id FROM ledger")
 def streamed_ingest(spark, sf_dir):
     """Batches of files appended once, and once more under a new cursor."""
-    own = payloads(spark, sf_dir).where("seq % 2 = 0").select("domain", "event_id", "seq", F.lit(0).alias("group_pos"), F.col("seq").alias("row_pos"), "payload")
+    own = payloads(spark, sf_dir).select("domain", "event_id", "seq", F.lit(0).alias("group_pos"), F.col("seq").alias("row_pos"), "payload")
     path, schema = in_two_parts(spark, own, "in")
     target = folder(spark, "ledger")
     for _ in range(2):
@@ -385,13 +451,19 @@ def swept_ledger(spark, sf_dir):
     return spark.read.parquet(path).select("seq", "kind")
 
 
-@query("SELECT 'r_c' AS producer, 'run-' || user_id AS run, count(*) AS n FROM ledger WHERE user_id % 10 <> 3 GROUP BY ALL")
+@query("""SELECT 'r_c' AS producer, 'run-' || user_id AS run, count(*) AS n, sha256(string_agg('sha256:' || sha256(event_id), ',' ORDER BY seq)) AS in_order FROM ledger WHERE user_id % 10 <> 3 GROUP BY ALL
+UNION ALL SELECT 'refused', 'run-' || user_id, count(*), NULL FROM ledger WHERE user_id % 10 = 3 GROUP BY ALL""")
 def outbox_appended(spark, sf_dir):
-    """Valid events in a folder for each producer and run."""
+    """Valid events in a folder for each producer and run, in order; the others refused."""
     path = folder(spark, "box")
-    own = ledger(spark, sf_dir).where("user_id % 10 <> 3").withColumn("run_id", F.concat(F.lit("run-"), "user_id"))
-    delivery.append_outbox(own.select(F.expr(VALID_EVENT).alias("value")), path)
-    return spark.read.text(path).groupBy("producer", F.col("run").cast("string").alias("run")).agg(F.count("*").alias("n"))
+    own = ledger(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run-"), "user_id")).select("seq", F.expr(VALID_EVENT).alias("value"))
+    refused = delivery.append_outbox(own, path, refuse_all=False)
+    text = lambda p: F.try_variant_get(F.try_parse_json("value"), p, "string")
+    lines = jsonl.lines(spark, f"{path}/*/*/*.txt").select(part_of("producer").alias("producer"), part_of("run").alias("run"), "path", "start_offset", text("$.event_id").alias("id"))
+    in_order = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("path", "start_offset", "id"))), lambda x: x["id"]))
+    kept = lines.groupBy("producer", "run").agg(F.count("*").alias("n"), F.sha2(in_order, 256).alias("in_order"))
+    left = refused.groupBy(F.lit("refused").alias("producer"), text("$.source.run_id").alias("run")).agg(F.count("*").alias("n")).withColumn("in_order", F.lit(None).cast("string"))
+    return kept.unionByName(left)
 
 
 @query("SELECT seq, 'app.forced' AS domain, json_extract_string(payload, '$.event') AS event FROM payloads")

@@ -133,13 +133,12 @@ def contiguous(ranges: DataFrame, key: str, size: str | None = None) -> DataFram
     forward = F.col("start_offset") < F.col("end_offset")
     ends = F.array(F.struct(F.col("start_offset").alias("at"), F.lit(1).alias("n")), F.struct(F.col("end_offset").alias("at"), F.lit(-1).alias("n")))
     offsets = ranges.select(key, F.explode(ends).alias("e")).groupBy(key, "e.at").agg(F.sum("e.n").alias("n"))
-    net = offsets.where("n <> 0").groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("__net"))
+    open_ends = offsets.groupBy(F.col(key).alias("__key")).agg(F.count_if(F.col("n") != 0).alias("__open"), F.count_if((F.col("n") == 1) & (F.col("at") == 0)).alias("__begins"), F.max(F.when(F.col("n") == -1, F.col("at"))).alias("__ends"))
     sizes = ranges.groupBy(key).agg(F.max("end_offset").alias("end"), F.min(forward).alias("__forward"), *([F.max(size).alias("__size")] if size else []))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("n")), F.struct(F.col("end").alias("at"), F.lit(-1).cast("long").alias("n")))
-    follows = F.col("__forward") & (F.coalesce(F.to_json("__net"), F.lit("")) == F.to_json(whole))
+    follows = F.col("__forward") & (F.col("__open") == 2) & (F.col("__begins") == 1) & F.coalesce(F.col("__ends") == F.col("end"), F.lit(False))
     if size:
         follows &= F.col("end") == F.col("__size")
-    joined = sizes.join(net, F.col(key).eqNullSafe(F.col("__key")), "left")
+    joined = sizes.join(open_ends, F.col(key).eqNullSafe(F.col("__key")), "left")
     return joined.select(key, follows.alias("contiguous"), F.col("end").alias("size"))
 
 

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from ..sources.scratch import table_or_none, written
+import uuid
+from typing import NamedTuple
 
-#: Folders of a domain in a ledger, by a hash of event_id; a batch reads only those it has identities of.
-BUCKETS = 32
-#: Pairs of domain and bucket that are named to the scan; a batch with more reads all buckets of the ledger.
-MOST_FOLDERS = 4_096
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources import commits
+from ..sources.scratch import Scratch, delete, written
+from . import identities
 
 class IdentityConflict(ValueError):
     """An identity comes with two payloads; nothing is written."""
 
 
-def bucket(event_id: str = "event_id") -> Column:
-    return F.pmod(F.xxhash64(event_id), F.lit(BUCKETS)).cast("int")
-
-
 def conflicts(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """Identities with more than one fingerprint in the batch, or another one in the ledger. Both: domain, event_id, fp."""
     keys = ["domain", "event_id"]
@@ -66,46 +61,122 @@ def missing(wanted: DataFrame, ledger: DataFrame) -> DataFrame:
     return wanted.join(ledger, ["domain", "event_id"], "left_anti")
 
 
-def folders_of(batch: DataFrame) -> Column:
-    """A condition on domain and bucket that holds for all folders in which the batch (domain, bucket) may have identities."""
-    some = batch.select("domain", "bucket").distinct().limit(MOST_FOLDERS + 1).collect()
-    if len(some) > MOST_FOLDERS:
-        return F.lit(True)
-    by_domain: dict[str, list[int]] = {}
-    for r in some:
-        by_domain.setdefault(r["domain"], []).append(r["bucket"])
-    fits = F.lit(False)
-    for domain, buckets in sorted(by_domain.items(), key=repr):
-        own = F.col("domain").eqNullSafe(domain)
-        fits |= own if len(buckets) == BUCKETS else own & F.col("bucket").isin(*sorted(buckets))
-    return fits
+class Appended(NamedTuple):
+    written: int
+    skipped: int
+    #: Rows that went to the quarantine.
+    held_back: int = 0
 
 
-def append_unique(batch: DataFrame, path: str) -> tuple[int, int]:
-    """K1-K3: appends the new rows of a batch to the Parquet ledger at ``path``, in folders by domain and bucket of event_id; (written, skipped).
+def ids_schema(batch: DataFrame) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.select("domain", "event_id", "fp").schema), "h bigint"])
+
+
+def judged_batch(scratch: Scratch, path: str, commit: dict | None, own: DataFrame, n: int, schema: str) -> DataFrame:
+    """The batch's identities with ``known``, the fingerprint the ledger has."""
+    generations = commit["generations"] if commit else []
+    if not generations:
+        return own.withColumn("known", F.lit(None).cast(own.schema["fp"].dataType))
+    known = identities.looked_up(scratch, path, generations, own.select("domain", "event_id", "h"), n, schema)
+    same = matching(known.withColumnsRenamed({"fp": "known", "h": "__h"}))
+    joined = own.join(same, (own["h"] == same["__h"]) & own["domain"].eqNullSafe(same["__domain"]) & own["event_id"].eqNullSafe(same["__event_id"]), "left")
+    return scratch.written(joined.select(*own.columns, "known"))
 
-    Only the folders of the batch's own identities are read. The batch is checked as a whole first, and a conflict writes nothing. One
-    writer at a time: plain Parquet cannot refuse a second one.
+
+def append(batch: DataFrame, path: str, quarantine: str | None = None, groups: str | None = None) -> Appended:
+    """K1-K3: appends the new rows of a batch (domain, event_id, fp, group_pos, row_pos, other columns) to the Parquet ledger at ``path``.
+
+    Only identities are compared, by the index; payloads are read once, for what is new. The batch is checked as a whole first: a conflict raises and nothing is
+    written, or with ``quarantine`` the rows of identities with other payloads go to that folder, in place of what it has, and the rest of the batch goes on. Where the
+    batch itself has two payloads for a new identity, both go there. With ``groups`` the number of new rows of each group (group_pos, imported) is written to that folder.
+
+    Any number of writers may append at once: each commits under the next number, and one that comes second compares its batch anew with what the
+    first has added. A reader sees whole commits (``commits.committed``). The batch has to give the same rows whenever it is read; null domains and ids count as identities too.
     """
-    batch = written(batch.withColumn("bucket", bucket()))
-    requested = batch.count()
-    if not requested:
-        return 0, 0
-    ledger = table_or_none(batch.sparkSession, path)
-    known = batch.select("domain", "event_id", "fp").limit(0) if ledger is None else ledger.where(folders_of(batch)).select("domain", "event_id", "fp")
-    # one row for each identity of the batch: its first row, whether its payloads differ, what the ledger has
-    keys, rest = ["domain", "event_id"], [c for c in batch.columns if c not in ("domain", "event_id")]
-    first = F.min_by(F.struct(*rest), F.struct("group_pos", "row_pos")).alias("first")
-    own = batch.groupBy(*keys).agg(first, (F.min("fp") != F.max("fp")).alias("differs"))
-    judged = written(own.join(known.withColumnRenamed("fp", "known"), keys, "left"))
-    bad = judged.where("differs or known <> first.fp").select(*keys).take(5)
-    if bad:
-        raise IdentityConflict(f"divergent payloads, among them {[tuple(r) for r in bad]}")
-    fresh = judged.where("known is null").select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest])
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").partitionBy("domain", "bucket").parquet(path)
-    return n, requested - n
+    spark, keys, place = batch.sparkSession, ["domain", "event_id"], ["group_pos", "row_pos"]
+    root, schema = path.rstrip("/"), ids_schema(batch)
+    with Scratch(spark) as scratch:
+        first = F.min_by(F.struct("fp", *place), F.struct(*place)).alias("first")
+        own = batch.groupBy(*keys).agg(first, (F.min("fp") != F.max("fp")).alias("differs"), F.count("*").alias("rows"))
+        own = scratch.written(own.select(*keys, identities.identity_hash().alias("h"), "first.*", "differs", "rows"))
+        n, requested = own.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        while n:
+            commit = commits.last(spark, path)
+            judged = judged_batch(scratch, path, commit, own, n, schema)
+            # an identity that the ledger has is divergent by each row with another payload, a new one by two payloads
+            bad, fresh = F.col("differs") | (F.col("known") != F.col("fp")), F.col("known").isNull() & ~F.col("differs")
+            n_bad, n_fresh = judged.agg(F.count_if(bad), F.count_if(fresh)).first()
+            held_back = 0
+            if n_bad and not quarantine:
+                raise IdentityConflict(f"divergent payloads, among them {[tuple(r) for r in judged.where(bad).select(*keys).take(5)]}")
+            if n_bad:
+                same = matching(judged.where(bad).select(*keys, "known"))
+                odd = batch.join(same, (batch["domain"].eqNullSafe(same["__domain"])) & (batch["event_id"].eqNullSafe(same["__event_id"]))).where("known is null or known <> fp")
+                scratch_rows = scratch.written(odd.drop("__domain", "__event_id"))
+                held_back = scratch_rows.count()
+                scratch_rows.write.mode("overwrite").parquet(quarantine)
+            new = judged.where(fresh)
+            if groups:
+                new.groupBy("group_pos").agg(F.count("*").alias("imported")).write.mode("overwrite").parquet(groups)
+            if not n_fresh:
+                return Appended(0, requested - held_back, held_back)
+            name = uuid.uuid4().hex
+            write_rows(batch, new.select(*keys, *place), f"{root}/commit={name}", n_fresh)
+            generations, generation = identities.add(scratch, path, commit["generations"] if commit else [], new, n_fresh, schema)
+            number = commit["number"] + 1 if commit else 0
+            if commits.publish(spark, path, number, {"commit": name, "rows": n_fresh, "generations": generations}):
+                return Appended(n_fresh, requested - n_fresh - held_back, held_back)
+            # another writer came first
+            delete(spark, [f"{root}/commit={name}", identities.generation_path(path, generation)])
+        return Appended(0, 0)
+
+
+def matching(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"domain": "__domain", "event_id": "__event_id"})
+
+
+def write_rows(batch: DataFrame, chosen: DataFrame, folder: str, n: int) -> None:
+    """Writes the chosen rows (domain, event_id, group_pos, row_pos; n of them) of a batch in folders by domain; large domains are dealt to several files."""
+    place = ["group_pos", "row_pos"]
+    same = matching(chosen.withColumnsRenamed({c: f"__{c}" for c in place}))
+    both = batch["domain"].eqNullSafe(same["__domain"]) & batch["event_id"].eqNullSafe(same["__event_id"])
+    for c in place:
+        both &= batch[c].eqNullSafe(same[f"__{c}"])
+    rows = batch.join(same, both, "left_semi")
+    rows.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(folder)
+    if batch.sparkSession.read.parquet(folder).count() != n:  # rows that stand twice at one place; one of each is as good as another
+        rows.dropDuplicates(["domain", "event_id"]).hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(folder)
+
+
+def append_unique(batch: DataFrame, path: str) -> tuple[int, int]:
+    """``append`` without a quarantine: (written, skipped)."""
+    return append(batch, path)[:2]
+
+
+def known_rows(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """domain, event_id, fp of the wanted identities (domain, event_id) that the ledger's index has; read it before the ledger's next merge."""
+    commit = commits.last(spark, path)
+    keys, schema = ["domain", "event_id"], "domain string, event_id string, fp binary, h bigint"
+    if not commit:
+        return wanted.select(*keys, F.lit(None).cast("binary").alias("fp")).limit(0)
+    with Scratch(spark) as scratch:
+        own = scratch.written(wanted.select(*keys).distinct().withColumn("h", identities.identity_hash()))
+        found = identities.looked_up(scratch, path, commit["generations"], own, own.count(), schema)
+        return written(found.drop("h").join(own.select(*keys), keys, "left_semi"))
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Deletes files of writers that never committed, and generations of the index that were merged; how many folders. Only while nobody writes or reads."""
+    root, last = path.rstrip("/"), commits.last(spark, path)
+    names = {commits.read(spark, path, i)["commit"] for i in commits.numbers(spark, path)}
+    live = {g["name"] for g in last["generations"]} if last else set()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    gone = [f"{root}/{x}" for x in there if x.startswith("commit=") and x.removeprefix("commit=") not in names]
+    gone += [identities.generation_path(path, x) for x in identities.batches_of(spark, path) if x not in live]
+    delete(spark, gone)
+    return len(gone)
 
 
 def inventory_delta(current: DataFrame, known: DataFrame) -> DataFrame:

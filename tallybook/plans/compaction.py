@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import unique
 from ..sources import sinks
-from ..sources.jsonl import files, lines
-from ..sources.scratch import delete, table_or_none, written
+from ..sources.jsonl import files
+from ..sources.scratch import Scratch, delete, table_or_none, written
 from .folds import within_budget
 from .reconcile import profiles, source_events, with_receipts
 
@@ -18,6 +18,8 @@ TERMINAL = ("agent.run.completed", "agent.run.blocked")
 #: Sources and bytes of one run.
 MAX_SOURCES, MAX_BYTES = 256, 64 * 1024 * 1024
 SHARD = "outbox"
+#: What names a bundle.
+NAME = "manifest_sha256"
 
 
 def first_sources(listed: DataFrame, n: int) -> DataFrame:
@@ -72,9 +74,8 @@ def compact(
     events = written(source_events(spark, chosen))
     own, known = profiles(events), table_or_none(spark, receipts)
     own = own.withColumn("receipt", F.lit(None).cast("string")) if known is None else with_receipts(own, known)
-    table = table_or_none(spark, ledger)
-    identities = events.select(F.lit(domain).alias("domain"), "event_id", "fp").limit(0) if table is None else table.where(unique.folders_of(events.select(F.lit(domain).alias("domain"), unique.bucket().alias("bucket"))))
-    confirmed = unique.confirmed_sources(events.withColumn("domain", F.lit(domain)), identities.select("domain", "event_id", "fp"))
+    placed = events.withColumn("domain", F.lit(domain))
+    confirmed = unique.confirmed_sources(placed, unique.known_rows(spark, ledger, placed))
     out = written(reasons(listed.join(own, "source", "left"), confirmed, now, grace_seconds, max_bytes))
     if apply and out.where("reason = 'eligible'").take(1):
         eligible = out.where("reason = 'eligible'").select("source").join(own, "source").select(F.lit(SHARD).alias("shard"), "source", "bytes", "digest")
@@ -94,7 +95,7 @@ def publish(spark: SparkSession, sources: DataFrame, events: DataFrame, bundles:
     if known is None or not known.where(F.col("manifest_sha256") == name).take(1):
         body = events.join(F.broadcast(placed.select("source", "start_offset")), "source").select("start_offset", "seq", "value")
         body.coalesce(1).sortWithinPartitions("start_offset", "seq").select("value").write.mode("overwrite").text(folder)
-        found = sinks.intact(manifest, "shard", bundle_sources(spark, folder, placed))
+        found = sinks.intact(manifest, "shard", bundle_sources(spark, folder, placed.withColumn("bundle", F.lit(name))))
         if found.where("not intact").take(1):
             raise ValueError(f"{folder} reads back as something else")
         manifest.withColumn("path", F.lit(folder)).write.mode("append").parquet(f"{bundles.rstrip('/')}/manifests")
@@ -104,17 +105,23 @@ def publish(spark: SparkSession, sources: DataFrame, events: DataFrame, bundles:
 
 def refresh(spark: SparkSession, bundles: str) -> bool:
     """The index of the archive from all manifests; whether it changed."""
-    manifest = spark.read.parquet(f"{bundles.rstrip('/')}/manifests").withColumn("name", F.col("manifest_sha256"))
-    entries = manifest.select("name", F.explode("sources").alias("e")).select("e.source", "e.digest", "name")
-    return sinks.refresh_index(entries.distinct(), f"{bundles.rstrip('/')}/index")
+    return sinks.refresh_index(sinks.archive_index(archive(spark, bundles), NAME), f"{bundles.rstrip('/')}/index")
+
+
+#: Bytes of a bundle whose lines look for their source together.
+CELL = 1 << 16
 
 
-def bundle_events(spark: SparkSession, folder: str, placed: DataFrame) -> DataFrame:
-    """The events of a bundle's lines with the source each belongs to. placed: source, start_offset, end_offset of the bundle."""
-    own = lines(spark, folder).select("start_offset", "next_offset", "value")
-    entries = F.broadcast(placed.select("source", F.col("start_offset").alias("a"), F.col("end_offset").alias("b")))  # max_sources at most
-    located = own.join(entries, (F.col("start_offset") >= F.col("a")) & (F.col("next_offset") <= F.col("b"))).select(F.col("source").alias("of"), (F.col("start_offset") - F.col("a")).alias("within"), "start_offset")
-    return source_events(spark, folder).join(located.withColumnRenamed("start_offset", "seq"), "seq").select(F.col("of").alias("source"), F.col("within").alias("seq"), "event_id", "kind", "fp", "canonical", "errors", "value")
+def bundle_events(spark: SparkSession, paths: str | list[str], placed: DataFrame) -> DataFrame:
+    """The events of bundles' lines with their bundle and the source each belongs to (null: none), all bundles in one read. placed: bundle (digest of its manifest), source, start_offset, end_offset.
+
+    Lines meet their sources by bundle and cell of bytes, so a bundle may have any number of sources.
+    """
+    own = source_events(spark, paths).withColumn("bundle", F.regexp_extract("source", r"([^/]+)\.bundle\.jsonl/[^/]+$", 1)).withColumn("cell", F.floor(F.col("seq") / CELL))
+    cells = F.sequence(F.floor(F.col("start_offset") / CELL), F.floor((F.greatest("end_offset", F.col("start_offset") + 1) - 1) / CELL))
+    spans = placed.select(F.col("bundle").alias("__bundle"), F.col("source").alias("__of"), F.col("start_offset").alias("__a"), F.col("end_offset").alias("__b"), F.explode(cells).alias("__cell"))
+    within = (F.col("bundle") == F.col("__bundle")) & (F.col("cell") == F.col("__cell")) & (F.col("seq") >= F.col("__a")) & (F.col("seq") + F.octet_length("value") + 1 <= F.col("__b"))
+    return own.join(spans, within, "left").select("bundle", F.col("__of").alias("source"), (F.col("seq") - F.col("__a")).alias("seq"), "event_id", "kind", "fp", "canonical", "errors", "value")
 
 
 def bundle_sources(spark: SparkSession, folder: str, placed: DataFrame) -> DataFrame:
@@ -122,23 +129,37 @@ def bundle_sources(spark: SparkSession, folder: str, placed: DataFrame) -> DataF
     return profiles(bundle_events(spark, folder, placed)).select("source", "bytes", "digest")
 
 
+def archive(spark: SparkSession, bundles: str) -> DataFrame:
+    """The manifests of all bundles, each once."""
+    return spark.read.parquet(f"{bundles.rstrip('/')}/manifests").dropDuplicates(["manifest_sha256"])
+
+
+def archive_faults(spark: SparkSession, bundles: str) -> DataFrame:
+    """Source and fault of the archive's index against its manifests; a missing index lacks all sources."""
+    manifest = archive(spark, bundles)
+    index = table_or_none(spark, f"{bundles.rstrip('/')}/index")
+    index = sinks.archive_index(manifest, NAME).limit(0) if index is None else index
+    return sinks.index_faults(index, manifest, NAME)
+
+
 def rebuild(spark: SparkSession, bundles: str, ledger: str, domain: str = "agent.ledger") -> tuple[int, int]:
-    """Fills an empty ledger from all bundles; refuses if the ledger has rows or a manifest, a bundle or the index has a fault. (written, skipped) as of an append."""
+    """Fills an empty ledger from all bundles, which are read once; refuses if the ledger has rows or a manifest, a bundle or the index has a fault. (written, skipped) as of an append."""
     table = table_or_none(spark, ledger)
     if table is not None and table.take(1):
         raise ValueError("the ledger is not empty")
-    manifest = written(spark.read.parquet(f"{bundles.rstrip('/')}/manifests").dropDuplicates(["manifest_sha256"]))
-    whole, batch = sinks.intact(manifest, "shard"), None
-    if whole.where("not intact").take(1):
-        raise ValueError("a manifest is not intact")
-    for m in manifest.select("manifest_sha256", "path").toLocalIterator():  # one bundle at a time, 64 MB each
-        placed = manifest.where(F.col("manifest_sha256") == m["manifest_sha256"]).select(F.explode("sources").alias("e")).select("e.*")
-        own = bundle_events(spark, m["path"], placed)
-        found = profiles(own).select("source", F.col("digest").alias("now")).join(placed, "source", "full_outer")
-        if found.where("not (now <=> digest)").take(1):
-            raise ValueError(f"{m['path']} does not hold what its manifest says")
-        batch = own if batch is None else batch.unionByName(own)
-    if batch is None:
-        return 0, 0
-    rows = batch.select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload"))
-    return unique.append_unique(rows, ledger)
+    with Scratch(spark) as scratch:
+        manifest = scratch.written(archive(spark, bundles))
+        if sinks.intact(manifest, "shard").where("not intact").take(1):
+            raise ValueError("a manifest is not intact")
+        fault = archive_faults(spark, bundles).take(1)
+        if fault:
+            raise ValueError(f"the index has a fault: {fault[0]['source']} {fault[0]['fault']}")
+        if not manifest.take(1):
+            return 0, 0
+        placed = manifest.select(F.col(NAME).alias("bundle"), F.explode("sources").alias("e")).select("bundle", "e.*")
+        events = scratch.written(bundle_events(spark, f"{bundles.rstrip('/')}/*.bundle.jsonl", placed))
+        found = profiles(events, "bundle", "source").select("bundle", "source", F.col("digest").alias("now"))
+        other = found.join(placed, (found["bundle"] == placed["bundle"]) & found["source"].eqNullSafe(placed["source"]), "full_outer").where("not (now <=> digest)").select(F.coalesce(placed["bundle"], found["bundle"]))
+        if bad := other.take(1):
+            raise ValueError(f"the bundle {bad[0][0]} does not hold what its manifest says")
+        return unique.append_unique(events.select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload")), ledger)

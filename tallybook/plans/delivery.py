@@ -19,16 +19,24 @@ from .folds import hash_chain, packed
 PROGRESS = "source string, bytes bigint, events bigint, chain string, at timestamp"
 
 
-def append_outbox(events: DataFrame, path: str) -> int:
-    """Appends valid agent-run events (value: canonical JSON) to one folder for each producer and run; refuses all if one is not valid."""
-    own = written(with_agent_run_errors(records(events.select("value")), "v"))
-    bad = own.where(F.size("errors") > 0).select("errors").take(1)
+def append_outbox(events: DataFrame, path: str, refuse_all: bool = True) -> DataFrame:
+    """Appends valid agent-run events (value: canonical JSON, seq: their order) to one folder for each producer and run, in one file in order of seq; returns value and errors of the others.
+
+    If one is not valid it raises and appends nothing, or without ``refuse_all`` appends the valid ones.
+    """
+    order = ["seq"] if "seq" in events.columns else []
+    own = written(with_agent_run_errors(records(events.select("value", *order)), "v").drop("v"))
+    refused = own.where(F.size("errors") > 0).select("value", "errors")
+    bad = refused.take(1) if refuse_all else []
     if bad:
         raise ValueError(f"not an event: {bad[0]['errors'][0]}")
-    text = lambda p: F.try_variant_get("v", p, "string")
-    parts = own.select("value", safe_part(F.concat_ws("_", text("$.source.repo"), text("$.source.component"))).alias("producer"), safe_part(text("$.source.run_id")).alias("run"))
-    parts.write.mode("append").partitionBy("producer", "run").text(path)
-    return own.count()
+    v = F.try_parse_json("value")
+    text = lambda p: F.try_variant_get(v, p, "string")
+    fit = own.where(F.size("errors") == 0)
+    parts = fit.select("value", *order, safe_part(F.concat_ws("_", text("$.source.repo"), text("$.source.component"))).alias("producer"), safe_part(text("$.source.run_id")).alias("run"))
+    # the lines of a run are one file of each append, so that their order is theirs
+    parts.repartition("producer", "run").sortWithinPartitions("producer", "run", *order).drop(*order).write.mode("append").partitionBy("producer", "run").text(path)
+    return refused
 
 
 def progress(spark: SparkSession, receipts: str) -> DataFrame:

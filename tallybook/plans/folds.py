@@ -59,11 +59,35 @@ def hash_chain(lines: DataFrame, key: str, known: DataFrame | None = None) -> Da
     return found if known is None else found.unionByName(known.select(key, "chain", "records").join(own.select(key).distinct(), key, "left_anti"))
 
 
+#: Nodes under one node of a digest tree.
+FAN_OUT = 1024
+
+
+def merkle(rows: DataFrame, keys: list[str], leaf: str, width: int, seq: str = "seq") -> DataFrame:
+    """keys, digest: for each key a digest over its rows' leaves (texts) in order of the whole number ``seq``, which binds places and order, however the rows are split.
+
+    Rows whose seq falls into one stretch of ``width`` numbers are a block; digests of blocks are digested in groups of FAN_OUT, these in groups again, and those by
+    the key. So no row gathers more than a block's leaves, FAN_OUT digests, or a key's size over width * FAN_OUT ** 2.
+    """
+    node = lambda at, value: F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("of"))))), 256)
+    out = rows.select(*keys, F.floor(F.col(seq) / width).alias("__block"), F.col(seq).alias("__seq"), F.col(leaf).alias("__leaf"))
+    out = out.groupBy(*keys, "__block").agg(node("__seq", "__leaf").alias("__digest"))
+    for _ in range(2):
+        out = out.groupBy(*keys, F.floor(F.col("__block") / FAN_OUT).alias("__group")).agg(node("__block", "__digest").alias("__digest")).withColumnRenamed("__group", "__block")
+    return out.groupBy(*keys).agg(node("__block", "__digest").alias("digest"))
+
+
+#: Lines of a ledger whose digests are gathered in one row.
+SNAPSHOT_LINES = 4096
+
+
 def snapshot_digest(lines: DataFrame, key: str) -> DataFrame:
-    """A3: one row with records and a digest of a table of lines that depends on the order of each key's: the digest over the keys' chains, in order of key."""
-    chains = hash_chain(lines, key)
-    ordered = F.array_sort(F.collect_list(F.struct(key, "chain", "records")))
-    return chains.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.sha2(F.to_json(ordered), 256).alias("snapshot_sha256"))
+    """A3: one row with records and a digest of a table of lines (key, seq, value) that depends on the order of each key's: over the keys' digest trees, in order of key. Every key's lines are spread over all cores."""
+    roots = merkle(lines.select(key, "seq", F.sha2(F.coalesce("value", F.lit("")), 256).alias("leaf")), [key], "leaf", SNAPSHOT_LINES)
+    counts = lines.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("records"))
+    ordered = F.array_sort(F.collect_list(F.struct(key, "digest")))
+    both = roots.join(counts, F.col(key).eqNullSafe(F.col("__key")))
+    return both.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.sha2(F.to_json(ordered), 256).alias("snapshot_sha256"))
 
 
 def within_budget(items: DataFrame, key: str, budget: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +13,45 @@ from ..operators import unique
 from ..operators.contracts import KINDS, with_agent_run_errors
 from ..operators.history import produced_by
 from ..sources.jsonl import files, lines, records
-from ..sources.scratch import table_or_none, written
+from ..sources.scratch import Scratch, scratch_dir, table_or_none, written
+from .folds import merkle
 
-NO_EVENTS = "source string, seq bigint, event_id string, kind string, fp binary, canonical string, errors array<string>, value string"
+#: Bytes of a file whose lines are digested together.
+BLOCK_BYTES = 1 << 18
 
 
 def source_events(spark: SparkSession, path: str | list[str], producer: tuple[str, str] | None = None) -> DataFrame:
     """source, seq, event_id, kind, fp, canonical, errors, value of each line of each source file. A cut-off last line is an error; so is (F12) an event that is not of ``producer`` (repo, component)."""
-    own = records(lines(spark, path).where(F.trim("value") != ""))
-    own = with_agent_run_errors(own, "v", "__errors").withColumn("canonical", canonical_json("value"))
+    own = lines(spark, path).where(F.trim("value") != "")
+    return line_events(own.withColumn("cut", F.col("next_offset") > F.col("file_size")).withColumnRenamed("path", "source"), producer)
+
+
+def line_events(own: DataFrame, producer: tuple[str, str] | None = None) -> DataFrame:
+    """``source_events`` of lines: source, seq, value, cut (whether its end is missing)."""
+    own = with_agent_run_errors(records(own), "v", "__errors").withColumn("canonical", canonical_json("value"))
     text = lambda p: member(F.col("v"), p, "string")
     own = own.withColumns({"kind": text("$.kind"), "source_repo": text("$.source.repo"), "source_component": text("$.source.component")})
     other = produced_by(*producer, KINDS) if producer else F.lit(None).cast("string")
-    errors = F.when(~F.col("valid"), F.array(F.lit("not an object"))).when(F.col("next_offset") > F.col("file_size"), F.array(F.lit("cut off"))).when(F.size("__errors") > 0, F.col("__errors")).when(other.isNotNull(), F.array(other))
+    errors = F.when(~F.col("valid"), F.array(F.lit("not an object"))).when(F.col("cut"), F.array(F.lit("cut off"))).when(F.size("__errors") > 0, F.col("__errors")).when(other.isNotNull(), F.array(other))
     errors = errors.otherwise(F.array().cast("array<string>"))
-    return own.select(F.col("path").alias("source"), "seq", text("$.event_id").alias("event_id"), "kind", fingerprint(F.col("canonical")).alias("fp"), "canonical", errors.alias("errors"), "value")
-
-
-def profiles(events: DataFrame) -> DataFrame:
-    """Bytes, events, ids and last kind of each source, digest over its lines' fingerprints, and whether it is valid."""
-    by_line = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("fp").alias("fp")))), lambda x: x["fp"])
-    return events.groupBy("source").agg(
-        F.sum(F.octet_length("value") + 1).alias("bytes"),
-        F.count("*").alias("n_events"),
-        F.sort_array(F.collect_list("event_id")).alias("event_ids"),
-        F.max_by("kind", "seq").alias("last_kind"),
-        F.sha2(F.concat_ws(",", by_line), 256).alias("digest"),
-        (F.max(F.size("errors")) == 0).alias("valid"),
+    return own.select("source", "seq", text("$.event_id").alias("event_id"), "kind", fingerprint(F.col("canonical")).alias("fp"), "canonical", errors.alias("errors"), "value")
+
+
+def profiles(events: DataFrame, *keys: str) -> DataFrame:
+    """Bytes, events, ids and last kind of each source, digest over its lines' fingerprints, and whether it is valid. ``keys`` in place of source.
+
+    Lines are digested in blocks of BLOCK_BYTES, and these by their digests, level by level: the digest binds every line's place and does not depend on how a file is split. The ids
+    of a source are one list, as its receipt has them.
+    """
+    keys = keys or ("source",)
+    totals = events.groupBy(*keys).agg(
+        F.sum(F.octet_length("value") + 1).alias("bytes"), F.count("*").alias("n_events"), F.sort_array(F.collect_list("event_id")).alias("event_ids"), F.max_by("kind", "seq").alias("last_kind"), (F.max(F.size("errors")) == 0).alias("valid")
     )
+    digests = merkle(events.select(*keys, "seq", F.hex("fp").alias("leaf")), list(keys), "leaf", BLOCK_BYTES)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return totals.join(digests.withColumnsRenamed({k: f"__{k}" for k in keys}), same, "left").select(*keys, "bytes", "n_events", "event_ids", "last_kind", "digest", "valid")
 
 
 def receipt_key(source: Column, digest: Column) -> Column:
@@ -62,8 +74,23 @@ def signed(receipts: DataFrame) -> DataFrame:
 
 def event_list_receipt(events: DataFrame, imported: int, skipped: int) -> DataFrame:
     """K7: one row for an imported list of events (event_id, canonical): ids, counts, a digest of the batch and one of the receipt."""
-    own = events.agg(F.sort_array(F.collect_list("event_id")).alias("event_ids"), F.array_sort(F.collect_list(F.sha2("canonical", 256))).alias("content"))
-    own = own.select("event_ids", F.size("event_ids").alias("requested"), F.lit(imported).alias("imported"), F.lit(skipped).alias("skipped"), F.sha2(F.concat_ws(",", "content"), 256).alias("batch_sha256"))
+    own = events.agg(*listed()).withColumns({"requested": F.size("event_ids"), "imported": F.lit(imported), "skipped": F.lit(skipped)})
+    return with_receipt_digest(own)
+
+
+def event_list_receipts(events: DataFrame, key: str) -> DataFrame:
+    """K7: a receipt for the list of each key. events: key, event_id, canonical, new (whether it was imported)."""
+    own = events.groupBy(key).agg(*listed(), F.count("*").alias("requested"), F.count_if("new").alias("imported")).withColumn("skipped", F.col("requested") - F.col("imported"))
+    return with_receipt_digest(own)
+
+
+def listed() -> list[Column]:
+    """The sorted ids of a list of events, as its receipt names them, and the sorted digests of its content."""
+    return [F.sort_array(F.collect_list("event_id")).alias("event_ids"), F.array_sort(F.collect_list(F.sha2("canonical", 256))).alias("content")]
+
+
+def with_receipt_digest(own: DataFrame) -> DataFrame:
+    own = own.withColumn("batch_sha256", F.sha2(F.concat_ws(",", "content"), 256)).drop("content")
     return own.withColumn("receipt_sha256", content_id(F.to_json(F.struct(*sorted(own.columns)))))
 
 
@@ -85,65 +112,56 @@ def with_receipts(own: DataFrame, receipts: DataFrame) -> DataFrame:
     return joined.withColumn("receipt", state).select(*own.columns, "receipt")
 
 
+SEEN = "source string, file_bytes bigint, modified timestamp, bytes bigint, n_events bigint, digest string, last_kind string, valid boolean, at timestamp"
+
+
 def import_sources(spark: SparkSession, path: str, ledger: str, receipts: str, domain: str = "agent.ledger", producer: tuple[str, str] | None = None, archived: DataFrame | None = None) -> DataFrame:
-    """Imports the valid source files that no intact receipt covers; one row per source with its state.
+    """Imports the valid source files that no intact receipt covers; one row per source with its state.
 
     The listing comes first: a file whose path, size and time are those of its last reading is ``reused`` (or ``invalid`` still) without being read, so a run
     that finds no change reads no source, and one that finds a few reads these. Invalid sources become rows and stop nothing; a conflict with the
     ledger raises before anything is written. Importing again writes nothing. ``removed`` are sources read before that are no longer there; ``archived`` (source)
-    are those that bundles hold. What was read of each file is kept beside the receipts.
+    are those that bundles hold. What was read of each file is kept beside the receipts. The ledger's identities are looked up once, in its index.
     """
     seen_path = f"{receipts.rstrip('/')}-seen"
-    listed = written(files(spark, path if "*" in path else f"{path.rstrip('/')}/*").select(F.col("path").alias("source"), F.col("bytes").alias("file_bytes"), "modified"))
-    fields = "source string, file_bytes bigint, modified timestamp, bytes bigint, n_events bigint, digest string, last_kind string, valid boolean"
-    seen = table_or_none(spark, seen_path)
-    seen = spark.createDataFrame([], fields + ", at timestamp") if seen is None else seen
-    last = seen.groupBy("source").agg(F.max_by(F.struct("file_bytes", "modified", "bytes", "n_events", "digest", "last_kind", "valid"), "at").alias("s"))
-    joined = listed.join(last, "source", "left").withColumn("same", F.coalesce((F.col("s.file_bytes") == F.col("file_bytes")) & (F.col("s.modified") == F.col("modified")), F.lit(False)))
+    listed = files(spark, path if "*" in path else f"{path.rstrip('/')}/*").select(F.col("path").alias("source"), F.col("bytes").alias("file_bytes"), "modified")
+    seen = table_or_none(spark, seen_path, SEEN)
+    seen = spark.createDataFrame([], SEEN) if seen is None else seen
+    fields = ("file_bytes", "modified", "bytes", "n_events", "digest", "last_kind", "valid")
+    last = seen.groupBy("source").agg(F.max_by(F.struct(*fields), "at").alias("s"))
+    # every file that is or was there
+    joined = listed.join(last, "source", "full_outer").withColumns({"there": F.col("file_bytes").isNotNull(), "same": F.coalesce((F.col("s.file_bytes") == F.col("file_bytes")) & (F.col("s.modified") == F.col("modified")), F.lit(False))})
     joined = written(joined)
-    totals = joined.agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("new")).first()
-    state_of_old = F.when(F.col("s.valid"), "reused").otherwise("invalid")
-    old = joined.where("same").select("source", "s.n_events", "s.digest", "s.last_kind", state_of_old.alias("state"))
-    removed = last.join(listed.select("source"), "source", "left_anti")
+    totals = joined.agg(F.count_if("there").alias("n"), F.count_if(F.expr("there and not same")).alias("new")).first()
+    state_of_old = F.when(~F.col("there"), "removed").when(F.col("s.valid"), "reused").otherwise("invalid")
+    out = joined.where("same or not there").select("source", "s.n_events", "s.digest", "s.last_kind", state_of_old.alias("state"))
     if archived is not None:
-        removed = removed.join(archived.select("source"), "source", "left_anti")
-    out = old.unionByName(removed.select("source", "s.n_events", "s.digest", "s.last_kind", F.lit("removed").alias("state")))
+        gone = archived.select("source", F.lit("removed").alias("state")).distinct()
+        out = out.join(gone, ["source", "state"], "left_anti").select(out.columns)
     if not totals["new"]:
         return out
-    # all files by their folder, or the few new ones by name
-    paths = path if totals["new"] == totals["n"] else [r["source"] for r in joined.where("not same").select("source").collect()]
-    events = written(source_events(spark, paths, producer))
-    known = table_or_none(spark, receipts)
-    own = profiles(events)
-    own = own.withColumn("receipt", F.lit(None).cast("string")) if known is None else with_receipts(own, known)
-    before = last.select("source", F.lit(True).alias("before"))
-    state = F.when(~F.col("valid"), "invalid").when(F.col("receipt").eqNullSafe("intact"), "reused").when(F.col("before"), "changed").otherwise("added")
-    judged = written(own.join(before, "source", "left").withColumn("state", state))
-    todo = judged.where("state in ('added', 'changed')").select("source")
-    batch = events.join(todo, "source").select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload"))
-    had = written(known_ids(spark, ledger, batch))
-    unique.append_unique(batch, ledger)
-    # a source's events are new unless the ledger had them, or an earlier source of the batch
-    firsts = unique.first_rows(batch.select("domain", "event_id", "group_pos", "row_pos")).join(had, ["domain", "event_id"], "left_anti").groupBy(F.col("group_pos").alias("source")).agg(F.count("*").alias("imported"))
-    done = judged.where("state in ('added', 'changed')").join(firsts, "source", "left").withColumns({"imported": F.coalesce("imported", F.lit(0).cast("long")), "recorded_at": F.current_timestamp(), "key": receipt_key(F.col("source"), F.col("digest"))})
-    done = done.withColumn("skipped", F.col("n_events") - F.col("imported"))
-    signed(done.select(*RECEIPT)).write.mode("append").parquet(receipts)
-    read = joined.where("not same").select("source", "file_bytes", "modified").join(judged.select("source", "bytes", "n_events", "digest", "last_kind", "valid"), "source")
-    read.withColumn("at", F.current_timestamp()).write.mode("append").parquet(seen_path)
+    with Scratch(spark) as scratch:
+        # all files by their folder, or the few new ones by name
+        paths = path if totals["new"] == totals["n"] else [r["source"] for r in joined.where("there and not same").select("source").collect()]
+        events = scratch.written(source_events(spark, paths, producer))
+        known = table_or_none(spark, receipts)
+        own = profiles(events)
+        own = own.withColumn("receipt", F.lit(None).cast("string")) if known is None else with_receipts(own, known)
+        listing = joined.where("there").select("source", "file_bytes", "modified", F.col("s").isNotNull().alias("before"))
+        state = F.when(~F.col("valid"), "invalid").when(F.col("receipt").eqNullSafe("intact"), "reused").when(F.col("before"), "changed").otherwise("added")
+        judged = written(own.join(listing, "source").withColumn("state", state))
+        todo = judged.where("state in ('added', 'changed')")
+        batch = events.join(todo.select("source"), "source", "left_semi").select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload"))
+        imported = f"{scratch_dir(spark)}/imported-{uuid.uuid4().hex}"
+        scratch.paths.append(imported)
+        appended = unique.append(batch, ledger, groups=imported)
+        firsts = spark.createDataFrame([], "source string, imported bigint") if not appended.written else spark.read.parquet(imported).select(F.col("group_pos").alias("source"), "imported")
+        done = todo.join(firsts, "source", "left").withColumns({"imported": F.coalesce("imported", F.lit(0).cast("long")), "recorded_at": F.current_timestamp(), "key": receipt_key(F.col("source"), F.col("digest"))})
+        signed(done.withColumn("skipped", F.col("n_events") - F.col("imported")).select(*RECEIPT)).write.mode("append").parquet(receipts)
+        judged.select("source", *fields, F.current_timestamp().alias("at")).write.mode("append").parquet(seen_path)
     return out.unionByName(judged.select("source", "n_events", "digest", "last_kind", "state"))
 
 
-def known_ids(spark: SparkSession, ledger: str, batch: DataFrame) -> DataFrame:
-    """domain, event_id of the batch's identities that the ledger has, from the folders of the batch."""
-    table = table_or_none(spark, ledger)
-    if table is None:
-        return batch.select("domain", "event_id").limit(0)
-    own = batch.select("domain", "event_id", unique.bucket().alias("bucket"))
-    return table.where(unique.folders_of(own)).select("domain", "event_id").join(own.select("domain", "event_id"), ["domain", "event_id"], "left_semi")
-
-
 def import_totals(states: DataFrame) -> DataFrame:
     """Sources and events by state, over the rows of an import."""
     return states.groupBy("state").agg(F.count("*").alias("sources"), F.sum("n_events").alias("events"))
-
-

@@ -94,10 +94,10 @@ class Scratch:
         delete(self.spark, self.paths)
 
 
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, None if there is none yet."""
+def table_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``, None if there is none yet. With its schema, no file is opened to learn it."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise

@@ -9,29 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import canonical_json
 from ..functions.times import parse_iso
-from ..plans.folds import hash_chain, packed, snapshot_digest
+from ..plans.folds import merkle, packed, snapshot_digest
 from .jsonl import lines
 from .scratch import table_or_none, written
 
 
-#: Bytes of a block of text whose lines are chained together.
-BLOCK_BYTES = 1 << 24
+#: Bytes of text whose lines are digested together.
+BLOCK_BYTES = 1 << 18
 
 
 def content_digest(spark: SparkSession, path: str) -> DataFrame:
     """event_count, bytes, content_sha256 of text files: bound are all bytes in order of the files' names, wherever these are cut.
 
-    Blocks of the text are chained line by line, each for itself; the digest is that of their chains in order.
+    Each line has its place behind all files before its own; the digest is that of a tree over blocks of these places.
     """
     own = lines(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "start_offset", "next_offset", "value")
     sizes = own.groupBy("file").agg(F.max("next_offset").alias("size"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part file of one writing
     bases = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    placed = own.join(bases, "file").withColumn("seq", F.col("base") + F.col("start_offset"))
-    blocks = placed.select(F.floor(F.col("seq") / BLOCK_BYTES).cast("string").alias("block"), "seq", "value")
-    chained = F.array_sort(F.collect_list(F.struct(F.col("block").cast("bigint").alias("block"), "chain", "records")))
-    digest = hash_chain(blocks, "block").agg(F.sha2(F.to_json(chained), 256)).first()[0]
-    return own.agg(F.count("*").alias("event_count"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"), F.lit(digest).alias("content_sha256"))
+    placed = own.join(bases, "file").select(F.lit(0).alias("k"), (F.col("base") + F.col("start_offset")).alias("seq"), F.sha2("value", 256).alias("leaf"))
+    root = merkle(placed, ["k"], "leaf", BLOCK_BYTES).first()
+    digest = F.lit(root["digest"]) if root else F.sha2(F.lit(""), 256)
+    return own.agg(F.count("*").alias("event_count"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"), digest.alias("content_sha256"))
 
 
 def freeze(events: DataFrame, path: str, query: dict, ledger: DataFrame) -> DataFrame:
@@ -54,9 +53,10 @@ def freeze(events: DataFrame, path: str, query: dict, ledger: DataFrame) -> Data
 
 
 def export_metrics(snapshots: DataFrame, path: str) -> None:
-    """K5: snapshots (time_text, payload, seq) by the date in the time's own offset, and the newest one apart; of equal times the first."""
+    """K5: snapshots (time_text, payload, seq) by the date in the time's own offset, and the newest one of this export apart; of equal times the first. Dates of earlier exports stay."""
     dated = snapshots.select(F.substring("time_text", 1, 10).alias("date"), "time_text", "payload", "seq")
-    dated.drop("seq").write.mode("overwrite").partitionBy("date").json(f"{path}/by_date")
+    # dates that this export has are replaced, those of earlier ones stay
+    dated.drop("seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").json(f"{path}/by_date")
     newest = dated.orderBy(parse_iso(F.col("time_text")).desc(), "seq").limit(1)
     newest.drop("seq").write.mode("overwrite").json(f"{path}/latest")
 

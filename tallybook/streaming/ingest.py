@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.digests import fingerprint
-from ..operators.unique import append_unique
+from ..operators.unique import append
 from ..plans.folds import hash_chain, step
-from ..plans.reconcile import source_events
-from ..sources.scratch import table_or_none, written
+from ..plans.reconcile import line_events
+from ..sources.growing import GrowingLines
+from ..sources.scratch import Scratch, table_or_none, written
 
 
 def poll(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -19,11 +20,14 @@ def poll(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def ingest(stream: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Appends each identity once, whatever is retried. stream: domain, event_id, payload, group_pos, row_pos."""
+def ingest(stream: DataFrame, ledger: str, checkpoint: str, quarantine: str | None = None) -> StreamingQuery:
+    """Appends each identity once, whatever is retried. stream: domain, event_id, payload, group_pos, row_pos.
+
+    An event that diverges from the ledger stops the stream, or with ``quarantine`` goes to that folder, by batch, and the stream goes on.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        append_unique(batch.withColumn("fp", fingerprint(F.col("payload"))), ledger)
+        append(batch.withColumn("fp", fingerprint(F.col("payload"))), ledger, f"{quarantine.rstrip('/')}/batch={number}" if quarantine else None)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -80,21 +84,46 @@ def latest_chains(spark: SparkSession, key: str, state: str, before: int | None
     return table.groupBy(key).agg(F.max_by(F.struct("chain", "records"), "batch").alias("s")).select(key, "s.chain", "s.records")
 
 
-def incremental_import(spark: SparkSession, folder: str, ledger: str, checkpoint: str, domain: str = "agent.ledger") -> StreamingQuery:
-    """Appends the events of source files that came to the folder since the last call; invalid files are passed over. Files that grow afterwards are for ``import_sources``."""
+SOURCE_STATES = "source string, state string, events bigint, bytes bigint, error string"
+
+
+def incremental_import(spark: SparkSession, folder: str, ledger: str, checkpoint: str, states: str, domain: str = "agent.ledger", quarantine: str | None = None) -> StreamingQuery:
+    """Appends the events that source files have gained since the last call, of new files and of grown ones; only these bytes are read.
+
+    The table at ``states`` gets a row for each source of a batch: ``added`` (its first events), ``grown``, or ``invalid`` with its first error. An invalid source's new
+    events are not appended, nor are later ones; what a source had before stays. A batch that is run again after a failure replaces its rows and appends nothing twice.
+    """
+    spark.dataSource.register(GrowingLines)
 
     def write(batch: DataFrame, number: int) -> None:
-        names = [r["source"] for r in batch.select("source").distinct().collect()]  # a name for each new file
-        if names:
-            events = written(source_events(spark, names))
-            bad = events.where(F.size("errors") > 0).select("source").distinct()
-            fit = events.join(bad, "source", "left_anti")
-            append_unique(fit.select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload")), ledger)
-
-    stream = spark.readStream.option("maxFilesPerTrigger", 1_000).format("text").load(folder).select(F.col("_metadata.file_path").alias("source"))
+        with Scratch(spark) as scratch:
+            own = batch.where(F.trim("value") != "").select("source", F.col("start_offset").alias("seq"), "value", F.lit(False).alias("cut"))
+            events = scratch.written(line_events(own))
+            before = source_states(spark, states, number).select("source", F.col("state").alias("was"))
+            first = F.min_by(F.try_element_at("errors", F.lit(1)), F.when(F.size("errors") > 0, F.col("seq")))
+            found = events.groupBy("source").agg(F.count("*").alias("events"), F.max(F.col("seq") + F.octet_length("value") + 1).alias("bytes"), first.alias("error"))
+            state = F.when(F.col("error").isNotNull() | F.col("was").eqNullSafe("invalid"), "invalid").when(F.col("was").isNull(), "added").otherwise("grown")
+            judged = scratch.written(found.join(before, "source", "left").select("source", state.alias("state"), "events", "bytes", "error"))
+            fit = events.join(judged.where("state <> 'invalid'").select("source"), "source", "left_semi")
+            rows = fit.select(F.lit(domain).alias("domain"), "event_id", "fp", F.col("source").alias("group_pos"), F.col("seq").alias("row_pos"), F.col("canonical").alias("payload"))
+            append(rows, ledger, f"{quarantine.rstrip('/')}/batch={number}" if quarantine else None)
+            judged.write.mode("overwrite").parquet(f"{states.rstrip('/')}/batch={number}")
+
+    stream = spark.readStream.format(GrowingLines.name()).load(folder)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def source_states(spark: SparkSession, states: str, before: int | None = None) -> DataFrame:
+    """source, state, events (of all batches), bytes, error: the last state of each source; as of the batch before a number."""
+    table = table_or_none(spark, states)
+    if table is None:
+        return spark.createDataFrame([], SOURCE_STATES)
+    if before is not None:
+        table = table.where(F.col("batch") < before)
+    last = F.max_by(F.struct("state", "bytes", "error"), "batch").alias("s")
+    return table.groupBy("source").agg(last, F.sum("events").alias("events")).select("source", "s.state", "events", "s.bytes", "s.error")
+
+
 def validated(lines: DataFrame, key: str, state: str, contract: str, judge) -> DataFrame:
     """The lines with ``errors``; only those behind what an earlier call has judged under the same contract are judged by ``judge(lines)`` now.
 

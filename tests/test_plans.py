@@ -126,6 +126,24 @@ def test_rebuild_refuses_a_changed_bundle(spark, outbox):
         compaction.rebuild(spark, outbox.bundles, outbox.ledger + "-again")
 
 
+def test_rebuild_reads_several_bundles_and_refuses_a_faulty_index(spark, outbox):
+    later = datetime.now(timezone.utc) + timedelta(days=2)
+    for i, name in enumerate(("a.jsonl", "b.jsonl")):
+        outbox.put(name, [event(2 * i), event(2 * i + 1)])
+        outbox.run(spark)
+        compaction.compact(spark, outbox.path, outbox.receipts, outbox.ledger, outbox.bundles, later, apply=True, remove=True).collect()
+    assert spark.read.parquet(outbox.bundles + "/manifests").count() == 2
+    assert compaction.archive_faults(spark, outbox.bundles).count() == 0
+    index = spark.createDataFrame(spark.read.parquet(outbox.bundles + "/index").toArrow())
+    for wrong, fault in ((index.limit(1), "not in the index"), (index.unionByName(index), "twice"), (index.withColumn("manifest_sha256", F.lit("x")), "not in its bundle")):
+        wrong.write.mode("overwrite").parquet(outbox.bundles + "/index")
+        assert fault in {r.fault for r in compaction.archive_faults(spark, outbox.bundles).collect()}
+        with pytest.raises(ValueError, match="index"):
+            compaction.rebuild(spark, outbox.bundles, outbox.ledger + "-again")
+    assert compaction.refresh(spark, outbox.bundles)
+    assert compaction.rebuild(spark, outbox.bundles, outbox.ledger + "-again") == (4, 0)
+
+
 def test_bundles_keep_their_limit_and_manifests_bind(spark):
     rows = [("p", f"s{i}", n, f"d{i}") for i, n in enumerate((1000, 1500, 1500, 2000, 2500, 100))]
     df = spark.createDataFrame(rows, "shard string, source string, bytes bigint, digest string")
@@ -209,18 +227,6 @@ def test_groups_and_generations(spark):
     assert {(r.k, r.v) for r in unique.overlay(base, spark.createDataFrame([("b", 0)], "k string, v int"), "k").collect()} == {("a", 2), ("b", 0)}
 
 
-def test_append_reads_only_its_folders(spark, tmp_path):
-    path = str(tmp_path / "ledger")
-    rows = [("d", str(i), "x", 0, i, "p") for i in range(200)]
-    schema = "domain string, event_id string, fp string, group_pos int, row_pos int, payload string"
-    assert unique.append_unique(spark.createDataFrame(rows, schema), path) == (200, 0)
-    one = spark.createDataFrame(rows[:1], schema).withColumn("bucket", unique.bucket())
-    plan = spark.read.parquet(path).where(unique.folders_of(one))._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*domain[^\]]*bucket", plan)
-    assert spark.read.parquet(path).where(unique.folders_of(one)).count() < 20
-    assert unique.append_unique(spark.createDataFrame(rows[:1] + [("e", "1", "y", 0, 0, "q")], schema), path) == (1, 1)
-
-
 def test_inventory_and_loaders(spark, tmp_path):
     root = tmp_path / "root"
     for name in ("p/outbox/a.jsonl", "q/outbox/b.jsonl", "p/outbox/bundles/x.manifest.json"):
@@ -286,11 +292,15 @@ def test_delivery_resumes(spark, tmp_path):
 def test_outbox_append(spark, tmp_path):
     path = str(tmp_path / "box")
     rows = lambda events: spark.createDataFrame([(json.dumps(e),) for e in events], "value string")
-    assert delivery.append_outbox(rows([event(1), event(2)]), path) == 2
+    assert delivery.append_outbox(rows([event(1), event(2)]), path).count() == 0
     assert os.path.isdir(path + "/producer=r_c/run=n")
     with pytest.raises(ValueError):
         delivery.append_outbox(rows([event(3), {"x": 1}]), path)
     assert spark.read.text(path).count() == 2
+    ordered = spark.createDataFrame([(json.dumps(event(i)), i * 7 % 40) for i in range(40)] + [('{"x": 1}', 41)], "value string, seq long").repartition(5)
+    assert delivery.append_outbox(ordered, path + "2", refuse_all=False).count() == 1
+    (part,) = [f for f in os.listdir(path + "2/producer=r_c/run=n") if f.endswith(".txt")]
+    assert [json.loads(x)["event_id"] for x in open(f"{path}2/producer=r_c/run=n/{part}")] == [event(i)["event_id"] for i in sorted(range(40), key=lambda i: i * 7 % 40)]
     delivery.raw_append(rows([{"domain": "other", "a": 1}]), "mine", str(tmp_path / "raw"))
     assert json.loads(spark.read.text(str(tmp_path / "raw")).first()["value"]) == {"a": 1, "domain": "mine"}
 
@@ -408,15 +418,6 @@ def test_chains_over_streams(spark, tmp_path):
     assert {r.k: (r.chain, r.records) for r in ingest.latest_chains(spark, "k", str(tmp_path / "state")).collect()} == whole
 
 
-def test_incremental_import(spark, outbox, tmp_path):
-    outbox.put("a.jsonl", [event(1), event(2)])
-    for n in (2, 3):
-        ingest.incremental_import(spark, outbox.path, outbox.ledger, str(tmp_path / "ck")).awaitTermination(120)
-        assert spark.read.parquet(outbox.ledger).count() == n
-        outbox.put("b.jsonl", [event(2), event(3)])
-        outbox.put("c.jsonl", [{"x": 1}])
-
-
 def test_validity_is_reused(spark, tmp_path):
     rows = [("f", 10 * i, 10 * i + 10, i % 3) for i in range(6)]
     df = spark.createDataFrame(rows, "path string, start_offset bigint, next_offset bigint, v int")
@@ -447,6 +448,22 @@ def test_metrics_export_takes_the_first_of_equal_times(spark, tmp_path):
     rows = [("2026-01-01T23:30:00-02:00", "late", 0), ("2026-01-02T01:30:00+00:00", "same time", 1), ("2026-01-01T00:00:00Z", "early", 2)]
     sinks.export_metrics(spark.createDataFrame(rows, "time_text string, payload string, seq int"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m/latest")).first()["payload"] == "late"
-    assert sorted(p for p in os.listdir(tmp_path / "m/by_date") if p.startswith("date=")) == ["date=2026-01-01", "date=2026-01-02"]
+    days = lambda: sorted(p for p in os.listdir(tmp_path / "m/by_date") if p.startswith("date="))
+    assert days() == ["date=2026-01-01", "date=2026-01-02"]
+    sinks.export_metrics(spark.createDataFrame([("2026-01-02T09:00:00Z", "again", 0), ("2026-01-03T09:00:00Z", "next", 1)], "time_text string, payload string, seq int"), str(tmp_path / "m"))
+    assert days() == ["date=2026-01-01", "date=2026-01-02", "date=2026-01-03"]  # earlier dates stay
+    assert {r.payload for r in spark.read.json(str(tmp_path / "m/by_date/date=2026-01-02")).collect()} == {"again"}
+    assert spark.read.json(str(tmp_path / "m/latest")).first()["payload"] == "next"
+
+
+def test_digests_bind_order_and_not_splits(spark):
+    rows = [("k", i * 7, f"v{i}") for i in range(3000)] + [("j", i * 5, "w") for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, leaf string")
+    found = lambda d: {r.k: r.digest for r in folds.merkle(d, ["k"], "leaf", 5).collect()}
+    whole = found(df.coalesce(1))
+    assert found(df.repartition(7)) == whole and set(whole) == {"j", "k"}
+    swapped = df.withColumn("seq", F.when(F.col("seq") == 7, 14).when(F.col("seq") == 14, 7).otherwise(F.col("seq")))
+    assert found(swapped)["k"] != whole["k"] and found(swapped)["j"] == whole["j"]
+    assert found(df.withColumn("leaf", F.when(F.col("seq") == 20993, "x").otherwise(F.col("leaf"))))["k"] != whole["k"]
 
 
