@@ -233,7 +233,8 @@ def asked(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
                         low = packed(block.words[start:end, 1].copy()) if k == 1 else None
                         rows.append((part, row["block"], k, low, packed(steps(grams.keys[start:end])), packed(counts[start:end].astype(np.uint64))))
                     start = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                if rows:  # a block of short texts may have no n-gram of this order
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return blocks.select("block", "ids", "words", "lengths", "contexts", "trains").mapInArrow(run, ASKED)
 

@@ -33,8 +33,8 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED = "7"
 #: Hundredths of the texts that are changed, and of these the ones with the suffix first.
 CHANGED, SUFFIX_FIRST = 100, 50
-#: A chunk ends where the low bits of the rolling hash are zero: every 1,024 bytes on average, after LONGEST at the latest.
-ENDS, LONGEST = np.uint32((1 << 10) - 1), 1 << 14
+#: A chunk ends where the rolling hash is below ENDS, so where its highest bits, which all bytes it covers have a part in, are zero: every 1,024 bytes on average, after LONGEST at the latest.
+ENDS, LONGEST = np.uint32(1 << 22), 1 << 14
 #: Bytes of chunks that a Python worker remembers.
 REMEMBERED = 48 << 20
 #: Bytes whose hashes are computed at once.
@@ -63,7 +63,7 @@ def chunk_ends(data: bytes) -> list[int]:
         while width < REACH:  # the sum over twice as many bytes from the sums over these and the ones before them
             h[width:] += h[:-width] << np.uint32(width)
             width *= 2
-        ends += (np.flatnonzero((h[start - low :] & ENDS) == 0) + start + 1).tolist()
+        ends += (np.flatnonzero(h[start - low :] < ENDS) + start + 1).tolist()
     out, last = [], 0
     for end in [*ends, len(data)]:
         while end - last > LONGEST or end == len(data) != last:
