@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +16,10 @@ from ..functions.texts import safe_part
 from ..operators.contracts import with_agent_run_errors
 from ..operators.envelope import with_domain
 from ..operators.history import latest_by
+from ..sources.growing import file_system
 from ..sources.jsonl import lines, records
-from ..sources.scratch import table_or_none, written
-from .folds import hash_chain, packed
+from ..sources.scratch import Scratch, delete, table_or_none, written
+from .folds import START, hash_chain
 
 PROGRESS = "source string, bytes bigint, events bigint, chain string, at timestamp"
 
@@ -39,14 +44,29 @@ def append_outbox(events: DataFrame, path: str, refuse_all: bool = True) -> Data
     return refused
 
 
+def progress_folder(receipts: str) -> str:
+    """Where a run that goes on, or died, keeps how far each source is, a file for each."""
+    return f"{receipts.rstrip('/')}-progress"
+
+
 def progress(spark: SparkSession, receipts: str) -> DataFrame:
-    """source, bytes, events, chain: how far each source is delivered."""
-    table = table_or_none(spark, receipts)
-    if table is None:
+    """source, bytes, events, chain: how far each source is delivered, by the receipts and by what a run that died had accepted."""
+    known = [t for t in (table_or_none(spark, receipts, PROGRESS), json_or_none(spark, progress_folder(receipts), PROGRESS)) if t is not None]
+    if not known:
         return spark.createDataFrame([], PROGRESS).drop("at")
+    table = known[0] if len(known) == 1 else known[0].unionByName(known[1])
     return table.groupBy("source").agg(F.max_by(F.struct("bytes", "events", "chain"), F.struct("events", "at")).alias("p")).select("source", "p.*")
 
 
+def json_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def outbox_lines(spark: SparkSession, path: str) -> DataFrame:
     """source, start_offset, next_offset, seq, value of all complete lines that are not blank."""
     own = lines(spark, path).where((F.trim("value") != "") & (F.col("next_offset") <= F.col("file_size")))
@@ -78,50 +98,98 @@ def preview(own: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame,
     return status(own, receipts).where("not flushed"), latest_by(events, ["repo"], ["ts"]), latest_by(events, ["repo", "run_id"], ["ts"])
 
 
+class Progress:
+    """How far the sources of a run are, as files that survive the task: one for each source, replaced by each accepted request."""
+
+    def __init__(self, folder: str):
+        self.files, self.folder = file_system(folder)
+
+    def path(self, source: str) -> str:
+        return f"{self.folder}/{hashlib.sha256(source.encode()).hexdigest()}.json"
+
+    def read(self, source: str) -> dict | None:
+        try:
+            with self.files.open_input_stream(self.path(source)) as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return None
+
+    def write(self, source: str, size: int, events: int, chain: bytes) -> None:
+        row = {"source": source, "bytes": size, "events": events, "chain": chain.hex(), "at": datetime.now(timezone.utc).isoformat()}
+        self.files.create_dir(self.folder, recursive=True)
+        draft = f"{self.folder}/.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(draft) as f:
+            f.write(json.dumps(row).encode())
+        self.files.move(draft, self.path(source))
+
+
 def deliver(spark: SparkSession, path: str, receipts: str, send: Callable[[list[str]], int], limit: int) -> DataFrame:
     """Sends what is pending of every source in order, in requests of at most ``limit`` bytes; source, events, state (done, failed, changed).
 
-    In rounds: each sends one request of every source and writes how far it came before the next one, so a lost run resumes there and a request is sent again at
-    most once. A source whose request is refused (a status outside of 200 to 299) waits for the next call; one whose delivered part is no longer the same is not sent.
-    ``send`` runs on the executors and gets the events of a request as JSON texts.
+    One pass, whatever the number of requests: the lines of a source stream by a task, which packs them, sends each request when it is full and notes how far the source is before it
+    goes on. A task that dies is run again and goes on behind the last noted request, as does the next call after a run that died; a request is sent again at most once. A source whose
+    request is refused (a status outside of 200 to 299) waits for the next call; one whose delivered part is no longer the same is not sent. Notes lie beside the receipts on a
+    file system that pyarrow reads, and become receipts at the end. ``send`` runs on the executors and gets the events of a request as JSON texts. One run at a time.
     """
-    own, known = written(outbox_lines(spark, path)), written(progress(spark, receipts))
-    behind = own.join(known.select("source", F.col("bytes").alias("done")), "source").where(F.col("next_offset") <= F.col("done"))
-    kept = hash_chain(behind.select("source", "seq", "value"), "source").select("source", F.col("chain").alias("now"), F.col("records").alias("n"))
-    changed = written(known.join(kept, "source", "left").where("not (chain <=> now and events <=> n)").select("source"))
-    rest = own.join(known.select("source", F.col("bytes").alias("done")), "source", "left").where("done is null or start_offset >= done").join(changed, "source", "left_anti")
-    items = written(rest.select("source", "seq", "next_offset", "value", F.octet_length("value").alias("bytes")))
-    requests = packed(items.select("source", F.col("seq").alias("pos"), "bytes"), "source", limit).select("source", F.col("pos").alias("seq"), "request")
-    items = written(items.join(requests, ["source", "seq"]))
-    failed, number = spark.createDataFrame([], "source string"), 0
-
-    def run(batches):
-        for batch in batches:
-            states = []
-            for events in batch.column(1).to_pylist():
-                try:
-                    states.append(200 <= send([e["value"] for e in events]) < 300)
-                except Exception:  # the sender's own errors are refusals
-                    states.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(states, pa.bool_())], ["source", "accepted"])
-
-    while True:
-        now = items.where(F.col("request") == number).join(failed, "source", "left_anti")
-        grouped = written(now.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "next_offset"))).alias("events")))  # limit bytes each
-        if not grouped.take(1):
-            break
-        sent = written(grouped.mapInArrow(run, "source string, accepted boolean"))
-        failed = written(failed.unionByName(sent.where("not accepted").select("source")))
-        accepted = grouped.join(sent.where("accepted"), "source")
-        before = progress(spark, receipts)
-        chains = hash_chain(accepted.select("source", F.explode("events").alias("e")).select("source", "e.seq", "e.value"), "source", before.select("source", "chain", F.col("events").alias("records")).join(accepted.select("source"), "source", "left_semi"))
-        ends = accepted.select("source", F.element_at("events", -1)["next_offset"].alias("bytes"))
-        done = ends.join(chains, "source").select("source", "bytes", F.col("records").alias("events"), "chain", F.current_timestamp().alias("at"))
-        written(done).write.mode("append").parquet(receipts)
-        number += 1
-    told = own.select("source").distinct().join(failed.withColumn("failed", F.lit(True)), "source", "left").join(changed.withColumn("changed", F.lit(True)), "source", "left")
-    state = F.when(F.col("changed"), "changed").when(F.col("failed"), "failed").otherwise("done")
-    return told.join(progress(spark, receipts).select("source", "events"), "source", "left").select("source", F.coalesce("events", F.lit(0).cast("long")).alias("events"), state.alias("state"))
+    folder = progress_folder(receipts)
+    with Scratch(spark) as scratch:
+        own, known = scratch.written(outbox_lines(spark, path)), scratch.written(progress(spark, receipts))
+        if own.where(F.octet_length("value") + 2 > limit).take(1):
+            raise ValueError("an item does not fit into a request of its own")
+        behind = own.join(known.select("source", F.col("bytes").alias("done")), "source").where(F.col("next_offset") <= F.col("done"))
+        kept = hash_chain(behind.select("source", "seq", "value"), "source").select("source", F.col("chain").alias("now"), F.col("records").alias("n"))
+        changed = scratch.written(known.join(kept, "source", "left").where("not (chain <=> now and events <=> n)").select("source"))
+        rest = own.join(known.withColumnsRenamed({"bytes": "done", "events": "sent"}), "source", "left").where("done is null or start_offset >= done").join(changed, "source", "left_anti")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            notes, source, out = Progress(folder), None, []
+            held, size, chain, events, done, refused = [], 2, b"", 0, 0, False
+
+            def flush() -> None:
+                nonlocal held, size, chain, events, done, refused
+                if held and not refused:
+                    try:
+                        refused = not 200 <= send([v for v, _ in held]) < 300
+                    except Exception:  # the sender's own errors are refusals
+                        refused = True
+                    if not refused:
+                        for value, _ in held:
+                            chain = hashlib.sha256(chain + value.encode()).digest()
+                        events, done = events + len(held), held[-1][1]
+                        notes.write(source, done, events, chain)
+                held, size = [], 2
+
+            for batch in batches:
+                for name, value, end, old, sent in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                    if name != source:
+                        flush()
+                        if source is not None:
+                            out.append((source, done, events, chain.hex(), refused))
+                        source, refused = name, False
+                        noted = notes.read(source) or {"bytes": 0, "events": sent or 0, "chain": old or START.hex()}
+                        done, events, chain = noted["bytes"], noted["events"], bytes.fromhex(noted["chain"])
+                    if refused or end <= done:
+                        continue
+                    n = len(value.encode())
+                    if held and size + 1 + n > limit:
+                        flush()
+                    size += n + bool(held)
+                    held.append((value, end))
+            flush()
+            if source is not None:
+                out.append((source, done, events, chain.hex(), refused))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["source", "bytes", "events", "chain", "refused"])
+
+        ordered = rest.repartition("source").sortWithinPartitions("source", "seq").select("source", "value", "next_offset", "chain", "sent")
+        sent = scratch.written(ordered.mapInArrow(run, "source string, bytes bigint, events bigint, chain string, refused boolean"))
+        notes = json_or_none(spark, folder, PROGRESS)  # also those of runs that died
+        if notes is not None:
+            notes.write.mode("append").parquet(receipts)
+            delete(spark, [folder])
+        state = F.when(F.col("changed"), "changed").when(F.col("refused"), "failed").otherwise("done")
+        told = own.select("source").distinct().join(sent.select("source", "refused"), "source", "left").join(changed.withColumn("changed", F.lit(True)), "source", "left")
+        return written(told.join(progress(spark, receipts).select("source", "events"), "source", "left").select("source", F.coalesce("events", F.lit(0).cast("long")).alias("events"), state.alias("state")))
 
 
 def raw_append(items: DataFrame, domain: str, path: str) -> None:

@@ -31,7 +31,10 @@ class Stretch(InputPartition):
 
 
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    """The file system of a path or URI, and the path there."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
 def last_line_end(files: fs.FileSystem, path: str, start: int, size: int) -> int:

@@ -289,6 +289,49 @@ def test_delivery_resumes(spark, tmp_path):
     assert run()["a.jsonl"] == (5, "changed") and [os.path.basename(r.source) for r in delivery.delivered(own(), delivery.progress(spark, receipts)).collect()] == ["b.jsonl"]
 
 
+def test_delivery_of_many_requests_is_one_pass(spark, tmp_path):
+    """As many jobs for a thousand requests of a source as for one, and a task that dies goes on behind its last accepted request."""
+    src, log, crash = tmp_path / "src", str(tmp_path / "log"), str(tmp_path / "crash")
+    src.mkdir()
+    (src / "a.jsonl").write_text("".join(f'{{"n":{i:04}}}\n' for i in range(1000)))
+    (src / "b.jsonl").write_text('{"n":0000}\n')
+
+    def send(values):
+        with open(log, "a") as f:
+            f.write("".join(v[5:9] + "\n" for v in values))
+        if os.path.exists(crash) and "0400" in values[0]:
+            os.unlink(crash)
+            os._exit(1)  # the worker dies after the receiver has it and before it is noted
+        return 200
+
+    tracker = spark.sparkContext.statusTracker()
+    def jobs(receipts, path):
+        spark.sparkContext.setJobGroup(receipts, receipts)
+        out = {os.path.basename(r.source): (r.events, r.state) for r in delivery.deliver(spark, path, str(tmp_path / receipts), send, 12).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(tracker.getJobIdsForGroup(receipts))
+
+    few, n_few = jobs("few", str(src / "b.jsonl"))
+    os.unlink(log)
+    many, n_many = jobs("many", str(src / "a.jsonl"))
+    assert few == {"b.jsonl": (1, "done")} and many == {"a.jsonl": (1000, "done")} and n_many <= n_few + 2
+    assert open(log).read().split() == [f"{i:04}" for i in range(1000)]
+    # a run whose task dies for good leaves its notes; the next one goes on there
+    os.unlink(log)
+    open(crash, "w").close()
+    with pytest.raises(Exception):
+        delivery.deliver(spark, str(src / "a.jsonl"), str(tmp_path / "killed"), send, 12)
+    assert {r.events for r in delivery.progress(spark, str(tmp_path / "killed")).collect()} == {400}
+    (src / "c.jsonl").write_text('{"n":2000}\n')
+    delivery.Progress(delivery.progress_folder(str(tmp_path / "killed"))).write("file:" + str(src / "c.jsonl"), 11, 1, hashlib.sha256(folds.START + b'{"n":2000}').digest())
+    assert jobs("killed", str(src / "[ac].jsonl"))[0] == {"a.jsonl": (1000, "done"), "c.jsonl": (1, "done")}
+    assert {r.events for r in spark.read.parquet(str(tmp_path / "killed")).collect()} == {1000, 1}
+    assert open(log).read().split() == [f"{i:04}" for i in range(401)] + [f"{i:04}" for i in range(400, 1000)]
+    assert not os.path.exists(delivery.progress_folder(str(tmp_path / "killed")))
+    with pytest.raises(ValueError):
+        delivery.deliver(spark, str(src), str(tmp_path / "none"), send, 5)
+
+
 def test_outbox_append(spark, tmp_path):
     path = str(tmp_path / "box")
     rows = lambda events: spark.createDataFrame([(json.dumps(e),) for e in events], "value string")
