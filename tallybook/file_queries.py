@@ -47,6 +47,16 @@ def scanned_lines(spark, sf_dir):
     return own.select(part_of("domain").alias("domain"), part_of("block").cast("long").alias("block"), "start_offset", "next_offset", F.sha2("value", 256).alias("digest"))
 
 
+@query("SELECT domain, seq // 4096 AS block, payload AS value FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY (seq // 4096)::VARCHAR || '/' DESC, seq DESC) AS n FROM payloads) WHERE n <= 40")
+def tail_of_files(spark, sf_dir):
+    """The last 40 lines of each domain's files, read from their end."""
+    path, out = lines_in_files(spark, sf_dir), None
+    for r in payloads(spark, sf_dir).select("domain").distinct().orderBy("domain").collect():  # a tail is of one domain
+        own = jsonl.tail(spark, f"{path}/domain={r['domain']}/*/*.txt", 40, width=4096).select(part_of("domain").alias("domain"), part_of("block").cast("long").alias("block"), "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT domain, count(*) AS n, count(DISTINCT payload) AS different FROM payloads GROUP BY domain")
 def strict_batches(spark, sf_dir):
     """Blank lines are skipped, any other line has to be an object."""

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.times import parse_iso
 
-FUTURE = pd.Timedelta(minutes=10)
+#: Fixed value: how far ahead of its arrival a report's time may be.
+FUTURE_MINUTES = 10
+FUTURE = pd.Timedelta(minutes=FUTURE_MINUTES)
 START = b"\0" * 32
 
 
@@ -185,22 +187,19 @@ def step(stored: dict | None, status: str, generated_at: pd.Timestamp | None, re
 
 
 def reported_states(reports: DataFrame) -> DataFrame:
-    """Last state of each repo from reports (repo, seq, status, generated_at text, received_at) in arrival order."""
+    """Last state of each repo from reports (repo, seq, status, generated_at text, received_at) in arrival order, as a sum that can be taken in any grouping.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state, done = None, None, []
-        for batch in batches:
-            for repo, status, generated, received in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if repo != held:
-                    if state:
-                        done.append((held, *state.values()))
-                    held, state = repo, None
-                state = step(state, status, generated, received) or state
-        if state:
-            done.append((held, *state.values()))
-        at = pa.timestamp("us", tz="UTC")
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), at, pa.bool_()))], ["repo", "status", "generated_at", "sanitized"])
-
-    own = reports.select("repo", "seq", "status", parse_iso(F.col("generated_at")).alias("generated"), "received_at")
-    ordered = own.repartition("repo").sortWithinPartitions("repo", "seq").select("repo", "status", "generated", "received_at")
-    return ordered.mapInArrow(run, "repo string, status string, generated_at timestamp, sanitized boolean")
+    The table of ``step`` comes to this: the first report makes a state, with the time it names if it can be used, else that of its arrival; from then on only a usable
+    report with a later time replaces it. So two summaries of stretches of reports merge: the earlier first one, and of the usable ones that with the greatest time, of
+    equal times the earlier. One repo's reports are summed up where they lie, then those sums.
+    """
+    generated, arrived = parse_iso(F.col("generated_at")), F.col("received_at")
+    own = reports.select("repo", "seq", "status", generated.alias("generated"), arrived.alias("arrived"))
+    missing = F.col("status").eqNullSafe("MISSING")
+    usable = ~missing & F.coalesce(F.col("generated") <= F.col("arrived") + F.make_dt_interval(mins=F.lit(FUTURE_MINUTES)), F.lit(False))
+    as_first = F.struct(
+        F.when(missing, "MISSING").when(usable, F.col("status")).otherwise("FAIL").alias("status"), F.when(usable, F.col("generated")).otherwise(F.col("arrived")).alias("generated_at"), (~missing & ~usable).alias("sanitized")
+    )
+    found = own.groupBy("repo").agg(F.min_by(as_first, "seq").alias("first"), F.max_by(as_first, F.when(usable, F.struct("generated", (-F.col("seq")).alias("order")))).alias("best"))
+    later = F.coalesce(F.col("best.generated_at") > F.col("first.generated_at"), F.lit(False))
+    return found.select("repo", F.when(later, F.col("best")).otherwise(F.col("first")).alias("s")).select("repo", "s.*")

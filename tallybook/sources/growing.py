@@ -56,8 +56,8 @@ def stretches(path: str, start: int, stop: int, split: int = SPLIT) -> list[Stre
     return [Stretch(path, a, min(a + split, stop), start, stop) for a in range(start, stop, split)]
 
 
-def lines_of(files: fs.FileSystem, own: Stretch, chunk: int = CHUNK) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, line without its LF) of the lines of a stretch."""
+def lines_of(files: fs.FileSystem, own: Stretch, chunk: int = CHUNK, unfinished: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, line without its LF) of the lines of a stretch; with ``unfinished`` also a last one without an LF, whose end lies one byte behind the stretch."""
     with files.open_input_file(own.path) as f:
         at = own.start
         # a line that began before belongs to the stretch before; the byte ahead tells whether one begins here
@@ -77,6 +77,8 @@ def lines_of(files: fs.FileSystem, own: Stretch, chunk: int = CHUNK) -> Iterator
                     return
                 held, place = held[end + 1 :], place + end + 1
             if not more:
+                if unfinished and held and not skip and place < own.end:
+                    yield place, place + len(held) + 1, held
                 return
 
 

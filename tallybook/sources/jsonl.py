@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import parse_iso
 from ..functions.values import is_object, member, strict_json
+from .growing import Stretch, file_system, lines_of
 from .scratch import written
 
 
@@ -103,6 +104,52 @@ def loaded(spark: SparkSession, path: str, only_objects: bool = False) -> DataFr
     return apart
 
 
+#: Bytes from the end that a tail reads first, and bytes of them that one task reads.
+LAST_BYTES, LAST_SPLIT = 1 << 16, 8 << 20
+#: Files from the end that a tail lists first.
+LAST_FILES = 64
+TAIL = "path string, start_offset bigint, next_offset bigint, seq bigint, value string"
+
+
+def tail(spark: SparkSession, path: str, n: int, width: int = LAST_BYTES) -> DataFrame:
+    """Path, start_offset, next_offset, seq, value of the last n lines of files that follow each other by name, an incomplete last one included; none for n <= 0.
+
+    Read from the end: the last ``width`` bytes, and four times as many while they hold fewer lines and there are more. Filters come after. Files lie on a
+    file system that pyarrow reads.
+    """
+    if n <= 0:
+        return spark.createDataFrame([], TAIL)
+    listed, k = files(spark, path).where("bytes > 0").select("path", "bytes").orderBy(F.col("path").desc()), LAST_FILES
+
+    def run(batches):
+        for batch in batches:
+            for name, start, end, size in zip(*(c.to_pylist() for c in batch.columns)):
+                system, place = file_system(name)
+                rows = list(lines_of(system, Stretch(place, start, end, 0, size), unfinished=True))
+                columns = [[name] * len(rows), [a for a, _, _ in rows], [b for _, b, _ in rows], [a for a, _, _ in rows], [x.decode(errors="replace") for _, _, x in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3, pa.string()))], ["path", "start_offset", "next_offset", "seq", "value"])
+
+    last = listed.limit(k).collect()
+    while True:
+        while sum(r["bytes"] for r in last) < width and len(last) == k:
+            k *= 4
+            last = listed.limit(k).collect()
+        left, parts = width, []
+        for r in last:
+            low = max(0, r["bytes"] - left)
+            parts += [(r["path"], a, min(a + LAST_SPLIT, r["bytes"]), r["bytes"]) for a in range(low, r["bytes"], LAST_SPLIT)]
+            left -= r["bytes"] - low
+            if left <= 0:
+                break
+        # lines that begin in these stretches; the first one of them may begin before
+        stretches = spark.createDataFrame(parts, "path string, start bigint, stop bigint, size bigint")
+        found = stretches.repartition(max(1, len(parts))).mapInArrow(run, TAIL)
+        if left > 0 or found.count() >= n:
+            break
+        width *= 4
+    return found.orderBy(F.col("path").desc(), F.col("start_offset").desc()).limit(n).orderBy("path", "start_offset")
+
+
 def concatenated(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
     """Path, seq, value (compact JSON) of files of JSON values that follow each other with any white space, over several lines or in one; the last ones if asked for.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.digests import fingerprint
 from tallybook.operators import identities, unique
-from tallybook.sources import commits, growing
+from tallybook.sources import commits, growing, jsonl
 from tallybook.sources.scratch import Scratch
 from tallybook.streaming import ingest
 
@@ -201,6 +201,25 @@ def test_stretches_give_each_line_once(tmp_path, split, chunk):
             assert got == data[begins:stop].split(b"\n")[:-1]
 
 
+def test_tail_reads_from_the_end(spark, tmp_path, monkeypatch):
+    lines = [f"{i} é " + "x" * (i % 90) for i in range(20_000)]
+    for k in range(4):
+        (tmp_path / f"f{k}").write_text("".join(x + "\n" for x in lines[5_000 * k : 5_000 * k + 5_000]) if k < 3 else "\n".join(lines[15_000:]))
+    (tmp_path / "f4").write_text("")
+    found = lambda n, **more: [(r.value, r.start_offset) for r in jsonl.tail(spark, f"{tmp_path}/f*", n, **more).collect()]
+    assert found(0) == found(-1) == [] and [v for v, _ in found(40)] == lines[-40:]  # the last line has no end
+    assert [v for v, _ in found(1, width=1)] == lines[-1:] and [v for v, _ in found(7_000, width=100)] == lines[-7_000:]
+    assert [v for v, _ in found(10**6)] == lines
+    data = (tmp_path / "f3").read_bytes()
+    assert all(data[at:].startswith(v.encode()) for v, at in found(40))
+    asked = []
+    whole = spark.createDataFrame
+    monkeypatch.setattr(spark, "createDataFrame", lambda rows, schema=None: asked.append(sum(r[2] - r[1] for r in rows)) or whole(rows, schema))
+    found(40)
+    assert asked == [jsonl.LAST_BYTES]  # of some 1 MB
+    assert jsonl.tail(spark, f"{tmp_path}/f4", 5).count() == 0
+
+
 def test_scratch_goes(spark):
     with Scratch(spark) as scratch:
         df = scratch.written(spark.range(3))

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,24 @@ def test_states_batch_and_stream(spark, tmp_path):
     assert found == out
 
 
+def test_states_sum_up_as_the_fold_does(spark):
+    """Random reports of few times, so with many ties, in random order and grouping."""
+    rng, rows, want = random.Random(11), [], {}
+    arrived = pd.Timestamp("2026-01-01T00:00:00Z")
+    for k in range(150):
+        state, order = None, list(range(rng.randint(1, 7)))
+        for seq in order:
+            status, minutes = rng.choice(("OK", "WARN", "MISSING", "FAIL")), rng.choice((None, -5, 0, 5, 10, 11, 60))
+            received = arrived + pd.Timedelta(minutes=rng.choice((0, 0, 3)))
+            generated = None if minutes is None else arrived + pd.Timedelta(minutes=minutes)
+            state = folds.step(state, status, generated, received) or state
+            rows.append((f"r{k}", seq, status, "soon" if generated is None else generated.strftime("%Y-%m-%dT%H:%M:%SZ"), received.to_pydatetime()))
+        want[f"r{k}"] = (state["status"], state["generated_at"].isoformat(), state["sanitized"])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "repo string, seq int, status string, generated_at string, received_at timestamp").repartition(5)
+    assert {r.repo: (r.status, pd.Timestamp(r.generated_at, tz="UTC").isoformat(), r.sanitized) for r in folds.reported_states(df).collect()} == want
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     rows = [("d", str(i % 7), 0, i, f"p{i % 7}") for i in range(20)]
     df = spark.createDataFrame(rows, "domain string, event_id string, group_pos int, row_pos int, payload string")
