@@ -453,11 +453,12 @@ def pseudonyms(spark, sf_dir):
 
 @query("SELECT seq, kind FROM ledger WHERE ts + to_days(CASE WHEN kind LIKE 'debug.%' THEN 7 WHEN kind LIKE '%.temp' THEN 1 ELSE 30 END) > TIMESTAMP '2024-01-20 00:00:00'")
 def swept_ledger(spark, sf_dir):
-    """A ledger whose folders are rewritten without what has expired."""
-    own = ledger(spark, sf_dir).select("seq", "kind", "domain", unique.bucket().alias("bucket"), times.expiry(F.col("ts"), envelope.ttl_days(F.col("kind"))).alias("expires_at"))
+    """A ledger that two sweeps clear of what has expired by then."""
+    own = ledger(spark, sf_dir).select("seq", "kind", times.expiry(F.col("ts"), envelope.ttl_days(F.col("kind"))).alias("expires_at"))
     path = folder(spark, "ledger")
-    own.write.partitionBy("domain", "bucket").parquet(path)
-    retention.sweep(spark, path, datetime(2024, 1, 20, tzinfo=timezone.utc))
+    retention.append_by_expiry(own, path)
+    for day in (12, 20):
+        retention.sweep(spark, path, datetime(2024, 1, day, tzinfo=timezone.utc))
     return spark.read.parquet(path).select("seq", "kind")
 
 

@@ -3,12 +3,14 @@
 import json
 import os
 import threading
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallybook.functions.digests import fingerprint
 from tallybook.operators import identities, unique
+from tallybook.plans import retention
 from tallybook.sources import commits, growing, jsonl
 from tallybook.sources.scratch import Scratch
 from tallybook.streaming import ingest
@@ -220,6 +222,24 @@ def test_tail_reads_from_the_end(spark, tmp_path, monkeypatch):
     assert jsonl.tail(spark, f"{tmp_path}/f4", 5).count() == 0
 
 
+def test_sweep_rewrites_the_day_of_the_boundary_alone(spark, tmp_path):
+    path, at = str(tmp_path / "ledger"), lambda d, h=0: f"2026-01-{d:02} {h:02}:00:00"
+    times = [None, at(1), at(2, 3), at(3, 1), at(3, 12), at(3, 23), at(4), at(9)]
+    rows = [(i, t, None if i % 3 == 0 else "b:c") for i, t in enumerate(times * 5)]
+    retention.append_by_expiry(spark.createDataFrame(rows, "id int, t string, domain string").select("id", F.col("t").cast("timestamp").alias("expires_at"), "domain"), path)
+    left = lambda: sorted(r.id % 8 for r in spark.read.parquet(path).collect())
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = files()
+    assert retention.sweep(spark, path, datetime(2026, 1, 3, 12, tzinfo=timezone.utc)) == (2, 1, 20, 5)
+    assert left() == sorted([0, 5, 6, 7] * 5)
+    kept = {f: t for f, t in files().items() if f in before}
+    assert {f.split("expires_on=")[1].split("/")[0] for f in kept} == {"__HIVE_DEFAULT_PARTITION__", "2026-01-04", "2026-01-09"} and all(before[f] == t for f, t in kept.items())
+    assert retention.sweep(spark, path, datetime(2026, 1, 3, 12, tzinfo=timezone.utc)) == (0, 0, 0, 0)
+    assert retention.sweep(spark, path, datetime(2026, 1, 4, tzinfo=timezone.utc)) == (2, 0, 10, 0) and left() == sorted([0, 7] * 5)
+    with pytest.raises(ValueError):
+        retention.sweep(spark, path, datetime(2026, 1, 4))
+
+
 def test_scratch_goes(spark):
     with Scratch(spark) as scratch:
         df = scratch.written(spark.range(3))
