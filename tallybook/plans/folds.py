@@ -6,12 +6,14 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_iso
+from ..sources.scratch import written
 
 #: Fixed value: how far ahead of its arrival a report's time may be.
 FUTURE_MINUTES = 10
@@ -111,24 +113,41 @@ def within_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
     return streamed(own, key, ["pos"], run, f"{key} {kind}, pos bigint, bytes bigint, taken boolean")
 
 
+#: A key with more items than this is packed by several tasks.
+HOT_ITEMS = 1 << 20
+
+
 def packed(items: DataFrame, key: str, limit: int, framed: bool = True) -> DataFrame:
     """Key, pos, request, start: the number of the request that takes an item (pos, bytes) of a key, and the bytes of it before the item.
 
     A request is a JSON array of at most ``limit`` bytes with its brackets and commas, or, not ``framed``, the items end to end. An
-    item too large by itself is an error before anything is sent.
+    item too large by itself is an error before anything is sent. A key is one stream through one task; one with more than HOT_ITEMS items is
+    cut into blocks for all of them (``packed_in_blocks``).
     """
     frame, comma = (2, 1) if framed else (0, 0)
-    if items.where(F.col("bytes") + frame > limit).take(1):
+    own = items.select(key, "pos", F.col("bytes").cast("long").alias("bytes"))
+    if own.where(F.col("bytes") + frame > limit).take(1):
         raise ValueError("an item does not fit into a request of its own")
-    kind, place = items.schema[key].dataType.simpleString(), items.schema["pos"].dataType.simpleString()
+    hot = own.groupBy(F.col(key).alias("__key")).count().where(F.col("count") > HOT_ITEMS).select("__key")
+    alone = own.withColumns({"__size": F.lit(-1).cast("long"), "__number": F.lit(0).cast("long"), "__block": F.lit(0)})
+    if not hot.take(1):
+        return streamed_requests(alone, key, limit, frame, comma)
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    large = packed_in_blocks(own.join(hot, same, "left_semi"), key, limit, frame, comma)
+    return streamed_requests(alone.join(hot, same, "left_anti"), key, limit, frame, comma).unionByName(large)
+
+
+def streamed_requests(rows: DataFrame, key: str, limit: int, frame: int, comma: int, by: str | None = None) -> DataFrame:
+    """The requests of rows (key, pos, bytes, __block, and the open request that a key's items in a block find: its __size, -1 if there is none, and __number), those of a key and block together and in order."""
+    kind, place = rows.schema[key].dataType.simpleString(), rows.schema["pos"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number, size, some = None, 0, frame, False
+        held, number, size, some = (), 0, frame, False
         for batch in batches:
             requests, starts = [], []
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if k != held:
-                    held, number, size, some = k, 0, frame, False
+            for k, n, block, open_size, open_number in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if (k, block) != held:
+                    held, number, size, some = (k, block), open_number, max(open_size, frame), open_size >= 0
                 if size + n + comma * some > limit:
                     number, size, some = number + 1, frame, False
                 size += comma * some
@@ -137,7 +156,78 @@ def packed(items: DataFrame, key: str, limit: int, framed: bool = True) -> DataF
                 size, some = size + n, True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(requests, pa.int64()), pa.array(starts, pa.int64())], [key, "pos", "request", "start"])
 
-    return streamed(items.select(key, "pos", F.col("bytes").cast("long").alias("bytes")), key, ["pos"], run, f"{key} {kind}, pos {place}, request bigint, start bigint")
+    ordered = rows.repartition(by or key).sortWithinPartitions("__block", key, "pos").select(key, "pos", "bytes", "__block", "__size", "__number")
+    return ordered.mapInArrow(run, f"{key} {kind}, pos {place}, request bigint, start bigint")
+
+
+def packed_in_blocks(rows: DataFrame, key: str, limit: int, frame: int, comma: int) -> DataFrame:
+    """``packed`` for keys of any size: rows are dealt to blocks in order, and each block tells for every place at which a first request of its own can start how its last one ends.
+
+    Where the first request starts depends on the one that is open when the block begins, and only the first items of a block come into question. So these tables, a row for each block and
+    key, chain the blocks of a key; then each block is packed for itself, from the request that it finds open.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    blocks = written(rows.repartitionByRange(key, "pos").sortWithinPartitions(key, "pos").withColumn("__block", F.spark_partition_id()))
+
+    def told(block: int, name, sizes: list[int]) -> tuple:
+        ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + comma)])  # of the first items, each with its comma
+        m = len(sizes)
+        following = np.searchsorted(ends, ends[:m] + (limit - frame + comma), "right") - 1  # where the next request starts after one that starts at an item
+        known: dict[int, tuple[int, int]] = {}
+
+        def ending(start: int) -> tuple[int, int]:
+            """(size of the last request, requests) if one starts at this item."""
+            path = []
+            while start not in known:
+                path.append(start)
+                if following[start] == m:
+                    known[start] = int(frame + ends[m] - ends[start] - comma), 1
+                else:
+                    start = int(following[start])
+            for s in reversed(path):
+                if s not in known:
+                    size, n = known[int(following[s])]
+                    known[s] = size, n + 1
+            return known[path[0]] if path else known[start]
+
+        first = min(int(np.searchsorted(ends, limit - frame, "right")), m)  # items that can still join an open request
+        found = [ending(k) for k in range(min(first + 1, m))]
+        return name, block, m, ends[: first + 1].tolist(), [s for s, _ in found], [n for _, n in found]
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes, out = None, [], []
+        for batch in batches:
+            for name, block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if held is not None and held != (name, block):
+                    out.append(told(held[1], held[0], sizes))
+                    sizes = []
+                held = name, block
+                sizes.append(n)
+        if held is not None:
+            out.append(told(held[1], held[0], sizes))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((arrow_kind, pa.int32(), pa.int64(), longs, longs, longs))], [key, "block", "m", "ends", "sizes", "counts"])
+
+    def chained(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        out, size, number = [], -1, 0
+        for r in rows:
+            out.append((r[key], r["block"], size, number))
+            # how many items join the open request
+            k = 0 if size < 0 else int(np.searchsorted(r["ends"], limit - size, "right")) - 1
+            if size >= 0 and k >= r["m"]:
+                size += r["ends"][r["m"]]
+            else:
+                number += r["counts"][k] - (size < 0)
+                size = r["sizes"][k]
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((arrow_kind, pa.int32(), pa.int64(), pa.int64()))], ["__key", "__at", "__size", "__number"])
+
+    arrow_kind = rows.select(key).limit(0).toArrow().schema.field(0).type
+    ordered = blocks.repartition("__block").sortWithinPartitions("__block", key, "pos").select(key, "__block", "bytes")
+    found = ordered.mapInArrow(tables, f"{key} {kind}, block int, m bigint, ends array<bigint>, sizes array<bigint>, counts array<bigint>")
+    entries = written(found.groupBy(key).applyInArrow(chained, f"__key {kind}, __at int, __size bigint, __number bigint"))
+    placed = blocks.join(entries, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__at")))
+    return streamed_requests(placed, key, limit, frame, comma, "__block")
 
 
 def walk(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -194,6 +194,29 @@ def test_states_batch_and_stream(spark, tmp_path):
     assert found == out
 
 
+@pytest.mark.parametrize("framed, limit", [(True, 60), (False, 60), (True, 5_000), (False, 1 << 40)])
+def test_hot_keys_are_packed_in_blocks(spark, monkeypatch, framed, limit):
+    """Keys over many blocks, small ones and null, against the plain rule."""
+    rng = random.Random(limit)
+    sizes = {"hot": 4_000, "warm": 700, "one": 1, None: 300}
+    rows = [(k, i, rng.choice((0, 1, 5, 20, 58 if limit == 60 else 40))) for k, n in sizes.items() for i in range(n)]
+    frame, comma, want = (2, 1, {}) if framed else (0, 0, {})
+    for k in sizes:
+        number, size, some = 0, frame, False
+        for _, i, n in (r for r in rows if r[0] == k):
+            if size + n + comma * some > limit:
+                number, size, some = number + 1, frame, False
+            size += comma * some
+            want[k, i] = number, size
+            size, some = size + n, True
+    df = spark.createDataFrame(rows, "k string, pos bigint, bytes int").repartition(6)
+    monkeypatch.setattr(folds, "HOT_ITEMS", 500)
+    found = folds.packed(df, "k", limit, framed)
+    assert {(r.k, r.pos): (r.request, r.start) for r in found.collect()} == want
+    blocks = folds.packed_in_blocks(df, "k", limit, frame, comma)
+    assert {(r.k, r.pos): (r.request, r.start) for r in blocks.collect()} == want
+
+
 def test_states_sum_up_as_the_fold_does(spark):
     """Random reports of few times, so with many ties, in random order and grouping."""
     rng, rows, want = random.Random(11), [], {}
