@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +18,46 @@ from .growing import Stretch, file_system, lines_of
 from .scratch import written
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+#: Blocks of files whose places are sent to all tasks; more are joined by a shuffle.
+MOST_BLOCKS = 100_000
+
+
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, file_size, start_offset, next_offset, seq, value of every LF-terminated or final line.
 
-    Offsets are running byte counts in each block of a file, on top of where the block's lines start; a
-    line belongs to the block it starts in, so the lines of the blocks before it give that place.
+    A task counts bytes as the lines of its stretches of files (blocks) come by; a line belongs to the block it starts in, so the sums of the blocks before, a row for
+    each, give the place of a block. Up to MOST_BLOCKS of them the text is not shuffled. The
+    sums are taken when this is called.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
-    )
-    raw = raw.withColumn("width", F.octet_length("value").cast("long") + 1)
-    within = Window.partitionBy("path", "block").orderBy("row")
-    blocks = raw.groupBy("path", "block").agg(F.sum("width").alias("bytes"))  # some dozen rows for a large file
-    base = blocks.withColumn("base", F.coalesce(F.sum("bytes").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "block", "base")
-    placed = raw.join(base, ["path", "block"]).withColumn("next_offset", F.col("base") + F.sum("width").over(within))
-    return placed.select("path", "file_size", (F.col("next_offset") - F.col("width")).alias("start_offset"), "next_offset", F.make_valid_utf8("value").alias("value")).withColumn("seq", F.col("start_offset"))
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            blocks = batch.column(2).to_numpy()
+            names = batch.column(0).dictionary_encode()
+            number = names.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (number[1:] != number[:-1])) + 1).tolist(), batch.num_rows]
+            out = np.empty(batch.num_rows, np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                own = names.dictionary[int(number[a])].as_py(), int(blocks[a])
+                if own != held:
+                    held, before = own, 0
+                out[a:b] = ends[a:b] - (ends[a - 1] if a else 0) + before
+                before = int(out[b - 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "end"])
+
+    counted = raw.mapInArrow(run, "path string, file_size bigint, block bigint, value string, end bigint")
+    sums = raw.groupBy("path", "block").agg(F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))  # some dozen rows for a large file
+    base = sums.select("path", "block", F.coalesce(F.sum("bytes").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    known = base.limit(MOST_BLOCKS + 1).collect()
+    if len(known) <= MOST_BLOCKS:  # so the text stays where it is
+        base = F.broadcast(spark.createDataFrame(known, base.schema))
+    placed = counted.join(base, ["path", "block"]).withColumn("next_offset", F.col("base") + F.col("end"))
+    return placed.select("path", "file_size", (F.col("next_offset") - F.octet_length("value") - 1).alias("start_offset"), "next_offset", F.make_valid_utf8("value").alias("value")).withColumn("seq", F.col("start_offset"))
 
 
 def scan(spark: SparkSession, path: str, start_offset: int = 0) -> DataFrame:
