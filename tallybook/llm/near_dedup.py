@@ -41,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, texts
+from .common import gathered, map_rows, texts
+from .common import stored as stored_as_is
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 BLOCK = 1 << 16
@@ -62,6 +63,11 @@ SKETCH_NAMES = [f"sketch_{i}" for i in range(SKETCH)]
 FEW = 8
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table between jobs, of at most eight files for a core: most of them hold a number or a few for each text."""
+    return stored_as_is(gathered(df, 8))
+
+
 def shingle_hashes(text: str, width: int) -> list[int]:
     words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not words:
