@@ -43,8 +43,8 @@ SUMMARY_LENGTH = 500
 RAW_KEYS = ("raw_log", "raw_logs", "stdout", "stderr", "command_output", "log_excerpt")
 PRIVATE_PATH = r"(?:^|[\s\"'])/(?:home|root|Users)/"
 SECRET_ASSIGNMENT = r"(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S+"
-SECRET_PREFIXES = ("Bearer ", "gh" + "p_", "gh" + "o_", "sk" + "-", "AK" + "IA")
-KEY_MARKER = "-----BEGIN " + "PRIVATE KEY-----"
+SECRET_PREFIXES = ("Bearer ", "ghp_", "gho_", "sk-", "AKIA")
+KEY_MARKER = "-----BEGIN PRIVATE KEY-----"
 
 
 def errors_of(rules: list[tuple[Column, str]]) -> Column:

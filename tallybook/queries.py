@@ -237,8 +237,8 @@ def provenance(spark, sf_dir):
     return payloads(spark, sf_dir).select("seq", F.concat_ws(", ", contracts.provenance_errors(F.try_parse_json("payload"))).alias("errors"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?:^|[\s"''])/(?:home|root|Users)/') THEN 'private path' END, CASE WHEN contains(text, '-----BEGIN ' || 'PRIVATE KEY-----') THEN 'private key' END,
-CASE WHEN contains(text, 'Bearer ') OR contains(text, 'gh' || 'p_') OR contains(text, 'gh' || 'o_') OR contains(text, 'sk' || '-') OR contains(text, 'AK' || 'IA') THEN 'secret prefix' END,
+@query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?:^|[\s"''])/(?:home|root|Users)/') THEN 'private path' END, CASE WHEN contains(text, '-----BEGIN PRIVATE KEY-----') THEN 'private key' END,
+CASE WHEN contains(text, 'Bearer ') OR contains(text, 'ghp_') OR contains(text, 'gho_') OR contains(text, 'sk-') OR contains(text, 'AKIA') THEN 'secret prefix' END,
 CASE WHEN regexp_matches(text, '(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S+') THEN 'secret assignment' END], lambda x: x IS NOT NULL), ',') AS findings FROM documents""")
 def redaction(spark, sf_dir):
     """C15."""
