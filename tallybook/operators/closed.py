@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.times import parse_absolute, parse_utc_second
-from ..functions.values import Field, extracted, keys, member
+from ..functions.values import Field, extracted, member, member_names
 from .contracts import errors_of, texts_fit
 from .wrappers import nested_redaction
 
@@ -101,16 +101,21 @@ def objects(least: int, most: int | None, rules: list[Rule]) -> Check:
     def check(f: Field) -> Column:
         items = F.try_variant_get(f.value, "$", "array<variant>")
         size = F.size(items) >= least if most is None else F.size(items).between(least, most)
-
-        def fits(item: Column) -> Column:
-            out = F.startswith(F.schema_of_variant(item), F.lit("OBJECT")) & (F.size(F.array_except(keys(F.to_json(item)), names([r.path.rsplit(".", 1)[1] for r in rules]))) == 0)
-            for r in rules:
-                value = member(item, r.path)
-                own = r.check(Field(value, F.schema_of_variant(value), F.try_variant_get(value, "$", "string")))
-                out &= F.coalesce(own, F.lit(False)) if r.needed else value.isNull() | F.coalesce(own, F.lit(False))
+        allowed = names([r.path.rsplit(".", 1)[1] for r in rules])
+        closed = lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")) & (F.size(F.array_except(member_names(x), allowed)) == 0)
+        # values first, then their shapes and texts, so that each is read once for all checks
+        values = F.transform(items, lambda x: F.struct(closed(x).alias("closed"), *[member(x, r.path).alias(f"v{i}") for i, r in enumerate(rules)]))
+        texts = lambda v: [c.alias(f"{n}{i}") for i in range(len(rules)) for n, c in (("v", v[f"v{i}"]), ("s", F.schema_of_variant(v[f"v{i}"])), ("t", F.try_variant_get(v[f"v{i}"], "$", "string")))]
+        fields = F.transform(values, lambda v: F.struct(v["closed"].alias("closed"), *texts(v)))
+
+        def fits(x: Column) -> Column:
+            out = x["closed"]
+            for i, r in enumerate(rules):
+                own = F.coalesce(r.check(Field(x[f"v{i}"], x[f"s{i}"], x[f"t{i}"])), F.lit(False))
+                out &= own if r.needed else x[f"v{i}"].isNull() | own
             return out
 
-        return F.startswith(f.shape, F.lit("ARRAY")) & size & F.forall(items, lambda x: F.coalesce(fits(x), F.lit(False)))
+        return F.startswith(f.shape, F.lit("ARRAY")) & size & F.forall(fields, lambda x: F.coalesce(fits(x), F.lit(False)))
 
     return check
 
@@ -132,7 +137,7 @@ def with_errors(df: DataFrame, v: str, rules: list[Rule], open_objects: tuple[st
     found: list[tuple[str, Column, str]] = [("$", ~F.coalesce(at["$"].is_object, F.lit(False)), "not an object")]
     for path in sorted(inner - set(open_objects)):
         allowed = [r.path.rsplit(".", 1)[1] for r in rules if r.path.rsplit(".", 1)[0] == path]
-        extra = F.array_except(keys(F.to_json(at[path].value)), names(allowed))
+        extra = F.array_except(member_names(at[path].value), names(allowed))
         found.append((path, F.size(extra) > 0, "unknown key"))
     for r in rules:
         parent = at[r.path.rsplit(".", 1)[0]]
@@ -189,7 +194,7 @@ PROVENANCE = {"artifact_sha256": text(pattern=HEX), "command_sha256": text(patte
 
 def provenance(f: Field) -> Column:
     """A closed object with one of the keys at least."""
-    own = keys(F.to_json(f.value))
+    own = member_names(f.value)
     fits = f.is_object & (F.size(own) >= 1) & (F.size(F.array_except(own, names(list(PROVENANCE)))) == 0)
     for k, check in PROVENANCE.items():
         value = member(f.value, f"$.{k}")
