@@ -510,3 +510,18 @@ def test_digests_bind_order_and_not_splits(spark):
     assert found(df.withColumn("leaf", F.when(F.col("seq") == 20993, "x").otherwise(F.col("leaf"))))["k"] != whole["k"]
 
 
+
+
+def test_snapshot_chain_is_over_all_bytes_of_each_domain(spark):
+    rows = [("b", 3, "z"), ("a", 2, "y"), ("a", 1, "é"), ("b", 9, "")]
+    found = folds.snapshot_chain(spark.createDataFrame(rows, "domain string, seq int, value string"), "domain").first()
+    entries = []
+    for d in ("a", "b"):
+        chain = b"\0" * 32
+        for _, _, value in sorted(r for r in rows if r[0] == d):
+            chain = hashlib.sha256(chain + value.encode()).digest()
+        entries.append({"domain": d, "chain": chain.hex(), "records": 2})
+    assert tuple(found) == (4, hashlib.sha256(json.dumps(entries, separators=(",", ":")).encode()).hexdigest())
+    from tallybook import queries
+
+    assert "RECURSIVE" in queries.ORACLE_SQL["ledger_snapshot"]  # the chain is what the query's SQL asks for
