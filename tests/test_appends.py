@@ -246,3 +246,14 @@ def test_scratch_goes(spark):
         (path,) = scratch.paths
         assert df.count() == 3
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_many_small_files_share_tasks(tmp_path):
+    sizes = [*[10] * 1000, 5 << 20]
+    for i, n in enumerate(sizes):
+        (tmp_path / f"{i:04}.jsonl").write_bytes(b"x" * (n - 1) + b"\n")
+    reader = growing.GrowingReader({"path": str(tmp_path)})
+    tasks = reader.partitions({}, reader.latestOffset())
+    assert 16 < len(tasks) <= 2 * growing.TASKS
+    rows = [(os.path.basename(p), a, b) for t in tasks for batch in reader.read(t) for p, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+    assert sorted(rows) == [(f"{i:04}.jsonl", 0, n) for i, n in enumerate(sizes)]
