@@ -25,10 +25,12 @@ from tallybook.llm.common import clear_stored, kept_folders, scratch_dir
 from tallybook.llm.language_id import fit, predict_languages
 from tallybook.llm.line_dedup import dedup_lines
 from tallybook.llm.mixing import mixed_documents
-from tallybook.llm.near_dedup import one_of_each
+from tallybook.llm.near_dedup import one_of_each, one_of_each_class
 from tallybook.llm.pieces import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle of the fingerprints, as in op9.
+LINK_WORDS = 3
 #: Words that a worker of the last stage remembers; its executor also holds what the stages before left.
 REMEMBERED = 250_000
 
@@ -50,8 +52,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: texts with a Jaccard likeness of 0.8 on five words, found by an exact join and not by fingerprints, which would miss some."""
-    return one_of_each(docs).select(COLUMNS)
+    """One document of each class of SimHash fingerprints, found by the segment-popcount embedding; of those that are left, an exact join on shingles then takes what fingerprints miss (a Jaccard likeness of 0.8 on five words)."""
+    return one_of_each(one_of_each_class(docs.select(COLUMNS), LINK_WORDS)).select(COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, map_rows, texts
+from ..sources.scratch import delete
+from .common import gathered, kept_folders, map_rows, texts
 from .common import stored as stored_as_is
 
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -59,6 +60,8 @@ ORDER_OF, COMMON_IN, MOST_COMMON = 8, 3, 500_000
 #: Words of 64 bits of a text's sketch: of each bit, whether an odd number of its shingles falls on it.
 SKETCH = 4
 SKETCH_NAMES = [f"sketch_{i}" for i in range(SKETCH)]
+#: Names of rows that go which are sent to all tasks; more meet the texts by a shuffle.
+MOST_GONE = 500_000
 #: Meeting points with more visitors are compared by arrays.
 FEW = 8
 
@@ -204,6 +207,29 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each_class(docs: DataFrame, width: int) -> DataFrame:
+    """The documents without those whose fingerprints link them to another: of each class of fingerprints, as ``near_duplicates`` has them, the row with the least doc_id (null last). Rows of equal doc_id and text stay or go together.
+
+    Only names and fingerprints are written; the texts stay where they are.
+    """
+    spark, before = docs.sparkSession, len(kept_folders)
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    named = docs.select(F.struct(F.col("doc_id").alias("id"), key.alias("key")).alias("doc_id"), "text")
+    prints = stored(with_fingerprints(named, width).select("fp", "doc_id.*"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("least")
+    distinct = stored(prints.groupBy("fp").agg(least, F.count("*").alias("n")))
+    kept = classes(distinct, links(distinct.select("fp"))).select("component_id.id", "component_id.key").distinct()
+    same = lambda a, b: (a["key"] == b["key"]) & a["id"].eqNullSafe(b["id"])
+    rows = prints.select("id", "key").distinct()
+    gone = stored(rows.join(kept, same(rows, kept), "left_anti"))
+    delete(spark, kept_folders[before:-1])
+    del kept_folders[before:-1]
+    found = gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    if found.count() <= MOST_GONE:
+        found = F.broadcast(found)
+    return docs.join(found, (key == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
 def digest(text: str) -> bytes:
     """What names a text: its words, but for case and white space."""
     return hashlib.sha256(b" ".join(text.encode().lower().split())).digest()

@@ -343,3 +343,17 @@ def test_rows_are_told_apart_by_whole_digests(spark, monkeypatch):
     rows = [(i, f"text number {i} about " + " ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest()[:6] for k in range(30)), "en", "s", 0) for i in range(6)]
     rows += [rows[0], (9, rows[1][1], "en", "s", 0)]
     assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_pipeline_drops_what_fingerprints_link(spark):
+    import corpus_pipeline
+    from tallybook.llm import near_dedup as m
+
+    words = [f"w{i}" for i in range(400)]
+    spread = [f"x{i}" if i % 19 == 7 else w for i, w in enumerate(words)]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((words, spread, [f"y{i}" for i in range(300)], words))]
+    docs = spark.createDataFrame([(None, rows[0][1], "en", "s", 1), *rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    linked = {r.component_id for r in m.near_duplicates(docs, 3).collect()}
+    found = [r.doc_id for r in m.one_of_each_class(docs, 3).collect()]
+    assert sorted(found) == sorted(linked) and 3 not in found
+    assert set(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) <= set(found)
