@@ -323,8 +323,9 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
-    blocks = stored(token_blocks(docs, key, order, block_tokens, piece))
-    found = stored(gathered(answers(asked(blocks, order, ranges))))
+    # a file for each core at a time: an executor's JVM starts a process for each one it writes
+    blocks = stored(gathered(token_blocks(docs, key, order, block_tokens, piece), 1))
+    found = stored(gathered(answers(asked(blocks, order, ranges)), 1))
     types, tokens = found.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     names = ["number", "key", "n_tokens", "n_known", "base_score", "score"]
     key_type = _arrow(kind)
@@ -345,6 +346,6 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
 
     told = found.where("block is not null").select("block", "n", "part", "counts")
-    pieces = stored(gathered(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double")))
+    pieces = stored(gathered(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"), 1))
     whole = pieces.groupBy("number").agg(F.first("key").alias(key), *[F.sum(c).alias(c) for c in names[2:]])
     return whole.select(key, held_out(F.col(key)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
