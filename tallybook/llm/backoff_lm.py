@@ -101,7 +101,10 @@ BLOCK = "block bigint, ids binary, words binary, keys array<{kind}>, numbers arr
 
 
 def token_blocks(docs: DataFrame, key: str, order: int, block_tokens: int = BLOCK_TOKENS, piece: int = PIECE) -> DataFrame:
-    """Blocks of whole tokens: the numbers of their words, the words' hashes, and for each piece of a document its key, number, length, words of history before it, and whether it is for training."""
+    """Blocks of whole tokens: the numbers of their words, the words' hashes, and for each piece of a document its key, number, length, words of history before it, and whether it is for training.
+
+    Blocks and documents are numbered by the task's partition, so a result that is not stored yet must not be coalesced: its tasks would give a number more than once. ``docs`` may be.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +327,7 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     # a file for each core at a time: an executor's JVM starts a process for each one it writes
-    blocks = stored(gathered(token_blocks(docs, key, order, block_tokens, piece), 1))
+    blocks = stored(token_blocks(gathered(docs.select(docs[key], docs["text"]), 1), key, order, block_tokens, piece))
     found = stored(gathered(answers(asked(blocks, order, ranges)), 1))
     types, tokens = found.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     names = ["number", "key", "n_tokens", "n_known", "base_score", "score"]

@@ -232,6 +232,13 @@ def test_frequent_words_and_pairs_score_right(spark):
 CLASHING = ["n", "form", "output", "weight", "score", "rank", "key", "number", "block", "part", "bucket", "__h1", "__k0", "__at", "__segment"]
 
 
+def test_scores_of_more_partitions_than_cores(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 11} of document {i} " * (1 + i % 5)) for i in range(240)], "doc_id bigint, text string")
+    many = docs.repartition(12 * spark.sparkContext.defaultParallelism)
+    rows = [sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in backoff_lm.score(d, block_tokens=20).collect()) for d in (docs.coalesce(1), many)]
+    assert len(rows[0]) == 240 and rows[0] == rows[1]
+
+
 def test_clashing_columns_change_nothing(spark, odd):
     more = odd.withColumns({c: F.lit("x") for c in CLASHING})
     target = spark.createDataFrame([("word1", 7)], "text string, bucket int")
