@@ -19,6 +19,7 @@ from ..operators.history import latest_by
 from ..sources.growing import file_system
 from ..sources.jsonl import lines, records
 from ..sources.scratch import Scratch, delete, table_or_none, written
+from ..sources.sinks import write_folders
 from .folds import START, hash_chain
 
 PROGRESS = "source string, bytes bigint, events bigint, chain string, at timestamp"
@@ -39,8 +40,9 @@ def append_outbox(events: DataFrame, path: str, refuse_all: bool = True) -> Data
     text = lambda p: F.try_variant_get(v, p, "string")
     fit = own.where(F.size("errors") == 0)
     parts = fit.select("value", *order, safe_part(F.concat_ws("_", text("$.source.repo"), text("$.source.component"))).alias("producer"), safe_part(text("$.source.run_id")).alias("run"))
-    # the lines of a run are one file of each append, so that their order is theirs
-    parts.repartition("producer", "run").sortWithinPartitions("producer", "run", *order).drop(*order).write.mode("append").partitionBy("producer", "run").text(path)
+    # the lines of a run are one file of each append, so that their order is theirs; a part without a name has the one that Spark gives it
+    of = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit("__HIVE_DEFAULT_PARTITION__")))
+    write_folders(parts.withColumn("folder", F.concat_ws("/", of("producer"), of("run"))), path, f"part-{uuid.uuid4().hex}.txt")
     return refused
 
 

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.operators import closed, history, paging, unique, wrappers
+from tallybook.operators import closed, contracts, history, paging, unique, wrappers
 from tallybook.plans import compaction, delivery, folds, reconcile
 from tallybook.sources import jsonl, sinks
 from tallybook.streaming import ingest
@@ -348,6 +348,23 @@ def test_outbox_append(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "raw")).first()["value"]) == {"a": 1, "domain": "mine"}
 
 
+def test_outbox_of_many_runs_starts_no_process_for_a_file(spark, tmp_path):
+    path = str(tmp_path / "box")
+    text = json.dumps(event(1))
+    rows = spark.range(120).selectExpr(f"replace('{text}', '\"run_id\": \"n\"', concat('\"run_id\": \"n', id % 40, '\"')) AS value", "120 - id AS seq")
+    assert delivery.append_outbox(rows, path).count() == 0
+    found = [os.path.join(folder, f) for folder, _, names in os.walk(path) for f in names]
+    assert len(found) == 40 and all(re.fullmatch(r".*/producer=r_c/run=n\d+/part-\w+\.txt", f) for f in found)  # Spark's writers leave a .crc beside each
+    assert {len(open(f).readlines()) for f in found} == {3}
+
+
+def test_members_of_an_event_are_read_in_one_pass(spark):
+    own = contracts.with_agent_run_errors(jsonl.records(spark.createDataFrame([(json.dumps(event(1) | {"more": 1}),), (json.dumps(event(2) | {"corrects": None}),), ("[1]",)], "value string")), "v")
+    assert not re.search(r"variant_get\([^,]+, \$\.", own._jdf.queryExecution().optimizedPlan().toString())
+    first, second, third = (r.errors for r in own.orderBy(F.length("value").desc()).collect())
+    assert sorted([first, second]) == [["$.corrects: items"], ["$: unknown key"]] and third[0] == "$: not an object"
+
+
 def test_event_list_receipt(spark):
     df = spark.createDataFrame([("b", "{}"), ("a", "[]")], "event_id string, canonical string")
     row = reconcile.event_list_receipt(df, 2, 0).first()
