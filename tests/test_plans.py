@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallybook.operators import closed, contracts, history, paging, unique, wrappers
 from tallybook.plans import compaction, delivery, folds, reconcile
 from tallybook.sources import jsonl, sinks
+from tallybook.sources.scratch import setting
 from tallybook.streaming import ingest
 
 
@@ -252,6 +253,18 @@ def test_inventory_and_loaders(spark, tmp_path):
     assert jsonl.snapshot(spark, str(log), sizes=sizes)[0].count() == 2 and jsonl.snapshot(spark, str(log))[0].count() == 3
 
 
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for i in range(90):
+        (tmp_path / f"{i:03}.txt").write_text("".join(f"{i} {'x' * k}\n" for k in range(i % 7 + 1)))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "4194304"):  # a file in each of Spark's own tasks
+        own = jsonl.lines(spark, f"{tmp_path}/*.txt")
+        assert own.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        rows = own.collect()
+    texts = {os.path.basename(r.path): (tmp_path / os.path.basename(r.path)).read_bytes() for r in rows}
+    assert len(texts) == 90 and len(rows) == sum(i % 7 + 1 for i in range(90))
+    assert all(texts[os.path.basename(r.path)][r.start_offset : r.next_offset] == r.value.encode() + b"\n" for r in rows)
+
+
 def test_delivery_resumes(spark, tmp_path):
     src, receipts, sent = tmp_path / "src", str(tmp_path / "receipts"), tmp_path / "sent"
     src.mkdir()
