@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, gathered, setting, slices, stored, texts
+from .common import BATCH_BYTES, READ_ROWS, gathered, setting, slices, stored, texts
 
 ORDER = 2
 #: Tokens that a history must have before it outweighs the shorter one; on the held-out documents of the given tables 50 gives 0.34 more (in log10, a token) than 2.
@@ -48,8 +48,11 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS, PIECE = 1_000_000, 1 << 20
 #: Rows are blocks here, so a batch of rows between Spark and Python is kept to few of them.
 BATCH = "4m"
-#: Bytes of text whose n-grams share a range of hashes on average.
-RANGE_BYTES = 64 << 20
+#: Parquet otherwise looks at the size of its pages and row groups after 100 rows only: these may be hundreds of MB then, which a task holds several times to write or read them.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+READ = 64
+#: Bytes of text whose n-grams share a range of hashes on average, and of counts in a batch of answers.
+RANGE_BYTES, ANSWER_BYTES = 16 << 20, 1 << 20
 SPACE = re.compile(rb"[\x09-\x0D\x20]")
 #: Stand for the beginning and the end; no word has a space in it.
 BEGIN, END = b" <", b" >"
@@ -81,13 +84,16 @@ def word_lists(text: str, piece: int = PIECE) -> Iterator[list[bytes]]:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers byte by byte, so that the ones that are zero in all of them compress."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    """Numbers of 0 or more byte by byte, without the upper bytes that are zero in all of them; first how many bytes each has."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.view(np.uint8).reshape(len(numbers), -1)[:, :width].T.tobytes()
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    lower = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros(lower.shape[1], kind)
+    out.view(np.uint8).reshape(len(out), -1)[:, : len(lower)] = lower.T
+    return out
 
 
 def steps(keys: np.ndarray) -> np.ndarray:
@@ -234,7 +240,7 @@ def asked(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
                 for part, end in enumerate(range_ends(grams.keys, ranges).tolist()):
                     if end > start:
                         low = packed(block.words[start:end, 1].copy()) if k == 1 else None
-                        rows.append((part, row["block"], k, low, packed(steps(grams.keys[start:end])), packed(counts[start:end].astype(np.uint64))))
+                        rows.append((part, row["block"], k, low, packed(steps(grams.keys[start:end])), packed(counts[start:end])))
                     start = end
                 if rows:  # a block of short texts may have no n-gram of this order
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -247,35 +253,46 @@ def answers(requests: DataFrame) -> DataFrame:
     begin = np.frombuffer(xxhash.xxh3_128_digest(BEGIN), ">u8").astype(np.uint64)
     schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        part = table.column("part")[0].as_py()
-        orders = table.column("n").to_numpy()
-        for n in np.unique(orders).tolist():
-            own = table.filter(pa.array(orders == n))
-            keys = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in own.column("keys").to_pylist()]
-            ends = np.cumsum([len(x) for x in keys])
-            keys = np.concatenate(keys)
-            counts = np.concatenate([unpacked(x, np.uint64) for x in own.column("counts").to_pylist()]).astype(np.int64)
-            if n == 1:
-                low = np.concatenate([unpacked(x, np.uint64) for x in own.column("low").to_pylist()])
-                ranked = np.lexsort((low, keys))
-                fresh = np.ones(len(keys), bool)
-                fresh[1:] = (keys[ranked[1:]] != keys[ranked[:-1]]) | (low[ranked[1:]] != low[ranked[:-1]])
-                group = np.empty(len(keys), np.int64)
-                group[ranked] = np.cumsum(fresh) - 1
-            else:
-                group = np.unique(keys, return_inverse=True)[1]
-            total = np.zeros(int(group.max()) + 1, np.int64)
-            np.add.at(total, group, counts)
-            if n == 1:
-                words = total.copy()
-                words[group[(keys == begin[0]) & (low == begin[1])]] = 0
-                rows.append((None, n, part, None, int(np.count_nonzero(words)), int(words.sum())))
-            found = total[group].astype(np.uint64)
-            for block, piece in zip(own.column("block").to_pylist(), np.split(found, ends[:-1])):
-                rows.append((block, n, part, packed(piece), None, None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def summed(part: int, n: int, rows: list[tuple[int, bytes | None, bytes, bytes]]) -> Iterator[tuple]:
+        """``rows``, of one order, is emptied."""
+        own = [r[0] for r in rows]
+        low = np.concatenate([unpacked(r[1], np.uint64) for r in rows]) if n == 1 else None
+        keys = [np.cumsum(unpacked(r[2], np.uint64), dtype=np.uint64) for r in rows]
+        ends = np.cumsum([len(x) for x in keys])
+        keys = np.concatenate(keys)
+        counts = np.concatenate([unpacked(r[3], np.int64) for r in rows])
+        rows.clear()
+        ranked = np.argsort(keys) if low is None else np.lexsort((low, keys))
+        keys = keys[ranked]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        if low is not None:
+            low = low[ranked]
+            fresh[1:] |= low[1:] != low[:-1]
+        firsts = np.flatnonzero(fresh)
+        total = np.add.reduceat(counts[ranked], firsts)
+        if low is not None:
+            words = np.where((keys[firsts] == begin[0]) & (low[firsts] == begin[1]), 0, total)
+            yield None, n, part, None, int(np.count_nonzero(words)), int(words.sum())
+        counts[ranked] = np.repeat(total, np.diff(firsts, append=len(keys)))
+        for block, piece in zip(own, np.split(counts, ends[:-1])):
+            yield block, n, part, packed(piece), None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_order: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = row["part"]
+                by_order.setdefault(row["n"], []).append((row["block"], row["low"], row["keys"], row["counts"]))
+        out, size = [], 0
+        for row in (row for n in sorted(by_order) for row in summed(part, n, by_order[n])):
+            out.append(row)
+            size += len(row[3] or b"")
+            if size >= ANSWER_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return requests.groupBy("part").applyInArrow(run, "block bigint, n int, part int, counts binary, types bigint, tokens bigint")
 
@@ -318,7 +335,7 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, key: str =
 
     ``block_tokens`` and ``piece`` (bytes of a text) bound the memory of a task, whatever the texts' lengths, and change no score.
     """
-    with setting(docs.sparkSession, BATCH_BYTES, BATCH):
+    with setting(docs.sparkSession, BATCH_BYTES, BATCH), setting(docs.sparkSession, READ_ROWS, str(READ)):
         return _score(docs, order, prior, key, block_tokens, piece)
 
 
@@ -327,8 +344,8 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     # a file for each core at a time: an executor's JVM starts a process for each one it writes
-    blocks = stored(token_blocks(gathered(docs.select(docs[key], docs["text"]), 1), key, order, block_tokens, piece))
-    found = stored(gathered(answers(asked(blocks, order, ranges)), 1))
+    blocks = stored(token_blocks(gathered(docs.select(docs[key], docs["text"]), 1), key, order, block_tokens, piece), **LARGE_ROWS)
+    found = stored(gathered(answers(asked(blocks, order, ranges)), 1), **LARGE_ROWS)
     types, tokens = found.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     names = ["number", "key", "n_tokens", "n_known", "base_score", "score"]
     key_type = _arrow(kind)
@@ -337,7 +354,7 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
         row = mine.to_pylist()[0]
         block = Block(row, order)
         replies = sorted(zip(told.column("n").to_pylist(), told.column("part").to_pylist(), told.column("counts").to_pylist()), key=lambda r: r[:2])
-        counts = [np.concatenate([unpacked(c, np.uint64) for n, _, c in replies if n == k]).astype(np.int64) if len(g.keys) else np.zeros(0, np.int64) for k, g in enumerate(block.grams, 1)]
+        counts = [np.concatenate([unpacked(c, np.int64) for n, _, c in replies if n == k]) if len(g.keys) else np.zeros(0, np.int64) for k, g in enumerate(block.grams, 1)]
         automaton = Automaton(block, counts, tokens, types, prior)
         walked = automaton.walk(block)
         base = automaton.base[block.grams[0].at]

@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import BATCH_BYTES, kept_folders, scratch_dir, setting
+from ..sources.scratch import BATCH_BYTES, READ_ROWS, kept_folders, scratch_dir, setting
 from ..sources.scratch import clear as clear_stored
 from ..sources.scratch import written as stored
 
-__all__ = ["BATCH_BYTES", "clear_stored", "gathered", "kept_folders", "map_rows", "scratch_dir", "setting", "slices", "stored", "table", "texts"]
+__all__ = ["BATCH_BYTES", "READ_ROWS", "clear_stored", "gathered", "kept_folders", "map_rows", "scratch_dir", "setting", "slices", "stored", "table", "texts"]
 
 #: Rows of an Arrow batch that Python works on at once.
 SLICE_ROWS = 256

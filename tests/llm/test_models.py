@@ -7,12 +7,14 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.llm import backoff_lm, fill_in_middle, language_id, resampling
+from tallybook.llm import backoff_lm, common, fill_in_middle, language_id, resampling
 from tallybook.llm.html_extract import main_text
 from tallybook.llm.near_dedup import one_of_each
 
@@ -239,6 +241,24 @@ def test_scores_of_more_partitions_than_cores(spark):
     assert len(rows[0]) == 240 and rows[0] == rows[1]
 
 
+def test_numbers_are_packed_without_their_upper_zeros():
+    for most, width in ((0, 1), (255, 1), (256, 2), (2**31 - 1, 4), (2**63 - 1, 8)):
+        numbers = np.array([0, most, most // 3], np.int64)
+        data = backoff_lm.packed(numbers)
+        assert len(data) == 1 + 3 * width and backoff_lm.unpacked(data, np.int64).tolist() == numbers.tolist()
+    assert backoff_lm.unpacked(backoff_lm.packed(np.array([2**64 - 1], np.uint64)), np.uint64).tolist() == [2**64 - 1]
+
+
+def test_a_task_has_few_blocks_at_a_time(spark):
+    words = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda j: F.concat_ws("-", "id", j))
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    before = len(common.kept_folders)
+    assert backoff_lm.score(docs, block_tokens=60_000).count() == 40
+    groups = [m.row_group(i) for f in Path(common.kept_folders[before].removeprefix("file:")).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and sum(g.total_byte_size for g in groups) > 32e6
+    assert max(g.total_byte_size for g in groups) < 16e6
+
+
 def test_clashing_columns_change_nothing(spark, odd):
     more = odd.withColumns({c: F.lit("x") for c in CLASHING})
     target = spark.createDataFrame([("word1", 7)], "text string, bucket int")
