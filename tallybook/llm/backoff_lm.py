@@ -53,6 +53,8 @@ LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.m
 READ = 64
 #: Bytes of text whose n-grams share a range of hashes on average, and of counts in a batch of answers.
 RANGE_BYTES, ANSWER_BYTES = 16 << 20, 1 << 20
+#: Bytes of text that a task has on average, once there is more than that for each core.
+TASK_BYTES = 64 << 20
 SPACE = re.compile(rb"[\x09-\x0D\x20]")
 #: Stand for the beginning and the end; no word has a space in it.
 BEGIN, END = b" <", b" >"
@@ -248,7 +250,7 @@ def asked(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
     return blocks.select("block", "ids", "words", "lengths", "contexts", "trains").mapInArrow(run, ASKED)
 
 
-def answers(requests: DataFrame) -> DataFrame:
+def answers(requests: DataFrame, tasks: int) -> DataFrame:
     """For each block, order (n) and range (part) the counts of its n-grams in all blocks; on rows without a block how many words training has (types, tokens)."""
     begin = np.frombuffer(xxhash.xxh3_128_digest(BEGIN), ">u8").astype(np.uint64)
     schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
@@ -294,7 +296,7 @@ def answers(requests: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return requests.groupBy("part").applyInArrow(run, "block bigint, n int, part int, counts binary, types bigint, tokens bigint")
+    return requests.repartition(tasks, "part").groupBy("part").applyInArrow(run, "block bigint, n int, part int, counts binary, types bigint, tokens bigint")
 
 
 class Automaton:
@@ -343,9 +345,12 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
-    # a file for each core at a time: an executor's JVM starts a process for each one it writes
-    blocks = stored(token_blocks(gathered(docs.select(docs[key], docs["text"]), 1), key, order, block_tokens, piece), **LARGE_ROWS)
-    found = stored(gathered(answers(asked(blocks, order, ranges)), 1), **LARGE_ROWS)
+    # few files, a task for each core or more: an executor's JVM starts a process for each file it writes
+    each = max(1, math.ceil(size / TASK_BYTES / spark.sparkContext.defaultParallelism))
+    # as many shuffle partitions: where a task had several, one after the other, executors were seen to take some 500 MB more
+    tasks = each * spark.sparkContext.defaultParallelism
+    blocks = stored(token_blocks(gathered(docs.select(docs[key], docs["text"]), each), key, order, block_tokens, piece), **LARGE_ROWS)
+    found = stored(gathered(answers(asked(blocks, order, ranges), tasks), each), **LARGE_ROWS)
     types, tokens = found.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     names = ["number", "key", "n_tokens", "n_known", "base_score", "score"]
     key_type = _arrow(kind)
@@ -366,6 +371,6 @@ def _score(docs: DataFrame, order: int, prior: float, key: str, block_tokens: in
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
 
     told = found.where("block is not null").select("block", "n", "part", "counts")
-    pieces = stored(gathered(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"), 1))
-    whole = pieces.groupBy("number").agg(F.first("key").alias(key), *[F.sum(c).alias(c) for c in names[2:]])
+    pieces = stored(gathered(blocks.repartition(tasks, "block").groupBy("block").cogroup(told.repartition(tasks, "block").groupBy("block")).applyInArrow(run, f"number bigint, key {kind}, n_tokens bigint, n_known bigint, base_score double, score double"), each))
+    whole = gathered(pieces.groupBy("number").agg(F.first("key").alias(key), *[F.sum(c).alias(c) for c in names[2:]]), each)
     return whole.select(key, held_out(F.col(key)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -259,6 +259,16 @@ def test_a_task_has_few_blocks_at_a_time(spark):
     assert max(g.total_byte_size for g in groups) < 16e6
 
 
+def test_more_text_is_dealt_to_more_tasks(spark, monkeypatch):
+    cores, before = spark.sparkContext.defaultParallelism, len(common.kept_folders)
+    docs = spark.range(0, 960, 1, 24 * cores).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 10).alias("text"))
+    for most in (backoff_lm.TASK_BYTES, 960 * 110 // (3 * cores)):
+        monkeypatch.setattr(backoff_lm, "TASK_BYTES", most)
+        assert backoff_lm.score(docs).count() == 960
+    files = [len(list(Path(f.removeprefix("file:")).glob("*.parquet"))) for f in common.kept_folders[before :: 3]]
+    assert files == [cores, 3 * cores]
+
+
 def test_clashing_columns_change_nothing(spark, odd):
     more = odd.withColumns({c: F.lit("x") for c in CLASHING})
     target = spark.createDataFrame([("word1", 7)], "text string, bucket int")
