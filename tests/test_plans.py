@@ -10,6 +10,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.functions import digests
 from tallybook.operators import closed, contracts, history, paging, unique, wrappers
 from tallybook.plans import compaction, delivery, folds, reconcile
 from tallybook.sources import jsonl, sinks
@@ -555,3 +556,97 @@ def test_snapshot_chain_is_over_all_bytes_of_each_domain(spark):
     from tallybook import queries
 
     assert "RECURSIVE" in queries.ORACLE_SQL["ledger_snapshot"]  # the chain is what the query's SQL asks for
+
+
+def odd_and_plain_lines():
+    """Lines that keep the contract or break it in one or two places, and lines that Spark's parser has to judge."""
+    values = [None, True, 5, -1, 1.5, 10**20, "", "x", "x" * 600, [], {}, ["a"], ["a", "a"], [None], [1], "merge", "host", "repository", "corrected", ["0" * 26], ["0" * 26, "1" * 26], [f"{i:026}" for i in range(6)], "a.b\n", "é", "2026-02-30T00:00:00Z", "2026-01-01", "2026-01-01T00:00:00Z"]
+    paths = [*[f"$.{k}" for k in (*contracts.REQUIRED, "corrects", "extra")], *[f"{p}.{k}" for p, keys in contracts.KEYS.items() if p != "$" for k in (*keys, "extra")]]
+    out = []
+    for n, p in enumerate(paths):
+        *front, name = p.split(".")[1:]
+        for i, x in enumerate([*values, "gone"]):
+            own = event(n * 100 + i)
+            if i % 3 == 0:
+                own |= {"subject": {"scope": ("host", "repository", "x")[n % 3], "host": "h"}, "status": "corrected"}
+            at = own.setdefault(front[0], {}) if front else own
+            if x == "gone":
+                at.pop(name, None)
+            else:
+                at[name] = x
+            out.append(json.dumps(own, ensure_ascii=i % 2 == 0))
+    good = json.dumps(event(1))
+    return [*out, good, good.replace('"data": {}', '"data": {"result": "started", "result": "x"}'), good + " ", good + "x", "[]", "1", "{", "\t", good.replace("{}", "NaN"), good.replace('"kind"', '"k\\u0069nd"'), good.replace("{}", '{"duration_ms": 1e3}'), good.replace("{}", '{"duration_ms": -0}')]
+
+
+def test_plain_events_are_judged_as_spark_does(spark):
+    lines = odd_and_plain_lines()
+    own = spark.createDataFrame([("s", i, x, False) for i, x in enumerate(lines)], "source string, seq bigint, value string, cut boolean")
+    found = {r.seq: r for r in reconcile.line_events(own).collect()}
+    judged = 0
+    for i, x in enumerate(lines):
+        if told := contracts.plain_event(x):
+            judged += 1
+            assert told[1] == found[i].errors, x
+            assert digests.compact(told[0]) == found[i].canonical and digests.fingerprint_of(found[i].canonical.encode()) == bytes(found[i].fp)
+    assert judged > len(lines) // 2
+
+
+def test_sources_are_profiled_where_they_are_read(spark, tmp_path, monkeypatch):
+    keep = tmp_path / "src"
+    keep.mkdir()
+    lines = odd_and_plain_lines()
+    for i, part in enumerate((lines[:40], [json.dumps(event(i)) for i in range(70)], [json.dumps(event(1)), "", "  ", json.dumps(event(2))], [json.dumps(event(1), ensure_ascii=False).replace('"r"', '"é"')], lines)):
+        (keep / f"{i}.jsonl").write_text("\n".join(part) + ("" if i == 2 else "\n"))
+    (keep / "empty.jsonl").write_text("")
+    (keep / "bytes.jsonl").write_bytes(b'{"a": "\xff\xc3("}\n' + json.dumps(event(3)).encode() + b"\n")
+    monkeypatch.setattr(reconcile, "BLOCK_BYTES", 1 << 10)
+
+    def columns(df, *names):
+        return sorted(tuple(map(str, r)) for r in df.select("source", *names).collect())
+
+    whole = jsonl.lines(spark, f"{keep}/*").where(F.trim("value") != "")
+    own = whole.select(F.col("path").alias("source"), "seq", "value", (F.col("next_offset") > F.col("file_size")).alias("cut"), (F.col("next_offset") - F.col("start_offset")).alias("width"))
+    for producer in (None, ("r", "c"), ("r", "x")):
+        before = reconcile.line_events(own, producer)
+        for most in (1 << 20, 1 << 12):  # the second leaves the larger files to Spark
+            monkeypatch.setattr(reconcile, "BATCH", most)
+            now = reconcile.source_events(spark, f"{keep}/*", producer)
+            assert columns(now, "seq", "width", "event_id", "kind", "fp", "canonical", "errors", "value") == columns(before, "seq", "width", "event_id", "kind", "fp", "canonical", "errors", "value")
+            assert now.where("profile is not null").count() in ((2, 3) if most > 1 << 12 else (1,))
+            names = ("bytes", "n_events", "event_ids", "last_kind", "digest", "valid")
+            assert columns(reconcile.profiles(now), *names) == columns(reconcile.profiles(before), *names)
+
+
+def test_plain_sources_need_no_expressions_of_spark(spark, outbox, monkeypatch):
+    for i in range(3):
+        outbox.put(f"{i}.jsonl", [event(2 * i), event(2 * i + 1)])
+    outbox.put("bad.jsonl", [event(9, data={"more": 1})])
+    for name in ("line_events", "merkle", "lines"):
+        monkeypatch.setattr(reconcile, name, None)
+    assert outbox.run(spark) == {f"{i}.jsonl": "added" for i in range(3)} | {"bad.jsonl": "invalid"}
+    assert spark.read.parquet(outbox.ledger).count() == 6
+
+
+def test_tasks_list_what_spark_lists(spark, tmp_path):
+    for name in ("a/1.txt", "a/_2.txt", "a/.3.txt", "a/4 x%20é.txt", "_b/5.txt", ".c/6.txt", "d=1/_k=7.txt", "e/8.json", "e/9.txt._COPYING_"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "top.txt").write_text("x")
+    (tmp_path / "a" / "empty.txt").write_text("")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    spark_lists = lambda p: rows(spark.read.format("binaryFile").load(p).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")))
+    for pattern in ("*/*.txt", "*/*", "a/?.txt", "*/1.txt", "?/*.tx?", "*.txt"):
+        found = jsonl.listed_by_tasks(spark, f"{tmp_path}/{pattern}")
+        assert rows(found) == spark_lists(f"{tmp_path}/{pattern}") and found.count()
+        assert rows(jsonl.files(spark, f"file:{tmp_path}/{pattern}")) == rows(found)
+    for pattern in ("{a,e}/*", "a", "*", "none/*.txt", "[ab]/*"):  # folders among the files, other globs, nothing
+        assert jsonl.listed_by_tasks(spark, f"{tmp_path}/{pattern}") is None
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        jsonl.files(spark, f"{tmp_path}/none/*.txt")
+
+
+def test_a_root_is_that_of_the_digest_tree(spark):
+    for leaves in ([(0, "A")], [(i * 300, f"{i:X}") for i in range(3000)]):
+        df = spark.createDataFrame([("k", *x) for x in leaves], "k string, seq bigint, leaf string")
+        assert folds.merkle(df, ["k"], "leaf", 64).first()["digest"] == folds.merkle_root(leaves, 64)
