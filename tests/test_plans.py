@@ -650,3 +650,14 @@ def test_a_root_is_that_of_the_digest_tree(spark):
     for leaves in ([(0, "A")], [(i * 300, f"{i:X}") for i in range(3000)]):
         df = spark.createDataFrame([("k", *x) for x in leaves], "k string, seq bigint, leaf string")
         assert folds.merkle(df, ["k"], "leaf", 64).first()["digest"] == folds.merkle_root(leaves, 64)
+
+
+def test_compaction_groups_the_receipts_of_its_sources_alone(spark, outbox, monkeypatch):
+    for i in range(6):
+        outbox.put(f"f{i}.jsonl", [event(2 * i), event(2 * i + 1)])
+    outbox.run(spark)
+    given, whole = [], compaction.with_receipts
+    monkeypatch.setattr(compaction, "with_receipts", lambda own, receipts: given.append(receipts.count()) or whole(own, receipts))
+    now = datetime.now(timezone.utc) + timedelta(days=2)
+    found = {os.path.basename(r.source): r.reason for r in compaction.compact(spark, outbox.path, outbox.receipts, outbox.ledger, outbox.bundles, now, max_sources=2).collect()}
+    assert found == {f"f{i}.jsonl": "eligible" if i < 2 else "source_bound" for i in range(6)} and given == [2]
