@@ -14,7 +14,7 @@ from tallybook.functions import digests
 from tallybook.operators import closed, contracts, history, paging, unique, wrappers
 from tallybook.plans import compaction, delivery, folds, reconcile
 from tallybook.sources import jsonl, sinks
-from tallybook.sources.scratch import setting
+from tallybook.sources.scratch import scratch_dir, setting
 from tallybook.streaming import ingest
 
 
@@ -661,3 +661,15 @@ def test_compaction_groups_the_receipts_of_its_sources_alone(spark, outbox, monk
     now = datetime.now(timezone.utc) + timedelta(days=2)
     found = {os.path.basename(r.source): r.reason for r in compaction.compact(spark, outbox.path, outbox.receipts, outbox.ledger, outbox.bundles, now, max_sources=2).collect()}
     assert found == {f"f{i}.jsonl": "eligible" if i < 2 else "source_bound" for i in range(6)} and given == [2]
+
+
+def test_a_rebuild_reads_plain_bundles_without_expressions_of_spark(spark, outbox, monkeypatch):
+    for i in range(3):
+        outbox.put(f"f{i}.jsonl", [event(2 * i), event(2 * i + 1)])
+    outbox.run(spark)
+    for name in ("line_events", "lines"):
+        monkeypatch.setattr(reconcile, name, None)
+    compaction.compact(spark, outbox.path, outbox.receipts, outbox.ledger, outbox.bundles, datetime.now(timezone.utc) + timedelta(days=2), apply=True, remove=True).collect()
+    tables = set(os.listdir(scratch_dir(spark)))
+    assert compaction.rebuild(spark, outbox.bundles, outbox.ledger + "-again") == (6, 0)
+    assert set(os.listdir(scratch_dir(spark))) == tables  # all of its own are gone
